@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, warc
+from . import audio, bpe, langid, licenses, sharding, warc
 from .common import shared_dir, table
 
 #: Shards of op5.
@@ -21,6 +21,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio.features(audio.encode(documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text"))
+    spans = F.array_join(F.transform("segments", lambda s: F.concat(s.start_ms.cast("string"), F.lit("-"), s.end_ms.cast("string"))), ",")
+    feature = F.concat_ws(
+        ";", F.col("n_frames").cast("string"), F.round("mean_log_mel", 4).cast("string"), F.size("segments").cast("string"),
+        F.sha2(spans.cast("binary"), 256), F.sha2("tensors", 256),
+    )
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     found = bpe.decode(bpe.encode(documents(spark, sf_dir), path).drop("text", "token_ends"), path)
@@ -37,12 +56,22 @@ def op5_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload")), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("text")
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages
@@ -59,8 +88,11 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_audio_features": op3_audio_features,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
+    "op7_byte_cnn_language": op7_byte_cnn_language,
     "op8_warc_revisits": op8_warc_revisits,
+    "op10_license_rules": op10_license_rules,
 }
 ORACLES: dict[str, str] = {"op8_warc_revisits": OP8_SQL}
