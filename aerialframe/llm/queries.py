@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, langid, licenses, sharding, warc
+from . import audio, bpe, knn, langid, licenses, mixing, pii, sharding, simhash, warc
 from .common import shared_dir, table
 
 #: Shards of op5.
@@ -21,6 +21,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op2_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir), keep_text=False)
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.array_join(F.transform(base, one), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", one), ",").alias("spans"),
+        count(pii.TERM).alias("n_term"),
+    )
+
+
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = audio.features(audio.encode(documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text"))
     spans = F.array_join(F.transform("segments", lambda s: F.concat(s.start_ms.cast("string"), F.lit("-"), s.end_ms.cast("string"))), ",")
@@ -56,6 +74,10 @@ def op5_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -68,10 +90,27 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    return mixing.taken(docs)
+
+
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("text")
 
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS f FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.f, c.f) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages
@@ -88,11 +127,15 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_bktree": op1_simhash_bktree,
+    "op2_disclosure_spans": op2_disclosure_spans,
     "op3_audio_features": op3_audio_features,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
+    "op6_voronoi_knn": op6_voronoi_knn,
     "op7_byte_cnn_language": op7_byte_cnn_language,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_block_mixture": op9_block_mixture,
     "op10_license_rules": op10_license_rules,
 }
-ORACLES: dict[str, str] = {"op8_warc_revisits": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL}
