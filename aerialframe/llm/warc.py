@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
+import itertools
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-#: Payload bytes that one archive file holds, about.
-FILE_BYTES = 16 << 20
+#: Records that one archive file holds at most.
+FILE_RECORDS = 2000
 #: Date of the records written, the same at every run.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -84,16 +88,14 @@ def records(resolved: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write ``pages`` (page_id, url, payload) as deduplicated ``.warc`` text files under ``path``.
+    """Write ``pages`` (page_id, url, payload) as deduplicated, gzipped WARC files under ``path``.
 
     Spark's own text writer puts the files, so any store that Spark reaches will do; a record's closing line ends are the
-    line separator. The number of files follows from the bytes, so that one holds about FILE_BYTES.
+    line separator. Files take their records from the join as it is partitioned, FILE_RECORDS at most.
     """
-    total = pages.agg(F.sum(F.octet_length(F.coalesce("payload", F.lit(""))).cast("long") + 600)).first()[0] or 0
     (
         records(resolve(pages, min_bytes))
-        .repartition(int(total // FILE_BYTES) + 1)
-        .write.mode("overwrite").option("lineSep", END).text(path)
+        .write.mode("overwrite").options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
     )
 
 
@@ -108,8 +110,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                data = content.as_buffer()
-                yield from _parse(memoryview(data))
+                yield from _batches(_records(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(parse, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, intact boolean")
@@ -120,39 +121,34 @@ def _page(value: bytes | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _parse(data: memoryview, rows_per_batch: int = 200) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
-    rows: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-    def head(at: int) -> tuple[dict[bytes, bytes], int]:
-        size = 4096
-        while (stop := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0:
-            if at + size >= len(data):
-                raise ValueError("a WARC header has no end")
-            size *= 2
-        lines = bytes(data[at : at + stop]).split(b"\r\n")
-        return dict(x.split(b": ", 1) for x in lines[1:]), at + stop + 4
-
-    at = 0
-    while at < len(data):
-        header, start = head(at)
-        end = start + int(header[b"Content-Length"])
-        http, body = head(start)
+def _head(f: BinaryIO) -> dict[bytes, bytes]:
+    """Header lines up to the empty one, without the first; empty at the end of the file."""
+    f.readline()
+    out = {}
+    while line := f.readline().rstrip(b"\r\n"):
+        name, value = line.split(b": ", 1)
+        out[name] = value
+    return out
+
+
+def _records(f: BinaryIO) -> Iterator[tuple]:
+    """The records of one archive, one at a time."""
+    while header := _head(f):
+        block = io.BytesIO(f.read(int(header[b"Content-Length"])))
+        f.read(len(END))
+        length = int(_head(block)[b"Content-Length"])
         digest = header[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
-        payload, length, intact, kind = None, int(http[b"Content-Length"]), True, header[b"WARC-Type"].decode()
+        payload, intact, kind = None, True, header[b"WARC-Type"].decode()
         if kind == "response":
-            payload = bytes(data[body:end])
+            payload = block.read()
             found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             intact = (found, len(payload)) == (digest, length)
             digest, length = found, len(payload)
-        rows.append((_page(header[b"WARC-Record-ID"]), kind, _page(header.get(b"WARC-Refers-To")), length, digest, payload, intact))
-        if len(rows) == rows_per_batch:
-            yield batch()
-            rows.clear()
-        at = end + 4
-    if rows:
-        yield batch()
+        yield _page(header[b"WARC-Record-ID"]), kind, _page(header.get(b"WARC-Refers-To")), length, digest, payload, intact
+
+
+def _batches(rows: Iterator[tuple], size: int = 100) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+    for some in itertools.batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], names)
