@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -62,3 +63,10 @@ def with_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.Rec
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again: for wide rows, which it stores compressed."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
