@@ -32,7 +32,7 @@ class Rule(NamedTuple):
 
 # Signatures by license. A line is: label | keyword | pattern of its name | pattern of its identifier.
 # The patterns see lower-case words, so "GPL-2.0+" reads "gpl 2 0".
-FAMILIES = """
+FAMILIES = r"""
 apache-1.0 | apache | apache (?:software )?license(?: version)? 1 0 | apache 1 0
 apache-1.1 | apache | apache (?:software )?license(?: version)? 1 1 | apache 1 1
 apache-2.0 | apache | apache(?: software)? license(?: version)? 2(?: 0)? | apache 2(?: 0)?
@@ -46,9 +46,9 @@ bsd-4-clause | bsd | (?:original bsd|bsd 4 clause|4 clause bsd) licen[cs]e | bsd
 gpl-1.0 | general public | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?1(?: 0)? | gpl 1 0
 gpl-2.0 | general public | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2(?: 0)? | gpl(?: v| version)? ?2(?: 0)?
 gpl-3.0 | general public | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)? | gpl(?: v| version)? ?3(?: 0)?
-lgpl-2.0 | lgpl | gnu library general public licen[cs]e(?: version| v) ?2(?: 0)? | lgpl(?: v| version)? ?2 0
-lgpl-2.1 | lgpl | gnu lesser general public licen[cs]e(?: version| v) ?2 1 | lgpl(?: v| version)? ?2 1
-lgpl-3.0 | lgpl | gnu lesser general public licen[cs]e(?: version| v) ?3(?: 0)? | lgpl(?: v| version)? ?3(?: 0)?
+lgpl-2.0 | general public | gnu library general public licen[cs]e(?: version| v) ?2(?: 0)? | lgpl(?: v| version)? ?2 0
+lgpl-2.1 | general public | gnu lesser general public licen[cs]e(?: version| v) ?2 1 | lgpl(?: v| version)? ?2 1
+lgpl-3.0 | general public | gnu lesser general public licen[cs]e(?: version| v) ?3(?: 0)? | lgpl(?: v| version)? ?3(?: 0)?
 agpl-1.0 | affero | affero general public licen[cs]e(?: version| v) ?1(?: 0)? | agpl 1 0
 agpl-3.0 | affero | (?:gnu )?affero general public licen[cs]e(?: version| v) ?3(?: 0)? | agpl(?: v| version)? ?3(?: 0)?
 gfdl-1.2 | free documentation | gnu free documentation licen[cs]e(?: version| v) ?1 2 | gfdl 1 2
@@ -71,7 +71,7 @@ busl-1.1 | business source | business source licen[cs]e(?: version| v)?(?: 1 1)?
 zlib | zlib | zlib(?: libpng)? licen[cs]e | zlib
 libpng | libpng | libpng licen[cs]e | libpng
 unlicense | unlicense | (?:the unlicense|released under the unlicense) | unlicense
-wtfpl | wtfpl | do what the f\\w+ you want to public licen[cs]e | wtfpl
+wtfpl | wtfpl | do what the f\w+ you want to public licen[cs]e | wtfpl
 ofl-1.1 | open font | (?:sil )?open font licen[cs]e(?: version| v)?(?: 1 1)? | ofl 1 1
 ms-pl | microsoft | microsoft public licen[cs]e | ms pl
 ms-rl | microsoft | microsoft reciprocal licen[cs]e | ms rl
@@ -112,7 +112,7 @@ elastic-2.0 | elastic | elastic licen[cs]e(?: version| v)?(?: 2 0)? | elastic 2
 """
 
 # Signatures of their own: label | priority | weight | keyword | pattern.
-SINGLE = """
+SINGLE = r"""
 gpl | 20 | 0.7 | general public | (?:gnu )?general public licen[cs]e
 lgpl | 25 | 0.7 | general public | gnu (?:lesser|library) general public licen[cs]e
 agpl | 25 | 0.7 | affero | (?:gnu )?affero general public licen[cs]e
@@ -162,7 +162,7 @@ def rules() -> tuple[tuple[Rule, re.Pattern], ...]:
     for line in SINGLE.strip().splitlines():
         label, priority, weight, keyword, pattern = (x.strip() for x in line.split(" | "))
         found.append(Rule(label, int(priority), float(weight), keyword, pattern))
-    return tuple((r, re.compile(rf"(?<! )(?<=^){r.pattern}(?![^ ])|(?<= ){r.pattern}(?![^ ])")) for r in found)
+    return tuple((r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")) for r in found)
 
 
 @functools.cache
@@ -198,9 +198,13 @@ def detect(joined: str) -> list[tuple[int, int, Rule]]:
             found += [(m.start(), m.end(), rule) for rule, pattern in group for m in pattern.finditer(joined)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     kept: list[tuple[int, int, Rule]] = []
+    at: dict[int, list[tuple[int, int]]] = {}  # spans kept, by the stretch of text in which they start
+    stretch = max((d[1] - d[0] for d in found), default=1)  # one that holds d starts in d's stretch or the one before
     for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+        k = d[0] // stretch
+        if not any(a <= d[0] and d[1] <= b for a, b in [*at.get(k, ()), *at.get(k - 1, ())]):
             kept.append(d)
+            at.setdefault(k, []).append(d[:2])
     return kept
 
 
