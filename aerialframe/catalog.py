@@ -1,10 +1,412 @@
-"""Registered queries of the survey operators and the SQL that must give the same rows."""
+"""Registered queries of the survey operators and the SQL that must give the same rows.
+
+The driver's tables hold no photos, so queries start from the derived table of ``plans.derived``. Degrees are rounded to 9 places, metres to 4
+and ratios to 6, as trigonometry may differ in the last bit between engines.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geodesy, mercator, metadata
+from .operators import basemap, coverage, matching, mosaic, neighbors, photos, registration
+from .plans import derived, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Cell sizes in metres for coverage and for gaps; the zoom of tile queries; neighbours kept; keypoints kept; a view in pixels.
+CELL_M, GAP_CELL_M, ZOOM, TOP, KEYPOINTS, VIEW = 10.0, 20.0, 12, 10, 20, (1600, 900)
+MPD = f"CAST({geodesy.M_PER_DEG!r} AS DOUBLE)"
+R = f"CAST({geodesy.EARTH_RADIUS_M!r} AS DOUBLE)"
+WITH = f"WITH RECURSIVE {derived.ORACLE}"
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with the SQL that must give the same rows."""
+
+    def keep(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return keep
+
+
+def _corner_sql(i: int, sx: float, sy: float) -> str:
+    e = f"(w * {sx} * cos(t) + h * {sy} * sin(t))"
+    n = f"(h * {sy} * cos(t) - w * {sx} * sin(t))"
+    return f"lon + degrees({e} / ({R} * cos(radians(lat)))) AS x{i}, lat + degrees({n} / {R}) AS y{i}"
+
+
+CORNERS = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))
+RINGS = f"""{WITH}, s AS (
+  SELECT *, relative_altitude / focal_mm * sensor_width_mm AS w, relative_altitude / focal_mm * sensor_height_mm AS h, radians(yaw_deg) AS t FROM photos WHERE lat IS NOT NULL
+), rings AS (SELECT *, {", ".join(_corner_sql(i, *c) for i, c in enumerate(CORNERS))} FROM s)"""
+
+
+def _cells_sql(cell: float) -> str:
+    xs, ys = (",".join(f"{a}{i}" for i in range(4)) for a in "xy")
+    odd = " <> ".join(
+        f"(CASE WHEN (y{i} > cy) <> (y{j} > cy) THEN cx < (x{j} - x{i}) * (cy - y{i}) / (y{j} - y{i}) + x{i} ELSE false END)" for i, j in ((0, 3), (1, 0), (2, 1), (3, 2))
+    )
+    # XOR of four truth values as a parity
+    odd = " + ".join(f"CAST({part} AS INT)" for part in odd.split(" <> (CASE")[0:1] + [f"(CASE{p}" for p in odd.split(" <> (CASE")[1:]])
+    return f"""{RINGS}, box AS (
+  SELECT flight_id, min(least({xs})) AS lon0, min(least({ys})) AS lat0, max(greatest({xs})) AS lon1, max(greatest({ys})) AS lat1 FROM rings GROUP BY flight_id
+), m AS (SELECT *, {MPD} * cos(radians((lat0 + lat1) / 2)) AS m_lon FROM box
+), grid AS (
+  SELECT flight_id, lon0, lat0, CAST({cell} AS DOUBLE) AS cell_m, {cell} / m_lon AS cell_lon, {cell} / {MPD} AS cell_lat,
+    greatest(1, CAST(ceil((lon1 - lon0) * m_lon / {cell}) AS BIGINT)) AS cols, greatest(1, CAST(ceil((lat1 - lat0) * {MPD} / {cell}) AS BIGINT)) AS rws FROM m
+), spans AS (
+  SELECT r.*, lon0, lat0, cell_lon, cell_lat,
+    greatest(0, CAST(floor((least({xs}) - lon0) / cell_lon) AS BIGINT) - 2) AS c0, least(cols - 1, CAST(ceil((greatest({xs}) - lon0) / cell_lon) AS BIGINT) + 2) AS c1,
+    greatest(0, CAST(floor((least({ys}) - lat0) / cell_lat) AS BIGINT) - 2) AS r0, least(rws - 1, CAST(ceil((greatest({ys}) - lat0) / cell_lat) AS BIGINT) + 2) AS r1
+  FROM rings r JOIN grid USING (flight_id)
+), by_row AS (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM spans
+), by_cell AS (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM by_row
+), centred AS (SELECT *, lon0 + col * cell_lon + cell_lon / 2 AS cx, lat0 + row * cell_lat + cell_lat / 2 AS cy FROM by_cell
+), cells AS (SELECT flight_id, row, col, count(*) AS overlap_count FROM centred WHERE ({odd}) % 2 = 1 GROUP BY ALL)"""
+
+
+CELLS, GAP_CELLS = _cells_sql(CELL_M), _cells_sql(GAP_CELL_M)
+LEVEL = "CASE WHEN overlap_count >= 5 THEN 'green' WHEN overlap_count >= 3 THEN 'yellow' ELSE 'red' END"
+GAPS = f"""{GAP_CELLS}, red AS (SELECT flight_id, row, col, row * 1000000 + col AS k FROM cells WHERE overlap_count < 3
+), reach(flight_id, a, b) AS (
+  SELECT flight_id, k, k FROM red
+  UNION SELECT p.flight_id, p.a, q.k FROM reach p JOIN red q ON p.flight_id = q.flight_id AND q.k IN (p.b - 1, p.b + 1, p.b - 1000000, p.b + 1000000)
+), comp AS (SELECT flight_id, a AS k, min(b) AS first_cell FROM reach GROUP BY ALL
+), gaps AS (
+  SELECT flight_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY first_cell) - 1 AS BIGINT) AS id, lat, lon, cell_count, area_m2 FROM (
+    SELECT c.flight_id, first_cell, avg(lat0 + (row + 0.5) * cell_lat) AS lat, avg(lon0 + (col + 0.5) * cell_lon) AS lon, count(*) AS cell_count, count(*) * max(cell_m * cell_m) AS area_m2
+    FROM comp c JOIN red USING (flight_id, k) JOIN grid USING (flight_id) GROUP BY ALL))"""
+
+
+def _survey(spark: SparkSession, sf_dir: str, cell: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = derived.inspected(spark, sf_dir)
+    grids = coverage.grid(p, cell)
+    return p, grids, coverage.cells(p, grids)
+
+
+@query(f"{RINGS} " + " UNION ALL ".join(f"SELECT flight_id, photo_id, {i} AS corner, round(x{i}, 9) AS lon, round(y{i}, 9) AS lat FROM rings" for i in range(4)))
+def footprint_corners(spark, sf_dir):
+    p = photos.stitchable(derived.inspected(spark, sf_dir))
+    each = p.select("flight_id", "photo_id", F.posexplode(F.slice("footprint", 1, 4)).alias("corner", "at"))
+    return each.select("flight_id", "photo_id", "corner", F.round(F.col("at")[0], 9).alias("lon"), F.round(F.col("at")[1], 9).alias("lat"))
+
+
+@query(f"{CELLS} SELECT * FROM cells")
+def coverage_cells(spark, sf_dir):
+    return _survey(spark, sf_dir, CELL_M)[2]
+
+
+@query(f"{CELLS} SELECT flight_id, {LEVEL} AS level, count(*) AS cells, max(overlap_count) AS max_count FROM cells GROUP BY ALL")
+def coverage_levels(spark, sf_dir):
+    found = coverage.levels(_survey(spark, sf_dir, CELL_M)[2])
+    return found.groupBy("flight_id", "level").agg(F.count("*").alias("cells"), F.max("overlap_count").alias("max_count"))
+
+
+@query(f"{CELLS} SELECT flight_id, count(*) * {CELL_M * CELL_M} AS covered_area_m2 FROM cells GROUP BY ALL")
+def covered_area(spark, sf_dir):
+    _, grids, counts = _survey(spark, sf_dir, CELL_M)
+    return coverage.covered_area(counts, grids)
+
+
+@query(f"{GAPS} SELECT flight_id, id, round(lat, 9) AS lat, round(lon, 9) AS lon, cell_count, round(area_m2, 4) AS area_m2 FROM gaps")
+def gap_components(spark, sf_dir):
+    _, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    return coverage.gaps(counts, grids).select("flight_id", "id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "cell_count", F.round("area_m2", 4).alias("area_m2"))
+
+
+@query(f"{GAP_CELLS} SELECT flight_id, count(*) AS red_cells, count(*) AS gap_cells FROM cells WHERE overlap_count < 3 GROUP BY ALL")
+def red_cell_totals(spark, sf_dir):
+    _, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    red = counts.where("overlap_count < 3").groupBy("flight_id").agg(F.count("*").alias("red_cells"))
+    return red.join(coverage.gaps(counts, grids).groupBy("flight_id").agg(F.sum("cell_count").alias("gap_cells")), "flight_id")
+
+
+@query(f"""{GAPS} SELECT flight_id, count(*) AS photo_count, count(lat) AS photos_with_gps, count(*) FILTER (WHERE blur_score < 100) AS blurry_count,
+round(avg(relative_altitude), 6) AS avg_altitude, any_value(n_gaps) AS gap_count, any_value(area) AS covered_area_m2 FROM photos
+JOIN (SELECT flight_id, count(*) AS n_gaps FROM gaps GROUP BY ALL) USING (flight_id)
+JOIN (SELECT flight_id, count(*) * {GAP_CELL_M**2} AS area FROM cells GROUP BY ALL) USING (flight_id) GROUP BY flight_id""")
+def inspection_metrics(spark, sf_dir):
+    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    m = photos.metrics(p, coverage.gaps(counts, grids), coverage.covered_area(counts, grids))
+    return m.withColumn("avg_altitude", F.round("avg_altitude", 6))
+
+
+@query(f"{WITH} SELECT flight_id, file_name, round(lat, 9) AS lat, round(lon, 9) AS lon, round(blur_score, 6) AS blur_score FROM photos WHERE lat IS NOT NULL AND blur_score < 100")
+def blur_alerts(spark, sf_dir):
+    found = photos.blur_alerts(derived.inspected(spark, sf_dir))
+    return found.select("flight_id", "file_name", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("blur_score", 6).alias("blur_score"))
+
+
+@query(f"{WITH} SELECT flight_id, file_name FROM photos WHERE lat IS NULL OR lon IS NULL")
+def missing_gps(spark, sf_dir):
+    return photos.missing_gps(derived.inspected(spark, sf_dir)).select("flight_id", "file_name")
+
+
+@query(f"{WITH} SELECT flight_id, photo_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY epoch_ms(capture_ts), file_name) - 1 AS INTEGER) AS seq FROM photos")
+def flight_order(spark, sf_dir):
+    return photos.flight_order(derived.inspected(spark, sf_dir)).select("flight_id", "photo_id", "seq")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 0 WHEN event_id % 4 = 2 THEN 1 ELSE 3 END AS tier,
+CASE WHEN event_id % 4 < 2 THEN epoch_ms(date_trunc('second', ts)) + (event_id % 1000) WHEN event_id % 4 = 2 THEN event_id ELSE 0 END AS value FROM events""")
+def capture_key_parse(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("event_id") % 4
+    text = F.when(kind < 2, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).otherwise("0000:99:00 xx")
+    taken = metadata.capture_millis(text, F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
+    name = F.when(kind == 2, F.concat(F.lit("IMG_7_"), F.col("event_id").cast("string"), F.lit("x.JPG"))).otherwise("none.jpg")
+    key = metadata.capture_key(taken, metadata.filename_sequence(name), F.lit(None).cast("long"))
+    return e.select("event_id", key["tier"].alias("tier"), key["value"].cast("long").alias("value"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id WHEN event_id % 3 = 1 THEN 12 END AS sequence FROM events""")
+def filename_sequence(spark, sf_dir):
+    n = F.col("event_id").cast("string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("DJI_0"), n, F.lit("_b.v2.JPG"))).when(F.col("event_id") % 3 == 1, F.concat(n, F.lit("_0012.jpg"))).otherwise("pano.jpg")
+    name = F.regexp_replace(name, r"\.v2", "")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.filename_sequence(name).cast("long").alias("sequence"))
+
+
+@query("SELECT event_id, CAST(rpad(substr(CAST(event_id AS VARCHAR), 1, 3), 3, '0') AS INTEGER) AS millis FROM events")
+def subsec_millis(spark, sf_dir):
+    text = F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit("z"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.subsec_millis(text).alias("millis"))
+
+
+@query("""WITH t AS (SELECT event_id, event_id % 5 AS k, 8.8 + event_id % 3 AS f, 4000 + event_id % 7 AS w, 3000 + event_id % 11 AS h, 5000.0 + event_id % 13 AS res FROM events), s AS (
+SELECT event_id, CASE WHEN k = 0 THEN 1 WHEN k IN (1, 2) THEN 2 WHEN k = 3 THEN 3 END AS tier,
+CASE WHEN k = 0 THEN f * 36.0 / 24 WHEN k = 1 THEN w / res * 25.4 WHEN k = 2 THEN w / res * 10.0 WHEN k = 3 THEN 17.3 END AS sw,
+CASE WHEN k = 0 THEN (f * 36.0 / 24) * (CAST(h AS DOUBLE) / w) WHEN k = 1 THEN h / res * 25.4 WHEN k = 2 THEN h / res * 10.0 WHEN k = 3 THEN 13.0 END AS sh FROM t)
+SELECT event_id, tier, round(CAST(sw AS DOUBLE), 6) AS sensor_width_mm, round(CAST(sh AS DOUBLE), 6) AS sensor_height_mm,
+coalesce(CASE tier WHEN 2 THEN 'used_focal_plane_resolution' WHEN 3 THEN 'used_camera_db_fallback' END, CASE WHEN tier IS NULL THEN 'missing_sensor_size' ELSE '' END) AS warnings FROM s""")
+def sensor_size_tiers(spark, sf_dir):
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 5
+    f, w, h = F.lit(8.8) + F.col("event_id") % 3, 4000 + F.col("event_id") % 7, 3000 + F.col("event_id") % 11
+    res = 5000.0 + F.col("event_id") % 13
+    unit = F.when(k == 1, 2).when(k == 2, 3).when(k == 4, 4)
+    model = F.when(k == 3, "DJI M3E rtk").otherwise("unknown")
+    sw, sh, tier = metadata.sensor_size(f, F.when(k == 0, 24), w, h, res, res, unit, model)
+    found = metadata.warnings(F.lit(False), F.lit(1.0), F.lit(1.0), tier, f, F.lit(1.0), F.lit(1.0))
+    return e.select("event_id", tier.alias("tier"), F.round(sw, 6).alias("sensor_width_mm"), F.round(sh, 6).alias("sensor_height_mm"), F.array_join(found, ",").alias("warnings"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(event_id % 100 AS DOUBLE) + 0.25 END AS altitude,
+CASE WHEN event_id % 2 = 0 THEN -12.5 ELSE CAST(event_id % 360 AS DOUBLE) END AS yaw FROM events""")
+def xmp_attribute(spark, sf_dir):
+    n = F.col("event_id")
+    altitude = F.when(n % 3 < 2, F.concat(F.lit(' drone-dji:RelativeAltitude=" +'), (n % 100).cast("string"), F.lit('.25 "'))).otherwise(' drone-dji:RelativeAltitude="n/a"')
+    gimbal = F.when(n % 2 == 0, ' drone-dji:GimbalYawDegree="-12.50"').otherwise("")
+    flight = F.concat(F.lit(' drone-dji:FlightYawDegree="'), (n % 360).cast("string"), F.lit('"'))
+    xmp = F.concat(F.lit("<x"), altitude, gimbal, flight, F.lit("/>"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", metadata.xmp_number(xmp, "drone-dji:RelativeAltitude").alias("altitude"), metadata.yaw(xmp).alias("yaw")
+    )
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def event_property(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+BOXES = f"""{WITH}, raw AS (SELECT flight_id, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM photos WHERE lat IS NOT NULL GROUP BY ALL
+), boxes AS (SELECT flight_id, greatest(x0 - greatest((x1 - x0) * 0.15, 0.01), -180) AS min_lon, greatest(y0 - greatest((y1 - y0) * 0.15, 0.01), -85.06) AS min_lat,
+  least(x1 + greatest((x1 - x0) * 0.15, 0.01), 180) AS max_lon, least(y1 + greatest((y1 - y0) * 0.15, 0.01), 85.06) AS max_lat FROM raw)"""
+ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in mercator.Box._fields)
+
+
+def _boxes(spark, sf_dir):
+    box = photos.flight_bbox(derived.inspected(spark, sf_dir))
+    return box.select("flight_id", *[c.alias(n) for n, c in zip(mercator.Box._fields, mercator.padded(mercator.Box.of()), strict=True)])
+
+
+def _rounded(box):
+    return [F.round(c, 9).alias(n) for n, c in zip(mercator.Box._fields, box, strict=True)]
+
+
+@query(f"{BOXES} SELECT flight_id, {ROUNDED} FROM boxes")
+def flight_bbox(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("flight_id", *_rounded(mercator.Box.of()))
+
+
+@query(f"""{BOXES} SELECT o.flight_id, i.flight_id AS other, o.min_lon <= r.x0 AND o.min_lat <= r.y0 AND o.max_lon >= r.x1 AND o.max_lat >= r.y1 AS inside
+FROM boxes o JOIN boxes i ON i.flight_id IN (o.flight_id, o.flight_id + 1) JOIN raw r ON r.flight_id = i.flight_id""")
+def bbox_contains(spark, sf_dir):
+    inner = photos.flight_bbox(derived.inspected(spark, sf_dir)).select(F.col("flight_id").alias("other"), *[F.col(c).alias(f"i_{c}") for c in mercator.Box._fields])
+    outer = _boxes(spark, sf_dir).withColumn("other", F.explode(F.array(F.col("flight_id"), F.col("flight_id") + 1)))
+    return outer.join(inner, "other").select("flight_id", "other", mercator.contains(mercator.Box.of(), mercator.Box.of("i_")).alias("inside"))
+
+
+def _y_sql(lat: str) -> str:
+    return f"(1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / {math.pi!r}) / 2"
+
+
+@query(f"""{BOXES}, w AS (SELECT flight_id, (min_lon + 180) / 360 AS x0, (max_lon + 180) / 360 AS x1, {_y_sql("max_lat")} AS y0, {_y_sql("min_lat")} AS y1 FROM boxes
+), d AS (SELECT *, greatest(0, ((y1 - y0) * {VIEW[0] / VIEW[1]!r} - (x1 - x0)) / 2) AS dx, greatest(0, ((x1 - x0) / {VIEW[0] / VIEW[1]!r} - (y1 - y0)) / 2) AS dy FROM w
+), f AS (SELECT flight_id, greatest((x0 - dx) * 360 - 180, -180) AS min_lon, greatest(degrees(atan(sinh({math.pi!r} * (1 - 2 * (y1 + dy))))), -85.06) AS min_lat,
+  least((x1 + dx) * 360 - 180, 180) AS max_lon, least(degrees(atan(sinh({math.pi!r} * (1 - 2 * (y0 - dy))))), 85.06) AS max_lat FROM d) SELECT flight_id, {ROUNDED} FROM f""")
+def aspect_fit(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("flight_id", *_rounded(mercator.fit_aspect(mercator.Box.of(), *map(F.lit, VIEW))))
+
+
+@query(f"""{BOXES} SELECT flight_id, round(greatest(log2({VIEW[0]} / (512 * ((max_lon + 180) / 360 - (min_lon + 180) / 360))), log2({VIEW[1]} / (512 * ({_y_sql("min_lat")} - {_y_sql("max_lat")}))), 0), 6) AS zoom FROM boxes""")
+def cover_zoom(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("flight_id", F.round(mercator.cover_zoom(mercator.Box.of(), *map(F.lit, VIEW)), 6).alias("zoom"))
+
+
+RADII = f"""{RINGS}, radii AS (SELECT flight_id, max(sqrt(w * w + h * h)) AS radius_m, avg(lat) AS mid_lat FROM rings GROUP BY ALL
+), pts AS (SELECT r.flight_id, photo_id, lon * {MPD} * cos(radians(mid_lat)) AS x, lat * {MPD} AS y, radius_m FROM rings r JOIN radii USING (flight_id)
+), pairs AS (SELECT p.flight_id, p.photo_id AS a, q.photo_id AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist
+  FROM pts p JOIN pts q ON p.flight_id = q.flight_id AND p.photo_id < q.photo_id WHERE sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= p.radius_m)"""
+
+
+def _near(spark, sf_dir):
+    p = photos.stitchable(derived.inspected(spark, sf_dir))
+    radii = neighbors.radius(p)
+    return p, radii, neighbors.within_radius(p, radii)
+
+
+@query(f"{RADII} SELECT flight_id, round(radius_m, 4) AS radius_m, round(mid_lat, 9) AS mid_lat FROM radii")
+def neighbor_radius(spark, sf_dir):
+    return _near(spark, sf_dir)[1].select("flight_id", F.round("radius_m", 4).alias("radius_m"), F.round("mid_lat", 9).alias("mid_lat"))
+
+
+@query(f"{RADII} SELECT flight_id, a, b FROM pairs")
+def neighbor_candidates(spark, sf_dir):
+    return _near(spark, sf_dir)[2]
+
+
+@query(f"""{RADII}, ends AS (SELECT flight_id, a AS me, b AS other, (a * 7919 + b * 104729) % 1009 AS s FROM pairs UNION ALL SELECT flight_id, b, a, (a * 7919 + b * 104729) % 1009 FROM pairs
+), top AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY flight_id, me ORDER BY s DESC, other) <= {TOP})
+SELECT DISTINCT flight_id, least(me, other) AS a, greatest(me, other) AS b FROM top""")
+def top_k_neighbors(spark, sf_dir):
+    score = ((F.col("a") * 7919 + F.col("b") * 104729) % 1009).cast("double")
+    return neighbors.strongest(_near(spark, sf_dir)[2].withColumn("overlap", score), TOP)
+
+
+@query()
+def overlap_fraction(spark, sf_dir):
+    p, _, pairs = _near(spark, sf_dir)
+    return neighbors.overlap(pairs, p).withColumn("overlap", F.round("overlap", 6))
+
+
+@query()
+def neighbor_pairs(spark, sf_dir):
+    return neighbors.neighbor_pairs(derived.inspected(spark, sf_dir))
+
+
+CODES = """WITH codes AS (SELECT vec_id, label, list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))::BIGINT AS lo,
+list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))::BIGINT AS hi FROM embeddings)"""
+
+
+def _codes(spark, sf_dir):
+    """Descriptors of 64 bits, the signs of a vector, held as two longs; a label stands for a picture."""
+    bit = lambda i: F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << (i % 32)).cast("long")).otherwise(F.lit(0).cast("long"))
+    half = lambda k: sum((bit(i) for i in range(32 * k + 1, 32 * k + 32)), bit(32 * k))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("photo_id"), F.col("vec_id").alias("idx"), F.array(half(0), half(1)).alias("descriptor"))
+
+
+@query(f"""{CODES}, d AS (SELECT q.label AS pair, q.vec_id AS query_idx, t.vec_id AS train_idx, bit_count(xor(q.lo, t.lo)) + bit_count(xor(q.hi, t.hi)) AS distance
+FROM codes q JOIN codes t ON t.label = q.label + 1), r AS (SELECT *, row_number() OVER w AS n, lead(distance) OVER w AS second FROM d WINDOW w AS (PARTITION BY pair, query_idx ORDER BY distance, train_idx))
+SELECT CAST(pair AS BIGINT) AS pair, query_idx, train_idx, CAST(distance AS INTEGER) AS distance FROM r WHERE n = 1 AND distance < 0.75 * second""")
+def hamming_knn_ratio(spark, sf_dir):
+    features = _codes(spark, sf_dir)
+    pairs = features.select(F.col("photo_id").alias("a")).distinct().select(F.col("a").alias("pair"), "a", (F.col("a") + 1).alias("b"))
+    return matching.knn_ratio(pairs, features)
+
+
+@query(f"SELECT CAST(label AS BIGINT) AS photo_id, vec_id AS idx FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) <= {KEYPOINTS}")
+def keypoint_cap(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("photo_id"), F.col("vec_id").alias("idx"), F.get("embedding", F.lit(0)).alias("score"))
+    return matching.cap_keypoints(points, KEYPOINTS).drop("score")
+
+
+TILES = f"""{BOXES}, z AS (SELECT *, unnest(range({ZOOM + 1})) AS z FROM boxes
+), s AS (SELECT flight_id, z, CAST(floor((min_lon + 180) / 360 * pow(2, z)) AS BIGINT) AS x0, CAST(floor((max_lon + 180) / 360 * pow(2, z)) AS BIGINT) AS x1,
+  CAST(floor({_y_sql("max_lat")} * pow(2, z)) AS BIGINT) AS y0, CAST(floor({_y_sql("min_lat")} * pow(2, z)) AS BIGINT) AS y1 FROM z
+), tx AS (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM s), tiles AS (SELECT flight_id, CAST(z AS INTEGER) AS z, x, unnest(range(y0, y1 + 1)) AS y FROM tx)"""
+
+
+@query(f"{TILES} SELECT * FROM tiles")
+def tiles_for_bbox(spark, sf_dir):
+    return basemap.tiles(_boxes(spark, sf_dir), ZOOM)
+
+
+@query(f"{TILES} SELECT flight_id, z, count(*) AS tiles FROM tiles GROUP BY ALL")
+def tile_counts_by_zoom(spark, sf_dir):
+    return basemap.tile_counts(_boxes(spark, sf_dir), ZOOM)
+
+
+FEATHER = """WITH p AS (SELECT event_id, event_id % 101 AS x, (event_id // 101) % 61 AS y, value FROM events),
+f AS (SELECT *, least(1.0, greatest(0.0, least(50 - abs(x - 50), 30 - abs(y - 30))) / 30.0) AS weight FROM p)"""
+
+
+def _weighted(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 101).alias("x"), (F.floor(F.col("event_id") / 101) % 61).alias("y"), "value")
+    return e.withColumn("weight", geodesy.feather(F.col("x"), F.col("y"), F.lit(101), F.lit(61)))
+
+
+@query(f"{FEATHER} SELECT event_id, x, y, round(CAST(weight AS DOUBLE), 9) AS weight FROM f")
+def feather_weights(spark, sf_dir):
+    return _weighted(spark, sf_dir).select("event_id", "x", "y", F.round("weight", 9).alias("weight"))
+
+
+@query(f"""{FEATHER} SELECT x, y, CAST(greatest(0, least(255, round(sum(value * CAST(weight AS DOUBLE)) / sum(CAST(weight AS DOUBLE))))) AS INTEGER) AS value FROM f WHERE weight > 0 GROUP BY x, y""")
+def weighted_mean_pixels(spark, sf_dir):
+    return mosaic.weighted_mean(_weighted(spark, sf_dir), ["x", "y"])
+
+
+@query(f"""{RINGS}, o AS (SELECT flight_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM rings GROUP BY ALL
+), k AS (SELECT r.flight_id, photo_id, (lon - lon0) * {MPD} * cos(radians(lat0)) AS east, (lat - lat0) * {MPD} AS north, t, (w / 5472 + h / 3648) / 2 AS s FROM rings r JOIN o USING (flight_id))
+SELECT flight_id, photo_id, round(s * cos(t), 9) AS m00, round(-s * sin(t), 9) AS m01, round(east - 2736 * s * cos(t) + 1824 * s * sin(t), 4) AS m02, round(north + 2736 * s * sin(t) + 1824 * s * cos(t), 4) AS m12 FROM k""")
+def similarity_pose(spark, sf_dir):
+    pose = registration.placements(derived.inspected(spark, sf_dir))
+    m = F.col("pose")
+    return pose.select("flight_id", "photo_id", F.round(m[0], 9).alias("m00"), F.round(m[1], 9).alias("m01"), F.round(m[2], 4).alias("m02"), F.round(m[5], 4).alias("m12"))
+
+
+@query(f"{WITH} SELECT flight_id, round(avg((relative_altitude / focal_mm * sensor_width_mm / 5472 + relative_altitude / focal_mm * sensor_height_mm / 3648) / 2), 9) AS meters_per_pixel FROM photos GROUP BY ALL")
+def mean_gsd(spark, sf_dir):
+    return registration.mean_gsd(derived.inspected(spark, sf_dir)).select("flight_id", F.round("meters_per_pixel", 9).alias("meters_per_pixel"))
+
+
+@query()
+def geojson_features(spark, sf_dir):
+    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    return photos.path_features(p).unionByName(coverage.cell_features(counts, grids))
+
+
+@query(f"""{GAPS} SELECT flight_id, id, printf('Gap #%d: %.0f m² at %.6f, %.6f', id + 1, area_m2, lat, lon) AS label FROM gaps""")
+def gap_list(spark, sf_dir):
+    _, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    return coverage.gap_labels(coverage.gaps(counts, grids))
+
+
+@query()
+def report_pages(spark, sf_dir):
+    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    found = coverage.gaps(counts, grids)
+    return report.pages(report.lines(photos.metrics(p, found, coverage.covered_area(counts, grids)), found, photos.blur_alerts(p)))
+
+
+@query()
+def aligned_poses(spark, sf_dir):
+    """Alignment of each flight by edges that agree with where GPS puts its neighbours."""
+    p = derived.inspected(spark, sf_dir)
+    placed = registration.placements(p)
+    pairs = neighbors.neighbor_pairs(p, 2)
+    side = lambda k: placed.select("flight_id", F.col("photo_id").alias(k), F.col("pose").alias(f"p{k}"))
+    both = pairs.join(side("a"), ["flight_id", "a"]).join(side("b"), ["flight_id", "b"])
+    m = F.col("pb")
+    det = m[0] * m[4] - m[1] * m[3]
+    inverse = F.array(m[4] / det, -m[1] / det, (m[1] * m[5] - m[2] * m[4]) / det, -m[3] / det, m[0] / det, (m[2] * m[3] - m[0] * m[5]) / det, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    edges = both.withColumn("inv", inverse).select("flight_id", "a", "b", geodesy.matmul3(F.col("inv"), F.col("pa")).alias("h"))
+    return registration.align(placed, edges).select("flight_id", "photo_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round("theta", 6).alias("theta"))
