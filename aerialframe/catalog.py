@@ -140,10 +140,10 @@ def inspection_metrics(spark, sf_dir):
     return m.withColumn("avg_altitude", F.round("avg_altitude", 6))
 
 
-@query(f"{WITH} SELECT flight_id, file_name, round(lat, 9) AS lat, round(lon, 9) AS lon, round(blur_score, 6) AS blur_score FROM photos WHERE lat IS NOT NULL AND blur_score < 100")
+@query(f"{WITH} SELECT flight_id, file_name, round(lat, 10) AS lat, round(lon, 10) AS lon, round(blur_score, 6) AS blur_score FROM photos WHERE lat IS NOT NULL AND blur_score < 100")
 def blur_alerts(spark, sf_dir):
     found = photos.blur_alerts(derived.inspected(spark, sf_dir))
-    return found.select("flight_id", "file_name", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("blur_score", 6).alias("blur_score"))
+    return found.select("flight_id", "file_name", F.round("lat", 10).alias("lat"), F.round("lon", 10).alias("lon"), F.round("blur_score", 6).alias("blur_score"))
 
 
 @query(f"{WITH} SELECT flight_id, file_name FROM photos WHERE lat IS NULL OR lon IS NULL")

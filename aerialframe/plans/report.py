@@ -23,7 +23,7 @@ def lines(metrics: DataFrame, gaps: DataFrame, blur_alerts: DataFrame) -> DataFr
                 F.format_string("Blurry photos: %d", "blurry_count"),
                 F.format_string("Coverage gaps: %d", "gap_count"),
                 F.concat(F.lit("Covered area: "), area_label(F.col("covered_area_m2"))),
-                F.coalesce(F.format_string("Average altitude: %.1f m", "avg_altitude"), F.lit("Average altitude: unknown")),
+                F.when(F.col("avg_altitude").isNull(), "Average altitude: unknown").otherwise(F.format_string("Average altitude: %.1f m", "avg_altitude")),
             )
         ).alias("no", "text"),
     ).select("flight_id", F.lit(0).alias("part"), F.col("no").cast("long").alias("no"), (F.col("no") == 0).alias("heading"), "text")
