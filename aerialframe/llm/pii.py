@@ -27,7 +27,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
 #: Words on either side of an entity that may disclose it; documents in which a pair must be seen; the share of an
 #: entity's information from which a term is generalised, and from which it is removed.
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 4, 0.9, 0.97
+CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 4, 0.95, 0.99
 #: Bits of the filter that is broadcast, whatever the number of terms.
 FILTER_BITS = 1 << 20
 #: Terms counted in one task before they are handed on.
