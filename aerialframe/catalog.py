@@ -345,6 +345,55 @@ def tile_counts_by_zoom(spark, sf_dir):
     return basemap.tile_counts(_boxes(spark, sf_dir), ZOOM)
 
 
+@query(f"""WITH b AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN -200.0 ELSE 10.0 END AS x0, CASE event_id % 6 WHEN 1 THEN -95.0 ELSE 20.0 END AS y0,
+CASE event_id % 6 WHEN 2 THEN 10.0 ELSE 30.0 END AS x1, CASE event_id % 6 WHEN 3 THEN 15.0 ELSE 40.0 END AS y1, CASE event_id % 6 WHEN 4 THEN 16 ELSE 12 END AS z FROM events)
+SELECT event_id, CASE WHEN x0 < -180 OR x1 > 180 THEN 'Longitude must be within [-180, 180].' WHEN y0 < -90 OR y1 > 90 THEN 'Latitude must be within [-90, 90].'
+WHEN x0 >= x1 THEN 'Bounding box min longitude must be less than max longitude.' WHEN y0 >= y1 THEN 'Bounding box min latitude must be less than max latitude.'
+WHEN z > 15 THEN 'Max zoom must be 15 or lower.' END AS error FROM b""")
+def bbox_errors(spark, sf_dir):
+    k = F.col("event_id") % 6
+    pick = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    box = mercator.Box(pick(0, -200.0, 10.0), pick(1, -95.0, 20.0), pick(2, 10.0, 30.0), pick(3, 15.0, 40.0))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", mercator.box_error(box, pick(4, 16, 12)).alias("error"))
+
+
+@query(f"""{BOXES} SELECT o.flight_id FROM boxes o WHERE EXISTS (SELECT 1 FROM boxes c WHERE c.flight_id % 3 <> 1 AND c.flight_id = o.flight_id - o.flight_id % 2
+AND c.min_lon - 0.001 <= o.min_lon AND c.min_lat - 0.011 <= o.min_lat AND c.max_lon + 0.001 >= o.max_lon AND c.max_lat + 0.011 >= o.max_lat)""")
+def basemap_reuse(spark, sf_dir):
+    """Flights that the basemap kept for each second flight would cover; every third basemap has tiles that failed."""
+    boxes = _boxes(spark, sf_dir)
+    b = mercator.Box.of()
+    grown = dict(zip(mercator.Box._fields, (b.min_lon - 0.001, b.min_lat - 0.011, b.max_lon + 0.001, b.max_lat + 0.011), strict=True))
+    cached = boxes.select(F.col("flight_id").alias("slot"), *[c.alias(f"c_{n}") for n, c in grown.items()], F.when(F.col("flight_id") % 3 == 1, 1).otherwise(0).alias("tiles_failed"), F.lit(12).alias("max_zoom"))
+    return basemap.reusable(boxes.withColumn("slot", F.col("flight_id") - F.col("flight_id") % 2), cached, on="slot").select("flight_id")
+
+
+@query("""SELECT event_id, round((event_id % 4000 - 2000) / 2000.0, 9) AS x, round((event_id % 3000 - 1500) / 2000.0, 9) AS y FROM events""")
+def keypoint_normalisation(spark, sf_dir):
+    n = F.col("event_id")
+    x, y = geodesy.normalised_keypoint(n % 4000, n % 3000, F.lit(4000), F.lit(3000))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+
+
+@query(f"""{RINGS}, o AS (SELECT flight_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM rings GROUP BY ALL
+), k AS (SELECT r.flight_id, (lon - lon0) * {MPD} * cos(radians(lat0)) AS east, (lat - lat0) * {MPD} AS north, t, (w / 5472 + h / 3648) / 2 AS s FROM rings r JOIN o USING (flight_id)
+), c AS (SELECT flight_id, unnest([-1, 1, 1, -1]) AS sx, unnest([-1, -1, 1, 1]) AS sy, east, north, t, s FROM k
+), p AS (SELECT flight_id, east + s * cos(t) * 2736 * sx - s * sin(t) * 1824 * sy AS e, north - s * sin(t) * 2736 * sx - s * cos(t) * 1824 * sy AS n FROM c
+), gsd AS (SELECT flight_id, avg((relative_altitude / focal_mm * sensor_width_mm / 5472 + relative_altitude / focal_mm * sensor_height_mm / 3648) / 2) AS mpp FROM photos GROUP BY ALL)
+SELECT flight_id, round(min(e), 4) AS origin_east, round(max(n), 4) AS origin_north, CAST(ceil((max(e) - min(e)) / any_value(mpp)) AS BIGINT) AS out_w, CAST(ceil((max(n) - min(n)) / any_value(mpp)) AS BIGINT) AS out_h FROM p JOIN gsd USING (flight_id) GROUP BY flight_id""")
+def mosaic_canvas(spark, sf_dir):
+    p = derived.inspected(spark, sf_dir)
+    found = mosaic.canvas(mosaic.bounds(registration.placements(p)), registration.mean_gsd(p))
+    return found.select("flight_id", F.round("origin_east", 4).alias("origin_east"), F.round("origin_north", 4).alias("origin_north"), "out_w", "out_h")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 6.3 WHEN 1 THEN 13.2 WHEN 2 THEN 17.3 WHEN 3 THEN 13.2 END::DOUBLE AS sensor_width_mm FROM events""")
+def camera_lookup(spark, sf_dir):
+    k = F.col("event_id") % 5
+    model = F.when(k == 0, "FC3305").when(k == 1, "DJI FC6310R").when(k == 2, "M3T").when(k == 3, "xL1D-20c").otherwise("unknown")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.from_model(model)[0].alias("sensor_width_mm"))
+
+
 FEATHER = """WITH p AS (SELECT event_id, event_id % 101 AS x, (event_id // 101) % 61 AS y, value FROM events),
 f AS (SELECT *, least(1.0, greatest(0.0, least(50 - abs(x - 50), 30 - abs(y - 30))) / 30.0) AS weight FROM p)"""
 

@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mercator import Box, box_error, contains, tile_x, tile_y
 
+INFO_SCHEMA = ", ".join(f"c_{c} double" for c in Box._fields) + ", max_zoom int, tile_count long, tiles_failed long, bytes long, downloaded_at string"
 MAX_TILES, RETRIES, BACKOFF_S, AUTO_ZOOM = 200_000, 5, 0.25, 12
 
 
@@ -108,7 +110,29 @@ def summary(fetched: DataFrame) -> DataFrame:
     )
 
 
-def reusable(flights: DataFrame, cached: DataFrame, zoom: int = AUTO_ZOOM) -> DataFrame:
-    """Flights whose box lies in a cached basemap that is complete and deep enough. ``cached`` has a box with prefix c_, tiles_failed, max_zoom."""
+def reusable(flights: DataFrame, cached: DataFrame, zoom: int = AUTO_ZOOM, on: str | None = None) -> DataFrame:
+    """Flights whose box lies in a cached basemap that is complete and deep enough. ``cached`` has a box with prefix c_, tiles_failed, max_zoom.
+
+    ``on`` names a column of both that says which basemap is a flight's; without it ``cached`` should be the few basemaps of one machine.
+    """
     good = cached.where(f"tiles_failed = 0 and max_zoom >= {int(zoom)}")
-    return flights.join(good, contains(Box.of("c_"), Box.of()), "left_semi")
+    covered = contains(Box.of("c_"), Box.of())
+    return flights.join(good, covered if on is None else (flights[on] == good[on]) & covered, "left_semi")
+
+
+def info(spark: SparkSession, path: str) -> DataFrame | None:
+    """The one-row description next to a tile table, or None if either is missing."""
+    try:
+        found = spark.read.schema(INFO_SCHEMA).json(f"{path.rstrip('/')}.info")
+        spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return found
+
+
+def write_info(fetched: DataFrame, box: DataFrame, max_zoom: int, path: str) -> None:
+    """Describe a tile table: its box, depth, what was fetched, and when."""
+    at = box.first()
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("downloaded_at")
+    named = [F.lit(at[c]).alias(f"c_{c}") for c in Box._fields]
+    summary(fetched).select(*named, F.lit(max_zoom).alias("max_zoom"), "tile_count", "tiles_failed", "bytes", stamp).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.info")

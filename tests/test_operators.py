@@ -189,3 +189,36 @@ def test_poses(spark):
     assert registration.mean_gsd(table.withColumn("focal_mm", F.when(F.col("photo_id") == 0, 8.8))).first().meters_per_pixel is None
     edge = spark.createDataFrame([(1, 0, 1, [1.0] * 9, 8, 20), (1, 1, 2, [1.0] * 9, 10, 20)], "flight_id long, a long, b long, h array<double>, inlier_count long, match_count long")
     assert registration.weak_edges(edge).count() == 1
+
+
+def test_basemap_info(spark, tmp_path):
+    from aerialframe.sources import rasters
+
+    path = str(tmp_path / "tiles")
+    assert basemap.info(spark, path) is None
+    asked = spark.createDataFrame([(1, x, 0) for x in range(3)], "z int, x long, y long")
+    fetched = basemap.fetch(asked, lambda z, x, y: (200, b"ab") if x < 2 else (404, b""))
+    box = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "min_lon double, min_lat double, max_lon double, max_lat double")
+    basemap.write_info(fetched, box, 12, path)
+    assert basemap.info(spark, path) is None
+    rasters.write_tiles(fetched, path)
+    r = basemap.info(spark, path).first()
+    assert (r.c_min_lon, r.c_max_lat, r.max_zoom, r.tile_count, r.tiles_failed, r.bytes) == (1, 4, 12, 2, 0, 4) and "T" in r.downloaded_at
+
+
+def test_queries_against_sql(spark):
+    """Every query that has SQL gives the same rows as DuckDB at the smallest scale."""
+    import duckdb
+
+    from aerialframe import catalog
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("events", "embeddings", "pages", "documents"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    key = lambda row: tuple((v is None, str(v)) for v in row)
+    for name, sql in catalog.ORACLES.items():
+        want = con.sql(sql)
+        order = sorted(want.columns)
+        got = catalog.QUERIES[name](spark, d).select(*order).collect()
+        rows = [tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall()]
+        assert sorted(map(tuple, got), key=key) == sorted(rows, key=key), name
