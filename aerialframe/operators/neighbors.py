@@ -70,7 +70,9 @@ def strongest(scored: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
     pairs = scored.select("flight_id", "a", "b", "overlap")
     if k is None:
         return pairs.drop("overlap")
-    ends = pairs.select("flight_id", F.col("a").alias("me"), F.col("b").alias("other"), "overlap").union(pairs.select("flight_id", "b", "a", "overlap"))
+    # each pair seen from both ends, in one pass over what scored it
+    end = lambda me, other: F.struct(F.col(me).alias("me"), F.col(other).alias("other"))
+    ends = pairs.select("flight_id", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e"), "overlap").select("flight_id", "e.*", "overlap")
     rank = F.expr("row_number() over (partition by flight_id, me order by overlap desc, other)")
     top = ends.withColumn("rank", rank).where(F.col("rank") <= k)
     return top.select("flight_id", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
