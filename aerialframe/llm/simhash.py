@@ -285,8 +285,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     pairs = same.union(equal).union(close).where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct()
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    contents = df.select(node, F.coalesce(text, F.lit("")).alias("t")).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    contents = cut(contents)
+    # copies of a text meet in their own tasks first, then one text of each node is looked up
+    contents = df.select(node, F.coalesce(text, F.lit("")).alias("t")).groupBy("node").agg(F.first("t").alias("t"))
+    contents = cut_table(contents.join(wanted, "node", "left_semi"))
     both = pairs.join(contents.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(contents.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def check(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -300,11 +301,14 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
 def first_of_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without near duplicates: of each group of equal or similar texts (see ``similar_groups``) the row with the smallest key.
 
-    A null key comes after all others; of rows with equal keys one stays. Rows without a similar text all stay.
+    A null key comes after all others; of rows with equal keys and texts one stays. Rows whose text has no similar one all
+    stay. Rows are chosen by key and hash of the text, so texts are shuffled once and never numbered.
     """
-    rows = cut_table(df.withColumns({"_row": F.monotonically_increasing_id(), "_node": F.xxhash64(F.coalesce(text, F.lit("")))}))
-    labels = similar_groups(rows.select(text), words, similarity, text=text)
-    owned = rows.select("_row", "_node", key).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
-    order = F.struct(F.col(key).isNull(), F.col(key), "_row")
-    stays = owned.groupBy(F.coalesce("label", "_node").alias("_group")).agg(F.min_by("_row", order).alias("_row"))
-    return rows.join(stays.select("_row"), "_row", "left_semi").select(df.columns)
+    rows = df.withColumn("_node", F.xxhash64(F.coalesce(text, F.lit(""))))
+    labels = similar_groups(df.select(text), words, similarity, text=text)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_node").alias("node"))
+    classes = rows.groupBy("_node").agg(F.min(order).alias("least")).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
+    first = classes.groupBy(F.coalesce("label", "_node").alias("_group")).agg(F.min("least").alias("least"))
+    wins = first.select(F.col("least.node").alias("_wnode"), F.col("least.key").alias("_wkey"))
+    same = (F.col("_node") == F.col("_wnode")) & F.col(key).eqNullSafe(F.col("_wkey"))
+    return rows.join(wins, same, "left_semi").dropDuplicates(["_node", key]).select(df.columns)
