@@ -99,6 +99,29 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("text")
 
 
+def _crc32_step(low: int) -> int:
+    """What four shifts of a reflected CRC-32 make of its low four bits."""
+    for _ in range(4):
+        low = low >> 1 ^ (0xEDB88320 if low & 1 else 0)
+    return low
+
+
+# The checksum takes the hex digits of a text one by one, the low digit of each byte first.
+OP5_SQL = f"""
+WITH h AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
+), n AS (
+  SELECT doc_id, size, list_transform(flatten(list_transform(bytes, lambda b: [b[2], b[1]])), lambda x: CAST(strpos('123456789ABCDEF', x) AS BIGINT)) AS digits FROM h
+), c AS (
+  SELECT doc_id, size, CASE WHEN len(digits) = 0 THEN 0 ELSE xor(list_reduce(digits, lambda c, x:
+    xor(c >> 4, CAST({[_crc32_step(i) for i in range(16)]} AS BIGINT[])[(xor(c, x) & 15) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) END AS text_crc32 FROM n
+), p AS (
+  SELECT *, row_number() OVER w AS place, CAST(sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - size + size // 2 AS middle, CAST(sum(size) OVER () AS BIGINT) AS total
+  FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)
+), s AS (SELECT *, CAST(least({SHARDS - 1}, middle * {SHARDS} // total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS f FROM embeddings
@@ -138,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_block_mixture": op9_block_mixture,
     "op10_license_rules": op10_license_rules,
 }
-ORACLES: dict[str, str] = {"op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL}
