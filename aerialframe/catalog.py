@@ -292,13 +292,40 @@ def top_k_neighbors(spark, sf_dir):
     return neighbors.strongest(_near(spark, sf_dir)[2].withColumn("overlap", score), TOP)
 
 
-@query()
+def _quad_sql(name: str, of: str) -> str:
+    """The corners of footprint ``of`` in metres around photo a, as two lists."""
+    xs = ", ".join(f"({of}.x{i} - p.lon) * {MPD} * cos(radians(p.lat))" for i in range(4))
+    return f"[{xs}] AS {name}x, [{', '.join(f'({of}.y{i} - p.lat) * {MPD}' for i in range(4))}] AS {name}y"
+
+
+def _shoelace_sql(name: str) -> str:
+    return "abs(" + " + ".join(f"{name}x[{i + 1}] * {name}y[{(i + 1) % 4 + 1}] - {name}x[{(i + 1) % 4 + 1}] * {name}y[{i + 1}]" for i in range(4)) + ") / 2"
+
+
+# The common area by Green's theorem: each side is cut to the part inside the other footprint (t from lo to hi), and the parts enclose it.
+OVERLAPS = f"""{RADII}, quads AS (
+  SELECT flight_id, a, b, {_quad_sql("ring_a_", "p")}, {_quad_sql("ring_b_", "q")} FROM pairs JOIN rings p USING (flight_id) JOIN rings q USING (flight_id) WHERE p.photo_id = a AND q.photo_id = b
+), sides AS (SELECT *, unnest(range(8)) AS e FROM quads
+), ends AS (SELECT flight_id, a, b, e, CASE WHEN e < 4 THEN ring_a_x ELSE ring_b_x END AS sx, CASE WHEN e < 4 THEN ring_a_y ELSE ring_b_y END AS sy, CASE WHEN e < 4 THEN ring_b_x ELSE ring_a_x END AS ox, CASE WHEN e < 4 THEN ring_b_y ELSE ring_a_y END AS oy FROM sides
+), planes AS (
+  SELECT flight_id, a, b, e, sx[e % 4 + 1] AS px, sy[e % 4 + 1] AS py, sx[(e + 1) % 4 + 1] - sx[e % 4 + 1] AS dx, sy[(e + 1) % 4 + 1] - sy[e % 4 + 1] AS dy, ox, oy, unnest(range(4)) AS j FROM ends
+), lines AS (SELECT flight_id, a, b, e, px, py, dx, dy, ox[j + 1] AS vx, oy[j + 1] AS vy, ox[(j + 1) % 4 + 1] - ox[j + 1] AS ex, oy[(j + 1) % 4 + 1] - oy[j + 1] AS ey FROM planes
+), signs AS (SELECT *, ex * (py - vy) - ey * (px - vx) AS k0, ex * dy - ey * dx AS k1 FROM lines
+), parts AS (
+  SELECT flight_id, a, b, e, px, py, dx, dy, greatest(0, max(CASE WHEN k1 > 0 THEN -k0 / k1 WHEN k1 = 0 AND k0 < 0 THEN 2 ELSE 0 END)) AS lo, least(1, min(CASE WHEN k1 < 0 THEN -k0 / k1 ELSE 1 END)) AS hi FROM signs GROUP BY ALL
+), areas AS (SELECT flight_id, a, b, sum(CASE WHEN hi > lo THEN (hi - lo) * (px * dy - py * dx) / 2 ELSE 0 END) AS area FROM parts GROUP BY ALL
+), shared AS (SELECT flight_id, a, b, area / least({_shoelace_sql("ring_a_")}, {_shoelace_sql("ring_b_")}) AS overlap FROM areas JOIN quads USING (flight_id, a, b))"""
+
+
+@query(f"{OVERLAPS} SELECT flight_id, a, b, round(overlap, 6) + 0.0 AS overlap FROM shared")
 def overlap_fraction(spark, sf_dir):
     p, _, pairs = _near(spark, sf_dir)
     return neighbors.overlap(pairs, p).withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
+@query(f"""{OVERLAPS}, seen AS (SELECT flight_id, a AS me, b AS other, overlap FROM shared WHERE overlap > 0.3 UNION ALL SELECT flight_id, b, a, overlap FROM shared WHERE overlap > 0.3
+), top AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY flight_id, me ORDER BY overlap DESC, other) <= {neighbors.MAX_NEIGHBORS})
+SELECT DISTINCT flight_id, least(me, other) AS a, greatest(me, other) AS b FROM top""")
 def neighbor_pairs(spark, sf_dir):
     return neighbors.neighbor_pairs(derived.inspected(spark, sf_dir))
 
