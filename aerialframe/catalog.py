@@ -466,7 +466,34 @@ def gap_list(spark, sf_dir):
     return coverage.gap_labels(coverage.gaps(counts, grids))
 
 
-@query()
+def _one_decimal(x: str) -> str:
+    """One decimal, halves away from zero, of a double's shortest decimal form."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 1) AS VARCHAR)"
+
+
+ROOM_MM = report.PAGE_MM - 2 * report.MARGIN_MM
+ROOM_MM -= ROOM_MM % report.LINE_MM
+REPORT = f"""{GAPS}, summary AS (
+  SELECT p.flight_id, count(*) AS n, count(lat) AS n_gps, count(*) FILTER (WHERE blur_score < 100) AS n_blurry, avg(relative_altitude) AS altitude,
+    any_value(coalesce(n_gaps, 0)) AS n_gaps, any_value(coalesce(area, 0)) AS area
+  FROM photos p LEFT JOIN (SELECT flight_id, count(*) AS n_gaps FROM gaps GROUP BY ALL) USING (flight_id)
+  LEFT JOIN (SELECT flight_id, count(*) * {GAP_CELL_M**2} AS area FROM cells GROUP BY ALL) USING (flight_id) GROUP BY p.flight_id
+), l AS (
+  SELECT flight_id, 0 AS part, unnest(range(7)) AS no, unnest(['Flight inspection', 'Photos: ' || n, 'Photos with GPS: ' || n_gps, 'Blurry photos: ' || n_blurry, 'Coverage gaps: ' || n_gaps,
+    'Covered area: ' || CASE WHEN area >= 10000 THEN printf('%.2f ha', area / 10000) ELSE printf('%.0f m²', CAST(area AS DOUBLE)) END,
+    coalesce('Average altitude: ' || {_one_decimal("altitude")} || ' m', 'Average altitude: unknown')]) AS text FROM summary
+  UNION ALL SELECT flight_id, 1, row_number() OVER (PARTITION BY flight_id ORDER BY area_m2 DESC, id), printf('Gap #%d: %d cells, %.1f m² at %.6f, %.6f', id + 1, cell_count, area_m2, lat, lon) FROM gaps
+  UNION ALL SELECT flight_id, 2, row_number() OVER (PARTITION BY flight_id ORDER BY file_name), printf('%s: blur score %s at %.6f, %.6f', file_name, {_one_decimal("blur_score")}, lat, lon)
+  FROM photos WHERE lat IS NOT NULL AND blur_score < 100
+), h AS (
+  SELECT *, no = 0 AS heading FROM l
+  UNION ALL SELECT DISTINCT flight_id, part, 0, CASE part WHEN 1 THEN 'Gaps' ELSE 'Blurry photos' END, true FROM l WHERE part > 0
+)
+SELECT flight_id, part, no, heading, text, CAST(floor((sum(CASE WHEN heading THEN {math.ceil(report.HEADING_MM / report.LINE_MM) * report.LINE_MM} ELSE {report.LINE_MM} END) OVER (
+  PARTITION BY flight_id ORDER BY part, no ROWS UNBOUNDED PRECEDING) - {report.LINE_MM}) / {ROOM_MM}) + 1 AS INTEGER) AS page FROM h"""
+
+
+@query(REPORT)
 def report_pages(spark, sf_dir):
     p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
     found = coverage.gaps(counts, grids)
