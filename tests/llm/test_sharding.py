@@ -28,3 +28,17 @@ def test_query(spark):
     sums = [sum(r["size"] for r in rows if r.shard == k) for k in range(24)]
     assert max(sums) - min(sums) <= 2 * max(map(len, docs.values())) + 16
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+
+
+def test_sql_sums_any_text():
+    import zlib
+
+    import duckdb
+
+    texts = [None, "", "a", "é\n\u0000z", "0" * 3000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = con.execute(f"SELECT doc_id, size, text_crc32 FROM ({queries.OP5_SQL}) ORDER BY doc_id").fetchall()
+    data = [(t or "").encode() for t in texts]
+    assert got == [(i, len(b) + 8, zlib.crc32(b)) for i, b in enumerate(data)]
