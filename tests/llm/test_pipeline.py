@@ -1,7 +1,9 @@
 import hashlib
+import random
+import re
 
 import corpus_pipeline
-from aerialframe.llm import simhash
+from aerialframe.llm import mixing, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +47,26 @@ def test_run(spark):
     assert 0.5 * len(docs) < len(rows) <= 3 * len(docs) and {r.doc_id for r in rows} <= set(docs)
     same = sum(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].text.encode()).hexdigest() for r in rows)
     assert same > 0.8 * len(rows)  # all but those that held personal data
+
+
+def test_mixture_words_meet_targets(spark):
+    """Words of each source against its target, where one document holds a third of a source; all but one row a source is whole."""
+    r = random.Random(1)
+    size = {}
+    for k in range(6):
+        for i in range(40):
+            size[100 * k + i] = 20 * 39 if i == 7 else 1 + r.randrange(79)
+    texts = {i: " " + "\n\t".join(f"w{i}\u00a0x_{j}" for j in range(n)) + " " for i, n in size.items()}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i // 100}", len(t)) for i, t in texts.items()], COLUMNS)
+    rows = corpus_pipeline.mixture(spark, docs.repartition(5), "").collect()
+    sizes = [sum(n for i, n in size.items() if i // 100 == k) for k in range(6)]
+    want = mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(6)])
+    words = lambda t: len(re.findall(mixing.WORD, t))
+    for k in range(6):
+        mine = [x for x in rows if x.source == f"s{k}"]
+        assert abs(sum(words(x.text) for x in mine) - want[k]) <= mixing.BLOCK
+        assert sum(x.text != texts[x.doc_id] for x in mine) <= 1
+    for x in rows:
+        assert x.n_chars == len(x.text) > 0 and texts[x.doc_id].startswith(x.text)
+        assert x.text == texts[x.doc_id] or not x.text[-1].isspace()
+    assert max(sum(x.doc_id == i for x in rows) for i in size) <= mixing.PASSES
