@@ -94,17 +94,24 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     placed = data.mapInArrow(assign, "id long, v array<double>, cell int, dist double")
 
     def nearest(batches):
-        near: dict[int, np.ndarray] = {}
+        near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, dist = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cell, dist, ids = (b.column(i).to_numpy() for i in range(3))
             for c in np.unique(cell).tolist():
-                near[c] = np.sort(np.concatenate([near.get(c, np.empty(0)), dist[cell == c]]))[: k + 1]
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(list(near), pa.int32()), "near": pa.array([x.tolist() for x in near.values()], pa.list_(pa.float64()))})
-
-    close = np.full((p, k + 1), np.inf)
-    summary = placed.select("cell", "dist").mapInArrow(nearest, "cell int, near array<double>")
-    for r in summary.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect():
-        close[r.cell, : len(r.near)] = r.near
+                old_dist, old_ids = near.get(c, (np.empty(0), np.empty(0, np.int64)))
+                d, i = np.concatenate([old_dist, dist[cell == c]]), np.concatenate([old_ids, ids[cell == c]])
+                order = np.lexsort((i, d))
+                first = order[np.sort(np.unique(i[order], return_index=True)[1])[: k + 1]]  # the nearest row of an id
+                near[c] = d[first], i[first]
+        for c, (d, i) in near.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), c, np.int32)), pa.array(i), pa.array(d)], ["cell", "id", "dist"])
+
+    # for each cell the nearest rows of k + 1 ids, one of which can be a query's own
+    close, close_id = np.full((p, k + 1), np.inf), np.zeros((p, k + 1), np.int64)
+    summary = placed.select("cell", "dist", "id").mapInArrow(nearest, "cell int, id long, dist double").groupBy("cell", "id").agg(F.min("dist").alias("dist"))
+    place = F.expr("row_number() over (partition by cell order by dist, id)")
+    for r in summary.withColumn("place", place).where(F.col("place") <= k + 1).collect():
+        close[r.cell, r.place - 1], close_id[r.cell, r.place - 1] = r.dist, r.id
 
     asked = cut(whole(query, key, vector).distinct().mapInArrow(assign, "id long, v array<double>, cell int, dist double").drop("dist"))
     n_queries = asked.count()
@@ -114,11 +121,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     def bounds(batches):
         most, least, norm = np.full((p, p), -np.inf), np.full(p, np.inf), np.zeros(p)
         for b in batches:
-            v, cell = matrix(b.column(1), dim), b.column(2).to_numpy()
+            ids, v, cell = b.column(0).to_numpy(), matrix(b.column(1), dim), b.column(2).to_numpy()
             size, reach = np.sqrt((v**2).sum(1)), v @ pivots.T
             for i in range(len(v)):
-                # k + 1 rows reach at least this much, so k others than the query do
-                floor = np.sort((reach[i][:, None] - size[i] * close).ravel())[-(k + 1)]
+                # k rows of other ids reach at least this much; a missing row (infinitely far) and the query's own reach nothing
+                with np.errstate(invalid="ignore"):
+                    lower = reach[i][:, None] - size[i] * close
+                floor = np.sort(np.where(np.isfinite(lower) & np.isfinite(close) & (close_id != ids[i]), lower, -np.inf).ravel())[-k]
                 most[cell[i]] = np.maximum(most[cell[i]], reach[i])
                 least[cell[i]], norm[cell[i]] = min(least[cell[i]], floor), max(norm[cell[i]], size[i])
         seen = np.flatnonzero(np.isfinite(least) | (norm > 0) | np.isfinite(most).any(1))
@@ -146,7 +155,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     def replicate(batches):
         for b in batches:
             cell, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
-            reach = most[used][:, cell] + norm[used][:, None] * dist >= (least - slack)[used][:, None]
+            reach = ~(most[used][:, cell] + norm[used][:, None] * dist < (least - slack)[used][:, None])
             rows, to = [], []
             for g in np.unique(group[used]).tolist():
                 at = np.flatnonzero(reach[group[used] == g].any(0))

@@ -43,6 +43,26 @@ def test_same_as_all_pairs(spark, monkeypatch, kind):
     assert len(got) == len(plain(rows))
 
 
+@pytest.mark.parametrize("kind", ["zero", "outliers", "repeated"])
+def test_bounds_with_missing_and_own_rows(spark, monkeypatch, kind):
+    """Zero queries where cells have too few rows, and a query whose id fills the places of the k others."""
+    monkeypatch.setattr(knn, "PIVOTS", 8)
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 4)
+    r = random.Random(kind)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(1, 60)]
+    if kind == "outliers":
+        rows = [(i, [1 + 0.01 * r.random()] * 4) for i in range(1, 200)] + [(300 + i, [(-1) ** i * 1e4 * (1 + i)] * 4) for i in range(4)]
+        monkeypatch.setattr(knn, "PIVOTS", 210)
+    if kind == "repeated":
+        rows = [(i, [r.gauss(0, 1), r.gauss(0, 1), 0.0, 0.0]) for i in range(1, 200)] + [(1000, [9.0, 9.0, 0.0, 0.0])] * 40
+    else:
+        rows += [(10 * i, [0.0] * 4) for i in (0, 40, 77)]
+    rows = [x for x in rows if x[0] % 10 or x[0] in (0, 400, 770, 1000)]  # no other queries, whose bounds would help
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in knn.top_k(df, F.col("vec_id") % 10 == 0).collect()]
+    assert sorted(got) == sorted(plain(rows))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, rank int")
     assert knn.top_k(df, F.col("vec_id") % 10 == 0).collect() == []
