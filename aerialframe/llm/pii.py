@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, texts, with_columns
+from .common import column, cut, free_name, quoted, small_batches, texts, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -25,11 +24,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
-#: Words on either side of an entity that may disclose it; documents in which a pair must be seen; the share of an
-#: entity's information from which a term is generalised, and from which it is removed.
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 4, 0.95, 0.99
-#: Bits of the filter that is broadcast, whatever the number of terms.
-FILTER_BITS = 1 << 20
+#: What a text must hold for any base pattern to match; read by Java and Python alike.
+NEEDED = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){12}"
+_NEEDED = re.compile(NEEDED)
+#: Words on either side of an entity that count as near it; the share of an entity's information from which a term is
+#: generalised, and from which it is removed; normal quantile of the confidence bound.
+CONTEXT, GENERALISE, REMOVE, Z = 8, 0.75, 0.85, 1.96
+#: Occurrences of a term that must have a word near them for that word to stand for it.
+SUBSUMES = 0.8
+#: Terms whose counts are broadcast, the most frequent ones; texts that may be broadcast because each holds over that part of all rows.
+FREQUENT, HOT = 1 << 16, 256
 #: Terms counted in one task before they are handed on.
 HELD_TERMS = 200_000
 
@@ -54,6 +58,8 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and then start."""
+    if not _NEEDED.search(text):
+        return []
     out = [("email", *s) for s in emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
@@ -68,10 +74,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(kind: str, value: str) -> bytes:
-    """An entity by 16 bytes that don't show it: letters and digits in lower case count."""
+def entity(kind: str, value: str) -> int:
+    """An entity by 64 bits that don't show it: letters and digits in lower case count."""
     plain = "".join(c for c in value.lower() if c.isalnum() or c in "@.")
-    return hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=16).digest()
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -87,148 +93,216 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return out
 
 
-def _near(text: str) -> set[tuple[bytes, str]]:
-    """(entity, term) for each term within CONTEXT words of an entity."""
-    spans = base_spans(text)
-    if not spans:
-        return set()
-    found = terms(text, spans)
-    starts = np.array([s for _, s, _ in found])
-    out = set()
-    for kind, start, end in spans:
-        e, a = entity(kind, text[start:end]), int(np.searchsorted(starts, start)) if found else 0
-        out |= {(e, t) for t, _, _ in found[max(0, a - CONTEXT) : a + CONTEXT]} | {(e, "")}
-    return out
+def near_terms(found: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> set[str]:
+    """Those of ``found`` that stand within CONTEXT of them before or after an entity."""
+    starts = np.array([s for _, s, _ in found], np.int64)
+    at = np.searchsorted(starts, [s for _, s, _ in spans]).tolist()
+    return {t for a in at for t, _, _ in found[max(0, a - CONTEXT) : a + CONTEXT]}
 
 
-def _slot(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode(), 7) % FILTER_BITS
+def _number(term: str) -> int:
+    """64 bits that stand for a term."""
+    n = xxhash.xxh64_intdigest(term.encode(), 7)
+    return n - (1 << 64) if n >> 63 else n
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, level): terms that disclose some entity, ``level`` 2 to remove and 1 to generalise.
+def _read(docs: DataFrame, text: str) -> DataFrame:
+    """One pass over all texts. A row is a text that holds entities (key, n copies, entities, terms, near: for each term if it stands
+    near an entity), or a term with the number n of documents that hold it, or, with neither, n documents read."""
+    keyed = docs.select(F.xxhash64(F.coalesce(quoted(text), F.lit(""))), quoted(text))
+    schema = "key long, entities array<long>, terms array<long>, near array<boolean>, term long, n long"
 
-    Documents are counted: n(e) holding entity e, n(e, t) holding t near e, n(t) holding t anywhere. The share of e's
-    information that t gives is PMI(e; t) / IC(e) = 1 + log p(e | t) / IC(e), with IC(e) = -log p(e). Pairs seen in fewer than SUPPORT
-    documents say nothing. Counting is done by groups, with partial counts on the map side.
-    """
-    text_batches(docs.sparkSession)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = Counter(p for t in b.column(0).to_pylist() if t for p in _near(t))
-            rows = list(seen.items())
-            yield pa.RecordBatch.from_pydict(
-                {"entity": pa.array([e for (e, _), _ in rows], pa.binary()), "term": pa.array([t for (_, t), _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())}
-            )
-
-    only = docs.select(text)
-    near = only.mapInArrow(pairs, "entity binary, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
-    near = cut(near.where(F.col("n") >= SUPPORT))
-    holders = near.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    wanted = near.where("term <> ''").select("term").distinct()
-    bits = _filter(wanted)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        known: dict[str, bool] = {}
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for w in {x.lower() for x in WORD.findall(t)} if t else ():
-                    if (hit := known.get(w)) is None:
-                        if len(known) >= HELD_TERMS:
-                            known.clear()
-                        hit = known[w] = bool(shared.value[_slot(w)])
-                    if hit:
-                        seen[w] += 1
-            if len(seen) >= HELD_TERMS:
-                yield full()
+        held: dict[int, list] = {}
+        size = read = 0
+
+        def rows() -> pa.RecordBatch:
+            blank, n = [None] * (len(seen) + 1), list(held.values())
+            return pa.RecordBatch.from_pydict({
+                "key": pa.array([*held, *blank], pa.int64()),
+                "entities": pa.array([*(h[1] for h in n), *blank], pa.list_(pa.int64())),
+                "terms": pa.array([*(h[2] for h in n), *blank], pa.list_(pa.int64())),
+                "near": pa.array([*(h[3] for h in n), *blank], pa.list_(pa.bool_())),
+                "term": pa.array([*[None] * len(n), *map(_number, seen), None], pa.int64()),
+                "n": pa.array([*(h[0] for h in n), *seen.values(), read], pa.int64()),
+            })
+
+        for b in small_batches(batches):
+            read += b.num_rows
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not t:
+                    continue
+                spans = base_spans(t)
+                if not spans:
+                    seen.update({w.lower() for w in WORD.findall(t) if not w.isdigit()})
+                    continue
+                found = terms(t, spans)
+                words = {w for w, _, _ in found}
+                seen.update(words)
+                if key in held:
+                    held[key][0] += 1
+                    continue
+                close, order = near_terms(found, spans), sorted(words)
+                held[key] = [1, sorted({entity(k, t[a:b]) for k, a, b in spans}), [_number(w) for w in order], [w in close for w in order]]
+                size += len(order)
+            if len(seen) + size >= HELD_TERMS:
+                yield rows()
                 seen.clear()
-        yield full()
+                held.clear()
+                size = read = 0
+        yield rows()
+
+    return keyed.mapInArrow(run, schema)
+
+
+def _share(n_both, n_term, n_entity, total: int):
+    """The share of an entity's information that a term gives: 1 + log p(e | t) / IC(e), with the lower Wilson bound of p(e | t)."""
+    p, z2 = n_both / n_term, Z * Z
+    low = (p + z2 / (2 * n_term) - Z * F.sqrt(p * (1 - p) / n_term + z2 / (4 * n_term * n_term))) / (1 + z2 / n_term)
+    return 1 + F.log2(low) / -F.log2(n_entity / F.lit(float(total)))
+
+
+def _most(n_entity, total: int):
+    """The number of documents beyond which no term can disclose an entity of n_entity documents: p(e | t) <= n(e) / n(t)."""
+    return F.pow(n_entity.cast("double"), F.lit(GENERALISE)) * F.lit(float(total) ** (1 - GENERALISE))
+
 
-    everywhere = only.mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = docs.count()
-    ic = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
-    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n") / F.greatest("n_term", "n"))) / ic
-    return (
-        near.where("term <> ''").join(holders, "entity").join(everywhere, "term").where(ic > 0).groupBy("term").agg(F.max(share).alias("share"))
-        .where(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"))
-    )
+def disclosures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What is to be marked, (key, n, bound, marks), and the FREQUENT most frequent terms, (term, n).
 
+    ``key`` is xxhash64 of a text that holds entities, ``n`` the documents with that text, ``marks`` its disclosing terms as (term, level),
+    ``bound`` the number of documents that a term must pass to be sure to disclose none of the text's entities. Documents are counted:
+    n(e) holding entity e, n(t) holding term t outside of entities, n(e, t) holding both. PMI(e; t) / IC(e) = 1 + log p(e | t) / IC(e) is
+    the share of e's information that t gives; p(e | t) is taken at its lower confidence bound, so that few documents prove little and
+    no count is cut off. Pairs of one text only count if the term stands near an entity there. Level 2 is to be removed, 1 to be generalised.
 
-def _filter(found: DataFrame) -> np.ndarray:
-    """A Bloom filter with one hash; FILTER_BITS distinct numbers at most reach the driver."""
+    Entities that stand in the same texts are one class, so a list of addresses is no more work than one address. Frequent terms meet
+    their counts by a broadcast of fixed size and all others by a join; keys that many rows share are salted. Null and empty texts count
+    as documents without terms; of an empty table nothing is marked. Repeated rows count as often as they stand.
+    """
+    rows = cut(_read(docs, text))
+    total = rows.where("key is null and term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = cut(rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_term")))
+    frequent = cut(counts.orderBy(F.desc("n_term"), "term").limit(FREQUENT))
+    held = rows.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("entities", "terms", "near")])
+    held = cut(held)
+    salt = lambda n: F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(n)).cast("int").alias("salt")
+    salts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+
+    each = held.select("key", "n", F.explode("entities").alias("entity"), salt(8))
+    same_texts = [F.bit_xor(F.xxhash64(F.lit(i), "key")) for i in (1, 2)]
+    stats = each.groupBy("entity").agg(F.sum("n").alias("n_entity"), *[c.alias(f"x{i}") for i, c in enumerate(same_texts)])
+    stats = stats.select("entity", "n_entity", F.xxhash64("n_entity", "x0", "x1").alias("class"), salts(8))
+    classes = cut(each.join(stats, ["entity", "salt"]).select("key", "class", "n_entity").distinct())
+
+    most = classes.groupBy("key").agg(_most(F.max("n_entity"), total).alias("bound"))
+    zipped = F.explode(F.arrays_zip("terms", "near"))
+    words = held.join(most, "key").select("key", "n", "bound", zipped.alias("t")).select("key", "n", "bound", F.col("t.terms").alias("term"), F.col("t.near").alias("near"))
+    words = words.join(F.broadcast(frequent), "term", "left").where("n_term is null or n_term <= bound")
+    # a frequent term has its count already and goes anywhere
+    words = words.withColumn("at", F.when(F.col("n_term").isNull(), F.col("term")).otherwise(F.xxhash64("key", "term")))
+    words = words.join(counts.select(F.col("term").alias("at"), F.col("n_term").alias("n_rare")), "at", "left").withColumn("n_term", F.coalesce("n_term", "n_rare"))
+    pairs = words.where("n_term <= bound").join(classes, "key").where(F.col("n_term") <= _most(F.col("n_entity"), total))
+    pairs = cut(pairs.select("key", "n", "bound", "term", "near", "n_term", "class", "n_entity"))
+
+    sums = pairs.groupBy("class", "term").agg(
+        F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.max("near").alias("near"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")
+    )
+    told = sums.where((F.col("n_entity") < total) & ((F.col("texts") > 1) | F.col("near"))).withColumn("share", _share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total))
+    told = told.where(F.col("share") >= GENERALISE).select("class", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"), salts(8))
+    marked = pairs.withColumn("salt", salt(8)).join(told, ["class", "term", "salt"]).groupBy("key", "term").agg(F.max("level").alias("level"), F.first("n").alias("n"), F.first("bound").alias("bound"))
+    marks = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("bound").alias("bound"), F.collect_list(F.struct("term", "level")).alias("marks"))
+    return cut(marks.withColumn("hot", F.col("n") * HOT > total)), frequent
+
+
+SPAN = "struct<kind:string,start:bigint,end:bigint,level:int,general:string>"
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32()), ("general", pa.string())]))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(sorted({_slot(t) for t in b.column(0).to_pylist()}), pa.int64())})
 
-    bits = np.zeros(FILTER_BITS, bool)
-    got = found.select("term").mapInArrow(slots, "slot long").distinct().toPandas().slot.to_numpy(np.int64)
-    bits[got] = True
-    return bits
+def general_word(words: list[str], places: list[int], counts: dict[str, int | None], bound: float) -> str | None:
+    """The rarest of the frequent words that subsume a term: near at least SUBSUMES of its ``places``, and in more documents than ``bound``,
+    so that it discloses nothing; None if no word does."""
+    near = Counter(w for i in places for w in set(words[max(0, i - CONTEXT) : i + CONTEXT + 1]))
+    found = [(n, w) for w, k in near.items() if k >= SUBSUMES * len(places) and (n := counts.get(w)) is not None and n > bound]
+    return min(found, default=(0, None))[1]
 
 
 def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with ``spans``: an array of (kind, start, end, level) in code points, ends exclusive.
+    """``df`` with ``spans``: an array of (kind, start, end, level, general) in code points, ends exclusive.
 
-    Base kinds come in their order, then ``term`` spans of terms that disclose an entity (see ``disclosing_terms``), by start.
-    ``level`` is 2 for what is to be removed, 1 for what is to be generalised. Base spans never depend on the corpus. A null text has no spans;
-    texts are handled whole, and repeated rows each get the same result. A column ``spans`` of ``df`` is replaced; ``text`` is dropped
-    unless ``keep_text``. Terms reach the rows by a join: only a filter of fixed size is broadcast.
+    Base kinds come in their order, then ``term`` spans of terms that disclose an entity of the same document (see ``disclosures``), by start;
+    a document without entities has none. ``level`` is 2 for what is to be removed, 1 for what is to be replaced by ``general``, a more
+    general word, where there is one. Base spans never depend on the corpus. A null text has no spans; texts are handled whole, and
+    repeated rows each get the same result. A column ``spans`` of ``df`` is replaced, all others stay; ``text`` is dropped unless
+    ``keep_text``. Only texts that may hold an entity are shuffled. An empty table gives an empty result.
     """
-    decided = cut(disclosing_terms(df, text))
-    bits = df.sparkSession.sparkContext.broadcast(_filter(decided))
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32())]))
-    maybe = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    marks, frequent = disclosures(df, text)
+    top = df.sparkSession.sparkContext.broadcast({r.term: r.n_term for r in frequent.collect()})
+    rows = df.drop("spans")
+    key, given = free_name(rows, "key"), free_name(rows, "marks")
+    bound, more, at = (free_name(rows.withColumn(given, F.lit(0)), n) for n in ("bound", "more", "at"))
+    may = F.coalesce(quoted(text).rlike(NEEDED), F.lit(False))
+    clean = rows.where(~may).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+    held = rows.where(may).withColumn(key, F.xxhash64(quoted(text)))
+    told = F.struct("bound", "marks")
+    hot = marks.where("hot").select(F.col("key").alias(key), told.alias(given))  # each in over a HOT-th of all rows, so no more than HOT of them
+    cold = marks.where("not hot").select(F.col("key").alias(at), told.alias(more))
+    held = held.join(F.broadcast(hot), key, "left")
+    spread = F.xxhash64(key, F.monotonically_increasing_id())
+    held = held.withColumn(at, F.when(F.col(given).isNull(), F.col(key)).otherwise(spread)).join(cold, at, "left")
+    held = held.withColumn(given, F.coalesce(given, more)).drop(key, more, at)
 
     def mark(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        base, may = [], []
-        known: dict[str, bool] = {}
-        for t in texts(batch, text):
+        out = []
+        for t, m in zip(texts(batch, text), column(batch, given).to_pylist(), strict=True):
             spans = base_spans(t)
-            base.append([{"kind": k, "start": a, "end": b, "level": 2} for k, a, b in spans])
-            hits = []
-            for w, a, b in terms(t, spans):
-                if (hit := known.get(w)) is None:
-                    hit = known[w] = bool(bits.value[_slot(w)])
-                if hit:
-                    hits.append({"term": w, "start": a, "end": b})
-            may.append(hits)
-        return {"_base": pa.array(base, span), "_maybe": pa.array(may, maybe)}
-
-    schema = "_base array<struct<kind string, start long, end long, level int>>, _maybe array<struct<term string, start long, end long>>"
-    marked = with_columns(df.drop("spans"), schema, mark)
-    marked = cut((marked if keep_text else marked.drop(text)).withColumn("_uid", F.monotonically_increasing_id()))
-    hits = marked.select("_uid", F.explode("_maybe").alias("m")).select("_uid", "m.*").join(decided, "term")
-    spans = hits.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "level"))).alias("_terms"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,level:int>>")
-    made = F.transform(
-        F.coalesce("_terms", none), lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["level"].alias("level"))
-    )
-    return marked.join(spans, "_uid", "left").withColumn("spans", F.concat("_base", made)).drop("_base", "_maybe", "_terms", "_uid")
+            row = [{"kind": k, "start": a, "end": b, "level": 2, "general": None} for k, a, b in spans]
+            if m:
+                level = {x["term"]: x["level"] for x in m["marks"]}
+                found = terms(t, spans)
+                words = [w for w, _, _ in found]
+                numbers = {w: _number(w) for w in set(words)}
+                places: dict[str, list[int]] = {}
+                for i, w in enumerate(words):
+                    if numbers[w] in level:
+                        places.setdefault(w, []).append(i)
+                counts = {w: top.value.get(n) for w, n in numbers.items()}
+                instead = {w: general_word(words, p, counts, m["bound"]) for w, p in places.items() if level[numbers[w]] == 1}
+                hits = sorted(i for p in places.values() for i in p)
+                row += [{"kind": TERM, "start": found[i][1], "end": found[i][2], "level": level[numbers[words[i]]], "general": instead.get(words[i])} for i in hits]
+            out.append(row)
+        return {"spans": pa.array(out, _SPAN)}
+
+    made = with_columns(held, f"spans array<{SPAN}>", mark).drop(given).select(*map(quoted, clean.columns))
+    out = clean.union(made)
+    return out if keep_text else out.drop(text)
+
+
+def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """(term, level): the terms that ``find`` marks anywhere, with their highest level."""
+    each = find(df.select(quoted(text).alias("text"))).select("text", F.explode("spans").alias("s")).where(F.col("s.kind") == TERM)
+    return each.groupBy(F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("term")).agg(F.max("s.level").alias("level"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` (with ``spans``) whose ``text`` is sanitised: base spans become their kind in brackets, a disclosing term is left
-    out (level 2) or becomes ``[term]`` (level 1). Of overlapping base spans the first stands for all. A null text stays null."""
+    """``df`` (with ``spans``) whose ``text`` is sanitised: base spans become their kind in brackets, a disclosing term is left out
+    (level 2) or becomes its more general word, ``[term]`` if it has none (level 1).
+
+    Of overlapping spans the first stands for all. A null text and a null ``spans`` leave the text as it is; repeated rows each get the same text.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out = []
-        found = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        for t, spans in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), found, strict=True):
+        for t, spans in zip(column(batch, text).to_pylist(), column(batch, "spans").to_pylist(), strict=True):
             if not t or not spans:
                 out.append(t)
                 continue
             parts, at = [], 0
             for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                 if s["start"] >= at:
-                    parts += [t[at : s["start"]], "" if s["kind"] == TERM and s["level"] == 2 else f"[{s['kind']}]"]
+                    new = f"[{s['kind']}]" if s["kind"] != TERM else "" if s["level"] == 2 else s["general"] or f"[{TERM}]"
+                    parts += [t[at : s["start"]], new]
                 at = max(at, s["end"])
             out.append("".join([*parts, t[at:]]))
         return {text: pa.array(out, pa.string())}
@@ -237,5 +311,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sanitise(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with sanitised texts; its columns stay as they are."""
-    return redact(find(df, text), text).select(df.columns)
+    """``df`` with sanitised texts; its other columns stay as they are, one named ``spans`` too. Rows and their number stay the same."""
+    mine = free_name(df, "spans")
+    if mine == "spans":
+        return redact(find(df, text), text).select(*map(quoted, df.columns))
+    kept = df.withColumnRenamed("spans", mine)
+    done = redact(find(kept, text), text).drop("spans").withColumnRenamed(mine, "spans")
+    return done.select(*map(quoted, df.columns))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, knn, langid, licenses, mixing, pii, sharding, simhash, warc
-from .common import shared_dir, table
+from .common import new_path, table
 
 #: Shards of op5.
 SHARDS = 24
@@ -85,7 +84,7 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload")), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, texts, with_columns
+from .common import cut, texts, with_columns, write_table
 from .graph import components
 
 SEED = 42
@@ -287,7 +287,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # copies of a text meet in their own tasks first, then one text of each node is looked up
     contents = df.select(node, F.coalesce(text, F.lit("")).alias("t")).groupBy("node").agg(F.first("t").alias("t"))
-    contents = cut_table(contents.join(wanted, "node", "left_semi"))
+    contents, spent = write_table(contents.join(wanted, "node", "left_semi"))
     both = pairs.join(contents.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(contents.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def check(batch: pa.RecordBatch) -> dict[str, pa.Array]:
