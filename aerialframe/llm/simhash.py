@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts, with_columns, write_table
+from .common import column, cut, free_name, quoted, remove, salted, small_batches, texts, with_columns, write_table
 from .graph import components
 
 SEED = 42
@@ -161,11 +161,12 @@ def shards(distinct: DataFrame, radius: int) -> DataFrame:
     raise AssertionError
 
 
-def links(distinct: DataFrame, radius: int, gather: int = 50_000) -> DataFrame:
+def links(distinct: DataFrame, radius: int, gather: int = 50_000, direct: bool = False) -> DataFrame:
     """(a, b): for each value of ``distinct`` (fp) linked to another in a shard, the first value it is joined to there.
 
     Trees are built for many shards at a time from rows sorted by shard; within a shard linked values are joined to one of them, so
-    a shard of n values gives n - 1 rows at most.
+    a shard of n values gives n - 1 rows at most. With ``direct`` b is not the first value of a's component but the first of those
+    within the radius of a. A lone value has no row.
     """
     spread = shards(distinct, radius).repartition("round", "path", "key").sortWithinPartitions("round", "path", "key", "fp")
 
@@ -174,11 +175,16 @@ def links(distinct: DataFrame, radius: int, gather: int = 50_000) -> DataFrame:
         group = np.cumsum(new)
         many = np.bincount(group)[group] > 1
         group, fp = group[many], fp[many]
-        label = np.arange(len(fp))
+        own = np.arange(len(fp))
+        label = np.full(len(fp), len(fp)) if direct else own.copy()
         if len(fp):
             for a, b in Forest(group, fp.view(np.uint64)).near(radius):
-                unite(label, a, b)
-        moved = label != np.arange(len(fp))
+                if direct:
+                    np.minimum.at(label, a, b)
+                    np.minimum.at(label, b, a)
+                else:
+                    unite(label, a, b)
+        moved = (label != own) & (label < len(fp))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +217,13 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, key: str = "
     Null, empty and wordless texts share fingerprint zero, which is linked like any other. Repeated rows each get the same
     result. Equal fingerprints are first made one; components are found on distinct fingerprints, never on the driver.
     """
-    rows = cut(fingerprints(df.select(key, text), words, text).drop(text))
-    classes = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    rows = cut(fingerprints(df.select(quoted(key).alias("key"), quoted(text).alias("text")), words).drop("text"))
+    classes = rows.groupBy("fp").agg(F.min("key").alias("first"))
     found = components(cut(links(rows.select("fp").distinct(), radius)))
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = labelled.join(least, "label").select("fp", "component_id")
-    return rows.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted(rows, classes, ["fp"], "key").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For similar texts: SimHashes of a few shingles each, drawn by their smallest value under random orders.
@@ -248,67 +254,157 @@ def sampled(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
     return np.packbits(bits.sum(1) * 2 > SAMPLE_SIZE, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def jaccard(a: str, b: str, words: int) -> float:
-    """Of the sets of word shingles; 1 for two texts without words."""
-    x, y = (np.unique(shingle_hashes(t, words)) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of a set with each of the others; 1 for two empty sets."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    both = np.zeros(len(others), np.int64)
+    if len(one) and sizes.sum():
+        every = np.concatenate(others)
+        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])])
+    union = len(one) + sizes - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+#: Members that one copy of a hub's text is compared with; sides of the blocks in which what is left of a bucket is compared.
+HUB_ROWS, OPEN_ROWS, MEMBER_ROWS = 512, 64, 512
+
+
+def similar(pairs: DataFrame, contents: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (hub, node) of ``pairs`` whose texts are similar, as links (a, b); ``contents`` has (node, t).
+
+    A hub's text comes before the texts of its members, so each text is sent once and a hub's set is made once; a hub of many members
+    is repeated, with HUB_ROWS of them each.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / HUB_ROWS).cast("int"))).alias("part")
+    hubs = pairs.groupBy("hub").count()
+    parts = hubs.select("hub", (F.floor((F.col("count") - 1) / HUB_ROWS) + 1).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    members = salted(pairs, parts, ["hub"], "node").select("hub", part, "node").join(contents, "node").select("hub", "part", "node", "t")
+    heads = hubs.select("hub", copies).join(contents.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "t")
+    rows = heads.union(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
+        for b in small_batches(batches):
+            found: tuple[list, list] = ([], [])
+            for hub, node, t in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                mine = shingle_set(t, words)
+                if node is None:
+                    head = mine
+                elif overlaps(head, [mine])[0] >= similarity:
+                    found[0].append(hub)
+                    found[1].append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links in buckets whose members are not all connected to the bucket's root.
+
+    Each such member is compared with all members of its bucket that have another label, in blocks of OPEN_ROWS by MEMBER_ROWS. So
+    a bucket, (place, value, node, root), is resolved in full, whatever its root resembles.
+    """
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label"))
+    known = members.join(of("node"), "node", "left")
+    known = salted(known, of("root"), ["root"], "node", "left")
+    known = known.select("place", "value", "node", F.coalesce("node_label", "node").alias("label"), (F.coalesce("node_label", "node") != F.coalesce("root_label", "root")).alias("apart"))
+    known = cut(known)
+    blocks = lambda n, size: (F.floor((n - 1) / size) + 1).cast("int")
+    buckets = known.groupBy("place", "value").agg(F.count("*").alias("n"), F.count_if("apart").alias("open")).where("open > 0 and n > 2")
+    buckets = buckets.select("place", "value", blocks(F.col("open"), OPEN_ROWS).alias("nu"), blocks(F.col("n"), MEMBER_ROWS).alias("nm"))
+    placed = salted(known, buckets, ["place", "value"], "node").join(contents, "node")
+
+    def sets(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"set": pa.array([shingle_set(t, words).tobytes() for t in texts(batch, "t")], pa.binary())}
+
+    placed = with_columns(placed, "set binary", sets).drop("t")
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(5), "node"), n).cast("int")
+    cell = lambda ub, mb, opened: F.struct(ub.alias("ub"), mb.alias("mb"), F.lit(opened).alias("opened"))
+    row = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda ub: cell(ub, deal(F.col("nm")), False))
+    col = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda mb: cell(deal(F.col("nu")), mb, True))
+    cells = F.concat(row, F.when(F.col("apart"), col).otherwise(F.slice(col, 1, 0)))
+    spread = placed.select("place", "value", F.explode(cells).alias("c"), "node", "label", "set").select("place", "value", "c.*", "node", "label", "set")
+
+    def solve(t: pa.Table) -> pa.Table:
+        a, b = [], []
+        opened, node, label = (t.column(c).to_numpy() for c in ("opened", "node", "label"))
+        every = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        size, others = np.array([len(x) for x in every], np.int64), np.flatnonzero(~opened)
+        for i in np.flatnonzero(opened).tolist():
+            # no more than the smaller set can be shared
+            near = np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])
+            may = others[near & (label[others] != label[i])]
+            hit = may[overlaps(every[i], [every[j] for j in may]) >= similarity] if len(may) else may
+            a += [int(node[i])] * len(hit)
+            b += node[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("place", "value", "ub", "mb").applyInArrow(solve, "a long, b long").distinct()
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, text: str = "text") -> DataFrame:
     """(node, label) for the distinct texts of ``df`` that have a similar one; ``node`` is xxhash64 of the text (null: empty).
 
-    Candidates are texts whose SimHash over all shingles lies within ``radius`` bits, found through the BK-trees, and texts that
-    agree in one of the ``sampled`` SimHashes; one star for each shard or value, so a group of n texts gives n - 1 candidates. A
-    candidate is a link if the Jaccard similarity of its shingle sets is ``similarity`` or more; labels are components of links.
-    Equal texts are one node, and texts without words are similar to each other only.
+    Texts meet in buckets: by the SimHash over all their shingles, and by each of the ``sampled`` SimHashes; the first also meet those within
+    ``radius`` bits, through the BK-trees. A bucket's members are compared with its root (drawn at random for each bucket), and
+    members that this leaves unconnected with all others of the bucket, so every link between two texts of a bucket is found. Texts of
+    similarity 0.8 share no bucket once in 580 times, at 0.9 once in 10 million. A link is a Jaccard similarity of the shingle sets
+    of ``similarity`` or more; labels are components of links. Equal texts are one node, and texts without words are similar to each other only.
+    An empty table and one without similar texts give no rows.
     """
-    node = F.xxhash64(F.coalesce(text, F.lit(""))).alias("node")
+    node = F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("node")
+    given = df.select(quoted(text).alias("text"), node)
 
     def prints(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        found = [shingle_hashes(t, words) for t in texts(batch, text)]
-        return {
-            "fp": pa.array(np.array([majority(h) for h in found], np.uint64).view(np.int64)),
-            "samples": pa.array([sampled(h).view(np.int64) for h in found], pa.list_(pa.int64())),
-        }
-
-    nodes = cut(with_columns(df.select(text, node), "fp long, samples array<long>", prints).drop(text).dropDuplicates(["node"]))
-    values = nodes.select("node", F.posexplode("samples").alias("place", "value"))
+        found = [shingle_hashes(t, words) for t in texts(batch, "text")]
+        whole = [majority(h) for h in found]
+        values = [[*sampled(h).view(np.int64).tolist(), w - (1 << 64) if w >> 63 else w] for h, w in zip(found, whole, strict=True)]
+        return {"prints": pa.array(values, pa.list_(pa.int64()))}
+
+    nodes = cut(with_columns(given, "prints array<long>", prints).drop("text").dropDuplicates(["node"]))
+    values = nodes.select("node", F.posexplode("prints").alias("place", "value"))
     # a root drawn by a hash of its own in each place: each text meets other roots in other places
     draw = F.min(F.struct(F.xxhash64("node", "place").alias("by"), "node"))["node"].alias("root")
-    roots = values.groupBy("place", "value").agg(draw, F.count("*").alias("n")).where("n > 1").drop("n")
-    same = values.join(roots, ["place", "value"]).select("node", "root")
-    classes = nodes.groupBy("fp").agg(F.min("node").alias("root"))
-    equal = nodes.join(classes, "fp").select("node", "root")
-    near = links(classes.select("fp"), radius)
-    close = near.join(classes.withColumnRenamed("fp", "a"), "a").withColumnRenamed("root", "node").join(classes.withColumnRenamed("fp", "b"), "b").select("node", "root")
-    pairs = same.union(equal).union(close).where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct()
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    roots = values.groupBy("place", "value").agg(draw, F.count("*").alias("n"))
+    members = cut(salted(values, roots.where("n > 1").drop("n"), ["place", "value"], "node"))
+    classes = roots.where(F.col("place") == SAMPLES).select(F.col("value").alias("fp"), "root")
+    near = links(classes.select("fp"), radius, direct=True)
+    close = near.join(classes.select(F.col("fp").alias("a"), F.col("root").alias("node")), "a").join(classes.select(F.col("fp").alias("b"), F.col("root").alias("hub")), "b").select("hub", "node")
+    pairs = cut(members.where("node <> root").select(F.col("root").alias("hub"), "node").union(close).distinct())
+    wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
     # copies of a text meet in their own tasks first, then one text of each node is looked up
-    contents = df.select(node, F.coalesce(text, F.lit("")).alias("t")).groupBy("node").agg(F.first("t").alias("t"))
+    contents = given.select("node", F.coalesce("text", F.lit("")).alias("t")).groupBy("node").agg(F.first("t").alias("t"))
     contents, spent = write_table(contents.join(wanted, "node", "left_semi"))
-    both = pairs.join(contents.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(contents.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-
-    def check(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        alike = [jaccard(x, y, words) >= similarity for x, y in zip(texts(batch, "ta"), texts(batch, "tb"), strict=True)]
-        return {"alike": pa.array(alike)}
-
-    alike = with_columns(both, "alike boolean", check).where("alike").select("a", "b")
-    return components(cut(alike))
+    found = cut(similar(pairs, contents, words, similarity))
+    labels = components(found)
+    more = cut(left_over(members, labels, contents, words, similarity))
+    if not more.isEmpty():
+        labels = components(found.union(more))
+    remove(df.sparkSession, spent)
+    return labels
 
 
 def first_of_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without near duplicates: of each group of equal or similar texts (see ``similar_groups``) the row with the smallest key.
 
     A null key comes after all others; of rows with equal keys and texts one stays. Rows whose text has no similar one all
-    stay. Rows are chosen by key and hash of the text, so texts are shuffled once and never numbered.
+    stay. Rows are chosen by key and hash of the text, so texts are shuffled once and never numbered. Columns keep their names and
+    values; an empty table gives an empty result.
     """
-    rows = df.withColumn("_node", F.xxhash64(F.coalesce(text, F.lit(""))))
-    labels = similar_groups(df.select(text), words, similarity, text=text)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_node").alias("node"))
-    classes = rows.groupBy("_node").agg(F.min(order).alias("least")).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
-    first = classes.groupBy(F.coalesce("label", "_node").alias("_group")).agg(F.min("least").alias("least"))
-    wins = first.select(F.col("least.node").alias("_wnode"), F.col("least.key").alias("_wkey"))
-    same = (F.col("_node") == F.col("_wnode")) & F.col(key).eqNullSafe(F.col("_wkey"))
-    return rows.join(wins, same, "left_semi").dropDuplicates(["_node", key]).select(df.columns)
+    mine = free_name(df, "node")
+    rows = df.withColumn(mine, F.xxhash64(F.coalesce(quoted(text), F.lit(""))))
+    labels = similar_groups(df.select(quoted(text).alias("text")), words, similarity)
+    order = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), quoted(mine).alias("node"))
+    classes = rows.select(quoted(mine).alias("node"), order.alias("least")).groupBy("node").agg(F.min("least").alias("least")).join(labels, "node", "left")
+    first = classes.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("least").alias("least"))
+    wnode, wkey = (free_name(rows, n) for n in ("wnode", "wkey"))
+    wins = first.select(F.col("least.node").alias(wnode), F.col("least.key").alias(wkey))
+    same = (rows[mine] == wins[wnode]) & rows[key].eqNullSafe(wins[wkey])
+    return rows.join(wins, same, "left_semi").dropDuplicates([mine, key]).select(*map(quoted, df.columns))

@@ -104,3 +104,64 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in graph.components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def similar_sets(texts_):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts_]
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
+
+
+def all_pairs(texts_):
+    """The groups of texts of a comparison of all pairs, as sets of numbers."""
+    alike, label = similar_sets(texts_), list(range(len(texts_)))
+    for i in range(len(texts_)):
+        for j in range(i):
+            if label[i] != label[j] and alike(i, j) >= 0.8:
+                label = [label[j] if v == label[i] else v for v in label]
+    return {frozenset(i for i, v in enumerate(label) if v == g) for g in set(label)}
+
+
+def test_chains_and_templates_lose_no_link(spark):
+    """A chain whose ends have little in common, and texts around one passage that are alike in pairs only."""
+    r = np.random.default_rng(5)
+    word = lambda: f"w{r.integers(1 << 40)}"
+    chain = [[word() for _ in range(400)]]
+    for k in range(30):
+        chain.append(chain[-1][:])
+        chain[-1][12 * k : 12 * k + 12] = [word() for _ in range(12)]
+    passage = [word() for _ in range(340)]
+    template = []
+    for _ in range(40):
+        common, own = [word() for _ in range(22)], [[word() for _ in range(38)] for _ in range(2)]
+        template += [passage + common + o for o in own]
+    values = [" ".join(t) for t in chain + template] + ["", " ", "a b", "A  b"]
+    want = all_pairs(values)
+    assert sorted(map(len, want))[-1] == 31 and sum(len(g) == 2 for g in want) >= 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in simhash.first_of_groups(df).collect()}
+    assert kept == {min(g) for g in want}
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """What a root leaves over is compared in blocks, however few rows a block may hold."""
+    monkeypatch.setattr(simhash, "OPEN_ROWS", 2)
+    monkeypatch.setattr(simhash, "MEMBER_ROWS", 3)
+    monkeypatch.setattr(simhash, "HUB_ROWS", 2)
+    texts_ = [" ".join(f"{g}_{k}" if k else f"own{i}" for k in range(40)) for i in range(24) for g in [i % 5]]
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "node long, t string")
+    members = nodes.selectExpr("0 as place", "0L as value", "node", "0L as root")
+    pairs = members.selectExpr("root as hub", "node").where("node > 0")
+    found = {(r.a, r.b) for r in simhash.similar(pairs, nodes, 5, 0.8).collect()}
+    assert found == {(0, i) for i in range(5, 24, 5)}
+    labels = graph.components(spark.createDataFrame(sorted(found), "a long, b long"))
+    more = simhash.left_over(members, labels, nodes, 5, 0.8)
+    final = {r.node: r.label for r in graph.components(more.union(spark.createDataFrame(sorted(found), "a long, b long"))).collect()}
+    assert final == {i: i % 5 for i in range(24)}
+
+
+def test_callers_columns_stay(spark):
+    rows = [(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x2", "y2", "z2"), (3, "q", "x3", "y3", "z3"), (None, None, "x4", "y4", "z4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string, NODE string, label string")
+    got = sorted((tuple(r) for r in simhash.first_of_groups(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=str)
+    assert [r.FP for r in simhash.fingerprints(df.withColumnRenamed("NODE", "FP")).select(F.col("fp").alias("FP")).limit(1).collect()][0] is not None
