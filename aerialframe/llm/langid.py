@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, with_columns
+from .common import quoted, small_batches, texts, with_columns
 
 #: Bytes of a window; widths and number of filters for each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
-#: Labels learned (the most frequent), documents for each, windows of a document: the bounds of the training sample.
-MAX_LABELS, DOCS_PER_LABEL, WINDOWS_PER_DOC = 64, 400, 4
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
+#: The bounds of the training sample: documents of a label, of all labels together (but one for each label at least), windows of a document.
+DOCS_PER_LABEL, DOCS, WINDOWS_PER_DOC = 400, 12_800, 4
+#: Passes over the sample and steps at least, rows of a step, its size.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 600, 64, 0.004, 7
 UNDETERMINED = "und"
 
 
@@ -90,7 +91,7 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str]) -> Model:
     names = ["vectors", "filters", "bias", "out", "out_bias"]
     first, second, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     widest = max(WIDTHS)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(windows)))):
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
@@ -129,15 +130,20 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, text: str, label: str, key: str) -> tuple[np.ndarray, list[str]]:
-    """At most MAX_LABELS labels, about DOCS_PER_LABEL documents of each (all, if fewer) chosen by a hash, WINDOWS_PER_DOC
-    windows spread over each: the bound on what reaches the driver."""
-    rows = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("_text"), F.col(label).alias("_label"), F.col(key).alias("_key"))
-    counts = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(MAX_LABELS)
-    place = F.pmod(F.xxhash64("_key", "_text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(counts, "_label").where(place * F.col("count") < DOCS_PER_LABEL)
+    """DOCS_PER_LABEL documents of each label, chosen by a hash, or as many fewer as keep all to DOCS, but one at least: every label is learned.
+
+    Of each document WINDOWS_PER_DOC windows are taken, spread over it. This is the bound on what reaches the driver: it grows with the
+    list of labels only.
+    """
+    rows = docs.where(quoted(label).isNotNull() & (F.length(quoted(text)) > 0)).select(quoted(text).alias("text"), quoted(label).alias("label"), quoted(key).alias("key"))
+    names = rows.select("label").distinct().count()
+    each = max(1, min(DOCS_PER_LABEL, DOCS // max(names, 1)))
+    # numbered by a window with a limit, which each task first applies to its own rows
+    rank = F.expr("row_number() over (partition by label order by xxhash64(key, text), key)")
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             data, labels = [], []
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = windows_of(t.encode())
@@ -146,12 +152,13 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str) -> tuple[n
                     labels.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(labels, pa.string())], ["window", "label"])
 
-    found = sorted((r.label, bytes(r.window)) for r in chosen.select("_text", "_label").mapInArrow(cut, "window binary, label string").collect())
+    found = sorted((r.label, bytes(r.window)) for r in chosen.mapInArrow(cut, "window binary, label string").collect())
     return np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW), [name for name, _ in found]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model | None:
-    """A model of the labels of ``docs`` (rows with a null label or no text teach nothing); None if there is no such row."""
+    """A model of all labels of ``docs``; rows with a null label or no text teach nothing, repeated rows count as often as they stand. None if
+    there is nothing to learn from, as in an empty table. Other columns of ``docs`` are not read."""
     windows, names = training_sample(docs, text, label, key)
     if not names:
         return None
@@ -162,7 +169,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``: the label of highest mean probability over all windows of the text.
 
-    ``und`` with score 0 where the text is null or has no letters, or nothing was learned. Columns of these names are replaced.
+    ``und`` with score 0 where the text is null or has no letters, or nothing was learned. Columns of these names are replaced, in any case.
+    Repeated rows each get the same label; an empty table gives an empty result; long texts are read whole.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -37,3 +37,17 @@ def test_tables_give_what_the_network_gives():
     z = np.maximum(m.pooled(w)[1], 0) @ m.out + m.out_bias
     z = np.exp(z - z.max(1, keepdims=True))
     assert np.allclose(m.predict(w), z / z.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_every_label_is_learned(spark):
+    """Seventy labels, one of which holds most rows; each is predicted where its own words stand."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k * 7 % 26)}" for k in range(70)]
+    rows = [(1000 * k + i, f"{w} " * (20 + i), f"l{k:02}") for k, w in enumerate(words) for i in range(400 if k == 0 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.labels == [f"l{k:02}" for k in range(70)]
+    _, names = langid.training_sample(df, "text", "lang", "doc_id")
+    assert names.count("l00") <= langid.DOCS // 70 * langid.WINDOWS_PER_DOC
+    some = spark.createDataFrame([(f"{w} " * 30, f"l{k:02}") for k, w in enumerate(words)], "text string, want string")
+    got = langid.predict(some, model).collect()
+    assert sum(r.lang_pred == r.want for r in got) >= 60
