@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, quoted, salted
 from .sharding import ordered, totals
 
 #: Words of a block, output shards, passes over a source at most, weights in turn.
@@ -109,13 +109,14 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
     The words of a source, its rows in the order of key (ties in scan order), are packed in blocks. Slots of the mix are
     mapped to blocks, each pass over a source by a permutation of its own, and meet the rows' parts by block number. Returned:
     the rows (``uid`` numbers them; key, source, size), the pieces of the mix (uid, shard, slot, source_no, block, pass, first,
-    words: which words of the row stand where) and the plan. Rows without words are in no piece. Sources are taken to be few enough to
-    list; all else stays on the executors.
+    words: which words of the row stand where) and the plan. Rows without words are in no piece. The list of sources, a name and some numbers
+    for each, is the only thing that reaches the driver and goes to all tasks: it grows with the sources (64 numbers each), not with the rows.
+    Only key, source and size are read, so other columns of ``df`` may have any name; an empty table gives no rows and no pieces.
 
     With ``together`` a pass takes the blocks as they lie instead of permuted, so a pass that is not full takes the first rows
     in the order of key and cuts one at most: the pieces of a row in a pass are then the row's first words, without a gap.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("src"), F.col(size).alias("n"))
+    rows = df.select(quoted(key).alias("key"), quoted(source).alias("src"), quoted(size).alias("n"))
     laid = ordered(rows, [F.col("src").asc_nulls_last(), F.col("key")])
     spec = plan([(r.src, r.n or 0) for r in laid.groupBy("src").agg(F.sum("n").alias("n")).collect()], block, together=together)
     before, _, _ = totals(laid, "n")
@@ -174,13 +175,14 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
 def taken(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK) -> DataFrame:
     """(key, size, source_size, target, taken) for every row of ``df``: how many of its words the mix takes, repeats counted.
 
-    A null source is a source, last in order; a row without words has taken 0. No row is taken more than PASSES times
-    its size. Reruns agree. An empty table gives an empty result.
+    A null source is a source, last in order; a row without words has taken 0; rows that repeat are each a row of their own. No row is taken more
+    than PASSES times its size. Reruns agree. An empty table gives an empty result. Other columns of ``df``, whatever their names, are left out.
     """
     rows, pieces, spec = mix(df, key, source, size, block)
     sums = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
-    lookup = lambda values, kind: F.element_at(F.array([F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("source_no") + 1)
-    return rows.join(sums, "uid", "left").select(
-        F.col("key").alias(key), F.col("n").alias(size),
-        lookup(spec.sizes, "long").alias("source_size"), lookup(spec.targets, "double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-    )
+    sources = df.sparkSession.createDataFrame(
+        [(i, s, float(t)) for i, (s, t) in enumerate(zip(spec.sizes, spec.targets, strict=True))], "source_no int, source_size long, target double"
+    )
+    # a table of sources, one of which may hold most rows; each is met in several tasks
+    out = salted(rows.join(sums, "uid", "left"), sources, ["source_no"], "uid")
+    return out.select(F.col("key").alias(key), F.col("n").alias(size), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

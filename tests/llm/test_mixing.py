@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aerialframe.llm import mixing, queries
 
@@ -55,3 +56,34 @@ def test_empty(spark):
     assert mixing.taken(df).collect() == []
     one = spark.createDataFrame([(None, None, 0), (None, None, 3)], "doc_id long, source string, size long")
     assert sorted(r.taken for r in mixing.taken(one).collect()) == [0, 3]
+
+
+def plain_taken(rows):
+    """The draw replayed over lists: blocks of each source, its slots dealt to shards, each slot's block by the permutation of its pass."""
+    rows = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    spec = mixing.plan([(s, sum(n for _, t, n in rows if t == s)) for s in names])
+    taken = {k: 0 for k, _, _ in rows}
+    for i, s in enumerate(names):
+        words = [k for k, t, n in rows if t == s for _ in range(n)]
+        for ordinal in range(spec.slots[i]):
+            turn = ordinal // spec.blocks[i]
+            block = int(mixing.permute(np.array([ordinal - turn * spec.blocks[i]]), spec.blocks[i], i * mixing.PASSES + turn)[0])
+            for k in words[block * mixing.BLOCK : (block + 1) * mixing.BLOCK]:
+                taken[k] += 1
+    return taken
+
+
+def test_words_taken_against_a_replay(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [None, "a", "b", "c", "ä", ""][int(r.integers(6))], int(r.integers(0, 300))) for i in range(150)] + [(150, "b", 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash")).withColumn("UID", F.lit(1)).repartition(5)
+    assert {x.doc_id: x.taken for x in mixing.taken(df).collect()} == plain_taken(rows)
+
+
+def test_many_sources(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 1000) as source", "id % 50 as size")
+    rows = mixing.taken(df).collect()
+    assert len(rows) == 3000 and abs(sum(x.taken for x in rows) - sum(x["size"] for x in rows)) < 64 * 1000
+    want = {x.source: x.t for x in mixing.taken(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("t")).collect()}
+    assert abs(sum(want.values()) - sum(x["size"] for x in rows)) < 1
