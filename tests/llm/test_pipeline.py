@@ -70,3 +70,24 @@ def test_mixture_words_meet_targets(spark):
         assert x.n_chars == len(x.text) > 0 and texts[x.doc_id].startswith(x.text)
         assert x.text == texts[x.doc_id] or not x.text[-1].isspace()
     assert max(sum(x.doc_id == i for x in rows) for i in size) <= mixing.PASSES
+
+
+def test_language_without_labels_and_with_many(spark):
+    rows = [(1, "plain words", None, "a", 11), (2, "123 !?", None, "a", 6), (3, None, None, "a", None), (4, "été", None, None, 3)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(40)]
+    rows = [(100 * k + i, f"{w} " * (10 + i), f"l{k}", "a", 1) for k, w in enumerate(words) for i in range(9)]
+    mixed = [(9000 + i, " ".join(words[i : i + 3] * 20), None, "a", 1) for i in range(5)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows + mixed, COLUMNS), "").collect()}
+    assert {r[0] for r in mixed} <= kept and len(kept) >= 0.99 * len(rows + mixed)
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns with the names that stages use inside come out as they went in."""
+    extra = ["_row", "row", "size", "words", "passes", "key", "spans", "marks", "lang_pred", "score", "fp", "node", "label", "_node"]
+    rows = [(i, f"the cat number {i} and the dog w{i * i} are here u{i}@mail.org with v{i * 31} today", "en", f"s{i % 3}", 1, *[f"{n}{i}" for n in extra]) for i in range(40)]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", `{n}` string" for n in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "").collect()
+        assert out and all(r[n] == f"{n}{r.doc_id}" for r in out for n in extra), name
