@@ -37,14 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted(big: DataFrame, small: DataFrame, on: list[str], by: str | list[str], how: str = "inner", salts: int = 8) -> DataFrame:
-    """A join of ``big`` with one row of ``small`` for each ``on``, whose rows are repeated so that a hot key is dealt to ``salts`` tasks
-    by the hash of ``by``. No side has a column ``_salt``."""
-    deal = F.pmod(F.xxhash64(F.lit(11), *([by] if isinstance(by, str) else by)), F.lit(salts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return big.withColumn("_salt", deal).join(small.withColumn("_salt", every), [*on, "_salt"], how).drop("_salt")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underlines before it until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -53,6 +45,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def salted(big: DataFrame, small: DataFrame, on: list[str], by: str | list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """A join of ``big`` with one row of ``small`` for each ``on``, whose rows are repeated so that a hot key is dealt to ``salts`` tasks
+    by the hash of ``by``."""
+    name = free_name(big, "_salt")
+    deal = F.pmod(F.xxhash64(F.lit(11), *([by] if isinstance(by, str) else by)), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return big.withColumn(name, deal).join(small.withColumn(name, every), [*on, name], how).drop(name)
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, whatever signs it holds."""
     return F.col(f"`{name.replace('`', '``')}`")

@@ -8,6 +8,7 @@ import hashlib
 import io
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, salted, small_batches
 
-#: Records that one archive file holds at most.
-FILE_RECORDS = 2000
+#: Compressed bytes of a file, beyond which no record is begun.
+FILE_BYTES = 16 << 20
+#: Bytes of repeated digests and what goes with them up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Date of the records written, the same at every run.
 DATE = "2024-01-01T00:00:00Z"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(binary: Column) -> Column:
@@ -32,78 +36,101 @@ def base32_sha1(binary: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds payload_bytes, payload_digest, record_type and refers_to to (page_id, url, payload).
+    """Adds payload_bytes, payload_digest, record_type, refers_to and refers_to_uri to ``pages`` (page_id, url, payload and any others).
 
-    Headers are grouped by digest for the smallest page_id, which every page of that digest then meets in a join. Of the
-    pages with equal payloads of ``min_bytes`` or more the one with the smallest page_id is ``response``, the others
+    Headers alone are shuffled by digest, for the smallest page_id. Pages then meet the digests that stand more than once: by a broadcast
+    if those take BROADCAST_BYTES at most, so payloads stay where they are, else by a shuffle in which a digest's pages are dealt to
+    several tasks. Of the pages with equal payloads of ``min_bytes`` or more the one with the smallest page_id is ``response``, the others
     ``revisit`` it; smaller payloads are all ``response``. A null payload is empty. A row that repeats the smallest
     page_id with the same payload is a response too. Among equal payloads a null page_id counts as larger than any
-    number; where all are null each is a response.
+    number; where all are null each is a response. Columns with the names of the new ones are replaced; an empty table gives an empty one.
     """
+    pages = pages.drop("payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_uri")
     payload = F.coalesce("payload", F.lit("")).cast("binary")
     pages = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": base32_sha1(payload)})
-    first = pages.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return (
-        pages.join(first, "payload_digest")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("first_id")))
-        .drop("first_id")
-    )
-
-
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
-
-
-def records(resolved: DataFrame) -> DataFrame:
-    """The text of each WARC/1.1 record, without the two line ends that close it.
-
-    A revisit holds the HTTP header of the page only, whose Content-Length is that of the whole payload.
-    """
-    is_revisit = F.col("record_type") == "revisit"
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.concat(http, F.when(is_revisit, "").otherwise(F.coalesce("payload", F.lit(""))))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(DATE)),
-        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]+", "%20")), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(
-            is_revisit,
-            F.concat(
-                line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                line("WARC-Refers-To", _record_id(F.col("refers_to"))),
-            ),
-        ).otherwise(""),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        F.lit("Content-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(END),
-    )
-    return resolved.select(F.concat(header, block).alias("record"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("url").alias("uri")))
+    first = pages.select("payload_digest", "page_id", "url").groupBy("payload_digest").agg(least.alias("first"), F.count("*").alias("n"))
+    name = free_name(pages, "first")
+    first = cut(first.where("n > 1").select("payload_digest", F.struct("first.id", "first.uri").alias(name)))
+    size = first.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(name)["uri"]), F.lit(0)) + 100), F.lit(0))).first()[0]
+    met = pages.join(F.broadcast(first), "payload_digest", "left") if size <= BROADCAST_BYTES else salted(pages, first, ["payload_digest"], "page_id", "left")
+    told = F.col(name)
+    revisit = (F.col("payload_bytes") >= min_bytes) & told.isNotNull() & ~F.col("page_id").eqNullSafe(told["id"])
+    return met.withColumns(
+        {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, told["id"]), "refers_to_uri": F.when(revisit, told["uri"])}
+    ).drop(name)
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """Names a record by page, payload and address; rows equal in all three are one record and share its name."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}:{zlib.crc32((url or '').encode()):08x}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, refers_to_uri: str | None, payload: bytes) -> bytes:
+    """A WARC/1.1 record without the line ends that close it. A revisit holds the HTTP header of the page only, whose Content-Length is
+    that of the whole payload."""
+    uri = lambda u: re.sub(r"[\x00-\x20]+", "%20", u)
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block += payload if kind == "response" else b""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}"]
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {uri(url)}")
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if kind == "revisit":
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_to_uri, digest)}", f"WARC-Refers-To-Date: {DATE}"]
+        if refers_to_uri is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {uri(refers_to_uri)}")
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + block
+
+
+def _member(data: bytes) -> bytes:
+    return gzip.compress(data, 6, mtime=0)
+
+
+def packs(resolved: DataFrame) -> DataFrame:
+    """(pack): records as gzip members, FILE_BYTES of them in a row and the one that passes it; the line ends that close the last are left to
+    the writer."""
+    names = ["record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to", "refers_to_uri", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([*held, _member(last)])], pa.binary())], ["pack"])
+
+        held: list[bytes] = []
+        size, last = 0, None
+        for b in small_batches(batches, 64):
+            for *head, payload in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True):
+                if last is not None and size >= FILE_BYTES:
+                    yield pack()
+                    held, size = [], 0
+                elif last is not None:
+                    held.append(_member(last + END))
+                    size += len(held[-1])
+                last = record(*head, (payload or "").encode())
+        if last is not None:
+            yield pack()
+
+    return resolved.select(*names).mapInArrow(run, "pack binary")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write ``pages`` (page_id, url, payload) as deduplicated, gzipped WARC files under ``path``.
+    """Write ``pages`` (page_id, url, payload) as deduplicated WARC files under ``path``, a gzip member for each record.
 
-    Spark's own text writer puts the files, so any store that Spark reaches will do; a record's closing line ends are the
-    line separator. Files take their records from the join as it is partitioned, FILE_RECORDS at most.
+    Spark's own text writer puts the files, so any store that Spark reaches will do and a lost task leaves nothing behind: a line is a pack
+    of members, a file holds one, and the line separator is a member of its own with the line ends that close the last record. Nulls and repeated
+    rows: see ``resolve``. An empty table writes no records.
     """
-    (
-        records(resolve(pages, min_bytes))
-        .write.mode("overwrite").options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
-    )
+    lines = packs(resolve(pages.select("page_id", "url", "payload"), min_bytes)).select(F.col("pack").cast("string"))
+    lines.write.mode("overwrite").options(lineSep=_member(END).decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path``: page_id, record_type, refers_to, payload_bytes, payload_digest, payload, intact.
 
     Lengths come from Content-Length alone, so payloads may hold anything. For a response the length and digest are those of the
-    bytes read, and ``intact`` tells if they agree with its header; a revisit states those of the page it refers to.
+    bytes read, and ``intact`` tells if they agree with its header; a revisit states those of the page it refers to, its payload is null.
+    Archives without records give no rows. A row sent to Python is a whole file, which FILE_BYTES bounds.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +143,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _page(value: bytes | None) -> int | None:
-    m = re.fullmatch(rb"<urn:page:(-?[0-9]+)>", value or b"")
+    m = re.fullmatch(rb"<urn:page:(-?[0-9]+):[A-Z2-7]{32}:[0-9a-f]{8}>", value or b"")
     return int(m[1]) if m else None
 
 
