@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Pivots, and how many rows they are picked from; the scale of the whole numbers.
-PIVOTS, PIVOT_ROWS, SCALE = 64, 1024, 1024.0
+#: Pivots at least and at most (in between their number is the square root of the rows), rows that they are picked from for each; the
+#: scale of the whole numbers.
+PIVOTS, MOST_PIVOTS, PIVOT_ROWS, SCALE = 64, 1024, 4, 1024.0
 #: Groups of queries, at most; queries that one group is worth; candidates of one local join.
 GROUPS, GROUP_QUERIES, BLOCK_ROWS = 64, 2048, 20_000
 
@@ -42,11 +44,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> pd.DataFrame:
-    """For each query its k best rows of another id: highest product, then smallest id."""
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> list[np.ndarray]:
+    """(query_id, vec_id, score) as three arrays: for each query its k best rows of another id, highest product, then smallest id."""
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
-    out = []
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
     for a in range(0, len(queries), block):
         score = products(queries[a : a + block], rows)
         own = ids[None, :] == query_ids[a : a + block, None]
@@ -57,8 +59,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
                 least = np.partition(s[at], len(at) - k)[len(at) - k]
                 above, equal = at[s[at] > least], at[s[at] == least]
                 at = np.concatenate([above, equal[: k - len(above)]])  # ids ascend
-            out.append(pd.DataFrame({"query_id": query_ids[a + i], "vec_id": ids[at], "score": s[at]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            for column, found in zip(out, (np.full(len(at), query_ids[a + i]), ids[at], s[at]), strict=True):
+                column.append(found)
+    return [np.concatenate(c) for c in out]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -76,9 +79,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n or not dim or dim < 1:
         return empty
-    picked = data.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).collect()
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n)))
+    picked = data.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS * wanted).collect()
     pivots = np.unique(matrix([r.v for r in picked], dim), axis=0)
-    pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:PIVOTS]]
+    pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:wanted]]
     p = len(pivots)
     half = (pivots**2).sum(1) / 2
 
@@ -138,9 +142,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     most, least, norm = np.full((p, p), -np.inf), np.full(p, np.inf), np.zeros(p)
     count = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
     parts = asked.mapInArrow(bounds, "cell int, least double, norm double, most array<double>")
-    merged = parts.groupBy("cell").agg(F.min("least").alias("least"), F.max("norm").alias("norm"), *[F.max(F.col("most")[j]).alias(f"m{j}") for j in range(p)])
-    for r in merged.collect():
-        least[r.cell], norm[r.cell], most[r.cell] = r["least"], r["norm"], [r[f"m{j}"] for j in range(p)]
+
+    def merge(t: pa.Table) -> pa.Table:
+        highest = np.max(np.array(t.column("most").to_pylist()), 0)
+        found = {"cell": t.column("cell")[0].as_py(), "least": min(t.column("least").to_pylist()), "norm": max(t.column("norm").to_pylist()), "most": highest.tolist()}
+        return pa.Table.from_pylist([found], t.schema)
+
+    for r in parts.groupBy("cell").applyInArrow(merge, "cell int, least double, norm double, most array<double>").collect():
+        least[r.cell], norm[r.cell], most[r.cell] = r["least"], r["norm"], r["most"]
 
     # neighbouring query cells share a group: cells in the order of their products with the first pivot's cell
     groups = min(GROUPS, -(-n_queries // GROUP_QUERIES))
@@ -149,9 +158,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
         group[c] = min(groups - 1, total * groups // n_queries)
         total += count.get(c, 0)
     used = np.array(sorted(count))
-    blocks = -(-n // BLOCK_ROWS)
     slack = 1e-6 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
 
+    # blocks of a group: by the rows of the cells of which it may need any
+    sizes, farthest = np.zeros(p, np.int64), np.zeros(p)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("dist")).collect():
+        sizes[r.cell], farthest[r.cell] = r.n, r.dist
+    needed = ~(most[used] + norm[used][:, None] * farthest < (least - slack)[used][:, None])
+    blocks = [max(1, -(-int(sizes[needed[group[used] == g].any(0)].sum()) // BLOCK_ROWS)) for g in range(groups)]
+
     def replicate(batches):
         for b in batches:
             cell, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
@@ -164,15 +179,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), b.column(0).take(at), b.column(1).take(at)], ["grp", "id", "v"])
 
-    sent = placed.mapInArrow(replicate, "grp int, id long, v array<double>").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    group_of = F.element_at(F.array([F.lit(int(g)) for g in group]), F.col("cell") + 1)
-    asked = asked.select(group_of.alias("grp"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    blocks_of = F.element_at(F.array([F.lit(b) for b in blocks]), F.col("grp") + 1)
+    sent = placed.mapInArrow(replicate, "grp int, id long, v array<double>")
+    sent = sent.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), blocks_of).cast("int"))
+    cell_groups = df.sparkSession.createDataFrame(list(enumerate(group.tolist())), "cell int, grp int")
+    asked = asked.join(F.broadcast(cell_groups), "cell").select("grp", "id", "v", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"))
 
-    def solve(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return best(matrix(q.v, dim), q.id.to_numpy(), matrix(c.v, dim), c.id.to_numpy(), k)
+    def solve(q: pa.Table, c: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)] * 3
+        if q.num_rows and c.num_rows:
+            vectors = [matrix(t.column("v").combine_chunks(), dim) for t in (q, c)]
+            found = best(vectors[0], q.column("id").to_numpy(), vectors[1], c.column("id").to_numpy(), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    local = asked.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    local = asked.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int")
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
