@@ -118,7 +118,8 @@ def read_tensors(data: bytes) -> pa.Table:
 def encode(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``media``: the UTF-8 bytes of ``text``, filled with zeros to a positive multiple of 64, as 8-bit WAV samples.
 
-    A null text is empty (64 zeros). A column ``media`` of ``df`` is replaced.
+    A null text is empty (64 zeros). A column ``media`` of ``df`` is replaced, in any case; others stay. Repeated rows each get the same media; an
+    empty table gives an empty one; texts are stored whole, however long.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -132,7 +133,8 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with what its WAV column holds: ``payload`` (samples), ``tensors``, ``n_frames``, ``segments``, ``mean_log_mel``.
 
     ``tensors`` is an Arrow stream with a fixed-shape tensor column (see ``read_tensors``); ``segments`` are spans in
-    milliseconds. Equal media give equal values. A null media gives nulls. Columns of these names in ``df`` are replaced.
+    milliseconds. Equal media give equal values, in repeated rows too. A null media gives nulls; an empty table gives an
+    empty one. Columns of these names in ``df`` are replaced, in any case.
     """
     names = ["payload", "tensors", "n_frames", "segments", "mean_log_mel"]
     spans = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))

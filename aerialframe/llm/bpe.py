@@ -233,7 +233,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame
 
     ``token_ids`` are little-endian unsigned 32-bit integers; ``token_ends`` are 64-bit ones, the byte of the UTF-8 text at
     which each token ends, so any span of tokens maps back to the text. A null text is empty and has no tokens; texts of any length are
-    encoded whole. Columns of these names in ``df`` are replaced.
+    encoded whole. Columns of these names in ``df`` are replaced, in any case. Repeated rows each get the same ids; an empty table gives an empty one.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -246,7 +246,10 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame
 
 
 def decode(df: DataFrame, vocabulary_path: str, token_ids: str = "token_ids") -> DataFrame:
-    """``df`` with ``decoded`` (binary), the bytes of the tokens in order; null ids give empty bytes."""
+    """``df`` with ``decoded`` (binary), the bytes of the tokens in order; null ids give empty bytes, repeated rows the same.
+
+    A column ``decoded`` of ``df`` is replaced, in any case; others stay. An empty table gives an empty one.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         tokens = vocabulary(vocabulary_path).tokens

@@ -66,6 +66,12 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) ->
             yield b.slice(a, rows)
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow``, which alone would read a dot in a column's name as a field of a struct."""
+    given = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(given))]).mapInArrow(lambda batches: fn(b.rename_columns(given) for b in batches), schema)
+
+
 def with_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
     """``df`` with the columns of ``schema``, which ``fn`` computes from some rows at a time.
 
@@ -84,7 +90,7 @@ def with_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.Rec
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [made[n] for n in names], labels)
 
-    return df.mapInArrow(run, out)
+    return map_batches(df, run, out)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

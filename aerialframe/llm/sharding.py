@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, free_name, map_batches
 
 
 def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,8 +18,9 @@ def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
 
     The row's place in the scan is the last key, so many rows with equal keys still spread over partitions.
     """
-    df = df.withColumn("_tie", F.monotonically_increasing_id())
-    return cut(df.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie").withColumn("pid", F.spark_partition_id()))
+    tie = free_name(df, "_tie")
+    df = df.withColumn(tie, F.monotonically_increasing_id())
+    return cut(df.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie).withColumn("pid", F.spark_partition_id()))
 
 
 def totals(df: DataFrame, value: str) -> tuple[dict[int, tuple[int, int]], int, int]:
@@ -40,8 +41,9 @@ def shard_by_bytes(df: DataFrame, shards: int, size: str = "size", keys: list[st
     Rows are put in the order of ``keys`` (default ``doc_id``; nulls first, ties in scan order) and their sizes summed from
     the front. A row belongs to the shard in whose equal share of the bytes its middle lies, so shards are contiguous, and
     differ in bytes by no more than the two rows at their ends. ``size`` must be a non-null long, at least 0. Rows whose
-    sizes are all 0 go to shard 0. Columns ``pid``, ``shard`` and ``slot`` of the input are replaced. No row is
-    dropped; an empty table gives an empty result.
+    sizes are all 0 go to shard 0. Columns ``pid``, ``shard`` and ``slot`` of the input are replaced, in any case; others stay. No row is
+    dropped, repeated ones neither; an empty table gives an empty result. What reaches the driver are three numbers for each partition, and
+    for each shard one for each partition that it begins or ends in: it grows with the partitions, not with the rows.
     """
     laid = ordered(df.drop("pid", "shard", "slot"), keys or ["doc_id"])
     before, total, _ = totals(laid, size)
@@ -60,7 +62,7 @@ def shard_by_bytes(df: DataFrame, shards: int, size: str = "size", keys: list[st
             shard = middle * shards // max(total, 1) if total * shards < 2**63 else np.floor(middle / max(total, 1) * shards).astype(np.int64)
             yield b.append_column("shard", pa.array(np.clip(shard, 0, shards - 1).astype(np.int32)))
 
-    out = cut(laid.mapInArrow(place, T.StructType([*laid.schema.fields, T.StructField("shard", T.IntegerType())])))
+    out = cut(map_batches(laid, place, T.StructType([*laid.schema.fields, T.StructField("shard", T.IntegerType())])))
     # the rows of a shard within one partition are contiguous: a shard has at most one run per partition
     runs = out.groupBy("shard", "pid").agg(F.count("*").alias("n")).orderBy("shard", "pid").collect()
     start: dict[tuple[int, int], int] = {}
@@ -83,4 +85,4 @@ def shard_by_bytes(df: DataFrame, shards: int, size: str = "size", keys: list[st
                 nxt[int(k), pid] += int(mine.sum())
             yield b.append_column("slot", pa.array(slot))
 
-    return out.mapInArrow(number, T.StructType([*out.schema.fields, T.StructField("slot", T.LongType())])).drop("pid")
+    return map_batches(out, number, T.StructType([*out.schema.fields, T.StructField("slot", T.LongType())])).drop("pid")

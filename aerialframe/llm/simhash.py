@@ -46,7 +46,10 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3, text: str = "text") -> DataFrame:
-    """``df`` with ``fp``, the 64-bit SimHash of its word shingles as a signed long. A null or wordless text has 0."""
+    """``df`` with ``fp``, the 64-bit SimHash of its word shingles as a signed long. A null or wordless text has 0.
+
+    Repeated rows each get the same value; a column ``fp`` of ``df`` is replaced, in any case; an empty table gives an empty one.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         found = np.array([majority(shingle_hashes(t, words)) for t in texts(batch, text)], np.uint64)
@@ -215,7 +218,8 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, key: str = "
     ``fingerprint`` has 16 lower-case hex digits. Rows whose fingerprints differ in ``radius`` bits or fewer are linked;
     ``component_id`` is the smallest key reachable over links, the row's own included (null only where all those are null).
     Null, empty and wordless texts share fingerprint zero, which is linked like any other. Repeated rows each get the same
-    result. Equal fingerprints are first made one; components are found on distinct fingerprints, never on the driver.
+    result. Equal fingerprints are first made one; components are found on distinct fingerprints, never on the driver. Only ``key`` and
+    ``text`` are read, so other columns may have any name; an empty table gives an empty one.
     """
     rows = cut(fingerprints(df.select(quoted(key).alias("key"), quoted(text).alias("text")), words).drop("text"))
     classes = rows.groupBy("fp").agg(F.min("key").alias("first"))
