@@ -130,17 +130,18 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, text: str, label: str, key: str) -> tuple[np.ndarray, list[str]]:
-    """DOCS_PER_LABEL documents of each label, chosen by a hash, or as many fewer as keep all to DOCS, but one at least: every label is learned.
+    """About DOCS_PER_LABEL documents of each label (all, if fewer), chosen by a hash, or as many fewer as keep all to DOCS, but one at least: every
+    label is learned.
 
     Of each document WINDOWS_PER_DOC windows are taken, spread over it. This is the bound on what reaches the driver: it grows with the
     list of labels only.
     """
     rows = docs.where(quoted(label).isNotNull() & (F.length(quoted(text)) > 0)).select(quoted(text).alias("text"), quoted(label).alias("label"), quoted(key).alias("key"))
-    names = rows.select("label").distinct().count()
-    each = max(1, min(DOCS_PER_LABEL, DOCS // max(names, 1)))
-    # numbered by a window with a limit, which each task first applies to its own rows
-    rank = F.expr("row_number() over (partition by label order by xxhash64(key, text), key)")
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "label")
+    # a document's place between 0 and 1; the first of each label is always taken
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30))
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    each = max(1, min(DOCS_PER_LABEL, DOCS // max(labels.count(), 1)))
+    chosen = rows.join(labels, "label").where((F.col("place") * F.col("n") < each) | (F.col("place") == F.col("first"))).select("text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):

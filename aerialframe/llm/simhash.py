@@ -263,20 +263,26 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarities of a set with each of the others; 1 for two empty sets."""
+def overlaps(one: np.ndarray, others: list[np.ndarray], block: int = 1 << 18) -> np.ndarray:
+    """Jaccard similarities of a set with each of the others; 1 for two empty sets. ``block`` bounds the hashes looked up at once."""
     sizes = np.array([len(x) for x in others], np.int64)
     both = np.zeros(len(others), np.int64)
-    if len(one) and sizes.sum():
-        every = np.concatenate(others)
-        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
-        both = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])])
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(others) and len(one):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block, "right")))
+        every = np.concatenate(others[a:b])
+        if len(every):
+            hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+            edges = np.concatenate([[0], np.cumsum(sizes[a:b])])
+            both[a:b] = np.diff(np.concatenate([[0], np.cumsum(hit)])[edges])
+        a = b
     union = len(one) + sizes - both
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
 #: Members that one copy of a hub's text is compared with; sides of the blocks in which what is left of a bucket is compared.
-HUB_ROWS, OPEN_ROWS, MEMBER_ROWS = 512, 64, 512
+HUB_ROWS, OPEN_ROWS, MEMBER_ROWS = 512, 64, 256
 
 
 def similar(pairs: DataFrame, contents: DataFrame, words: int, similarity: float) -> DataFrame:
