@@ -87,8 +87,8 @@ GAPS = f"""{GAP_CELLS}, red AS (SELECT flight_id, row, col, row * 1000000 + col
     FROM comp c JOIN red USING (flight_id, k) JOIN grid USING (flight_id) GROUP BY ALL))"""
 
 
-def _survey(spark: SparkSession, sf_dir: str, cell: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = derived.inspected(spark, sf_dir)
+def _survey(spark: SparkSession, sf_dir: str, cell: float, ordered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = derived.inspected(spark, sf_dir, ordered)
     grids = coverage.grid(p, cell)
     return p, grids, coverage.cells(p, grids)
 
@@ -153,7 +153,7 @@ def missing_gps(spark, sf_dir):
 
 @query(f"{WITH} SELECT flight_id, photo_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY epoch_ms(capture_ts), file_name) - 1 AS INTEGER) AS seq FROM photos")
 def flight_order(spark, sf_dir):
-    return photos.flight_order(derived.inspected(spark, sf_dir)).select("flight_id", "photo_id", "seq")
+    return photos.flight_order(derived.inspected(spark, sf_dir, ordered=True)).select("flight_id", "photo_id", "seq")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 0 WHEN event_id % 4 = 2 THEN 1 ELSE 3 END AS tier,
@@ -319,8 +319,8 @@ OVERLAPS = f"""{RADII}, quads AS (
 
 @query(f"{OVERLAPS} SELECT flight_id, a, b, round(overlap, 6) + 0.0 AS overlap FROM shared")
 def overlap_fraction(spark, sf_dir):
-    p, _, pairs = _near(spark, sf_dir)
-    return neighbors.overlap(pairs, p).withColumn("overlap", F.round("overlap", 6))
+    p = photos.stitchable(derived.inspected(spark, sf_dir))
+    return neighbors.overlaps_within(p, neighbors.radius(p)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"""{OVERLAPS}, seen AS (SELECT flight_id, a AS me, b AS other, overlap FROM shared WHERE overlap > 0.3 UNION ALL SELECT flight_id, b, a, overlap FROM shared WHERE overlap > 0.3
@@ -456,7 +456,7 @@ def mean_gsd(spark, sf_dir):
 
 @query()
 def geojson_features(spark, sf_dir):
-    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M, ordered=True)
     return photos.path_features(p).unionByName(coverage.cell_features(counts, grids))
 
 

@@ -13,8 +13,8 @@ M_PER_DEG = EARTH_RADIUS_M * math.pi / 180
 
 
 def finite(c: Column) -> Column:
-    """Neither null, NaN nor infinite."""
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    """Neither null, NaN nor infinite. ``c`` stands here once, as filters copy it; NaN counts as more than infinity."""
+    return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
 
 
 def ground_coverage(altitude: Column, focal: Column, sensor_w: Column, sensor_h: Column) -> tuple[Column, Column]:
@@ -38,23 +38,26 @@ def from_local(east: Column, north: Column, lat0: Column, lon0: Column) -> tuple
     return lon0 + east / (M_PER_DEG * F.cos(F.radians(lat0))), lat0 + north / M_PER_DEG
 
 
-def footprint(lat: Column, lon: Column, altitude: Column, yaw: Column, focal: Column, sensor_w: Column, sensor_h: Column) -> Column:
-    """Closed ring of five [lon, lat]: bottom left, bottom right, top right, top left of the ground seen, turned clockwise by yaw.
+def footprint_steps(lat: Column, lon: Column, altitude: Column, yaw: Column, focal: Column, sensor_w: Column, sensor_h: Column) -> list[dict[str, Column]]:
+    """The footprint in three steps, each a set of columns that the next one reads, so that no expression is written out for every corner.
 
-    Null if any input is null, altitude or focal length is not above 0, position or yaw is not finite, or the ground seen is not
-    finite and above 0.
+    First the ground seen and the direction, then half of its sides as vectors in degrees, then ``footprint``: a closed ring of five [lon, lat]
+    (bottom left, bottom right, top right, top left of the ground seen, turned clockwise by yaw). Null if any input is null, altitude or
+    focal length is not above 0, position or yaw is not finite, or the ground seen is not finite and above 0.
     """
     w, h = ground_coverage(altitude, focal, sensor_w, sensor_h)
-    sin, cos = F.sin(F.radians(yaw)), F.cos(F.radians(yaw))
-
-    def corner(sx: float, sy: float) -> Column:
-        x, y = w * sx, h * sy
-        return F.array(*offset(lat, lon, x * cos + y * sin, y * cos - x * sin))
-
-    a = corner(-0.5, -0.5)
-    ring = F.array(a, corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5), a)
-    known = (altitude > 0) & (focal > 0) & finite(lat) & finite(lon) & finite(yaw) & finite(w) & finite(h) & (w > 0) & (h > 0)
-    return F.when(known, ring)
+    c = F.col
+    first = {"_w": w / 2, "_h": h / 2, "_sin": F.sin(F.radians(yaw)), "_cos": F.cos(F.radians(yaw)), "_east": 180 / math.pi / (EARTH_RADIUS_M * F.cos(F.radians(lat)))}
+    known = (altitude > 0) & (focal > 0) & finite(lat) & finite(lon) & finite(yaw)
+    seen = lambda x: (x > 0) & (x < float("inf"))
+    north = 180 / math.pi / EARTH_RADIUS_M
+    second = {
+        "_known": known & seen(c("_w")) & seen(c("_h")),
+        "_ux": c("_w") * c("_cos") * c("_east"), "_uy": -c("_w") * c("_sin") * north, "_vx": c("_h") * c("_sin") * c("_east"), "_vy": c("_h") * c("_cos") * north,
+    }
+    corner = lambda u, v: F.array(lon + u * c("_ux") + v * c("_vx"), lat + u * c("_uy") + v * c("_vy"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    return [first, second, {"footprint": F.when(c("_known"), ring)}]
 
 
 def corners(ring: Column) -> list[tuple[Column, Column]]:

@@ -80,37 +80,23 @@ def warp(pixels: np.ndarray, to_source: np.ndarray, x0: int, y0: int, width: int
 def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Areas that convex quadrilaterals a and b (n x 4 x 2, counter-clockwise) have in common, for all pairs at once.
 
-    Each polygon is cut by the four half planes of its partner. Polygons are held with a count of their points; four cuts of a
-    quadrilateral leave eight points at most.
+    By Green's theorem: each side is cut to its part inside the other quadrilateral, from lo to hi along it, and these parts enclose the
+    common area. A side that lies on one of the other's in the same direction counts once, for a; in the opposite direction not at all.
     """
-    n = len(a)
-    poly, count = np.zeros((n, 9, 2)), np.full(n, 4)
-    poly[:, :4] = a
-    row = np.arange(n)
-    for k in range(4):
-        p, q = b[:, k], b[:, (k + 1) % 4]
-        side = q - p
-        new, n_new = np.zeros_like(poly), np.zeros(n, int)
-        inside = (side[:, None, 0] * (poly[..., 1] - p[:, None, 1]) - side[:, None, 1] * (poly[..., 0] - p[:, None, 0])) >= 0
-        for j in range(8):
-            live = j < count
-            last = np.where(j > 0, j - 1, count - 1).clip(0)
-            cur, prev = poly[:, j], poly[row, last]
-            cur_in, prev_in = inside[:, j], inside[row, last]
-            d = prev - cur
-            denom = d[:, 0] * (p[:, 1] - q[:, 1]) - d[:, 1] * (p[:, 0] - q[:, 0])
-            parallel = np.abs(denom) < 1e-12
-            t = ((prev[:, 0] - p[:, 0]) * (p[:, 1] - q[:, 1]) - (prev[:, 1] - p[:, 1]) * (p[:, 0] - q[:, 0])) / np.where(parallel, 1, denom)
-            cross = np.where(parallel[:, None], cur, prev - t[:, None] * d)
-            for take, point in ((live & (cur_in != prev_in), cross), (live & cur_in, cur)):
-                at = np.flatnonzero(take & (n_new < 9))
-                new[at, n_new[at]] = point[at]
-                n_new[at] += 1
-        poly, count = new, n_new
-    follow = np.where(np.arange(9) + 1 < count[:, None], np.arange(9) + 1, 0)
-    nxt = np.take_along_axis(poly, follow[..., None], 1)
-    cross = poly[..., 0] * nxt[..., 1] - nxt[..., 0] * poly[..., 1]
-    return np.abs((cross * (np.arange(9) < count[:, None])).sum(1)) / 2 * (count >= 3)
+    out = np.zeros(len(a))
+    for first, ours, theirs in ((True, a, b), (False, b, a)):
+        d, e = np.roll(ours, -1, 1) - ours, np.roll(theirs, -1, 1) - theirs
+        off = ours[:, :, None] - theirs[:, None]  # n x our corners x their corners x 2
+        left = e[:, None, :, 0] * off[..., 1] - e[:, None, :, 1] * off[..., 0]
+        turn = e[:, None, :, 0] * d[:, :, None, 1] - e[:, None, :, 1] * d[:, :, None, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = -left / turn
+        along = first & ((d[:, :, None] * e[:, None]).sum(3) > 0)
+        outside = (turn == 0) & ((left < 0) | (left == 0) & ~along)
+        lo = np.where(turn > 0, at, np.where(outside, 2, 0)).max(2).clip(0)
+        hi = np.where(turn < 0, at, 1).min(2).clip(None, 1)
+        out += (np.where(hi > lo, hi - lo, 0) * (ours[..., 0] * d[..., 1] - ours[..., 1] * d[..., 0])).sum(1) / 2
+    return np.abs(out)
 
 
 def quad_area(q: np.ndarray) -> np.ndarray:
@@ -174,59 +160,95 @@ def align(start: np.ndarray, scale: np.ndarray, centre: np.ndarray, edges: list[
     """Positions and headings (n x 3: east, north, theta) that agree with their start and with matched points.
 
     An edge (i, j, h, width, height) says that picture i's corners and middle lie at h of them in picture j; what both place on the
-    ground should coincide. Levenberg-Marquardt with Huber weights on the edges, STEPS at most; the best state so far is kept.
+    ground should coincide. Levenberg-Marquardt with Huber weights on the edges, STEPS at most; the best state so far is kept. The normal
+    equations are kept as 3 x 3 blocks, one for each picture and each edge, and solved by conjugate gradients, so memory grows with
+    pictures and edges, not with their square.
     """
-    n = len(start)
+    n, m = len(start), len(edges)
     prior = 1 / np.array([POSITION_SIGMA, POSITION_SIGMA, HEADING_SIGMA])
-    samples = [(i, j, p, apply(h, p)) for i, j, h, w, ht in edges for p in [np.array([[0, 0], [w, 0], [w, ht], [0, ht], [w / 2, ht / 2]], float)]]
-
-    def ground(x: np.ndarray, i: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Points of picture i in metres, and how they turn with its heading."""
-        q = (p - centre[i]) * scale[i]
-        s, c = np.sin(x[i, 2]), np.cos(x[i, 2])
-        e, g = c * q[:, 0] - s * q[:, 1], -s * q[:, 0] - c * q[:, 1]
-        return np.c_[e + x[i, 0], g + x[i, 1]], np.c_[-s * q[:, 0] - c * q[:, 1], -c * q[:, 0] + s * q[:, 1]]
-
-    def residuals(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        grad, hess = np.zeros((n, 3)), np.zeros((n, 3, n, 3))
-        r = (x - start) * prior
-        r[:, 2] = (np.mod(x[:, 2] - start[:, 2] + np.pi, 2 * np.pi) - np.pi) * prior[2]
-        cost = (r**2).sum() / 2
-        grad += r * prior
-        for i in range(n):
-            hess[i, :, i, :] += np.diag(prior**2)
-        for i, j, p, q in samples:
-            (a, da), (b, db) = ground(x, i, p), ground(x, j, q)
-            d = ((a - b) / VISUAL_SIGMA).ravel()
-            size = float(np.linalg.norm(d))
-            weight = 1.0 if size <= HUBER else HUBER / size
-            cost += size**2 / 2 if size <= HUBER else HUBER * (size - HUBER / 2)
-            ji, jj = np.zeros((len(p), 2, 3)), np.zeros((len(p), 2, 3))
-            ji[:, 0, 0] = ji[:, 1, 1] = 1
-            jj[:, 0, 0] = jj[:, 1, 1] = -1
-            ji[:, :, 2], jj[:, :, 2] = da, -db
-            ji, jj = ji.reshape(-1, 3) / VISUAL_SIGMA, jj.reshape(-1, 3) / VISUAL_SIGMA
-            grad[i] += weight * ji.T @ d
-            grad[j] += weight * jj.T @ d
-            hess[i, :, i, :] += weight * ji.T @ ji
-            hess[j, :, j, :] += weight * jj.T @ jj
-            hess[i, :, j, :] += weight * ji.T @ jj
-            hess[j, :, i, :] += weight * jj.T @ ji
-        return cost, grad.ravel(), hess.reshape(3 * n, 3 * n)
+    i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    size = np.array([e[3:5] for e in edges], float).reshape(m, 1, 2)
+    p = size * np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]])
+    q = np.array([apply(e[2], x) for e, x in zip(edges, p, strict=True)]).reshape(m, 5, 2)
+
+    def ground(x: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Points of pictures k in metres, and how they turn with the heading."""
+        r = (at - centre[k][:, None]) * scale[k][:, None, None]
+        s, c = np.sin(x[k, 2])[:, None], np.cos(x[k, 2])[:, None]
+        turned = np.stack([c * r[..., 0] - s * r[..., 1], -s * r[..., 0] - c * r[..., 1]], 2)
+        return turned + x[k, None, :2], np.stack([turned[..., 1], -turned[..., 0]], 2)
+
+    def add(into: np.ndarray, k: np.ndarray, values: np.ndarray) -> None:
+        flat, per = into.reshape(n, -1), values.reshape(len(k), -1)
+        for c in range(per.shape[1]):
+            flat[:, c] += np.bincount(k, per[:, c], n)
+
+    def state(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Cost, gradient (n x 3), blocks of pictures (n x 3 x 3) and of edges (m x 3 x 3)."""
+        r = x - start
+        r[:, 2] = np.mod(r[:, 2] + np.pi, 2 * np.pi) - np.pi
+        r *= prior
+        grad, own = r * prior, np.tile(np.diag(prior**2), (n, 1, 1))
+        if not m:
+            return (r**2).sum() / 2, grad, own, np.empty((0, 3, 3))
+        (a, da), (b, db) = ground(x, i, p), ground(x, j, q)
+        d = ((a - b) / VISUAL_SIGMA).reshape(m, 10)
+        far = np.linalg.norm(d, axis=1)
+        near = far <= HUBER
+        weight = np.where(near, 1.0, HUBER / np.where(near, 1, far))[:, None, None]
+        cost = (r**2).sum() / 2 + np.where(near, far**2 / 2, HUBER * (far - HUBER / 2)).sum()
+        ji, jj = np.zeros((m, 5, 2, 3)), np.zeros((m, 5, 2, 3))
+        ji[:, :, 0, 0] = ji[:, :, 1, 1] = 1
+        jj[:, :, 0, 0] = jj[:, :, 1, 1] = -1
+        ji[..., 2], jj[..., 2] = da, -db
+        ji, jj = ji.reshape(m, 10, 3) / VISUAL_SIGMA, jj.reshape(m, 10, 3) / VISUAL_SIGMA
+        turned = [(x.transpose(0, 2, 1) * weight) for x in (ji, jj)]
+        for k, t, mine in ((i, turned[0], ji), (j, turned[1], jj)):
+            add(grad, k, (t @ d[:, :, None])[..., 0])
+            add(own, k, t @ mine)
+        return cost, grad, own, turned[0] @ jj
+
+    def solve(grad: np.ndarray, own: np.ndarray, cross: np.ndarray) -> np.ndarray:
+        """The step that the blocks ask for, by conjugate gradients with the pictures' own blocks inverted before."""
+        inverse = np.linalg.inv(own)
+
+        def product(v: np.ndarray) -> np.ndarray:
+            out = (own @ v[:, :, None])[..., 0]
+            if m:
+                add(out, i, (cross @ v[j][:, :, None])[..., 0])
+                add(out, j, (v[i][:, None, :] @ cross)[:, 0])
+            return out
+
+        x, r = np.zeros((n, 3)), -grad
+        z = (inverse @ r[:, :, None])[..., 0]
+        v, rz = z, (r * z).sum()
+        enough = 1e-20 * max(rz, 1e-300)
+        for _ in range(min(30 * n, 3000)):
+            if rz <= enough:
+                break
+            av = product(v)
+            step = rz / (v * av).sum()
+            x, r = x + step * v, r - step * av
+            z = (inverse @ r[:, :, None])[..., 0]
+            last, rz = rz, (r * z).sum()
+            v = z + rz / last * v
+        return x
 
     x, damping = start.astype(float).copy(), 1e-4
-    cost, grad, hess = residuals(x)
+    cost, grad, own, cross = state(x)
     for _ in range(STEPS):
         for _ in range(8):
-            step = np.linalg.solve(hess + damping * np.diag(np.diag(hess)), -grad).reshape(n, 3)
-            new = residuals(x + step)
+            damped = own.copy()
+            damped[:, range(3), range(3)] *= 1 + damping
+            step = solve(grad, damped, cross)
+            new = state(x + step)
             if new[0] <= cost:
                 break
             damping *= 10
         else:
             break
         gain, x = (cost - new[0]) / max(cost, 1e-12), x + step
-        cost, grad, hess = new
+        cost, grad, own, cross = new
         damping = max(damping / 10, 1e-9)
         if cost <= 1e-9 or gain < 1e-4:
             break

@@ -2,36 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-RATIO, MIN_CONFIDENCE, MAX_KEYPOINTS = 0.75, 0.2, 2000
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two descriptors held as arrays of longs."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+#: The last: keypoints of a picture that are compared at once.
+RATIO, MIN_CONFIDENCE, MAX_KEYPOINTS, BLOCK = 0.75, 0.2, 2000, 2048
 
 
 def ratio_matches(candidates: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(pair, query_idx, train_idx, distance): the nearest of each query's candidates if it is nearer than ``ratio`` times the second.
 
-    ``candidates`` has pair, query_idx, train_idx, distance. A query with one candidate has no second and does not match. Ties go to the smaller train_idx.
+    ``candidates`` has pair, query_idx, train_idx, distance. A query with one candidate has no second and does not match. Ties go to the smaller
+    train_idx. No query's candidates are gathered: a limit on the rank is applied before and after the shuffle.
     """
-    best = candidates.groupBy("pair", "query_idx").agg(
-        F.min(F.struct("distance", "train_idx")).alias("one"), F.slice(F.array_sort(F.collect_list("distance")), 2, 1).alias("two")
-    )
-    return best.where((F.size("two") == 1) & (F.col("one.distance") < ratio * F.col("two")[0])).select("pair", "query_idx", "one.train_idx", "one.distance")
+    rank = F.expr("row_number() over (partition by pair, query_idx order by distance, train_idx)")
+    two = candidates.select("pair", "query_idx", "train_idx", "distance").withColumn("rank", rank).where(F.col("rank") <= 2)
+    best = two.groupBy("pair", "query_idx").agg(F.min(F.struct("rank", "train_idx", "distance")).alias("one"), F.max("distance").alias("second"), F.count("*").alias("n"))
+    good = (F.col("n") == 2) & (F.col("one.distance") < ratio * F.col("second"))
+    return best.where(good).select("pair", "query_idx", "one.train_idx", "one.distance")
+
+
+def packed(features: DataFrame) -> DataFrame:
+    """(photo_id, block, ids, words): each picture's keypoints in blocks of about BLOCK, numbers and descriptors end to end as 64-bit integers."""
+    count = features.groupBy("photo_id").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
+    block = F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int").alias("block")
+    rows = features.join(count, "photo_id").select("photo_id", block, F.struct("idx", "descriptor").alias("f")).groupBy("photo_id", "block").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    return rows.select("photo_id", "block", F.col("f.idx").alias("ids"), F.flatten("f.descriptor").alias("words"))
 
 
 def knn_ratio(pairs: DataFrame, features: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """Ratio-tested nearest neighbours between the pictures of each pair (pair, a, b), over ``features`` (photo_id, idx, descriptor).
+    """Ratio-tested nearest neighbours between the pictures of each pair (pair, a, b), over ``features`` (photo_id, idx, descriptor: array of longs).
 
-    The candidates of a query are the other picture's keypoints, capped when they were found, so a query's list stays short.
+    Distances are differing bits. Pictures meet as blocks of packed descriptors, and a row of the join gives the two nearest of each query in
+    its block: a pair of pictures is never spread out as pairs of keypoints.
     """
-    side = lambda k, idx, d: features.select(F.col("photo_id").alias(k), F.col("idx").alias(idx), F.col("descriptor").alias(d))
-    both = pairs.join(side("a", "query_idx", "qd"), "a").join(side("b", "train_idx", "td"), "b")
-    return ratio_matches(both.select("pair", "query_idx", "train_idx", hamming(F.col("qd"), F.col("td")).alias("distance")), ratio)
+    blocks = packed(features)
+    side = lambda k: blocks.select(F.col("photo_id").alias(k), F.col("ids").alias(f"{k}_ids"), F.col("words").alias(f"{k}_words"))
+    both = pairs.select("pair", "a", "b").join(side("a"), "a").join(side("b"), "b").select("pair", "a_ids", "a_words", "b_ids", "b_words")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                pair = b.column(0)[r].as_py()
+                qi, qw, ti, tw = (b.column(c)[r].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1, 5))
+                qw, tw = qw.reshape(len(qi), -1).view(np.uint64), tw.reshape(len(ti), -1).view(np.uint64)
+                found: list[list[np.ndarray]] = [[], [], []]
+                for at in range(0, len(qi), 256):
+                    some = qw[at : at + 256]
+                    bits = sum(np.bitwise_count(some[:, None, k] ^ tw[None, :, k]).astype(np.int32) for k in range(qw.shape[1]))
+                    one = bits.argmin(1)  # numbers ascend, so the first of equals
+                    rows = np.arange(len(some))
+                    nearest_ = bits[rows, one].copy()
+                    for k, v in enumerate((qi[at : at + 256], ti[one], nearest_)):
+                        found[k].append(v)
+                    if len(ti) > 1:
+                        bits[rows, one] = 1 << 30
+                        two = bits.argmin(1)
+                        for k, v in enumerate((qi[at : at + 256], ti[two], bits[rows, two])):
+                            found[k].append(v)
+                columns = [np.concatenate(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), pair)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True))], ["pair", "query_idx", "train_idx", "distance"])
+
+    return ratio_matches(both.mapInArrow(nearest, "pair long, query_idx long, train_idx long, distance int"), ratio)
 
 
 def confident(matches: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import M_PER_DEG, ground_coverage
@@ -23,31 +23,32 @@ def radius(photos: DataFrame) -> DataFrame:
     return photos.groupBy("flight_id").agg(F.coalesce(F.max(F.sqrt(w * w + h * h)), F.lit(0.0)).alias("radius_m"), mid.alias("mid_lat"))
 
 
-def within_radius(photos: DataFrame, radii: DataFrame) -> DataFrame:
-    """(flight_id, a, b): photos of one flight, a < b, no more than the flight's radius apart.
+def _near(photos: DataFrame, radii: DataFrame, extra: dict[str, Column]) -> DataFrame:
+    """(flight_id, a, b) of ``within_radius`` with ``extra`` of either end as <name>_a and <name>_b.
 
     Photos fall in square buckets as wide as the radius; one side goes to its bucket and those around it, so the pair search is an
     equi-join and a bucket never meets more than nine.
     """
-    at = photos.select("flight_id", "photo_id", "lat", "lon").where("lat is not null and lon is not null").join(radii.where("radius_m > 0"), "flight_id")
-    at = at.withColumns({"x": F.col("lon") * M_PER_DEG * F.cos(F.radians("mid_lat")), "y": F.col("lat") * M_PER_DEG})
+    known = photos.where("lat is not null and lon is not null").select("flight_id", "photo_id", "lat", "lon", *[c.alias(n) for n, c in extra.items()])
+    at = known.join(radii.where("radius_m > 0").withColumn("scale", M_PER_DEG * F.cos(F.radians("mid_lat"))), "flight_id")
+    at = at.withColumns({"x": F.col("lon") * F.col("scale"), "y": F.col("lat") * M_PER_DEG})
     at = at.withColumns({"bx": F.floor(F.col("x") / F.col("radius_m")), "by": F.floor(F.col("y") / F.col("radius_m"))})
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = at.select("flight_id", F.col("photo_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "radius_m", "bx", "by", F.explode(steps).alias("dx"))
-    left = left.select("*", F.explode(steps).alias("dy")).withColumns({"bx": F.col("bx") + F.col("dx"), "by": F.col("by") + F.col("dy")})
-    right = at.select("flight_id", F.col("photo_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "bx", "by")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+    ends = lambda k: [F.col("photo_id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), *[F.col(n).alias(f"{n}_{k}") for n in extra]]
+    left = at.select("flight_id", *ends("a"), "radius_m", "bx", "by", around).withColumns({"bx": F.col("bx") + F.col("d.dx"), "by": F.col("by") + F.col("d.dy")}).drop("d")
+    right = at.select("flight_id", *ends("b"), "bx", "by")
     dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
     near = left.join(right, ["flight_id", "bx", "by"]).where((F.col("a") < F.col("b")) & (F.sqrt(dx * dx + dy * dy) <= F.col("radius_m")))
-    return near.select("flight_id", "a", "b")
+    return near.select("flight_id", "a", "b", *[f"{n}_{k}" for n in extra for k in ("a", "b")])
 
 
-def overlap(pairs: DataFrame, photos: DataFrame) -> DataFrame:
-    """``pairs`` with ``overlap``: the common area of both footprints as a share of the smaller, infinite if one has none.
+def within_radius(photos: DataFrame, radii: DataFrame) -> DataFrame:
+    """(flight_id, a, b): photos of one flight, a < b, no more than the flight's radius apart."""
+    return _near(photos, radii, {})
 
-    Measured on the plane around photo a's own position.
-    """
-    side = lambda k: photos.select("flight_id", F.col("photo_id").alias(k), F.flatten(F.slice("footprint", 1, 4)).alias(f"ring_{k}"), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"))
-    both = pairs.join(side("a"), ["flight_id", "a"]).join(side("b").drop("lat_b", "lon_b"), ["flight_id", "b"]).select("flight_id", "a", "b", "ring_a", "ring_b", "lat_a", "lon_a")
+
+def _scored(both: DataFrame) -> DataFrame:
+    """(flight_id, a, b, overlap) of rows with ring_a, ring_b (eight numbers each), lat_a and lon_a."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +63,29 @@ def overlap(pairs: DataFrame, photos: DataFrame) -> DataFrame:
                 out[known] = np.where(small > 0, clip_areas(a, b) / np.where(small > 0, small, 1), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], ["flight_id", "a", "b", "overlap"])
 
-    return both.mapInArrow(score, "flight_id long, a long, b long, overlap double")
+    # a join gives many more bytes than it reads, which is what adaptive execution counts, so the work is dealt out anew
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = both.select("flight_id", "a", "b", "ring_a", "ring_b", "lat_a", "lon_a").repartition(tasks)
+    return rows.mapInArrow(score, "flight_id long, a long, b long, overlap double")
+
+
+def _ring() -> Column:
+    return F.flatten(F.slice("footprint", 1, 4))
+
+
+def overlap(pairs: DataFrame, photos: DataFrame) -> DataFrame:
+    """``pairs`` with ``overlap``: the common area of both footprints as a share of the smaller, infinite if one has none.
+
+    Measured on the plane around photo a's own position. For pairs that are within the radius ``overlaps_within`` needs no look-up.
+    """
+    side = lambda k: photos.select("flight_id", F.col("photo_id").alias(k), _ring().alias(f"ring_{k}"), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"))
+    return _scored(pairs.join(side("a"), ["flight_id", "a"]).join(side("b").drop("lat_b", "lon_b"), ["flight_id", "b"]))
+
+
+def overlaps_within(photos: DataFrame, radii: DataFrame) -> DataFrame:
+    """``overlap`` of all pairs of ``within_radius``; rings travel with the photos through the one join."""
+    near = _near(photos, radii, {"ring": _ring(), "at": F.struct("lat", "lon")})
+    return _scored(near.withColumns({"lat_a": F.col("at_a.lat"), "lon_a": F.col("at_a.lon")}))
 
 
 def strongest(scored: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
@@ -81,5 +104,5 @@ def strongest(scored: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
 def neighbor_pairs(photos: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
     """Photos with a footprint that lie within the radius, overlap by more than MIN_OVERLAP and are among the strongest ``k``."""
     some = photos.where(F.col("footprint").isNotNull())
-    scored = overlap(within_radius(some, radius(some)), some).where(F.col("overlap") > MIN_OVERLAP)
+    scored = overlaps_within(some, radius(some)).where(F.col("overlap") > MIN_OVERLAP)
     return strongest(scored, k)

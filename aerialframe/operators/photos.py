@@ -12,7 +12,10 @@ from ..functions import geodesy, metadata
 def with_footprint(photos: DataFrame) -> DataFrame:
     """``photos`` with ``footprint``, a closed ring of five [lon, lat], null where anything it needs is missing or out of range."""
     cols = ("lat", "lon", "relative_altitude", "yaw_deg", "focal_mm", "sensor_width_mm", "sensor_height_mm")
-    return photos.withColumn("footprint", geodesy.footprint(*[F.col(c) for c in cols]))
+    steps = geodesy.footprint_steps(*[F.col(c) for c in cols])
+    for step in steps:
+        photos = photos.withColumns(step)
+    return photos.drop(*steps[0], *steps[1])
 
 
 def with_blur(photos: DataFrame, threshold: float = 100.0) -> DataFrame:

@@ -30,11 +30,13 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with footprint, is_blurry and sort_key."""
-    p = with_blur(with_footprint(photos(spark, sf_dir)))
-    taken = metadata.capture_millis(F.date_format("capture_ts", "yyyy:MM:dd HH:mm:ss"), F.date_format("capture_ts", "SSS"))
-    return p.withColumn("sort_key", metadata.capture_key(taken, metadata.filename_sequence(F.col("file_name")), F.lit(None).cast("long")))
+def inspected(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """The same with footprint and is_blurry, and with sort_key if ``ordered``."""
+    p = photos(spark, sf_dir)
+    if ordered:
+        taken = metadata.capture_millis(F.date_format("capture_ts", "yyyy:MM:dd HH:mm:ss"), F.date_format("capture_ts", "SSS"))
+        p = p.withColumn("sort_key", metadata.capture_key(taken, metadata.filename_sequence(F.col("file_name")), F.lit(None).cast("long")))
+    return with_blur(with_footprint(p))
 
 
 ORACLE = """b AS (
