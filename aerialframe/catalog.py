@@ -374,9 +374,9 @@ def tile_counts_by_zoom(spark, sf_dir):
 
 @query(f"""WITH b AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN -200.0 ELSE 10.0 END AS x0, CASE event_id % 6 WHEN 1 THEN -95.0 ELSE 20.0 END AS y0,
 CASE event_id % 6 WHEN 2 THEN 10.0 ELSE 30.0 END AS x1, CASE event_id % 6 WHEN 3 THEN 15.0 ELSE 40.0 END AS y1, CASE event_id % 6 WHEN 4 THEN 16 ELSE 12 END AS z FROM events)
-SELECT event_id, CASE WHEN x0 < -180 OR x1 > 180 THEN 'Longitude must be within [-180, 180].' WHEN y0 < -90 OR y1 > 90 THEN 'Latitude must be within [-90, 90].'
-WHEN x0 >= x1 THEN 'Bounding box min longitude must be less than max longitude.' WHEN y0 >= y1 THEN 'Bounding box min latitude must be less than max latitude.'
-WHEN z > 15 THEN 'Max zoom must be 15 or lower.' END AS error FROM b""")
+SELECT event_id, CASE WHEN x0 < -180 OR x1 > 180 THEN 'A longitude lies outside of -180 to 180 degrees.' WHEN y0 < -90 OR y1 > 90 THEN 'A latitude lies outside of -90 to 90 degrees.'
+WHEN x0 >= x1 THEN 'The western side has to lie west of the eastern one.' WHEN y0 >= y1 THEN 'The southern side has to lie south of the northern one.'
+WHEN z > 15 THEN 'Tiles end at zoom 15.' END AS error FROM b""")
 def bbox_errors(spark, sf_dir):
     k = F.col("event_id") % 6
     pick = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
@@ -500,16 +500,49 @@ def report_pages(spark, sf_dir):
     return report.pages(report.lines(photos.metrics(p, found, coverage.covered_area(counts, grids)), found, photos.blur_alerts(p)))
 
 
+@query(f"""{RINGS}, o AS (SELECT flight_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM rings GROUP BY ALL
+), k AS (SELECT r.flight_id, (lon - lon0) * {MPD} * cos(radians(lat0)) AS east, (lat - lat0) * {MPD} AS north, t, (w / 5472 + h / 3648) / 2 AS s, lat0, lon0 FROM rings r JOIN o USING (flight_id)
+), c AS (SELECT *, unnest([-1, 1, 1, -1]) AS sx, unnest([-1, -1, 1, 1]) AS sy FROM k
+), p AS (SELECT flight_id, lat0, lon0, east + s * cos(t) * 2736 * sx - s * sin(t) * 1824 * sy AS e, north - s * sin(t) * 2736 * sx - s * cos(t) * 1824 * sy AS n FROM c
+), gsd AS (SELECT flight_id, avg((relative_altitude / focal_mm * sensor_width_mm / 5472 + relative_altitude / focal_mm * sensor_height_mm / 3648) / 2) AS mpp FROM photos GROUP BY ALL
+), v AS (SELECT flight_id, any_value(lat0) AS lat0, any_value(lon0) AS lon0, min(e) AS e0, max(n) AS n0, ceil((max(e) - min(e)) / any_value(mpp)) * any_value(mpp) AS w, ceil((max(n) - min(n)) / any_value(mpp)) * any_value(mpp) AS h FROM p JOIN gsd USING (flight_id) GROUP BY flight_id
+), q AS (SELECT *, unnest([0, 1, 2, 3]) AS corner, unnest([e0, e0 + w, e0 + w, e0]) AS x, unnest([n0, n0, n0 - h, n0 - h]) AS y FROM v)
+SELECT flight_id, corner, round(lon0 + x / ({MPD} * cos(radians(lat0))), 8) AS lon, round(lat0 + y / {MPD}, 8) AS lat FROM q""")
+def mosaic_corners(spark, sf_dir):
+    p = derived.inspected(spark, sf_dir)
+    found = mosaic.corners(mosaic.canvas(mosaic.bounds(registration.placements(p)), registration.mean_gsd(p)), registration.origins(p))
+    return found.select("flight_id", F.posexplode("corners").alias("corner", "at")).select("flight_id", "corner", F.round(F.col("at")[0], 8).alias("lon"), F.round(F.col("at")[1], 8).alias("lat"))
+
+
+@query(f"{TILES} SELECT flight_id, z, x, y FROM tiles WHERE z > 0")
+def tiles_without_world(spark, sf_dir):
+    return basemap.without_world(basemap.tiles(_boxes(spark, sf_dir), ZOOM))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 > 0 THEN CAST(floor((event_id % 5) * 100 / (event_id % 7)) AS INTEGER) END AS percent FROM events")
+def percent_done(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", geodesy.percent(F.col("event_id") % 5, F.col("event_id") % 7).alias("percent"))
+
+
+@query(f"{WITH} SELECT flight_id, count(*) FILTER (WHERE photo_id % 3 = 0) AS tile_count, count(*) FILTER (WHERE photo_id % 3 = 2) AS tiles_failed, coalesce(sum(CASE WHEN photo_id % 3 = 0 THEN length(file_name) END), 0)::BIGINT AS bytes FROM photos GROUP BY ALL")
+def fetched_tiles_summary(spark, sf_dir):
+    status = F.element_at(F.array(F.lit("ok"), F.lit("missing"), F.lit("failed")), (F.col("photo_id") % 3 + 1).cast("int"))
+    rows = derived.photos(spark, sf_dir).select("flight_id", status.alias("status"), F.when(F.col("photo_id") % 3 == 0, F.col("file_name").cast("binary")).alias("data"))
+    return basemap.summary(rows, ["flight_id"])
+
+
 @query()
 def aligned_poses(spark, sf_dir):
-    """Alignment of each flight by edges that agree with where GPS puts its neighbours."""
+    """Alignment of each flight by edges that lie a few pixels off where GPS puts its neighbours, each by its own offset."""
     p = derived.inspected(spark, sf_dir)
     placed = registration.placements(p)
-    pairs = neighbors.neighbor_pairs(p, 2)
+    pairs = neighbors.neighbor_pairs(p)
     side = lambda k: placed.select("flight_id", F.col("photo_id").alias(k), F.col("pose").alias(f"p{k}"))
     both = pairs.join(side("a"), ["flight_id", "a"]).join(side("b"), ["flight_id", "b"])
     m = F.col("pb")
     det = m[0] * m[4] - m[1] * m[3]
     inverse = F.array(m[4] / det, -m[1] / det, (m[1] * m[5] - m[2] * m[4]) / det, -m[3] / det, m[0] / det, (m[2] * m[3] - m[0] * m[5]) / det, F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    edges = both.withColumn("inv", inverse).select("flight_id", "a", "b", geodesy.matmul3(F.col("inv"), F.col("pa")).alias("h"))
+    off = lambda k: (F.pmod(F.col("a") * 7919 + F.col("b") * k, F.lit(101)) - 50).cast("double")
+    shift = F.array(F.lit(1.0), F.lit(0.0), off(104729), F.lit(0.0), F.lit(1.0), off(1299709), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    edges = both.withColumn("h", geodesy.matmul3(inverse, F.col("pa"))).select("flight_id", "a", "b", geodesy.matmul3(shift, F.col("h")).alias("h"))
     return registration.align(placed, edges).select("flight_id", "photo_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round("theta", 6).alias("theta"))

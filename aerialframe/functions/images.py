@@ -57,13 +57,21 @@ def apply(m: np.ndarray, points: np.ndarray) -> np.ndarray:
     return p[:, :2] / p[:, 2:]
 
 
+def framed(pixels: np.ndarray) -> np.ndarray:
+    """A picture as single-precision numbers with a border of zeros, as ``warp_framed`` reads it."""
+    return np.pad(np.atleast_3d(pixels).astype(np.float32), ((1, 1), (1, 1), (0, 0)))
+
+
 def warp(pixels: np.ndarray, to_source: np.ndarray, x0: int, y0: int, width: int, height: int) -> np.ndarray:
     """The window (x0, y0, width, height) of the picture seen through ``to_source``, bilinear, 0 outside."""
+    return warp_framed(framed(pixels), to_source, x0, y0, width, height)
+
+
+def warp_framed(src: np.ndarray, to_source: np.ndarray, x0: int, y0: int, width: int, height: int) -> np.ndarray:
+    """``warp`` of a picture that ``framed`` made ready, for several windows of one picture."""
     ys, xs = np.mgrid[y0 : y0 + height, x0 : x0 + width]
     p = apply(to_source, np.c_[xs.ravel(), ys.ravel()].astype(np.float64))
-    fine = np.isfinite(p).all(1)
-    p = np.where(fine[:, None], p, -9)
-    src = np.pad(np.atleast_3d(pixels).astype(np.float64), ((1, 1), (1, 1), (0, 0)))
+    p = np.where(np.isfinite(p).all(1)[:, None], p, -9)
     h, w = src.shape[:2]
     p = np.clip(p + 1, -1, [w + 1, h + 1])
     a = np.floor(p).astype(int)

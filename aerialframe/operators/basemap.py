@@ -23,29 +23,42 @@ def check(boxes: DataFrame, max_zoom: int) -> None:
         raise ValueError(bad.e)
 
 
-def tiles(boxes: DataFrame, max_zoom: int) -> DataFrame:
-    """``boxes`` (min_lon, min_lat, max_lon, max_lat and any keys) by tile: z from 0 to ``max_zoom``, x and y of every tile that the box touches."""
+def _ranges(boxes: DataFrame, max_zoom: int) -> DataFrame:
+    """(keys, z, x0, x1, y0, y1): the tiles that each box touches at each zoom, ends included."""
     box = Box.of()
     keys = [c for c in boxes.columns if c not in Box._fields]
     per_zoom = boxes.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))
     last = F.pow(F.lit(2.0), F.col("z")).cast("long") - 1
     held = lambda c: F.greatest(F.lit(0).cast("long"), F.least(last, c))
     z = F.col("z").cast("double")
-    per_zoom = per_zoom.select(
+    return per_zoom.select(
         *keys, "z", held(tile_x(box.min_lon, z)).alias("x0"), held(tile_x(box.max_lon, z)).alias("x1"),
         held(tile_y(box.max_lat, z)).alias("y0"), held(tile_y(box.min_lat, z)).alias("y1"),
     )
-    return per_zoom.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(*keys, "z", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+
+
+def tiles(boxes: DataFrame, max_zoom: int) -> DataFrame:
+    """``boxes`` (min_lon, min_lat, max_lon, max_lat and any keys) by tile: z from 0 to ``max_zoom``, x and y of every tile that the box touches."""
+    keys = [c for c in boxes.columns if c not in Box._fields]
+    rows = _ranges(boxes, max_zoom).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return rows.select(*keys, "z", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Tiles by zoom, then column, then row: the order in which they are asked for and stored."""
+    return found.orderBy("z", "x", "y")
 
 
 def tile_counts(boxes: DataFrame, max_zoom: int) -> DataFrame:
-    """(keys, z, tiles), summed from ranges rather than listed."""
+    """(keys, z, tiles), computed from the ranges; no tile is listed."""
     keys = [c for c in boxes.columns if c not in Box._fields]
-    return tiles(boxes, max_zoom).groupBy(*keys, "z").agg(F.count("*").alias("tiles"))
+    n = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    return _ranges(boxes, max_zoom).groupBy(*keys, "z").agg(F.sum(n).alias("tiles"))
 
 
-def check_count(found: DataFrame) -> int:
-    n = found.count()
+def check_count(boxes: DataFrame, max_zoom: int) -> int:
+    """The number of tiles of all boxes; raises before any is listed if there are more than MAX_TILES."""
+    n = tile_counts(boxes, max_zoom).agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0]
     if n > MAX_TILES:
         raise ValueError(f"This area needs {n} tiles; {MAX_TILES} at most can be fetched. Choose a smaller area or zoom.")
     return n
@@ -102,9 +115,9 @@ def fetch(found: DataFrame, get: Callable[[int, int, int], tuple[int, bytes]], s
     return found.select("z", "x", "y").mapInPandas(run, "z int, x long, y long, status string, data binary")
 
 
-def summary(fetched: DataFrame) -> DataFrame:
-    """One row: tiles written, failed, and bytes. A tile that does not exist counts nowhere."""
-    return fetched.agg(
+def summary(fetched: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (for each ``by``): tiles written, failed, and bytes. A tile that does not exist counts nowhere."""
+    return fetched.groupBy(*by or []).agg(
         F.count_if(F.col("status") == "ok").alias("tile_count"), F.count_if(F.col("status") == "failed").alias("tiles_failed"),
         F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"),
     )

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,27 +53,36 @@ def compose(tiled: DataFrame, pictures: DataFrame, tile: int = TILE) -> DataFram
     """(flight_id, tile_x, tile_y, width, height, data): the raster's tiles as RGB bytes, by rows.
 
     A pixel is the mean of the pictures that cover it, weighted by how far inside each it lies, and 0 where none does. ``pictures`` has photo_id,
-    width, height and data (RGB bytes). Each picture's part of a tile is warped where the picture is, into sums of 16 bytes for each pixel;
-    sums of a tile are added up in batches, so a tile that thousands of pictures cover is no more than one tile in memory.
+    width, height and data (RGB bytes). A picture is shuffled once, with the list of its tiles, and warped in one task into sums of 16 bytes for each
+    pixel of each tile it reaches; sums of a tile are added up in batches, so a tile that thousands of pictures cover is no more than one tile
+    in memory. Tiles that no picture reaches have no row.
     """
     pixels = pictures.select("photo_id", F.col("width").alias("pw"), F.col("height").alias("ph"), F.col("data").alias("rgb"))
-    parts = tiled.join(pixels, "photo_id")
-
-    def warp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sums = []
-            for r in b.itertuples():
-                rgb = np.frombuffer(r.rgb, np.uint8).reshape(r.ph, r.pw, 3)
-                raster = np.array([[1 / r.meters_per_pixel, 0, -r.origin_east / r.meters_per_pixel], [0, -1 / r.meters_per_pixel, r.origin_north / r.meters_per_pixel], [0, 0, 1]])
-                back = np.linalg.inv(raster @ np.array(r.pose).reshape(3, 3))
-                w, h = min(tile, r.out_w - r.tile_x * tile), min(tile, r.out_h - r.tile_y * tile)
-                both = np.dstack([rgb, images.feather_weights(r.pw, r.ph)])
-                seen = images.warp(both, back, r.tile_x * tile, r.tile_y * tile, w, h)
-                weight = np.maximum(seen[..., 3:], 0)
-                sums.append(np.dstack([seen[..., :3] * weight, weight]).astype(np.float32).tobytes())
-            yield b[["flight_id", "tile_x", "tile_y"]].assign(w=np.minimum(tile, b.out_w - b.tile_x * tile), h=np.minimum(tile, b.out_h - b.tile_y * tile), sums=sums)
-
-    warped = parts.mapInPandas(warp, "flight_id long, tile_x long, tile_y long, w long, h long, sums binary")
+    place = F.struct(*[F.col(c).cast("long").alias(c) for c in ("tile_x", "tile_y", "out_w", "out_h")])
+    raster = F.struct(*[F.col(c).cast("double").alias(c) for c in ("meters_per_pixel", "origin_east", "origin_north")])
+    parts = tiled.groupBy("flight_id", "photo_id").agg(F.first("pose").alias("pose"), F.first(raster).alias("raster"), F.collect_list(place).alias("tiles")).join(pixels, "photo_id")
+
+    def warp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                mpp, east, north = (r["raster"][c] for c in ("meters_per_pixel", "origin_east", "origin_north"))
+                at = np.array([[1 / mpp, 0, -east / mpp], [0, -1 / mpp, north / mpp], [0, 0, 1]])
+                back = np.linalg.inv(at @ np.array(r["pose"]).reshape(3, 3))
+                rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["ph"], r["pw"], 3)
+                both = images.framed(np.dstack([rgb, images.feather_weights(r["pw"], r["ph"])]))
+                for t in r["tiles"]:
+                    w, h = min(tile, t["out_w"] - t["tile_x"] * tile), min(tile, t["out_h"] - t["tile_y"] * tile)
+                    seen = images.warp_framed(both, back, t["tile_x"] * tile, t["tile_y"] * tile, w, h)
+                    weight = np.maximum(seen[..., 3:], 0)
+                    if not weight.any():
+                        continue  # the box of a turned picture touches tiles that it does not reach
+                    sums = np.dstack([seen[..., :3] * weight, weight]).astype(np.float32).tobytes()
+                    row = (r["flight_id"], t["tile_x"], t["tile_y"], w, h, sums)
+                    types = [pa.int64()] * 5 + [pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, types, strict=True)], ["flight_id", "tile_x", "tile_y", "w", "h", "sums"])
+
+    warped = parts.select("flight_id", "pose", "raster", "tiles", "pw", "ph", "rgb").mapInArrow(warp, "flight_id long, tile_x long, tile_y long, w long, h long, sums binary")
 
     def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, w, h = None, 0, 0

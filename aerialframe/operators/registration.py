@@ -28,17 +28,21 @@ def weak_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("inlier_count") * 2 < F.col("match_count"))
 
 
+def origins(photos: DataFrame) -> DataFrame:
+    """(flight_id, lat0, lon0): the mean position of the flight's photos with a footprint, from which its metres count."""
+    return photos.where(F.col("footprint").isNotNull()).groupBy("flight_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+
+
 def placements(photos: DataFrame) -> DataFrame:
     """(flight_id, photo_id, east, north, theta, scale, width, height, pose): where GPS, heading and altitude put each picture.
 
     Metres count from the mean position of the flight's photos with a footprint. Photos that lack anything have no row.
     """
     some = photos.where(F.col("footprint").isNotNull())
-    origin = some.groupBy("flight_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
     w, h = ground_coverage(*[F.col(c) for c in ("relative_altitude", "focal_mm", "sensor_width_mm", "sensor_height_mm")])
     width, height = F.col("image_width_px").cast("double"), F.col("image_height_px").cast("double")
     east, north = to_local(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    out = some.join(origin, "flight_id").where(finite(w) & finite(h) & (w > 0) & (h > 0) & (width > 0) & (height > 0) & F.col("yaw_deg").isNotNull()).select(
+    out = some.join(origins(photos), "flight_id").where(finite(w) & finite(h) & (w > 0) & (h > 0) & (width > 0) & (height > 0) & F.col("yaw_deg").isNotNull()).select(
         "flight_id", "photo_id", east.alias("east"), north.alias("north"), F.col("yaw_deg"), ((w / width + h / height) / 2).alias("scale"), width.alias("width"), height.alias("height")
     )
     pose = similarity(F.col("east"), F.col("north"), F.col("yaw_deg"), F.col("scale"), F.col("width"), F.col("height"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ class InspectionResult:
     gaps: DataFrame
     blur_alerts: DataFrame
     metrics: DataFrame
+    #: Milliseconds that scanning and checking the folder took; computing the results comes on top, when they are read.
+    scan_ms: int | None = None
 
 
 def inspect_photos(table: DataFrame, cell_m: float = coverage.CELL_M) -> InspectionResult:
@@ -38,10 +41,13 @@ def inspect_photos(table: DataFrame, cell_m: float = coverage.CELL_M) -> Inspect
 
 def inspect_directory(spark: SparkSession, path: str, cell_m: float = coverage.CELL_M) -> InspectionResult:
     """Scan, parse and inspect ``path``. Raises InspectionError if there is no JPEG or no photo has a position."""
+    began = time.monotonic()
     files = source.scan(spark, path)
     if files.select("path").isEmpty():
         raise InspectionError(f"No JPEG photos found in {path}.")
     table = source.parse(source.headers(files)).persist()
     if table.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).isEmpty():
         raise InspectionError("No photo has a GPS position.")
-    return inspect_photos(table, cell_m)
+    result = inspect_photos(table, cell_m)
+    result.scan_ms = round((time.monotonic() - began) * 1000)
+    return result

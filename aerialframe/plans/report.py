@@ -49,19 +49,58 @@ def pages(report: DataFrame) -> DataFrame:
     return tagged.withColumn("page", (F.floor((total - LINE_MM) / room) + 1).cast("int")).drop("mm")
 
 
-def json_document(metrics: DataFrame, gaps: DataFrame, blur_alerts: DataFrame) -> DataFrame:
-    """(flight_id, json): one pretty document for each flight, keys in camel case."""
+def json_document(photos: DataFrame, flight_path: DataFrame, heatmap: DataFrame, gaps: DataFrame, blur_alerts: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(flight_id, json): one pretty document for each flight of ``metrics``, keys in camel case.
+
+    Its parts are photos in flight order, flightPath and heatmap as GeoJSON features, gaps by area, blurAlerts by file name, and metrics; a part
+    without rows is an empty list. A document is one value, as large as its flight.
+    """
 
     def camel(name: str) -> str:
         first, *rest = name.split("_")
         return first + "".join(w.capitalize() for w in rest)
 
     def listed(df: DataFrame, name: str, order: list) -> DataFrame:
-        cols = [c for c in df.columns if c != "flight_id"]
-        item = F.struct(*order, F.struct(*[F.col(c).alias(camel(c)) for c in cols]).alias("item"))
+        cols = [c for c in df.columns if c not in ("flight_id", "sort_key")]
+        keys = [F.struct(*order).alias("order")] if order else []
+        item = F.struct(*keys, F.struct(*[F.col(c).alias(camel(c)) for c in cols]).alias("item"))
         return df.groupBy("flight_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["item"]).alias(name))
 
-    head = metrics.select("flight_id", F.struct(*[F.col(c).alias(camel(c)) for c in metrics.columns if c != "flight_id"]).alias("metrics"))
-    both = head.join(listed(gaps, "gaps", [-F.col("area_m2"), F.col("id")]), "flight_id", "left").join(listed(blur_alerts, "blurAlerts", [F.col("file_name")]), "flight_id", "left")
-    filled = both.select("flight_id", F.struct("metrics", F.coalesce("gaps", F.array()).alias("gaps"), F.coalesce("blurAlerts", F.array()).alias("blurAlerts")).alias("r"))
-    return filled.select("flight_id", F.to_json("r", {"pretty": "true"}).alias("json"))
+    feature = lambda df: df.select(
+        "flight_id", F.lit("Feature").alias("type"), F.struct("type", F.parse_json("coordinates").alias("coordinates")).alias("geometry"), F.parse_json("properties").alias("properties")
+    )
+
+    def features(df: DataFrame, name: str) -> DataFrame:
+        text = F.to_json(F.struct("type", "geometry", "properties"))
+        rows = feature(df).select("flight_id", text.alias("text"))
+        return rows.groupBy("flight_id").agg(F.transform(F.array_sort(F.collect_list("text")), lambda t: F.parse_json(t)).alias(name))
+
+    parts = [
+        listed(photos, "photos", [F.col("seq")]), features(flight_path, "flightPath"), features(heatmap, "heatmap"),
+        listed(gaps, "gaps", [-F.col("area_m2"), F.col("id")]), listed(blur_alerts, "blurAlerts", [F.col("file_name")]),
+    ]
+    both = metrics.select("flight_id", F.struct(*[F.col(c).alias(camel(c)) for c in metrics.columns if c != "flight_id"]).alias("metrics"))
+    names = ["photos", "flightPath", "heatmap", "gaps", "blurAlerts"]
+    for part in parts:
+        both = both.join(part, "flight_id", "left")
+    filled = [F.coalesce(n, F.array().cast(both.schema[n].dataType)).alias(n) for n in names]
+    return both.select("flight_id", F.to_json(F.struct(*filled, "metrics"), {"pretty": "true"}).alias("json"))
+
+
+#: What ``export`` writes.
+FORMATS = ("json", "pdf")
+
+
+def export(result, form: str, path: str) -> None:
+    """Write an inspection's report: ``json``, a document for each flight, or ``pdf``, the lines of its pages, both by flight as Spark text files.
+
+    Any other format raises ValueError before anything is computed.
+    """
+    if form not in FORMATS:
+        raise ValueError(f"There is no export as {form!r}; choose one of {', '.join(FORMATS)}.")
+    if form == "json":
+        rows = json_document(result.photos, result.flight_path, result.heatmap, result.gaps, result.blur_alerts, result.metrics).select("flight_id", F.col("json").alias("value"))
+    else:
+        paged = pages(lines(result.metrics, result.gaps, result.blur_alerts))
+        rows = paged.orderBy("flight_id", "page", "part", "no").select("flight_id", F.format_string("%d\t%s", "page", "text").alias("value"))
+    rows.write.mode("overwrite").partitionBy("flight_id").text(path)

@@ -24,12 +24,16 @@ class StitchResult:
     canvases: DataFrame
     tiles: DataFrame
     warnings: DataFrame
+    #: (flight_id, photos_used, photos_skipped, confident_pairs)
+    counts: DataFrame
+    #: (flight_id, corners) of the mosaic on the map
+    corners: DataFrame
 
 
 def candidate_pairs(table: DataFrame, cap: str = "capped") -> DataFrame:
     if cap not in CAPS:
         raise ValueError(f"cap must be one of {', '.join(CAPS)}")
-    return neighbors.neighbor_pairs(table, CAPS[cap])
+    return neighbors.neighbor_pairs(table, CAPS[cap]).orderBy("flight_id", "a", "b")
 
 
 def stitch(table: DataFrame, pictures: DataFrame, points: DataFrame) -> StitchResult:
@@ -51,4 +55,10 @@ def stitch(table: DataFrame, pictures: DataFrame, points: DataFrame) -> StitchRe
     sized = poses.join(placed.select("photo_id", "width", "height"), "photo_id")
     bounded = mosaic.bounds(sized)
     canvases = mosaic.canvas(bounded, registration.mean_gsd(used))
-    return StitchResult(edges, poses, canvases, mosaic.compose(mosaic.covered_tiles(bounded, canvases), pictures), lost.union(weak))
+    every = table.groupBy("flight_id").agg(F.count("*").alias("n"))
+    n_used = poses.groupBy("flight_id").agg(F.count("*").alias("photos_used"))
+    n_pairs = edges.groupBy("flight_id").agg(F.count("*").alias("confident_pairs"))
+    counts = every.join(n_used, "flight_id", "left").join(n_pairs, "flight_id", "left").fillna(0)
+    counts = counts.select("flight_id", "photos_used", (F.col("n") - F.col("photos_used")).alias("photos_skipped"), "confident_pairs")
+    tiles = mosaic.compose(mosaic.covered_tiles(bounded, canvases), pictures)
+    return StitchResult(edges, poses, canvases, tiles, lost.union(weak), counts, mosaic.corners(canvases, registration.origins(used)))

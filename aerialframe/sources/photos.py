@@ -25,8 +25,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(path, modificationTime, and the fields of each header). ``blur_score`` is null without a thumbnail that can be read."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole photo
+    """(path, modificationTime, and the fields of each header). ``blur_score`` is null without a thumbnail that can be read. Spark
+    itself holds a batch of photos to some bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,5 +77,4 @@ def pictures(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((r["origin"], px.shape[1], px.shape[0], px.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["path", "width", "height", "data"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return raw.mapInArrow(run, "path string, width long, height long, data binary")

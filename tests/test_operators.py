@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,7 +112,10 @@ def test_tiles(spark):
         basemap.check(boxes, 16)
     wide = spark.createDataFrame([(1, -180.0, -85.0, 180.0, 85.0)], boxes.schema)
     with pytest.raises(ValueError, match="tiles"):
-        basemap.check_count(basemap.tiles(wide, 10))
+        basemap.check_count(wide, 10)
+    assert basemap.check_count(boxes, 14) == 327
+    rows = [tuple(r)[1:] for r in basemap.in_order(basemap.tiles(boxes, 11)).collect()]
+    assert rows == sorted(rows)
     assert basemap.without_world(basemap.tiles(boxes, 2)).where("z = 0").count() == 0
 
 
@@ -147,8 +152,25 @@ def test_report_pages(spark):
     lines = [r.text for r in report.lines(m, gaps(2), blur).orderBy("part", "no").collect()]
     assert lines[:7] == ["Flight inspection", "Photos: 5", "Photos with GPS: 4", "Blurry photos: 1", "Coverage gaps: 2", "Covered area: 2.00 ha", "Average altitude: unknown"]
     assert lines[8].startswith("Gap #2:") and lines[-1].startswith("p.jpg: blur score 3.0")
-    text = report.json_document(m, gaps(2), blur).first().json
-    assert '"photoCount" : 5' in text and '"cellCount" : 5' in text and '"blurAlerts"' in text
+    taken = spark.createDataFrame([(1, "b.jpg", 1), (1, "a.jpg", 0)], "flight_id long, file_name string, seq int")
+    path = spark.createDataFrame([(1, "Point", "[106.5,10.0]", '{"kind":"photo"}')], "flight_id long, type string, coordinates string, properties string")
+    got = json.loads(report.json_document(taken, path, path.where("false"), gaps(2), blur, m).first().json)
+    assert got["metrics"]["photoCount"] == 5 and [g["id"] for g in got["gaps"]] == [1, 0] and got["gaps"][0]["cellCount"] == 5 and got["blurAlerts"][0]["fileName"] == "p.jpg"
+    assert [p["fileName"] for p in got["photos"]] == ["a.jpg", "b.jpg"] and got["heatmap"] == []
+    assert got["flightPath"] == [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [106.5, 10.0]}, "properties": {"kind": "photo"}}]
+
+
+def test_exports(spark, tmp_path):
+    from aerialframe.plans import inspect
+
+    result = inspect.inspect_photos(shots(spark, [(10.0, 106.0), (10.0, 106.0003)]).withColumn("sort_key", F.col("photo_id")))
+    with pytest.raises(ValueError, match="xml"):
+        report.export(result, "xml", str(tmp_path / "x"))
+    report.export(result, "json", str(tmp_path / "j"))
+    got = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "j")).collect()))
+    assert len(got["photos"]) == 2 and len(got["flightPath"]) == 3 and got["heatmap"] and set(got) == {"photos", "flightPath", "heatmap", "gaps", "blurAlerts", "metrics"}
+    report.export(result, "pdf", str(tmp_path / "p"))
+    assert "1\tFlight inspection" in [r.value for r in spark.read.text(str(tmp_path / "p")).collect()]
 
 
 def test_stitching_two_photos(spark):
