@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, texts, with_columns
+from .common import cut, quoted, small_batches, texts, with_columns
 
 #: Bytes of a window; widths and number of filters for each; size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
 #: The bounds of the training sample: documents of a label, of all labels together (but one for each label at least), windows of a document.
 DOCS_PER_LABEL, DOCS, WINDOWS_PER_DOC = 400, 12_800, 4
+#: Labels up to which their counts are broadcast.
+BROADCAST_LABELS = 50_000
 #: Passes over the sample and steps at least, rows of a step, its size.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 600, 64, 0.004, 7
 UNDETERMINED = "und"
@@ -139,11 +141,13 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str) -> tuple[n
     rows = docs.where(quoted(label).isNotNull() & (F.length(quoted(text)) > 0)).select(quoted(text).alias("text"), quoted(label).alias("label"), quoted(key).alias("key"))
     # a document's place between 0 and 1; the first of each label is always taken
     rows = rows.withColumn("place", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30))
-    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    each = max(1, min(DOCS_PER_LABEL, DOCS // max(labels.count(), 1)))
-    chosen = rows.join(labels, "label").where((F.col("place") * F.col("n") < each) | (F.col("place") == F.col("first"))).select("text", "label")
+    labels = cut(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("first")))
+    names = labels.count()
+    each = max(1, min(DOCS_PER_LABEL, DOCS // max(names, 1)))
+    # texts stay where they are, unless the list of labels is too long to be sent to them
+    chosen = rows.join(F.broadcast(labels) if names <= BROADCAST_LABELS else labels, "label").where((F.col("place") * F.col("n") < each) | (F.col("place") == F.col("first"))).select("text", "label")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             data, labels = [], []
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -153,7 +157,7 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str) -> tuple[n
                     labels.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(labels, pa.string())], ["window", "label"])
 
-    found = sorted((r.label, bytes(r.window)) for r in chosen.mapInArrow(cut, "window binary, label string").collect())
+    found = sorted((r.label, bytes(r.window)) for r in chosen.mapInArrow(windows, "window binary, label string").collect())
     return np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW), [name for name, _ in found]
 
 
