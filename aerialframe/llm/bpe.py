@@ -140,7 +140,7 @@ class Vocabulary:
     """Merge ranks and the ids of pre-tokens seen so far, as little-endian unsigned 32-bit integers."""
 
     #: Longer pre-tokens are merged anew each time; beyond so many pre-tokens the cache starts again.
-    CACHED_BYTES, CACHED = 64, 400_000
+    CACHED_BYTES, CACHED = 64, 150_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -228,8 +228,8 @@ def encode_batch(values: list[str], vocab: Vocabulary) -> list[bytes]:
     return out
 
 
-def encode(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens`` (long), ``token_ids`` and ``token_ends``.
+def encode(df: DataFrame, vocabulary_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens`` (long), ``token_ids`` and ``token_ends``; with ``decoded`` also what ``decode`` makes of the ids, in the same pass.
 
     ``token_ids`` are little-endian unsigned 32-bit integers; ``token_ends`` are 64-bit ones, the byte of the UTF-8 text at
     which each token ends, so any span of tokens maps back to the text. A null text is empty and has no tokens; texts of any length are
@@ -240,9 +240,14 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame
         vocab = vocabulary(vocabulary_path)
         ids = encode_batch(texts(batch, text), vocab)
         ends = [np.cumsum(vocab.lengths[np.frombuffer(x, "<u4")]).astype("<i8").tobytes() for x in ids]
-        return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary()), "token_ends": pa.array(ends, pa.binary())}
+        out = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary()), "token_ends": pa.array(ends, pa.binary())}
+        return out | ({"decoded": _decoded(ids, vocab)} if decoded else {})
 
-    return with_columns(df, "n_tokens long, token_ids binary, token_ends binary", run)
+    return with_columns(df, "n_tokens long, token_ids binary, token_ends binary" + (", decoded binary" if decoded else ""), run)
+
+
+def _decoded(ids: list[bytes | None], vocab: Vocabulary) -> pa.Array:
+    return pa.array([b"".join([vocab.tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids], pa.binary())
 
 
 def decode(df: DataFrame, vocabulary_path: str, token_ids: str = "token_ids") -> DataFrame:
@@ -252,8 +257,6 @@ def decode(df: DataFrame, vocabulary_path: str, token_ids: str = "token_ids") ->
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        tokens = vocabulary(vocabulary_path).tokens
-        ids = batch.column(batch.schema.get_field_index(token_ids)).to_pylist()
-        return {"decoded": pa.array([b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids], pa.binary())}
+        return {"decoded": _decoded(batch.column(batch.schema.get_field_index(token_ids)).to_pylist(), vocabulary(vocabulary_path))}
 
     return with_columns(df, "decoded binary", run)

@@ -235,8 +235,14 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
     a document without entities has none. ``level`` is 2 for what is to be removed, 1 for what is to be replaced by ``general``, a more
     general word, where there is one. Base spans never depend on the corpus. A null text has no spans; texts are handled whole, and
     repeated rows each get the same result. A column ``spans`` of ``df`` is replaced, all others stay; ``text`` is dropped unless
-    ``keep_text``. Only texts that may hold an entity are shuffled. An empty table gives an empty result.
+    ``keep_text``. Only texts that may hold an entity are shuffled and seen by Python. An empty table gives an empty result.
     """
+    out = _found(df, text, False)
+    return out if keep_text else out.drop(text)
+
+
+def _found(df: DataFrame, text: str, sanitised: bool) -> DataFrame:
+    """``df`` with ``spans``, and with sanitised texts if asked for, in one pass over the texts that may hold an entity."""
     marks, frequent = disclosures(df, text)
     top = df.sparkSession.sparkContext.broadcast({r.term: r.n_term for r in frequent.collect()})
     rows = df.drop("spans")
@@ -272,11 +278,11 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
                 hits = sorted(i for p in places.values() for i in p)
                 row += [{"kind": TERM, "start": found[i][1], "end": found[i][2], "level": level[numbers[words[i]]], "general": instead.get(words[i])} for i in hits]
             out.append(row)
-        return {"spans": pa.array(out, _SPAN)}
+        made = {"spans": pa.array(out, _SPAN)}
+        return made | ({text: pa.array(map(redacted, column(batch, text).to_pylist(), out), pa.string())} if sanitised else {})
 
-    made = with_columns(held, f"spans array<{SPAN}>", mark).drop(given).select(*map(quoted, clean.columns))
-    out = clean.union(made)
-    return out if keep_text else out.drop(text)
+    new = f"spans array<{SPAN}>" + (f", `{text}` string" if sanitised else "")
+    return clean.union(with_columns(held, new, mark).drop(given).select(*map(quoted, clean.columns)))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
@@ -285,36 +291,37 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy(F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("term")).agg(F.max("s.level").alias("level"))
 
 
+def redacted(text: str | None, spans: list[dict] | None) -> str | None:
+    """A text without its spans. Of overlapping spans the first stands for all."""
+    if not text or not spans:
+        return text
+    parts, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            new = f"[{s['kind']}]" if s["kind"] != TERM else "" if s["level"] == 2 else s["general"] or f"[{TERM}]"
+            parts += [text[at : s["start"]], new]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]])
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` (with ``spans``) whose ``text`` is sanitised: base spans become their kind in brackets, a disclosing term is left out
     (level 2) or becomes its more general word, ``[term]`` if it has none (level 1).
 
-    Of overlapping spans the first stands for all. A null text and a null ``spans`` leave the text as it is; repeated rows each get the same text.
+    A null text and a null ``spans`` leave the text as it is; repeated rows each get the same text; an empty table gives an empty one.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        out = []
-        for t, spans in zip(column(batch, text).to_pylist(), column(batch, "spans").to_pylist(), strict=True):
-            if not t or not spans:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    new = f"[{s['kind']}]" if s["kind"] != TERM else "" if s["level"] == 2 else s["general"] or f"[{TERM}]"
-                    parts += [t[at : s["start"]], new]
-                at = max(at, s["end"])
-            out.append("".join([*parts, t[at:]]))
-        return {text: pa.array(out, pa.string())}
+        return {text: pa.array(map(redacted, column(batch, text).to_pylist(), column(batch, "spans").to_pylist()), pa.string())}
 
     return with_columns(df, f"`{text}` string", run)
 
 
 def sanitise(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with sanitised texts; its other columns stay as they are, one named ``spans`` too. Rows and their number stay the same."""
+    """``df`` with texts as ``redact`` makes them of what ``find`` finds; its other columns stay as they are, one named ``spans`` too. Rows and
+    their number stay the same; an empty table gives an empty one."""
     mine = free_name(df, "spans")
     if mine == "spans":
-        return redact(find(df, text), text).select(*map(quoted, df.columns))
-    kept = df.withColumnRenamed("spans", mine)
-    done = redact(find(kept, text), text).drop("spans").withColumnRenamed(mine, "spans")
+        return _found(df, text, True).select(*map(quoted, df.columns))
+    done = _found(df.withColumnRenamed("spans", mine), text, True).drop("spans").withColumnRenamed(mine, "spans")
     return done.select(*map(quoted, df.columns))

@@ -59,7 +59,7 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    found = bpe.decode(bpe.encode(documents(spark, sf_dir), path).drop("text", "token_ends"), path)
+    found = bpe.encode(documents(spark, sf_dir), path, decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
