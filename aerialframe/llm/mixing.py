@@ -106,7 +106,7 @@ def plan(rows: list[tuple[str | None, int]], block: int = BLOCK, shards: int = S
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK, together: bool = False) -> tuple[DataFrame, DataFrame, Plan]:
     """Rows, pieces and plan of a mix of the rows of ``df`` by ``source``; ``size`` is a non-null long, the row's words.
 
-    The words of a source, its rows in the order of key (ties in scan order), are packed in blocks. Slots of the mix are
+    The words of a source, its rows in the order of key (ties by size), are packed in blocks. Slots of the mix are
     mapped to blocks, each pass over a source by a permutation of its own, and meet the rows' parts by block number. Returned:
     the rows (``uid`` numbers them; key, source, size), the pieces of the mix (uid, shard, slot, source_no, block, pass, first,
     words: which words of the row stand where) and the plan. Rows without words are in no piece. The list of sources, a name and some numbers
@@ -117,7 +117,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
     in the order of key and cuts one at most: the pieces of a row in a pass are then the row's first words, without a gap.
     """
     rows = df.select(quoted(key).alias("key"), quoted(source).alias("src"), quoted(size).alias("n"))
-    laid = ordered(rows, [F.col("src").asc_nulls_last(), F.col("key")])
+    laid = ordered(rows, [F.col("src").asc_nulls_last(), F.col("key"), F.col("n")])
     spec = plan([(r.src, r.n or 0) for r in laid.groupBy("src").agg(F.sum("n").alias("n")).collect()], block, together=together)
     before, _, _ = totals(laid, "n")
     number = {name: i for i, name in enumerate(spec.names)}
