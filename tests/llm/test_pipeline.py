@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from aerialframe.llm import mixing, simhash
 
@@ -72,6 +74,15 @@ def test_mixture_words_meet_targets(spark):
     assert max(sum(x.doc_id == i for x in rows) for i in size) <= mixing.PASSES
 
 
+def test_mixture_is_the_same_however_rows_are_dealt(spark):
+    """The same rows, copies among them, in other partitions and in another order give the same mix."""
+    rows = [(i % 190, " ".join(f"w{i % 190}_{j}" for j in range(1 + i * 7 % 90)) if i % 190 else None, "en", f"s{i % 3}" if i % 11 else None, i) for i in range(200)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    dealt = [docs.repartition(5), docs.orderBy(F.desc("n_chars")).coalesce(1), docs.repartition(3, "text")]
+    got = [sorted(corpus_pipeline.mixture(spark, d, "").collect(), key=str) for d in dealt]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_language_without_labels_and_with_many(spark):
     rows = [(1, "plain words", None, "a", 11), (2, "123 !?", None, "a", 6), (3, None, None, "a", None), (4, "été", None, None, 3)]
     docs = spark.createDataFrame(rows, COLUMNS)
