@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, knn, langid, licenses, mixing, pii, sharding, simhash, warc
+from . import audio, bpe, jaccard, knn, langid, licenses, mixing, pii, sharding, simhash, warc
 from .common import new_path, table
 
 #: Shards of op5.
@@ -98,6 +98,10 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("text")
 
 
+def op12_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(documents(spark, sf_dir))
+
+
 def _crc32_step(low: int) -> int:
     """What four shifts of a reflected CRC-32 make of its low four bits."""
     for _ in range(4):
@@ -148,6 +152,24 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+#: ASCII letters in lower case, as DuckDB writes it; white space as the contracts have it.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT id, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingles FROM t
+), one AS (SELECT id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.id <> b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, min(o.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON reach.a = s.id LEFT JOIN s o ON o.id = reach.b GROUP BY s.id, s.doc_id, shingles
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_disclosure_spans": op2_disclosure_spans,
@@ -159,5 +181,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_block_mixture": op9_block_mixture,
     "op10_license_rules": op10_license_rules,
+    "op12_signature_trees": op12_signature_trees,
 }
-ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL, "op12_signature_trees": OP12_SQL}
