@@ -166,8 +166,8 @@ links AS (
   SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.id <> b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
   GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
 ), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, min(o.doc_id)) AS component_id
-FROM s LEFT JOIN reach ON reach.a = s.id LEFT JOIN s o ON o.id = reach.b GROUP BY s.id, s.doc_id, shingles
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id, min(o.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON reach.a = s.id LEFT JOIN s o ON o.id = reach.b GROUP BY s.id, s.doc_id, s.shingles
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
