@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, jaccard, knn, langid, licenses, mixing, pii, sharding, simhash, warc
+from . import audio, bpe, jaccard, knn, langid, licenses, mixing, pii, sharding, simhash, warc, whitening
 from .common import new_path, table
 
 #: Shards of op5.
@@ -98,6 +98,21 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    if model is None or not len(model.values):
+        nothing = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+        return spark.createDataFrame([], nothing)
+    explained = F.element_at(F.array(*[F.lit(x).cast("double") for x in model.explained]), F.col("component"))
+    return (
+        whitening.whiten(rows, model)
+        .select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+        .select("vec_id", (F.col("place") + 1).alias("component"), "deviation", "whitened")
+        .select("vec_id", "component", F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+    )
+
+
 def op12_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(documents(spark, sf_dir))
 
@@ -181,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_block_mixture": op9_block_mixture,
     "op10_license_rules": op10_license_rules,
+    "op11_whitening": op11_whitening,
     "op12_signature_trees": op12_signature_trees,
 }
 ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL, "op12_signature_trees": OP12_SQL}
