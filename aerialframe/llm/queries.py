@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, jaccard, knn, langid, licenses, mixing, pii, sharding, simhash, warc, whitening
+from . import audio, bpe, jaccard, knn, langid, licenses, mixing, phrases, pii, sharding, simhash, warc, whitening
 from .common import new_path, table
 
 #: Shards of op5.
@@ -117,6 +117,10 @@ def op12_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def _crc32_step(low: int) -> int:
     """What four shifts of a reflected CRC-32 make of its low four bits."""
     for _ in range(4):
@@ -185,6 +189,32 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id,
 FROM s LEFT JOIN reach ON reach.a = s.id LEFT JOIN s o ON o.id = reach.b GROUP BY s.id, s.doc_id, s.shingles
 """
 
+OP13_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), q AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
+), x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM q
+), g AS (SELECT lang, w[i] AS w1, CASE WHEN i < len(w) THEN w[i + 1] END AS w2, CASE WHEN i + 1 < len(w) THEN w[i + 2] END AS w3 FROM x
+), n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang
+), f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY lang, w1
+), f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+), f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10
+), inside AS (
+  SELECT lang, a, b, max(f) AS longer FROM (SELECT lang, w1 AS a, w2 AS b, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY lang, a, b
+), cut AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, a.f AS l, b.f AS r FROM f2 t
+  JOIN f1 a ON a.lang = t.lang AND a.w1 = t.w1 JOIN f1 b ON b.lang = t.lang AND b.w1 = t.w2
+  LEFT JOIN inside i ON i.lang = t.lang AND i.a = t.w1 AND i.b = t.w2 WHERE t.f >= 10 AND (i.longer IS NULL OR 100 * i.longer < 50 * t.f)
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, a.f, b.f FROM f3 t
+  JOIN f1 a ON a.lang = t.lang AND a.w1 = t.w1 JOIN f2 b ON b.lang = t.lang AND b.w1 = t.w2 AND b.w2 = t.w3
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, a.f, b.f FROM f3 t
+  JOIN f2 a ON a.lang = t.lang AND a.w1 = t.w1 AND a.w2 = t.w2 JOIN f1 b ON b.lang = t.lang AND b.w1 = t.w3
+), s AS (SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut
+), c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_disclosure_spans": op2_disclosure_spans,
@@ -198,5 +228,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_rules": op10_license_rules,
     "op11_whitening": op11_whitening,
     "op12_signature_trees": op12_signature_trees,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL, "op12_signature_trees": OP12_SQL}
+ORACLES: dict[str, str] = {"op5_prefix_sum_shards": OP5_SQL, "op6_voronoi_knn": OP6_SQL, "op8_warc_revisits": OP8_SQL, "op12_signature_trees": OP12_SQL, "op13_collocations": OP13_SQL}
