@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mosaic, neighbors, photos, registration
+from ..sources import rasters
 
 BACKENDS, CAPS = ("onnx", "orb"), {"capped": neighbors.MAX_NEIGHBORS, "uncapped": None}
 STAGES = ("downsampling", "detecting", "matching", "aligning", "blending", "exporting")
@@ -24,10 +26,12 @@ class StitchResult:
     canvases: DataFrame
     tiles: DataFrame
     warnings: DataFrame
-    #: (flight_id, photos_used, photos_skipped, confident_pairs)
+    #: (flight_id, photos_used, photos_skipped, confident_pairs); photos without a footprint count nowhere, those whose picture can't be read as skipped
     counts: DataFrame
     #: (flight_id, corners) of the mosaic on the map
     corners: DataFrame
+    #: (flight_id, lat0, lon0) from which a flight's metres count
+    origins: DataFrame
 
 
 def candidate_pairs(table: DataFrame, cap: str = "capped") -> DataFrame:
@@ -55,10 +59,26 @@ def stitch(table: DataFrame, pictures: DataFrame, points: DataFrame) -> StitchRe
     sized = poses.join(placed.select("photo_id", "width", "height"), "photo_id")
     bounded = mosaic.bounds(sized)
     canvases = mosaic.canvas(bounded, registration.mean_gsd(used))
-    every = table.groupBy("flight_id").agg(F.count("*").alias("n"))
-    n_used = poses.groupBy("flight_id").agg(F.count("*").alias("photos_used"))
+    n = ready.join(sizes.select("photo_id", F.lit(True).alias("seen")), "photo_id", "left").groupBy("flight_id")
+    n = n.agg(F.count_if("seen").alias("photos_used"), F.count_if(F.col("seen").isNull()).alias("photos_skipped"))
     n_pairs = edges.groupBy("flight_id").agg(F.count("*").alias("confident_pairs"))
-    counts = every.join(n_used, "flight_id", "left").join(n_pairs, "flight_id", "left").fillna(0)
-    counts = counts.select("flight_id", "photos_used", (F.col("n") - F.col("photos_used")).alias("photos_skipped"), "confident_pairs")
+    counts = n.join(n_pairs, "flight_id", "left").fillna(0)
     tiles = mosaic.compose(mosaic.covered_tiles(bounded, canvases), pictures)
-    return StitchResult(edges, poses, canvases, tiles, lost.union(weak), counts, mosaic.corners(canvases, registration.origins(used)))
+    origins = registration.origins(used)
+    return StitchResult(edges, poses, canvases, tiles, lost.union(weak), counts, mosaic.corners(canvases, origins), origins)
+
+
+def export(result: StitchResult, path: str) -> DataFrame:
+    """Write a GeoTIFF and a PNG of every mosaic below ``path``, and say where they are.
+
+    (flight_id, geotiff_path, preview_path, preview_corners, photos_used, photos_skipped, confident_pairs, duration_ms); the duration is that of
+    computing and writing all rasters, which are made together.
+    """
+    began = time.monotonic()
+    rasters.write_rasters(result.tiles, result.canvases, result.origins, path)
+    took = round((time.monotonic() - began) * 1000)
+    named = lambda end: F.concat(F.lit(f"{path.rstrip('/')}/"), F.col("flight_id").cast("string"), F.lit(end))
+    return result.corners.join(result.counts, "flight_id").select(
+        "flight_id", named(".tif").alias("geotiff_path"), named(".preview.png").alias("preview_path"), F.col("corners").alias("preview_corners"),
+        "photos_used", "photos_skipped", "confident_pairs", F.lit(took).cast("long").alias("duration_ms"),
+    )
