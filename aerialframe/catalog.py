@@ -303,18 +303,27 @@ def _shoelace_sql(name: str) -> str:
 
 
 # The common area by Green's theorem: each side is cut to the part inside the other footprint (t from lo to hi), and the parts enclose it.
-OVERLAPS = f"""{RADII}, quads AS (
+def _lines_sql(ours: str, theirs: str, i: int, j: int) -> str:
+    """Where side i of a footprint crosses the line of side j of the other: left of it at the start (k0), and how fast that changes (k1)."""
+    ex, ey = (f"({theirs}{c}{(j + 1) % 4} - {theirs}{c}{j})" for c in "xy")
+    dx, dy = (f"({ours}{c}{(i + 1) % 4} - {ours}{c}{i})" for c in "xy")
+    k = f"{ours}{i}{j}"
+    return f"{ex} * ({ours}y{i} - {theirs}y{j}) - {ey} * ({ours}x{i} - {theirs}x{j}) AS k0{k}, {ex} * {dy} - {ey} * {dx} AS k1{k}, {ex} * {dx} + {ey} * {dy} AS k2{k}"
+
+
+def _cut_sql(ours: str, i: int) -> str:
+    low = [f"CASE WHEN k1{ours}{i}{j} > 0 THEN -k0{ours}{i}{j} / k1{ours}{i}{j} WHEN k1{ours}{i}{j} = 0 AND (k0{ours}{i}{j} < 0 OR k0{ours}{i}{j} = 0 AND {f'k2a{i}{j} <= 0' if ours == 'a' else 'true'}) THEN 2 ELSE 0 END" for j in range(4)]
+    high = [f"CASE WHEN k1{ours}{i}{j} < 0 THEN -k0{ours}{i}{j} / k1{ours}{i}{j} ELSE 1 END" for j in range(4)]
+    return f"greatest(0, {', '.join(low)}) AS lo{ours}{i}, least(1, {', '.join(high)}) AS hi{ours}{i}"
+
+
+SIDES = [(ours, theirs, i) for ours, theirs in (("a", "b"), ("b", "a")) for i in range(4)]
+OVERLAPS = f"""{RADII}, quads AS MATERIALIZED (
   SELECT flight_id, a, b, {_quad_sql("ring_a_", "p")}, {_quad_sql("ring_b_", "q")} FROM pairs JOIN rings p USING (flight_id) JOIN rings q USING (flight_id) WHERE p.photo_id = a AND q.photo_id = b
-), sides AS (SELECT *, unnest(range(8)) AS e FROM quads
-), ends AS (SELECT flight_id, a, b, e, CASE WHEN e < 4 THEN ring_a_x ELSE ring_b_x END AS sx, CASE WHEN e < 4 THEN ring_a_y ELSE ring_b_y END AS sy, CASE WHEN e < 4 THEN ring_b_x ELSE ring_a_x END AS ox, CASE WHEN e < 4 THEN ring_b_y ELSE ring_a_y END AS oy FROM sides
-), planes AS (
-  SELECT flight_id, a, b, e, sx[e % 4 + 1] AS px, sy[e % 4 + 1] AS py, sx[(e + 1) % 4 + 1] - sx[e % 4 + 1] AS dx, sy[(e + 1) % 4 + 1] - sy[e % 4 + 1] AS dy, ox, oy, unnest(range(4)) AS j FROM ends
-), lines AS (SELECT flight_id, a, b, e, px, py, dx, dy, ox[j + 1] AS vx, oy[j + 1] AS vy, ox[(j + 1) % 4 + 1] - ox[j + 1] AS ex, oy[(j + 1) % 4 + 1] - oy[j + 1] AS ey FROM planes
-), signs AS (SELECT *, ex * (py - vy) - ey * (px - vx) AS k0, ex * dy - ey * dx AS k1 FROM lines
-), parts AS (
-  SELECT flight_id, a, b, e, px, py, dx, dy, greatest(0, max(CASE WHEN k1 > 0 THEN -k0 / k1 WHEN k1 = 0 AND k0 < 0 THEN 2 ELSE 0 END)) AS lo, least(1, min(CASE WHEN k1 < 0 THEN -k0 / k1 ELSE 1 END)) AS hi FROM signs GROUP BY ALL
-), areas AS (SELECT flight_id, a, b, sum(CASE WHEN hi > lo THEN (hi - lo) * (px * dy - py * dx) / 2 ELSE 0 END) AS area FROM parts GROUP BY ALL
-), shared AS (SELECT flight_id, a, b, area / least({_shoelace_sql("ring_a_")}, {_shoelace_sql("ring_b_")}) AS overlap FROM areas JOIN quads USING (flight_id, a, b))"""
+), flat AS MATERIALIZED (SELECT *, {', '.join(f"ring_{k}_{c}[{i + 1}] AS {k}{c}{i}" for k in "ab" for c in "xy" for i in range(4))} FROM quads
+), lines AS MATERIALIZED (SELECT *, {', '.join(_lines_sql(ours, theirs, i, j) for ours, theirs, i in SIDES for j in range(4))} FROM flat
+), parts AS MATERIALIZED (SELECT *, {', '.join(_cut_sql(ours, i) for ours, _, i in SIDES)} FROM lines
+), shared AS (SELECT flight_id, a, b, ({' + '.join(f"greatest(0, hi{k}{i} - lo{k}{i}) * ({k}x{i} * {k}y{(i + 1) % 4} - {k}y{i} * {k}x{(i + 1) % 4}) / 2" for k, _, i in SIDES)}) / least({_shoelace_sql("ring_a_")}, {_shoelace_sql("ring_b_")}) AS overlap FROM parts)"""
 
 
 @query(f"{OVERLAPS} SELECT flight_id, a, b, round(overlap, 6) + 0.0 AS overlap FROM shared")
@@ -457,7 +466,7 @@ def mean_gsd(spark, sf_dir):
 @query()
 def geojson_features(spark, sf_dir):
     p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M, ordered=True)
-    return photos.path_features(p).unionByName(coverage.cell_features(counts, grids))
+    return photos.path_features(p).unionByName(coverage.cell_features(counts, grids)).unionByName(photos.footprint_features(p))
 
 
 @query(f"""{GAPS} SELECT flight_id, id, printf('Gap #%d: %.0f m² at %.6f, %.6f', id + 1, area_m2, lat, lon) AS label FROM gaps""")
@@ -471,31 +480,37 @@ def _one_decimal(x: str) -> str:
     return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 1) AS VARCHAR)"
 
 
-ROOM_MM = report.PAGE_MM - 2 * report.MARGIN_MM
-ROOM_MM -= ROOM_MM % report.LINE_MM
 REPORT = f"""{GAPS}, summary AS (
   SELECT p.flight_id, count(*) AS n, count(lat) AS n_gps, count(*) FILTER (WHERE blur_score < 100) AS n_blurry, avg(relative_altitude) AS altitude,
     any_value(coalesce(n_gaps, 0)) AS n_gaps, any_value(coalesce(area, 0)) AS area
   FROM photos p LEFT JOIN (SELECT flight_id, count(*) AS n_gaps FROM gaps GROUP BY ALL) USING (flight_id)
   LEFT JOIN (SELECT flight_id, count(*) * {GAP_CELL_M**2} AS area FROM cells GROUP BY ALL) USING (flight_id) GROUP BY p.flight_id
 ), l AS (
-  SELECT flight_id, 0 AS part, unnest(range(7)) AS no, unnest(['Flight inspection', 'Photos: ' || n, 'Photos with GPS: ' || n_gps, 'Blurry photos: ' || n_blurry, 'Coverage gaps: ' || n_gaps,
-    'Covered area: ' || CASE WHEN area >= 10000 THEN printf('%.2f ha', area / 10000) ELSE printf('%.0f m²', CAST(area AS DOUBLE)) END,
-    coalesce('Average altitude: ' || {_one_decimal("altitude")} || ' m', 'Average altitude: unknown')]) AS text FROM summary
-  UNION ALL SELECT flight_id, 1, row_number() OVER (PARTITION BY flight_id ORDER BY area_m2 DESC, id), printf('Gap #%d: %d cells, %.1f m² at %.6f, %.6f', id + 1, cell_count, area_m2, lat, lon) FROM gaps
-  UNION ALL SELECT flight_id, 2, row_number() OVER (PARTITION BY flight_id ORDER BY file_name), printf('%s: blur score %s at %.6f, %.6f', file_name, {_one_decimal("blur_score")}, lat, lon)
+  SELECT flight_id, 0 AS part, unnest(range(8)) AS no, unnest(['{report.TITLE}', 'Total photos: ' || n, 'Photos with GPS: ' || n_gps, 'Blurry photos: ' || n_blurry, 'Coverage gaps: ' || n_gaps,
+    coalesce('Average altitude: ' || {_one_decimal("altitude")} || ' m', 'Average altitude: n/a'), printf('Coverage area: %.0f m^2', CAST(area AS DOUBLE)), 'Scan duration: n/a']) AS text FROM summary
+  UNION ALL SELECT flight_id, 1, 0, '{report.GAPS}' FROM summary UNION ALL SELECT flight_id, 2, 0, '{report.BLURRY}' FROM summary
+  UNION ALL SELECT flight_id, 1, 1, '{report.NO_GAPS}' FROM summary WHERE n_gaps = 0
+  UNION ALL SELECT flight_id, 2, 1, '{report.NO_BLURRY}' FROM summary WHERE flight_id NOT IN (SELECT flight_id FROM photos WHERE lat IS NOT NULL AND blur_score < 100)
+  UNION ALL SELECT flight_id, 1, row_number() OVER (PARTITION BY flight_id ORDER BY area_m2 DESC, id), printf('- %.6f, %.6f  (~%.0f m^2)', lat, lon, CAST(area_m2 AS DOUBLE)) FROM gaps
+  UNION ALL SELECT flight_id, 2, row_number() OVER (PARTITION BY flight_id ORDER BY capture_ts, file_name), printf('- %s at %.6f, %.6f (score %.0f)', file_name, lat, lon, blur_score)
   FROM photos WHERE lat IS NOT NULL AND blur_score < 100
-), h AS (
-  SELECT *, no = 0 AS heading FROM l
-  UNION ALL SELECT DISTINCT flight_id, part, 0, CASE part WHEN 1 THEN 'Gaps' ELSE 'Blurry photos' END, true FROM l WHERE part > 0
+), h AS MATERIALIZED (
+  SELECT flight_id, row_number() OVER (PARTITION BY flight_id ORDER BY part, no) - 1 AS n, CASE WHEN no > 0 THEN 'line' WHEN part = 0 THEN 'title' ELSE 'heading' END AS kind, text FROM l
+), steps AS MATERIALIZED (
+  SELECT *, CASE kind WHEN 'heading' THEN {report.STEPS["heading"][0]} ELSE 0 END AS before, CASE kind WHEN 'heading' THEN {report.STEPS["heading"][1]} ELSE {report.STEPS["line"][1]} END AS need,
+    CASE kind WHEN 'heading' THEN {report.STEPS["heading"][2]} ELSE {report.STEPS["line"][2]} END AS down FROM h
+), fold AS (
+  SELECT flight_id, n, kind, text, 1 AS page, {report.TOP} AS y, {report.STEPS["title"][2]} AS down FROM steps WHERE n = 0
+  UNION ALL SELECT s.flight_id, s.n, s.kind, s.text, CASE WHEN y - f.down - before - need < {report.BOTTOM} THEN page + 1 ELSE page END,
+    CASE WHEN y - f.down - before - need < {report.BOTTOM} THEN {report.TOP - report.NEXT_PAGE_MM} ELSE y - f.down - before END, s.down
+  FROM fold f JOIN steps s ON s.flight_id = f.flight_id AND s.n = f.n + 1
 )
-SELECT flight_id, part, no, heading, text, CAST(floor((sum(CASE WHEN heading THEN {math.ceil(report.HEADING_MM / report.LINE_MM) * report.LINE_MM} ELSE {report.LINE_MM} END) OVER (
-  PARTITION BY flight_id ORDER BY part, no ROWS UNBOUNDED PRECEDING) - {report.LINE_MM}) / {ROOM_MM}) + 1 AS INTEGER) AS page FROM h"""
+SELECT flight_id, n, kind, text, CAST(page AS INTEGER) AS page, CAST(y AS INTEGER) AS y FROM fold"""
 
 
 @query(REPORT)
 def report_pages(spark, sf_dir):
-    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M, ordered=True)
     found = coverage.gaps(counts, grids)
     return report.pages(report.lines(photos.metrics(p, found, coverage.covered_area(counts, grids)), found, photos.blur_alerts(p)))
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import M_PER_DEG, corners, in_ring, level
+from .dealing import dealt
 
 CELL_M, MIN_CELL_M, MAX_CELLS = 3.0, 0.5, 400_000
+#: Rows of cells whose photos are dealt together.
+BAND = 64
 #: Times a cell is made half as large again at most; 1.5 ^ 60 spans any flight on this planet.
 COARSER = 60
 
@@ -61,6 +64,8 @@ def cells(photos: DataFrame, grids: DataFrame) -> DataFrame:
         "flight_id", "lon0", "lat0", "cell_lon", "cell_lat", c0.alias("c0"), c1.alias("c1"), r0.alias("r0"), r1.alias("r1"),
         *[v.alias(f"{n}{i}") for n, vs in (("x", xs), ("y", ys)) for i, v in enumerate(vs)],
     )
+    # photos of one band of rows together, so that counts of a cell are mostly summed where it is met
+    flat = dealt(flat.withColumn("band", F.floor(F.col("r0") / BAND)), "flight_id", "band")
     each = flat.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     lon = F.col("lon0") + F.col("col") * F.col("cell_lon") + F.col("cell_lon") / 2
     lat = F.col("lat0") + F.col("row") * F.col("cell_lat") + F.col("cell_lat") / 2
@@ -79,19 +84,19 @@ def covered_area(counts: DataFrame, grids: DataFrame) -> DataFrame:
 
 
 def cell_features(counts: DataFrame, grids: DataFrame) -> DataFrame:
-    """A GeoJSON polygon for each covered cell."""
+    """A GeoJSON polygon for each covered cell; ``place`` orders those of a flight by row and column."""
     lon, lat = F.col("lon0") + F.col("col") * F.col("cell_lon"), F.col("lat0") + F.col("row") * F.col("cell_lat")
     east, north = lon + F.col("cell_lon"), lat + F.col("cell_lat")
     ring = F.array(F.array(lon, lat), F.array(east, lat), F.array(east, north), F.array(lon, north), F.array(lon, lat))
     return levels(counts).join(grids, "flight_id").select(
         "flight_id", F.lit("Polygon").alias("type"), F.to_json(F.array(ring)).alias("coordinates"),
-        F.to_json(F.struct(F.col("overlap_count").alias("overlapCount"), "level")).alias("properties"),
+        F.to_json(F.struct(F.col("overlap_count").alias("overlapCount"), "level")).alias("properties"), (F.col("row") * F.col("cols") + F.col("col")).alias("place"),
     )
 
 
-def _label(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label(cells_: pa.Table) -> pa.Table:
     """Four-neighbour components of one flight's cells: labels fall to the smallest among neighbours until none changes."""
-    row, col = pdf.row.to_numpy(), pdf["col"].to_numpy()
+    row, col = cells_.column("row").to_numpy(), cells_.column("col").to_numpy()
     width = int(col.max()) + 2  # an empty column keeps rows apart
     key = row * width + col
     order = np.argsort(key)
@@ -109,7 +114,7 @@ def _label(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(label, label[b], least)
         while (label != label[label]).any():
             label = label[label]
-    return pd.DataFrame({"flight_id": pdf.flight_id.iloc[0], "row": row[order], "col": col[order], "first_cell": key[label]})
+    return pa.table({"flight_id": cells_.column("flight_id"), "row": row[order], "col": col[order], "first_cell": key[label]})
 
 
 def gaps(counts: DataFrame, grids: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def gaps(counts: DataFrame, grids: DataFrame) -> DataFrame:
     which a scan by rows meets the gaps.
     """
     red = counts.where("overlap_count < 3").select("flight_id", "row", "col")
-    found = red.groupBy("flight_id").applyInPandas(_label, "flight_id long, row long, col long, first_cell long")
+    found = dealt(red, "flight_id").groupBy("flight_id").applyInArrow(_label, "flight_id long, row long, col long, first_cell long")
     lat = F.col("lat0") + (F.col("row") + 0.5) * F.col("cell_lat")
     lon = F.col("lon0") + (F.col("col") + 0.5) * F.col("cell_lon")
     sized = found.join(grids, "flight_id").groupBy("flight_id", "first_cell").agg(

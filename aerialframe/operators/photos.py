@@ -35,8 +35,9 @@ def stitchable(photos: DataFrame) -> DataFrame:
 
 
 def blur_alerts(photos: DataFrame) -> DataFrame:
-    """(flight_id, file_name, lat, lon, blur_score) of blurry photos with a position."""
-    return located(photos).where("is_blurry").select("flight_id", "file_name", "lat", "lon", "blur_score")
+    """(flight_id, file_name, lat, lon, blur_score) of blurry photos with a position, and the sort_key where photos have one."""
+    kept = [c for c in ("sort_key",) if c in photos.columns]
+    return located(photos).where("is_blurry").select("flight_id", "file_name", "lat", "lon", "blur_score", *kept)
 
 
 def flight_order(photos: DataFrame) -> DataFrame:
@@ -67,21 +68,33 @@ def flight_bbox(photos: DataFrame) -> DataFrame:
 def path_features(photos: DataFrame) -> DataFrame:
     """GeoJSON features: for each flight one line through its located photos in order, and a point for each of them.
 
-    A line is one value, so it is built from coordinates alone, a few bytes for each photo of the flight.
+    ``place`` orders the features of a flight: the line, then the points in flight order. A line is one value, so it is built from coordinates
+    alone, a few bytes for each photo of the flight.
     """
-    seen = located(photos)
+    seen = flight_order(located(photos))
     at = F.array("lon", "lat")
-    line = seen.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("sort_key", "file_name", at.alias("at")))).alias("p"))
+    line = seen.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("seq", at.alias("at")))).alias("p"))
     lines = line.select(
         "flight_id",
         F.lit("LineString").alias("type"),
         F.to_json(F.transform("p", lambda p: p["at"])).alias("coordinates"),
         F.to_json(F.struct(F.lit("flightPath").alias("kind"))).alias("properties"),
+        F.lit(0).cast("long").alias("place"),
     )
     points = seen.select(
         "flight_id",
         F.lit("Point").alias("type"),
         F.to_json(at).alias("coordinates"),
-        F.to_json(F.struct(F.lit("photo").alias("kind"), F.col("file_name").alias("fileName"), F.col("is_blurry").alias("isBlurry"))).alias("properties"),
+        F.to_json(F.struct(F.lit("photoPoint").alias("kind"), F.col("file_name").alias("fileName"), F.col("is_blurry").alias("isBlurry"))).alias("properties"),
+        (F.col("seq") + 1).cast("long").alias("place"),
     )
     return lines.unionByName(points)
+
+
+def footprint_features(photos: DataFrame) -> DataFrame:
+    """A GeoJSON polygon for each photo with a footprint, in flight order by ``place``; photos without one are no part of the layer."""
+    seen = flight_order(stitchable(photos))
+    return seen.select(
+        "flight_id", F.lit("Polygon").alias("type"), F.to_json(F.array("footprint")).alias("coordinates"),
+        F.to_json(F.struct(F.lit("footprint").alias("kind"), F.col("file_name").alias("fileName"))).alias("properties"), F.col("seq").cast("long").alias("place"),
+    )

@@ -24,18 +24,22 @@ class InspectionResult:
     gaps: DataFrame
     blur_alerts: DataFrame
     metrics: DataFrame
-    #: Milliseconds that scanning and checking the folder took; computing the results comes on top, when they are read.
+    #: Milliseconds that scanning and checking the folder took, as in metrics; computing the results comes on top, when they are read.
     scan_ms: int | None = None
 
 
-def inspect_photos(table: DataFrame, cell_m: float = coverage.CELL_M) -> InspectionResult:
-    """All results for a photo table with a flight_id; each is lazy. Keep ``table`` in storage if several are read."""
+def inspect_photos(table: DataFrame, cell_m: float = coverage.CELL_M, scan_ms: int | None = None) -> InspectionResult:
+    """All results for a photo table with a flight_id; each is lazy. Keep ``table`` in storage if several are read.
+
+    ``scan_ms`` is what reading the table took, if it was read from photos; metrics have it as ``scan_duration_ms``.
+    """
     table = photos.with_footprint(table)
     grids = coverage.grid(table, cell_m)
     counts = coverage.cells(table, grids)
     gaps = coverage.gaps(counts, grids)
+    metrics = photos.metrics(table, gaps, coverage.covered_area(counts, grids)).withColumn("scan_duration_ms", F.lit(scan_ms).cast("long"))
     return InspectionResult(
-        photos.flight_order(table), photos.path_features(table), coverage.cell_features(counts, grids), gaps, photos.blur_alerts(table), photos.metrics(table, gaps, coverage.covered_area(counts, grids))
+        photos.flight_order(table), photos.path_features(table), coverage.cell_features(counts, grids), gaps, photos.blur_alerts(table), metrics, scan_ms
     )
 
 
@@ -48,6 +52,4 @@ def inspect_directory(spark: SparkSession, path: str, cell_m: float = coverage.C
     table = source.parse(source.headers(files)).persist()
     if table.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).isEmpty():
         raise InspectionError("No photo has a GPS position.")
-    result = inspect_photos(table, cell_m)
-    result.scan_ms = round((time.monotonic() - began) * 1000)
-    return result
+    return inspect_photos(table, cell_m, round((time.monotonic() - began) * 1000))

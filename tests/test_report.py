@@ -1,0 +1,151 @@
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_operators import shots
+
+from aerialframe.operators import coverage, photos
+from aerialframe.plans import inspect, report
+
+METRICS = "flight_id long, photo_count long, photos_with_gps long, blurry_count long, gap_count long, covered_area_m2 double, avg_altitude double, scan_duration_ms long"
+
+
+def parts(spark, n_gaps, n_blur, flight=1):
+    m = spark.createDataFrame([(flight, 5, 4, n_blur, n_gaps, 20000.4, None, 42)], METRICS)
+    gaps = spark.createDataFrame([(flight, i, 10.0, 106.0, 5, 45.0 + i % 3) for i in range(n_gaps)], "flight_id long, id long, lat double, lon double, cell_count long, area_m2 double")
+    blur = spark.createDataFrame([(flight, f"p{n_blur - i:05}.jpg", 10.0, 106.0, 3.4, i) for i in range(n_blur)], "flight_id long, file_name string, lat double, lon double, blur_score double, sort_key long")
+    return m, gaps, blur
+
+
+def layout(kinds):
+    """(page, y) of each line, one after the other."""
+    page, y, out = 1, 280, []
+    for kind in kinds:
+        if kind == "heading":
+            y -= 2
+        if kind != "title" and y - {"heading": 12, "line": 6}[kind] < 20:
+            page, y = page + 1, 280 - 10
+        out.append((page, y))
+        y -= {"title": 12, "heading": 8, "line": 6}[kind]
+    return out
+
+
+@pytest.mark.parametrize("n_gaps, n_blur, last", [(0, 0, 1), (2, 1, 1), (28, 0, 1), (80, 3, 3), (35, 40, 3)])
+def test_lines_and_pages(spark, monkeypatch, n_gaps, n_blur, last):
+    monkeypatch.setattr(report, "CHUNK", 7)
+    got = report.pages(report.lines(*parts(spark, n_gaps, n_blur))).orderBy("n").collect()
+    text = [r.text for r in got]
+    assert [r.n for r in got] == list(range(len(got))) and len(got) == 10 + max(1, n_gaps) + max(1, n_blur)
+    assert text[:9] == ["Flight Inspection Report", "Total photos: 5", "Photos with GPS: 4", f"Blurry photos: {n_blur}", f"Coverage gaps: {n_gaps}", "Average altitude: n/a", "Coverage area: 20000 m^2", "Scan duration: 42 ms", "Gaps (fly-back coordinates):"]
+    areas = [int(re.search(r"~(\d+) m", t).group(1)) for t in text if t.startswith("- 10.000000, 106.000000  (~")]
+    assert areas == sorted((45 + i % 3 for i in range(n_gaps)), reverse=True)
+    assert ("None - full coverage." in text) == (n_gaps == 0) and ("None detected." in text) == (n_blur == 0)
+    if n_blur:
+        assert text[-n_blur:] == [f"- p{n_blur - i:05}.jpg at 10.000000, 106.000000 (score 3)" for i in range(n_blur)]
+    assert [(r.page, r.y) for r in got] == layout([r.kind for r in got]) and got[-1].page == last
+
+
+def test_any_order_of_kinds(spark, monkeypatch):
+    """Chunks composed as functions give the same as line after line."""
+    r = random.Random(1)
+    kinds = ["title", *[r.choice(["line"] * 6 + ["heading"]) for _ in range(2000)]]
+    rows = spark.createDataFrame([(f, n, k, "t") for f in (1, 2) for n, k in enumerate(kinds[: 2001 // f])], "flight_id long, n long, kind string, text string")
+    for chunk in (1, 64, 4096):
+        monkeypatch.setattr(report, "CHUNK", chunk)
+        for f in (1, 2) if chunk > 1 else (2,):
+            got = report.pages(rows.where(F.col("flight_id") == f).limit(200 if chunk == 1 else 3000)).orderBy("n").collect()
+            assert [(x.page, x.y) for x in got] == layout(kinds[: len(got)])
+    y, page = report.HEIGHTS, np.zeros(len(report.HEIGHTS), np.int64)
+    for kind in report.STEPS:
+        if kind != "title":
+            assert np.isin(report.step(kind, y, page)[2], report.HEIGHTS).all()
+
+
+def read_pdf(data):
+    """The texts of each page, by the table of objects."""
+    assert data.startswith(b"%PDF-") and data.rstrip().endswith(b"%%EOF")
+    table = int(re.search(rb"startxref\s+(\d+)", data).group(1))
+    head, n = re.match(rb"xref\n0 (\d+)\n", data[table:]), None
+    n, at = int(head.group(1)), table + head.end()
+    places = [int(data[at + 20 * k : at + 20 * k + 10]) for k in range(n)]
+    assert all(data[p:].startswith(b"%d 0 obj\n" % k) for k, p in enumerate(places) if k)
+    obj = lambda k: data[places[k] : data.index(b"endobj", places[k])]
+    root = int(re.search(rb"/Root (\d+) 0 R", data[table:]).group(1))
+    tree = obj(int(re.search(rb"/Pages (\d+) 0 R", obj(root)).group(1)))
+    kids = [int(k) for k in re.search(rb"/Kids \[(.*?)\]", tree).group(1).split()[::3]]
+    assert int(re.search(rb"/Count (\d+)", tree).group(1)) == len(kids)
+    out = []
+    for k in kids:
+        content = obj(int(re.search(rb"/Contents (\d+) 0 R", obj(k)).group(1)))
+        size = int(re.search(rb"/Length (\d+)", content).group(1))
+        body = content[content.index(b"stream\n") + 7 :]
+        assert body[size:].startswith(b"\nendstream")
+        out.append([(float(y), re.sub(rb"\\(.)", rb"\1", t).decode("cp1252")) for y, t in re.findall(rb"Td\b|([\d.]+) Td \(((?:\\.|[^\\)])*)\) Tj", body[:size]) if t])
+    return out
+
+
+def test_pdf(spark, tmp_path):
+    m, gaps, blur = (a.union(b) for a, b in zip(parts(spark, 80, 1, 1), parts(spark, 2, 0, 2), strict=True))
+    blur = blur.withColumn("file_name", F.lit("a(b)\\é→.jpg"))
+    report.write_pdfs(report.pages(report.lines(m, gaps, blur)), str(tmp_path))
+    long, short = (read_pdf((tmp_path / f"{k}.pdf").read_bytes()) for k in (1, 2))
+    assert len(short) == 1 and len(long) == 3 and [t for _, t in short[0]][:2] == ["Flight Inspection Report", "Total photos: 5"]
+    assert [p[0][1] for p in long[1:]] == ["Flight Inspection Report (page 2)", "Flight Inspection Report (page 3)"]
+    assert sum(t.startswith("- 10.0") for p in long for _, t in p) == 80 and long[-1][-1][1].startswith("- a(b)\\é?.jpg at ")
+    assert all(y >= 20 * 72 / 25.4 for p in long for y, _ in p)
+
+
+def test_json(spark, tmp_path):
+    """Order and names of all parts, key by key; the document is indented as a whole."""
+    table = shots(spark, [(10.0, 106.0), (10.0, 106.0003), (10.0, 106.0006)]).withColumn("sort_key", -F.col("photo_id"))
+    lost = shots(spark, [(None, None)], flight=2).withColumn("sort_key", F.lit(1).cast("long"))
+    result = inspect.inspect_photos(table.union(lost), scan_ms=17)
+    with pytest.raises(ValueError, match="xml"):
+        report.export(result, "xml", str(tmp_path / "x"))
+    report.export(result, "json", str(tmp_path))
+    text = (tmp_path / "1.json").read_text()
+    got = json.loads(text)
+    assert text == json.dumps(got, indent=2, ensure_ascii=False) + "\n"
+    assert list(got) == ["photos", "flightPath", "heatmap", "gaps", "blurAlerts", "metrics"]
+    assert [p["fileName"] for p in got["photos"]] == ["p2.jpg", "p1.jpg", "p0.jpg"]
+    assert list(got["photos"][0]) == ["fileName", "path", "lat", "lon", "relativeAltitude", "absoluteAltitude", "yawDeg", "focalMm", "sensorWidthMm", "sensorHeightMm", "imageWidthPx", "imageHeightPx", "footprint", "captureTime", "isBlurry", "blurScore", "warnings"]
+    assert got["photos"][0]["path"] is None and got["photos"][0]["warnings"] == [] and len(got["photos"][0]["footprint"]) == 5
+    line, *points = got["flightPath"]
+    assert line == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[106.0006, 10.0], [106.0003, 10.0], [106.0, 10.0]]}, "properties": {"kind": "flightPath"}}
+    assert [p["properties"] for p in points] == [{"kind": "photoPoint", "fileName": f"p{k}.jpg", "isBlurry": 50 * k < 100} for k in (2, 1, 0)]
+    grids = coverage.grid(table)
+    cells = coverage.cells(table, grids).orderBy("row", "col").collect()
+    assert [c["properties"]["overlapCount"] for c in got["heatmap"]] == [c.overlap_count for c in cells]
+    corner = [c["geometry"]["coordinates"][0][0][::-1] for c in got["heatmap"]]
+    assert corner == sorted(corner) and set(got["heatmap"][0]["properties"]) == {"overlapCount", "level"}
+    assert got["gaps"] and list(got["gaps"][0]) == ["id", "lat", "lon", "cellCount", "areaM2"]
+    assert [a["areaM2"] for a in got["gaps"]] == sorted((a["areaM2"] for a in got["gaps"]), reverse=True)
+    assert [b["fileName"] for b in got["blurAlerts"]] == ["p1.jpg", "p0.jpg"] and list(got["blurAlerts"][0]) == ["fileName", "lat", "lon", "blurScore"]
+    assert list(got["metrics"]) == ["totalPhotos", "photosWithGps", "blurryCount", "gapCount", "avgAltitudeM", "coverageAreaM2", "scanDurationMs"]
+    assert got["metrics"]["totalPhotos"] == 3 and got["metrics"]["scanDurationMs"] == 17
+    other = json.loads((tmp_path / "2.json").read_text())
+    assert [len(other[k]) for k in ("photos", "flightPath", "heatmap", "gaps", "blurAlerts")] == [1, 0, 0, 0, 0] and other["photos"][0]["lat"] is None
+    report.export(result, "pdf", str(tmp_path))
+    assert len(read_pdf((tmp_path / "1.pdf").read_bytes())) >= 1
+
+
+def test_footprint_layer(spark):
+    table = shots(spark, [(10.0, 106.0), (None, None), (10.0, 106.0003)]).withColumn("sort_key", -F.col("photo_id"))
+    got = photos.footprint_features(table).orderBy("place").collect()
+    assert [json.loads(r.properties)["fileName"] for r in got] == ["p2.jpg", "p0.jpg"] and all(len(json.loads(r.coordinates)[0]) == 5 for r in got)
+
+
+def test_a_large_map_is_written_in_pieces(spark, tmp_path):
+    """As many cells as a flight can have, without a value as large as the document."""
+    n = 400_000
+    cells = spark.range(n).select(F.lit(1).cast("long").alias("flight_id"), F.lit("Polygon").alias("type"), F.lit("[[]]").alias("coordinates"), F.format_string('{"overlapCount": %d}', "id").alias("properties"), F.col("id").alias("place"))
+    m, gaps, blur = parts(spark, 0, 0)
+    taken = spark.createDataFrame([(1, "a", 0)], "flight_id long, file_name string, seq int")
+    items = report.json_items(taken, cells.limit(0), cells, gaps, blur, m)
+    assert "collect_list" not in items._jdf.queryExecution().optimizedPlan().toString()
+    report.write_json(items, str(tmp_path))
+    with open(tmp_path / "1.json") as f:
+        assert [c["properties"]["overlapCount"] for c in json.load(f)["heatmap"]] == list(range(n))
