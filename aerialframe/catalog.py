@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geodesy, mercator, metadata
-from .operators import basemap, coverage, matching, mosaic, neighbors, photos, registration
+from .operators import basemap, cameras, coverage, matching, mosaic, neighbors, photos, registration
 from .plans import derived, report
+from .sources import files, pmtiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,9 +177,9 @@ def filename_sequence(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.filename_sequence(name).cast("long").alias("sequence"))
 
 
-@query("SELECT event_id, CAST(rpad(substr(CAST(event_id AS VARCHAR), 1, 3), 3, '0') AS INTEGER) AS millis FROM events")
+@query("SELECT event_id, CAST(substr(strftime(ts, '%f'), 1, 3) AS INTEGER) AS millis FROM events")
 def subsec_millis(spark, sf_dir):
-    text = F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit("z"))
+    text = F.concat(F.lit(" "), F.date_format("ts", "SSSSSS"), F.lit("z"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.subsec_millis(text).alias("millis"))
 
 
@@ -376,21 +377,41 @@ def tiles_for_bbox(spark, sf_dir):
     return basemap.tiles(_boxes(spark, sf_dir), ZOOM)
 
 
+@query(f"""{TILES}, steps AS (SELECT flight_id, z, x, y, z - 1 AS k, x AS a, y AS b, CAST(0 AS BIGINT) AS d FROM tiles
+  UNION ALL SELECT flight_id, z, x, y, k - 1, CASE WHEN b & n > 0 THEN a % n WHEN a & n > 0 THEN n - 1 - b % n ELSE b % n END, CASE WHEN b & n > 0 THEN b % n WHEN a & n > 0 THEN n - 1 - a % n ELSE a % n END,
+    d + n * n * CASE WHEN a & n > 0 THEN CASE WHEN b & n > 0 THEN 2 ELSE 3 END WHEN b & n > 0 THEN 1 ELSE 0 END FROM (SELECT *, CAST(1 AS BIGINT) << k AS n FROM steps WHERE k >= 0))
+SELECT flight_id, z, x, y, ((CAST(1 AS BIGINT) << (2 * z)) - 1) // 3 + d AS tile_id FROM steps WHERE k < 0""")
+def tile_ids(spark, sf_dir):
+    """The tiles of each flight's box by their place on the Hilbert curve, which is how archives are sorted."""
+    return basemap.tiles(_boxes(spark, sf_dir), ZOOM).withColumn("tile_id", pmtiles.tile_id(F.col("z"), F.col("x"), F.col("y")))
+
+
+@query("""SELECT 12 AS z, page_id % 64 AS x, page_id // 64 AS y, CAST(octet_length(encode(html)) AS INTEGER) AS size, md5(html) AS digest FROM pages WHERE html IS NOT NULL""")
+def archive_round_trip(spark, sf_dir):
+    """Pages as the tiles of one archive, written and read back by ranges of bytes."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    tiles = pages.select(F.lit("pages").alias("archive"), F.lit(12).alias("z"), (F.col("page_id") % 64).alias("x"), F.floor(F.col("page_id") / 64).alias("y"), F.col("html").cast("binary").alias("data"))
+    box = spark.createDataFrame([("pages", -180.0, -85.0, 180.0, 85.0)], "archive string, min_lon double, min_lat double, max_lon double, max_lat double")
+    path = files.new_path(spark, "archives")
+    pmtiles.write_archives(tiles, box, 12, path)
+    found = pmtiles.read_archive(spark, f"{path}/pages.pmtiles")
+    return found.select("z", "x", "y", F.octet_length("data").alias("size"), F.md5("data").alias("digest"))
+
+
 @query(f"{TILES} SELECT flight_id, z, count(*) AS tiles FROM tiles GROUP BY ALL")
 def tile_counts_by_zoom(spark, sf_dir):
     return basemap.tile_counts(_boxes(spark, sf_dir), ZOOM)
 
 
-@query(f"""WITH b AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN -200.0 ELSE 10.0 END AS x0, CASE event_id % 6 WHEN 1 THEN -95.0 ELSE 20.0 END AS y0,
-CASE event_id % 6 WHEN 2 THEN 10.0 ELSE 30.0 END AS x1, CASE event_id % 6 WHEN 3 THEN 15.0 ELSE 40.0 END AS y1, CASE event_id % 6 WHEN 4 THEN 16 ELSE 12 END AS z FROM events)
+@query("""WITH b AS (SELECT event_id, value * 8 - 200 AS x0, value * 4 - 95 AS y0, value * 8 - 200 + user_id % 90 - 5 AS x1, value * 4 - 95 + user_id % 40 - 3 AS y1, user_id % 18 AS z FROM events)
 SELECT event_id, CASE WHEN x0 < -180 OR x1 > 180 THEN 'A longitude lies outside of -180 to 180 degrees.' WHEN y0 < -90 OR y1 > 90 THEN 'A latitude lies outside of -90 to 90 degrees.'
 WHEN x0 >= x1 THEN 'The western side has to lie west of the eastern one.' WHEN y0 >= y1 THEN 'The southern side has to lie south of the northern one.'
 WHEN z > 15 THEN 'Tiles end at zoom 15.' END AS error FROM b""")
 def bbox_errors(spark, sf_dir):
-    k = F.col("event_id") % 6
-    pick = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
-    box = mercator.Box(pick(0, -200.0, 10.0), pick(1, -95.0, 20.0), pick(2, 10.0, 30.0), pick(3, 15.0, 40.0))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", mercator.box_error(box, pick(4, 16, 12)).alias("error"))
+    """Complaints about boxes that begin where an event's value says and are as large as its user's number."""
+    x, y = F.col("value") * 8 - 200, F.col("value") * 4 - 95
+    box = mercator.Box(x, y, x + F.col("user_id") % 90 - 5, y + F.col("user_id") % 40 - 3)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", mercator.box_error(box, F.col("user_id") % 18).alias("error"))
 
 
 @query(f"""{BOXES} SELECT o.flight_id FROM boxes o WHERE EXISTS (SELECT 1 FROM boxes c WHERE c.flight_id % 3 <> 1 AND c.flight_id = o.flight_id - o.flight_id % 2
@@ -404,6 +425,17 @@ def basemap_reuse(spark, sf_dir):
     return basemap.reusable(boxes.withColumn("slot", F.col("flight_id") - F.col("flight_id") % 2), cached, on="slot").select("flight_id")
 
 
+@query(f"""{BOXES} SELECT o.flight_id FROM boxes o WHERE EXISTS (SELECT 1 FROM boxes c WHERE c.flight_id % 3 = 0
+AND c.min_lon - 0.0005 * (c.flight_id % 5) <= o.min_lon AND c.min_lat - 0.011 * (c.flight_id % 4) <= o.min_lat AND c.max_lon + 0.0005 * (c.flight_id % 5) >= o.max_lon AND c.max_lat + 0.011 * (c.flight_id % 4) >= o.max_lat)""")
+def basemap_containment(spark, sf_dir):
+    """Flights that any basemap covers; basemaps are the boxes of each third flight, grown by other widths."""
+    boxes = _boxes(spark, sf_dir)
+    b, by_lon, by_lat = mercator.Box.of(), 0.0005 * (F.col("flight_id") % 5), 0.011 * (F.col("flight_id") % 4)
+    grown = dict(zip(mercator.Box._fields, (b.min_lon - by_lon, b.min_lat - by_lat, b.max_lon + by_lon, b.max_lat + by_lat), strict=True))
+    cached = boxes.where("flight_id % 3 = 0").select(*[c.alias(f"c_{n}") for n, c in grown.items()], F.lit(0).alias("tiles_failed"), F.lit(12).alias("max_zoom"))
+    return basemap.reusable(boxes, cached).select("flight_id")
+
+
 @query("""SELECT event_id, round((event_id % 4000 - 2000) / 2000.0, 9) AS x, round((event_id % 3000 - 1500) / 2000.0, 9) AS y FROM events""")
 def keypoint_normalisation(spark, sf_dir):
     n = F.col("event_id")
@@ -430,6 +462,20 @@ def camera_lookup(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.from_model(model)[0].alias("sensor_width_mm"))
 
 
+CAMERAS = """cameras AS (SELECT split_part(p_name, ' ', 1 + CAST(p_partkey % 2 AS INT)) AS needle, p_retailprice AS sensor_width_mm, CAST(p_size AS DOUBLE) AS sensor_height_mm, p_partkey AS place FROM part WHERE p_size > 10)"""
+
+
+@query(f"""WITH {CAMERAS}, c AS (SELECT needle, min(place) AS place, arg_min(sensor_width_mm, place) AS w, arg_min(sensor_height_mm, place) AS h FROM cameras GROUP BY needle)
+SELECT p_partkey, arg_min(w, place) AS sensor_width_mm, arg_min(h, place) AS sensor_height_mm, min(place) AS place FROM part LEFT JOIN c ON contains(p_name || '-' || p_brand, needle) GROUP BY p_partkey""")
+def camera_table(spark, sf_dir):
+    """Each part's name as a model, looked up in a table of cameras that holds words of the names of other parts; the first that fits counts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word = F.element_at(F.split("p_name", " "), (1 + F.col("p_partkey") % 2).cast("int"))
+    table = part.where("p_size > 10").select(word.alias("needle"), F.col("p_retailprice").alias("sensor_width_mm"), F.col("p_size").cast("double").alias("sensor_height_mm"), F.col("p_partkey").alias("place"))
+    found = part.withColumn("camera", cameras.by_camera(table)(F.concat_ws("-", "p_name", "p_brand")))
+    return found.select("p_partkey", "camera.*")
+
+
 FEATHER = """WITH p AS (SELECT event_id, event_id % 101 AS x, (event_id // 101) % 61 AS y, value FROM events),
 f AS (SELECT *, least(1.0, greatest(0.0, least(50 - abs(x - 50), 30 - abs(y - 30))) / 30.0) AS weight FROM p)"""
 
@@ -534,16 +580,20 @@ def tiles_without_world(spark, sf_dir):
     return basemap.without_world(basemap.tiles(_boxes(spark, sf_dir), ZOOM))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 > 0 THEN CAST(floor((event_id % 5) * 100 / (event_id % 7)) AS INTEGER) END AS percent FROM events")
+@query(f"{WITH} SELECT flight_id, CAST(floor(count(lat) * 100 / count(*)) AS INTEGER) AS percent, CAST(floor(count(*) FILTER (WHERE blur_score < 100) * 100 / nullif(count(lat), 0)) AS INTEGER) AS blurry_percent FROM photos GROUP BY ALL")
 def percent_done(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", geodesy.percent(F.col("event_id") % 5, F.col("event_id") % 7).alias("percent"))
+    """Of each flight's photos the part that has a position, and how many blurry ones there are to a hundred of those."""
+    n = derived.inspected(spark, sf_dir).groupBy("flight_id").agg(F.count("*").alias("all"), F.count("lat").alias("some"), F.count_if("is_blurry").alias("blurry"))
+    return n.select("flight_id", geodesy.percent(F.col("some"), F.col("all")).alias("percent"), geodesy.percent(F.col("blurry"), F.col("some")).alias("blurry_percent"))
 
 
-@query(f"{WITH} SELECT flight_id, count(*) FILTER (WHERE photo_id % 3 = 0) AS tile_count, count(*) FILTER (WHERE photo_id % 3 = 2) AS tiles_failed, coalesce(sum(CASE WHEN photo_id % 3 = 0 THEN length(file_name) END), 0)::BIGINT AS bytes FROM photos GROUP BY ALL")
+@query("""SELECT user_id, count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) AS tile_count, count(*) FILTER (WHERE event_type = 'error') AS tiles_failed,
+coalesce(sum(CASE WHEN event_type NOT IN ('error', 'view') THEN octet_length(encode(props)) END), 0)::BIGINT AS bytes FROM events GROUP BY ALL""")
 def fetched_tiles_summary(spark, sf_dir):
-    status = F.element_at(F.array(F.lit("ok"), F.lit("missing"), F.lit("failed")), (F.col("photo_id") % 3 + 1).cast("int"))
-    rows = derived.photos(spark, sf_dir).select("flight_id", status.alias("status"), F.when(F.col("photo_id") % 3 == 0, F.col("file_name").cast("binary")).alias("data"))
-    return basemap.summary(rows, ["flight_id"])
+    """Events as fetched tiles of a user's map: errors failed, views found no tile, all others hold their properties."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "missing").otherwise("ok")
+    return basemap.summary(e.select("user_id", status.alias("status"), F.when(status == "ok", F.col("props").cast("binary")).alias("data")), ["user_id"])
 
 
 @query()

@@ -116,38 +116,58 @@ def quad_area(q: np.ndarray) -> np.ndarray:
 MIN_MATCHES, INLIER_PX, MIN_INLIERS, MIN_RATIO = 8, 3.0, 8, 0.3
 
 
-def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Least squares by the normalised direct linear transform."""
+def fit_homographies(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of k sets of n point pairs (k x n x 2) the least squares matrix by the normalised direct linear transform, and whether it is one."""
 
     def centred(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = p.mean(0)
-        s = np.sqrt(2) / max(np.linalg.norm(p - c, axis=1).mean(), 1e-12)
-        t = np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
-        return apply(t, p), t
+        c = p.mean(1)
+        s = np.sqrt(2) / np.maximum(np.linalg.norm(p - c[:, None], axis=2).mean(1), 1e-12)
+        t = np.zeros((len(p), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2], t[:, 2, 2] = -s[:, None] * c, 1
+        return (p - c[:, None]) * s[:, None, None], t
 
     (a, ta), (b, tb) = centred(src), centred(dst)
-    z, one = np.zeros((len(a), 3)), np.c_[a, np.ones(len(a))]
-    system = np.r_[np.c_[one, z, -b[:, :1] * one], np.c_[z, one, -b[:, 1:] * one]]
-    h = np.linalg.inv(tb) @ np.linalg.svd(system)[2][-1].reshape(3, 3) @ ta
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 and np.isfinite(h).all() else None
+    k, n = a.shape[:2]
+    one, z = np.concatenate([a, np.ones((k, n, 1))], 2), np.zeros((k, n, 3))
+    system = np.concatenate([np.concatenate([one, z, -b[..., :1] * one], 2), np.concatenate([z, one, -b[..., 1:] * one], 2)], 1)
+    h = np.linalg.inv(tb) @ np.linalg.svd(system, full_matrices=2 * n < 9)[2][:, -1].reshape(k, 3, 3) @ ta
+    good = (np.abs(h[:, 2, 2]) > 1e-12) & np.isfinite(h).all((1, 2))
+    return h / np.where(good, h[:, 2, 2], 1)[:, None, None], good
+
+
+def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    h, good = fit_homographies(src[None], dst[None])
+    return h[0] if good[0] else None
+
+
+#: Samples of a homography that are solved and tested at once; the chance that is left for a better one when sampling ends.
+AT_ONCE, MISSED = 64, 1e-6
 
 
 def ransac_homography(src: np.ndarray, dst: np.ndarray, rounds: int = 500, seed: int = 0) -> tuple[np.ndarray, int] | None:
-    """(matrix, inliers) from point pairs, or None where too few agree. The same pairs always give the same answer."""
+    """(matrix, inliers) from point pairs, or None where too few agree. The same pairs always give the same answer.
+
+    Samples of four pairs are drawn and solved many at once. They end early once so many pairs agree that another sample of four of those would have been met
+    but for a chance of MISSED.
+    """
     if len(src) < MIN_MATCHES:
         return None
-    rng, best, most = np.random.default_rng(seed), None, 0
+    rng, best, most, done = np.random.default_rng(seed), None, 0, 0
+    lifted = np.c_[src, np.ones(len(src))]
     with np.errstate(all="ignore"):
-        for _ in range(rounds):
-            pick = rng.choice(len(src), 4, replace=False)
-            h = fit_homography(src[pick], dst[pick])
-            if h is None:
-                continue
-            good = np.linalg.norm(apply(h, src) - dst, axis=1) <= INLIER_PX
-            if good.sum() > most:
-                best, most = good, int(good.sum())
-                if most == len(src):
-                    break
+        while done < rounds:
+            k = min(AT_ONCE, rounds - done)
+            pick = rng.random((k, len(src))).argpartition(4, 1)[:, :4]
+            h, fine = fit_homographies(src[pick], dst[pick])
+            p = lifted @ h.transpose(0, 2, 1)
+            good = fine[:, None] & (np.linalg.norm(p[..., :2] / p[..., 2:] - dst, axis=2) <= INLIER_PX)
+            count = good.sum(1)
+            done += k
+            if count.max() > most:
+                best, most = good[count.argmax()], int(count.max())
+            if (1 - (most / len(src)) ** 4) ** done <= MISSED:
+                break
         if best is None or most < 4:
             return None
         h = fit_homography(src[best], dst[best])

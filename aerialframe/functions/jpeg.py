@@ -42,6 +42,24 @@ def segments(data: bytes):
         at += 2 + size
 
 
+def wanted(data: bytes) -> int:
+    """How many bytes of a file's front are needed to pass its header, as far as ``data``, what is read so far, tells; HEADER_BYTES at most."""
+    at = 2
+    if data[:2] != b"\xff\xd8":
+        return min(2, HEADER_BYTES)
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif marker in (0xD9, 0xDA):
+            return at
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            at += 2
+        else:
+            at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+    return min(HEADER_BYTES, at + 4 if at + 4 > len(data) else at)
+
+
 def _directory(tiff: bytes, end: str, at: int) -> tuple[dict[int, tuple[int, int, int]], int]:
     """Entries of one directory as tag: (type, count, place of the value), and the place of the next directory."""
     if at <= 0 or at + 2 > len(tiff):
@@ -78,6 +96,7 @@ def _value(tiff: bytes, end: str, entry: tuple[int, int, int] | None, want: str)
 def read_header(data: bytes) -> dict[str, Any]:
     """Every tag of TAGS (null if missing), has_exif, thumbnail, xmp, and the width and height of the picture's frame."""
     out: dict[str, Any] = dict.fromkeys([*TAGS, "thumbnail", "xmp", "frame_w", "frame_h"]) | {"has_exif": False}
+    packet = False  # the first one counts, even if it can't be read
     for marker, body in segments(data):
         if marker == 0xE1 and body.startswith(EXIF_SIGNATURE) and not out["has_exif"]:
             tiff = body[len(EXIF_SIGNATURE) :]
@@ -95,7 +114,8 @@ def read_header(data: bytes) -> dict[str, Any]:
             if all(s and s[0] == 4 for s in spans):
                 a, n = (_value(tiff, end, s, "uint") for s in spans)
                 out["thumbnail"] = tiff[a : a + n] if n and a + n <= len(tiff) else None
-        elif marker == 0xE1 and body.startswith(XMP_SIGNATURE) and out["xmp"] is None:
+        elif marker == 0xE1 and body.startswith(XMP_SIGNATURE) and not packet:
+            packet = True
             try:
                 out["xmp"] = body[len(XMP_SIGNATURE) :].decode()
             except UnicodeDecodeError:
@@ -111,109 +131,208 @@ _BASIS = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u *
 
 
 def decode_grey(data: bytes) -> np.ndarray | None:
-    """The first component (grey values) of a small baseline JPEG; None for anything else or if it is broken."""
+    """The first component (grey values) of a small JPEG, baseline or progressive; None for anything else or if it is broken."""
     try:
-        return _decode_grey(data)
+        return _Picture(data).grey()
     except (IndexError, KeyError, struct.error, ValueError):
         return None
 
 
-def _decode_grey(data: bytes) -> np.ndarray | None:
-    quant: dict[int, np.ndarray] = {}
-    codes: dict[int, dict[tuple[int, int], int]] = {}
-    parts: list[tuple[int, int, int, int]] = []
-    width = height = restart = 0
-    at = 2
-    while True:
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == 0xDB:
-            while body:
-                wide = body[0] >> 4
-                n = 128 if wide else 64
-                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(float)
-                body = body[1 + n :]
-        elif marker == 0xC4:
-            while body:
-                table, code, p = {}, 0, 17
-                for length in range(1, 17):
-                    for _ in range(body[length]):
-                        table[length, code] = body[p]
-                        code, p = code + 1, p + 1
-                    code <<= 1
-                codes[body[0]] = table
-                body = body[p:]
-        elif marker == 0xC0:
-            height, width, n = struct.unpack_from(">HHB", body, 1)
-            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-        elif marker == 0xDD:
-            restart = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            break
-        elif 0xC1 <= marker <= 0xCF:
-            return None
-    if not parts or not width or not height:
-        return None
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-    hs, vs = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-width // (8 * hs)), -(-height // (8 * vs))
-    out = np.zeros((down * 8 * parts[0][2], across * 8 * parts[0][1]))
-    stream = data[at:]
-    pos, acc, n_bits = 0, 0, 0
-
-    def take(n: int) -> int:
-        nonlocal pos, acc, n_bits
-        while n_bits < n:
-            b = stream[pos] if pos < len(stream) else 0
-            pos += 1
+class _Bits:
+    """The bits of a scan; after its end come zeros."""
+
+    def __init__(self, stream: bytes):
+        self.stream, self.pos, self.held, self.n = stream, 0, 0, 0
+
+    def take(self, n: int) -> int:
+        while self.n < n:
+            b = self.stream[self.pos] if self.pos < len(self.stream) else 0
+            self.pos += 1
             if b == 0xFF:
-                if pos < len(stream) and stream[pos] != 0:
-                    pos, b = pos - 1, 0  # a marker: what follows is zeros
+                if self.pos < len(self.stream) and self.stream[self.pos] != 0:
+                    self.pos, b = self.pos - 1, 0  # a marker
                 else:
-                    pos += 1
-            acc, n_bits = (acc << 8 | b) & 0xFFFFFFFFFF, n_bits + 8
-        n_bits -= n
-        return acc >> n_bits & ((1 << n) - 1)
+                    self.pos += 1
+            self.held, self.n = (self.held << 8 | b) & 0xFFFFFFFFFF, self.n + 8
+        self.n -= n
+        return self.held >> self.n & ((1 << n) - 1)
 
-    def symbol(table: dict[tuple[int, int], int]) -> int:
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
         code = 0
         for length in range(1, 17):
-            code = code << 1 | take(1)
+            code = code << 1 | self.take(1)
             if (length, code) in table:
                 return table[length, code]
         raise ValueError("no such code")
 
-    def number(n: int) -> int:
-        v = take(n) if n else 0
+    def number(self, n: int) -> int:
+        v = self.take(n) if n else 0
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
-    last = [0] * len(parts)
-    for unit in range(across * down):
-        if restart and unit and unit % restart == 0:
-            while not (stream[pos] == 0xFF and 0xD0 <= stream[pos + 1] <= 0xD7):
-                pos += 1
-            pos, acc, n_bits, last = pos + 2, 0, 0, [0] * len(parts)
-        for k, (name, h, v, q) in enumerate(parts):
-            dc, ac = codes[chosen[name] >> 4], codes[0x10 | chosen[name] & 15]
-            for sub in range(h * v):
-                block = np.zeros(64)
-                last[k] += number(symbol(dc))
-                block[0] = last[k]
-                i = 1
-                while i < 64:
-                    s = symbol(ac)
-                    if s == 0:
-                        break
-                    i += s >> 4
-                    if s & 15:
-                        block[i] = number(s & 15)
+    def restart(self) -> None:
+        """Go behind the next restart marker."""
+        while not (self.stream[self.pos] == 0xFF and 0xD0 <= self.stream[self.pos + 1] <= 0xD7):
+            self.pos += 1
+        self.pos, self.held, self.n = self.pos + 2, 0, 0
+
+
+class _Picture:
+    """Coefficients of all components, filled scan by scan. A baseline picture is one with a single pass over all of them."""
+
+    def __init__(self, data: bytes):
+        self.quant: dict[int, np.ndarray] = {}
+        self.codes: dict[int, dict[tuple[int, int], int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.width = self.height = self.every = 0
+        self.progressive = False
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF:
+            marker = data[at + 1]
+            if marker == 0xD9:
+                break
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if marker == 0xDB:
+                self.tables(body)
+            elif marker == 0xC4:
+                self.huffman(body)
+            elif marker in (0xC0, 0xC1, 0xC2):
+                self.frame(body, marker == 0xC2)
+            elif marker == 0xDD:
+                self.every = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                end = at
+                while end + 1 < len(data) and not (data[end] == 0xFF and data[end + 1] != 0 and not 0xD0 <= data[end + 1] <= 0xD7):
+                    end += 1
+                self.scan(body, _Bits(data[at:end] if end + 1 < len(data) else data[at:]))
+                if not self.progressive:
+                    break
+                at = end
+            elif 0xC3 <= marker <= 0xCF:
+                raise ValueError("Coded in another way.")
+
+    def tables(self, body: bytes) -> None:
+        while body:
+            n = 128 if body[0] >> 4 else 64
+            self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if n == 128 else np.uint8).astype(float)
+            body = body[1 + n :]
+
+    def huffman(self, body: bytes) -> None:
+        while body:
+            table, code, p = {}, 0, 17
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    table[length, code] = body[p]
+                    code, p = code + 1, p + 1
+                code <<= 1
+            self.codes[body[0]] = table
+            body = body[p:]
+
+    def frame(self, body: bytes, progressive: bool) -> None:
+        self.progressive = progressive
+        self.height, self.width, n = struct.unpack_from(">HHB", body, 1)
+        if not n or not self.width or not self.height:
+            raise ValueError("No picture.")
+        self.parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
+        if n == 1:
+            self.parts = {k: (1, 1, q) for k, (_, _, q) in self.parts.items()}
+        self.first = next(iter(self.parts))
+        self.h, self.v = max(p[0] for p in self.parts.values()), max(p[1] for p in self.parts.values())
+        self.across, self.down = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
+        self.blocks = {k: np.zeros((self.down * v, self.across * h, 64), np.int64) for k, (h, v, _) in self.parts.items()}
+
+    def scan(self, body: bytes, bits: _Bits) -> None:
+        chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+        start, end, approx = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+        high, low = approx >> 4, approx & 15
+        if len(chosen) > 1:
+            units = [[(k, t, row * v + j, col * h + i) for k, t in chosen for h, v, _ in [self.parts[k]] for j in range(v) for i in range(h)] for row in range(self.down) for col in range(self.across)]
+        else:  # only the blocks that the picture needs
+            k, t = chosen[0]
+            h, v, _ = self.parts[k]
+            wide, tall = -(-self.width * h // (8 * self.h)), -(-self.height * v // (8 * self.v))
+            units = [[(k, t, row, col)] for row in range(tall) for col in range(wide)]
+        last, self.run = dict.fromkeys(self.parts, 0), 0
+        for n, unit in enumerate(units):
+            if self.every and n and n % self.every == 0:
+                bits.restart()
+                last, self.run = dict.fromkeys(self.parts, 0), 0
+            for k, t, row, col in unit:
+                block = self.blocks[k][row, col]
+                if not self.progressive:
+                    last[k] += bits.number(bits.symbol(self.codes[t >> 4]))
+                    block[0] = last[k]
+                    self.ac(block, bits, self.codes[0x10 | t & 15], 1, 63, 0)
+                elif start == 0 and high == 0:
+                    last[k] += bits.number(bits.symbol(self.codes[t >> 4]))
+                    block[0] = last[k] << low
+                elif start == 0:
+                    block[0] |= bits.take(1) << low
+                elif high == 0:
+                    self.ac(block, bits, self.codes[0x10 | t & 15], start, end, low)
+                else:
+                    self.refine(block, bits, self.codes[0x10 | t & 15], start, end, 1 << low)
+
+    def ac(self, block: np.ndarray, bits: _Bits, table: dict[tuple[int, int], int], start: int, end: int, low: int) -> None:
+        """Coefficients of a band for the first time; a run of blocks may have none."""
+        if self.run:
+            self.run -= 1
+            return
+        i = start
+        while i <= end:
+            s = bits.symbol(table)
+            zeros, size = s >> 4, s & 15
+            if not size and zeros < 15:
+                if zeros and not self.progressive:
+                    raise ValueError("no such code")
+                self.run = (1 << zeros) + (bits.take(zeros) if zeros else 0) - 1
+                return
+            i += zeros
+            if size:
+                block[i] = bits.number(size) * (1 << low)
+            i += 1
+
+    def refine(self, block: np.ndarray, bits: _Bits, table: dict[tuple[int, int], int], start: int, end: int, one: int) -> None:
+        """One more bit of a band: coefficients that have a value take a bit each as they are passed, zeros are counted."""
+
+        def pass_by(i: int) -> None:
+            if bits.take(1) and not abs(int(block[i])) & one:
+                block[i] += one if block[i] > 0 else -one
+
+        i = start
+        while i <= end and not self.run:
+            s = bits.symbol(table)
+            zeros, size, value = s >> 4, s & 15, 0
+            if size:
+                value = one if bits.take(1) else -one
+            elif zeros < 15:
+                self.run = (1 << zeros) + (bits.take(zeros) if zeros else 0)
+                break
+            while i <= end:
+                if block[i]:
+                    pass_by(i)
+                elif zeros == 0:
+                    block[i] = value
                     i += 1
-                if k == 0:
-                    full = np.zeros(64)
-                    full[ZIGZAG] = block * quant[q]
-                    y, x = (unit // across * v + sub // h) * 8, (unit % across * h + sub % h) * 8
-                    out[y : y + 8, x : x + 8] = _BASIS.T @ full.reshape(8, 8) @ _BASIS
-    return np.clip(np.rint(out[:height, :width] + 128), 0, 255).astype(np.uint8)
+                    break
+                else:
+                    zeros -= 1
+                i += 1
+        if self.run:
+            for j in range(i, end + 1):
+                if block[j]:
+                    pass_by(j)
+            self.run -= 1
+
+    def grey(self) -> np.ndarray:
+        if not self.parts:
+            raise ValueError("No picture.")
+        h, v, q = self.parts[self.first]
+        blocks = self.blocks[self.first]
+        full = np.zeros(blocks.shape)
+        full[..., ZIGZAG] = blocks * self.quant[q]
+        pixels = _BASIS.T @ full.reshape(*blocks.shape[:2], 8, 8) @ _BASIS
+        out = pixels.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, blocks.shape[1] * 8)
+        rows, cols = -(-self.height * v // self.v), -(-self.width * h // self.h)
+        return np.clip(np.rint(out[:rows, :cols] + 128), 0, 255).astype(np.uint8)

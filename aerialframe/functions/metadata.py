@@ -45,9 +45,14 @@ def from_model(model: Column) -> tuple[Column, Column]:
     return pick(1), pick(2)
 
 
-def sensor_size(focal: Column, focal_35mm: Column, width: Column, height: Column, x_res: Column, y_res: Column, unit: Column, model: Column) -> tuple[Column, Column, Column]:
-    """Sensor width, height (mm) and the tier that gave them: 1 from the 35 mm equivalent, 2 from the focal plane, 3 by model, null for none."""
-    tiers = [from_35mm(focal, focal_35mm, width, height), from_focal_plane(width, height, x_res, y_res, unit), from_model(model)]
+def sensor_size(
+    focal: Column, focal_35mm: Column, width: Column, height: Column, x_res: Column, y_res: Column, unit: Column, model: Column, by_model: tuple[Column, Column] | None = None
+) -> tuple[Column, Column, Column]:
+    """Sensor width, height (mm) and the tier that gave them: 1 from the 35 mm equivalent, 2 from the focal plane, 3 by model, null for none.
+
+    ``by_model`` is the size that a table of cameras has for the model (see ``operators.cameras``); without it CAMERAS is that table.
+    """
+    tiers = [from_35mm(focal, focal_35mm, width, height), from_focal_plane(width, height, x_res, y_res, unit), by_model or from_model(model)]
     # a tier counts as a whole: its width decides
     tier = F.coalesce(*[F.when(w.isNotNull(), F.lit(i)) for i, (w, _) in enumerate(tiers, 1)])
     pick = lambda k: F.coalesce(*[F.when(tier == i, t[k]) for i, t in enumerate(tiers, 1)])

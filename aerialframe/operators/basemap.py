@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mercator import Box, box_error, contains, tile_x, tile_y
 
 INFO_SCHEMA = ", ".join(f"c_{c} double" for c in Box._fields) + ", max_zoom int, tile_count long, tiles_failed long, bytes long, downloaded_at string"
 MAX_TILES, RETRIES, BACKOFF_S, AUTO_ZOOM = 200_000, 5, 0.25, 12
+#: Requests of all tasks together; seconds that a request may hear nothing, and may take.
+OPEN_REQUESTS, IDLE_S, TOTAL_S = 32, 20.0, 180.0
 
 
 def check(boxes: DataFrame, max_zoom: int) -> None:
@@ -81,11 +86,38 @@ def backoff(attempt: int) -> float:
     return BACKOFF_S * 2 ** min(attempt, 4)
 
 
-def fetch(found: DataFrame, get: Callable[[int, int, int], tuple[int, bytes]], sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``found`` (z, x, y) with ``status`` (ok, missing, failed) and ``data``. ``get`` returns a status code and bytes.
+Get = Callable[[int, int, int], tuple[int, bytes]]
+
+
+def http_get(url: str, idle_s: float = IDLE_S, total_s: float = TOTAL_S) -> Get:
+    """Asks a tile server; ``url`` holds {z}, {x} and {y}. A request that hears nothing for ``idle_s`` or takes longer than ``total_s`` fails
+    with OSError, as one that finds no connection."""
+
+    def get(z: int, x: int, y: int) -> tuple[int, bytes]:
+        deadline = time.monotonic() + total_s
+        try:
+            with urllib.request.urlopen(url.format(z=z, x=x, y=y), timeout=min(idle_s, total_s)) as answer:
+                parts = []
+                while part := answer.read1(1 << 16):
+                    parts.append(part)
+                    if time.monotonic() > deadline:
+                        raise TimeoutError("The tile takes too long.")
+                data = b"".join(parts)
+                if answer.length:
+                    raise ConnectionError("The tile is not complete.")
+                return answer.status, data
+        except urllib.error.HTTPError as e:
+            return e.code, b""
+
+    return get
+
+
+def fetch(found: DataFrame, get: Get, sleep: Callable[[float], None] = time.sleep, open_requests: int = OPEN_REQUESTS) -> DataFrame:
+    """``found`` (z, x, y) with ``status`` (ok, missing, failed) and ``data``. ``get`` returns a status code and bytes (see ``http_get``).
 
     The world tile is asked for first, on the driver: if that is refused or fails, nothing else is fetched. Elsewhere a refusal or what still
-    fails after RETRIES tries counts as failed. Tasks ask one tile after another, so partitions bound how many requests are open.
+    fails after RETRIES tries counts as failed. The cluster has ``open_requests`` under way at most: tiles are dealt to no more tasks than that, which
+    share the permits evenly and ask with as many threads as they have. (A task that Spark starts a second time uses its permits again.)
     """
 
     def one(z: int, x: int, y: int) -> tuple[str, bytes | None]:
@@ -106,13 +138,19 @@ def fetch(found: DataFrame, get: Callable[[int, int, int], tuple[int, bytes]], s
         raise Refused("The map service did not accept the key.")
     if status_of(code) == "transient":
         raise OSError("The map service can't be reached.")
+    tasks = max(1, min(open_requests, found.sparkSession.sparkContext.defaultParallelism))
+    permits = max(1, open_requests // tasks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [one(int(z), int(x), int(y)) for z, x, y in zip(b.z, b.x, b.y, strict=True)]
-            yield b[["z", "x", "y"]].assign(status=[s for s, _ in got], data=[d for _, d in got])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(permits) as pool:
+            for b in batches:
+                for a in range(0, b.num_rows, 4 * permits):  # no more tiles in memory than a few for each thread
+                    some = b.slice(a, 4 * permits)
+                    got = list(pool.map(one, *(c.to_pylist() for c in some.columns)))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array([s for s, _ in got], pa.string()), pa.array([d for _, d in got], pa.binary())], ["z", "x", "y", "status", "data"])
 
-    return found.select("z", "x", "y").mapInPandas(run, "z int, x long, y long, status string, data binary")
+    asked = found.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    return asked.repartition(tasks).mapInArrow(run, "z int, x long, y long, status string, data binary")
 
 
 def summary(fetched: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -123,14 +161,46 @@ def summary(fetched: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: The finest grid in which boxes are looked up: cells of 360 / 2^20 degrees, some 40 m.
+FINEST = 20
+
+
+def _cell(lon: Column, lat: Column, level: Column) -> tuple[Column, Column]:
+    size = F.lit(360.0) / F.pow(F.lit(2.0), level)
+    return F.floor((lon + 180) / size), F.floor((lat + 90) / size)
+
+
+def containing(boxes: DataFrame, outer: DataFrame) -> DataFrame:
+    """The distinct boxes of ``boxes`` that lie in a box of ``outer`` (with prefix c_), edges included.
+
+    An outer box is put in the four cells or fewer that it touches on the finest grid whose cells are no smaller than it; an inner one looks up
+    the cell of its lower left corner on every grid that has outer boxes. So each pair that may fit meets once, by equality of cells, and is then tested.
+    """
+    b, c = Box.of(), Box.of("c_")
+    inner = boxes.select(*Box._fields).distinct()
+    wide = F.greatest(c.max_lon - c.min_lon, c.max_lat - c.min_lat)
+    fitting = F.when(wide <= 0, FINEST).otherwise(F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(360.0 / wide)))))
+    outer = outer.select(*[f"c_{n}" for n in Box._fields]).distinct().where((c.max_lon >= c.min_lon) & (c.max_lat >= c.min_lat)).withColumn("level", fitting.cast("int"))
+    (x0, y0), (x1, y1) = _cell(c.min_lon, c.min_lat, F.col("level")), _cell(c.max_lon, c.max_lat, F.col("level"))
+    cells = outer.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+    asked = inner.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST))))
+    asked = asked.join(cells.select("level").distinct(), "level", "left_semi")
+    at = _cell(b.min_lon, b.min_lat, F.col("level"))
+    asked = asked.withColumns({"cx": at[0], "cy": at[1]})
+    pairs = asked.alias("i").join(cells.alias("o"), (F.col("i.level") == F.col("o.level")) & (F.col("i.cx") == F.col("o.cx")) & (F.col("i.cy") == F.col("o.cy")) & contains(c, b), "left_semi")
+    return pairs.select(*Box._fields).distinct()
+
+
 def reusable(flights: DataFrame, cached: DataFrame, zoom: int = AUTO_ZOOM, on: str | None = None) -> DataFrame:
     """Flights whose box lies in a cached basemap that is complete and deep enough. ``cached`` has a box with prefix c_, tiles_failed, max_zoom.
 
-    ``on`` names a column of both that says which basemap is a flight's; without it ``cached`` should be the few basemaps of one machine.
+    ``on`` names a column of both that says which basemap is a flight's; without it any basemap may hold any flight (see ``containing``).
+    A flight whose box has a null side is in none.
     """
     good = cached.where(f"tiles_failed = 0 and max_zoom >= {int(zoom)}")
-    covered = contains(Box.of("c_"), Box.of())
-    return flights.join(good, covered if on is None else (flights[on] == good[on]) & covered, "left_semi")
+    if on is not None:
+        return flights.join(good, (flights[on] == good[on]) & contains(Box.of("c_"), Box.of()), "left_semi")
+    return flights.join(containing(flights, good), list(Box._fields), "left_semi").select(*flights.columns)
 
 
 def info(spark: SparkSession, path: str) -> DataFrame | None:

@@ -9,10 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import orb
+
 #: The last: keypoints of a picture that are compared at once.
 RATIO, MIN_CONFIDENCE, MAX_KEYPOINTS, BLOCK = 0.75, 0.2, 2000, 2048
 
 
+def orb_features(pictures: DataFrame, most: int = MAX_KEYPOINTS) -> DataFrame:
+    """(photo_id, idx, x, y, score, angle, descriptor: four longs) of the corners of ``pictures`` (photo_id, width, height, data: RGB bytes).
+
+    Each picture is worked on where it lies and becomes ``most`` rows at most, of some 80 bytes; one without contrast becomes none. See ``functions.orb``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                photo, w, h = (b.column(c)[k].as_py() for c in range(3))
+                rgb = np.frombuffer(b.column(3)[k].as_buffer(), np.uint8).reshape(h, w, 3)
+                places, score, angle, bits = orb.features(rgb, most)
+                columns = [pa.array(np.full(len(score), photo)), pa.array(np.arange(len(score))), *(pa.array(c) for c in (places[:, 0], places[:, 1], score, angle)), pa.array(list(bits), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["photo_id", "idx", "x", "y", "score", "angle", "descriptor"])
+
+    rows = pictures.select("photo_id", F.col("width").cast("int"), F.col("height").cast("int"), "data")
+    return rows.mapInArrow(run, "photo_id long, idx long, x double, y double, score double, angle double, descriptor array<long>")
+
+
 def ratio_matches(candidates: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(pair, query_idx, train_idx, distance): the nearest of each query's candidates if it is nearer than ``ratio`` times the second.
 

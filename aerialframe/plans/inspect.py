@@ -43,10 +43,13 @@ def inspect_photos(table: DataFrame, cell_m: float = coverage.CELL_M, scan_ms: i
     )
 
 
-def inspect_directory(spark: SparkSession, path: str, cell_m: float = coverage.CELL_M) -> InspectionResult:
-    """Scan, parse and inspect ``path``. Raises InspectionError if there is no JPEG or no photo has a position."""
+def inspect_directory(spark: SparkSession, path: str, cell_m: float = coverage.CELL_M, whole: bool = False) -> InspectionResult:
+    """Scan, parse and inspect ``path``. Raises InspectionError if there is no JPEG or no photo has a position.
+
+    Only the fronts of photos are read, unless ``whole`` (see ``sources.photos.scan``). A photo that can't be read is one without metadata.
+    """
     began = time.monotonic()
-    files = source.scan(spark, path)
+    files = source.scan(spark, path, whole)
     if files.select("path").isEmpty():
         raise InspectionError(f"No JPEG photos found in {path}.")
     table = source.parse(source.headers(files)).persist()

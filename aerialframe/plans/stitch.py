@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import mosaic, neighbors, photos, registration
-from ..sources import rasters
+from ..operators import matching, mosaic, neighbors, photos, registration
+from ..sources import files, rasters
 
 BACKENDS, CAPS = ("onnx", "orb"), {"capped": neighbors.MAX_NEIGHBORS, "uncapped": None}
 STAGES = ("downsampling", "detecting", "matching", "aligning", "blending", "exporting")
@@ -34,10 +34,29 @@ class StitchResult:
     origins: DataFrame
 
 
-def candidate_pairs(table: DataFrame, cap: str = "capped") -> DataFrame:
+def checked(cap: str) -> str:
     if cap not in CAPS:
         raise ValueError(f"cap must be one of {', '.join(CAPS)}")
-    return neighbors.neighbor_pairs(table, CAPS[cap]).orderBy("flight_id", "a", "b")
+    return cap
+
+
+def candidate_pairs(table: DataFrame, cap: str = "capped") -> DataFrame:
+    return neighbors.neighbor_pairs(table, CAPS[checked(cap)]).orderBy("flight_id", "a", "b")
+
+
+def orb_points(table: DataFrame, pictures: DataFrame, cap: str = "capped") -> DataFrame:
+    """The points that ``stitch`` takes, from corners of the pictures of neighbouring photos: (flight_id, a, b, xa, ya, xb, yb).
+
+    Features are found once for each picture of a neighbour and written down (checkpoint), as each is matched with several others.
+    """
+    near = neighbors.neighbor_pairs(table, CAPS[checked(cap)])
+    pairs = near.withColumn("pair", F.xxhash64("flight_id", "a", "b"))
+    found = matching.orb_features(pictures.join(pairs.select(F.explode(F.array("a", "b")).alias("photo_id")).distinct(), "photo_id", "left_semi"))
+    found = files.kept(found)
+    matches = matching.knn_ratio(pairs, found)
+    end = lambda k, idx: found.select(F.col("photo_id").alias(k), F.col("idx").alias(idx), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    both = matches.join(pairs, "pair").join(end("a", "query_idx"), ["a", "query_idx"]).join(end("b", "train_idx"), ["b", "train_idx"])
+    return both.select("flight_id", "a", "b", "xa", "ya", "xb", "yb")
 
 
 def stitch(table: DataFrame, pictures: DataFrame, points: DataFrame) -> StitchResult:

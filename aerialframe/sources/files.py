@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Where it names none, one is made if all runs on this machine; a cluster raises."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that it is computed once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 PIECES = "name string, seq long, data binary"
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI or of an absolute local path."""
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
 
 @dataclass

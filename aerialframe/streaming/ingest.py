@@ -14,6 +14,6 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append each new photo of ``folder`` to the Parquet table ``table`` once, parsed and with its footprint."""
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).options(recursiveFileLookup=True, pathGlobFilter=GLOB).load(folder)
-    rows = with_footprint(parse(headers(files)))
+    rows = with_footprint(parse(headers(files.drop("content"))))
     writer = rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -169,6 +169,97 @@ def test_stitching_two_photos(spark):
     assert one.count() >= 6
 
 
+@pytest.mark.parametrize("kind", ["spread", "nested"])
+def test_containment_against_all_pairs(spark, kind):
+    """10,000 boxes in 10,000 boxes, without a nested loop; points, lines, edges in common, the whole world and the date line included."""
+    r = np.random.default_rng(len(kind))
+    n = 10_000
+
+    def some(most):
+        x, y = r.uniform(-180, 180, n), r.uniform(-90, 90, n)
+        if kind == "nested":
+            x, y = np.round(x / 10) * 10, np.round(y / 10) * 10
+        w, h = (np.where(r.random(n) < 0.05, 0, 2.0 ** r.uniform(-12, most, n)) for _ in "xy")
+        return np.stack([x, y, np.minimum(x + w, 180), np.minimum(y + h, 90)], 1)
+
+    outer, inner = some(3), some(1)
+    inner[:50], inner[50] = outer[:50], [-180, -90, 180, 90]
+    names = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    flights = spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(inner)] + [(n, None, 0.0, 1.0, 1.0)], "flight_id long, " + ", ".join(f"{c} double" for c in names))
+    cached = spark.createDataFrame([(*map(float, b), int(i % 7 == 6), 11 + i % 3) for i, b in enumerate(outer)], ", ".join(f"c_{c} double" for c in names) + ", tiles_failed int, max_zoom int")
+    good = outer[[i % 7 != 6 and i % 3 > 0 for i in range(n)]]
+    want = {i for i, b in enumerate(inner) if ((good[:, :2] <= b[:2]).all(1) & (good[:, 2:] >= b[2:]).all(1)).any()}
+    found = basemap.reusable(flights, cached)
+    got = [x.flight_id for x in found.collect()]
+    assert len(got) == len(want) > 30 and set(got) == want and found.columns == flights.columns
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+class TileServer:
+    """Counts the requests that are open at once; tiles of column 3 fail, of column 4 are refused, of column 5 come by drops, of column 6 break off."""
+
+    def __init__(self):
+        import http.server
+        import threading
+        import time
+
+        self.open = self.most = self.asked = 0
+        lock, own = threading.Lock(), self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                z, x, _ = map(int, self.path.strip("/").split("/"))
+                with lock:
+                    own.open, own.asked = own.open + 1, own.asked + 1
+                    own.most = max(own.most, own.open)
+                try:
+                    time.sleep(0.02)
+                    code = own.world if z == 0 else {3: 503, 4: 403, 2: 404}.get(x, 200)
+                    self.send_response(code)
+                    if x == 6:
+                        self.send_header("Content-Length", "99")
+                    self.end_headers()
+                    for _ in range(40 if x == 5 else 1):
+                        self.wfile.write(self.path.encode())
+                        self.wfile.flush()
+                        if x == 5:
+                            time.sleep(0.05)
+                except OSError:
+                    pass
+                finally:
+                    with lock:
+                        own.open -= 1
+
+            def log_message(self, *args):
+                pass
+
+        self.world = 200
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/{{z}}/{{x}}/{{y}}"
+
+
+def test_requests_of_the_cluster(spark):
+    server = TileServer()
+    try:
+        asked = spark.createDataFrame([(9, x % 8, y) for x in range(8) for y in range(40)], "z int, x long, y long").where("x <> 5 or y = 1")
+        get = basemap.http_get(server.url, idle_s=1.0, total_s=0.5)
+        got = basemap.fetch(asked, get, sleep=lambda s: None, open_requests=12).collect()
+        status = {(r.x, r.status) for r in got}
+        assert status == {(0, "ok"), (1, "ok"), (2, "missing"), (3, "failed"), (4, "failed"), (5, "failed"), (6, "failed"), (7, "ok")} and len(got) == 7 * 40 + 1
+        assert all(bytes(r.data) == f"/9/{r.x}/{r.y}".encode() for r in got if r.status == "ok")
+        assert 1 < server.most <= 12
+        for world, error in ((403, basemap.Refused), (500, OSError)):
+            server.world, before = world, server.asked
+            with pytest.raises(error):
+                basemap.fetch(asked, get)
+            assert server.asked == before + 1
+    finally:
+        server.server.shutdown()
+    with pytest.raises(OSError):
+        basemap.fetch(asked, basemap.http_get("http://127.0.0.1:9/{z}/{x}/{y}", idle_s=0.2))
+
+
 def test_poses(spark):
     table = shots(spark, [(10.0, 106.0), (10.0, 106.0003)])
     placed = registration.placements(table)
@@ -203,7 +294,7 @@ def test_queries_against_sql(spark):
     from aerialframe import catalog
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("events", "embeddings", "pages", "documents"):
+    for t in ("events", "embeddings", "pages", "documents", "part"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     key = lambda row: tuple((v is None, str(v)) for v in row)
     for name, sql in catalog.ORACLES.items():

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from fixture_jpeg import encode_grey, photo
+from fixture_jpeg import encode_grey, encode_progressive, photo
 from pyspark.sql import functions as F
 
 from aerialframe.functions import jpeg
@@ -46,6 +46,59 @@ def test_grey_decoder(spark, tmp_path):
     assert jpeg.decode_grey(b"\xff\xd8\xff") is None and jpeg.decode_grey(data[:60]) is None
 
 
+def test_progressive_decoder(spark, tmp_path):
+    """The same picture stored both ways gives equal greys, and those of Java's decoder."""
+    r = np.random.default_rng(1)
+    for k, shape in enumerate(((45, 61), (8, 8), (120, 160))):
+        grey = np.clip(np.add.outer(np.arange(shape[0]) * 3, np.arange(shape[1]) * 2) % 200 + r.normal(0, 20 * (k % 2) + 1, shape), 0, 255).astype(np.uint8)
+        data = encode_progressive(grey, 3)
+        ours = jpeg.decode_grey(data)
+        assert ours.shape == grey.shape and (ours == jpeg.decode_grey(encode_grey(grey, 3))).all()
+        (tmp_path / f"{k}.jpg").write_bytes(data)
+        row = spark.read.format("image").load(str(tmp_path / f"{k}.jpg")).select("image.*").first()
+        other = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1)[..., 0]
+        assert np.abs(ours.astype(int) - other).max() <= 2
+        for cut in range(10, len(data), 97):  # broken files give something or nothing, but no error
+            jpeg.decode_grey(data[:cut])
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.jpg").write_bytes(photo(encode=encode_progressive))
+    (tmp_path / "p" / "b.jpg").write_bytes(photo())
+    scores = {row.blur_score for row in photos.headers(photos.scan(spark, str(tmp_path / "p"))).collect()}
+    assert len(scores) == 1 and None not in scores
+
+
+def test_fronts_of_files(spark, tmp_path):
+    """Of a large photo little is read; a lost file is a row with what went wrong."""
+    names = {"small": photo(), "late": photo(padding=900_000), "a b%41 é": photo()}
+    for name, data in names.items():
+        (tmp_path / f"{name}.jpg").write_bytes(data + bytes(5_000_000))
+    (tmp_path / "lost.jpg").write_bytes(photo())
+    (tmp_path / "endless.jpg").write_bytes(b"\xff\xd8" + b"\xff\xe2\xff\xfe" * 2_000_000)
+    files = photos.scan(spark, str(tmp_path)).cache()
+    assert files.count() == 5 and "content" not in files.columns
+    (tmp_path / "lost.jpg").unlink()
+    found = photos.headers(files)
+    rows = {r.path.rsplit("/", 1)[1].removesuffix(".jpg"): r for r in found.collect()}
+    assert rows["small"].bytes_read == rows["a b%41 é"].bytes_read == photos.FIRST_BYTES and 900_000 < rows["late"].bytes_read < 2_000_000 and rows["endless"].bytes_read == jpeg.HEADER_BYTES
+    assert all(rows[k].has_exif and rows[k].xmp and rows[k].error is None for k in names)
+    assert rows["lost"].error and not rows["lost"].has_exif and rows["lost"].bytes_read == 0
+    assert [r.path.rsplit("/", 1)[1] for r in photos.unreadable(found).collect()] == ["lost.jpg"]
+    assert {r.file_name: r.warnings[:1] for r in photos.parse(found).collect()}["lost.jpg"] == ["no_exif_data"]
+    whole = {r.path: r.asDict() for r in photos.headers(photos.scan(spark, str(tmp_path), whole=True)).drop("bytes_read").collect()}
+    fronts = {r.path: r.asDict() for r in found.drop("bytes_read").where("error is null").collect()}
+    assert whole == fronts
+    asked = []
+    data = photo(padding=900_000)
+    got = photos.front(lambda a, n: asked.append((a, n)) or data[a : a + n], len(data))
+    assert jpeg.read_header(got) == jpeg.read_header(data) and len(asked) <= 6 and [a for a, _ in asked] == [sum(n for _, n in asked[:k]) for k in range(len(asked))]
+
+
+def test_first_packet_counts():
+    good = photo()
+    bad = good[:2] + b"\xff\xe1" + (len(jpeg.XMP_SIGNATURE) + 4).to_bytes(2, "big") + jpeg.XMP_SIGNATURE + b"\xff\xfe" + good[2:]
+    assert jpeg.read_header(good)["xmp"] and jpeg.read_header(bad)["xmp"] is None
+
+
 def test_parsed_photos(spark, flight):
     rows = {r.file_name: r for r in photos.parse(photos.headers(photos.scan(spark, flight))).collect()}
     assert len(rows) == 9 and rows["broken.jpg"].warnings[0] == "no_exif_data"
