@@ -289,22 +289,22 @@ def similar_classes(df: DataFrame, words: int = 3, percent: int = 90, key: str =
         return {"n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(node, pa.int64()), "keys": keys}
 
     rows, path = write_table(with_columns(given, "n long, node long, keys array<long>", describe).drop("t"), "shingles")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.min("tid").alias("tid"), F.first("n").alias("n"))
-    met = nodes.select("node", F.explode("keys").alias("shard"))
-    hubs = met.groupBy("shard").agg(F.min("node").alias("hub"), F.count("*").alias("count")).where("count > 1").drop("count")
+    # equal sets have equal keys, so copies need no merging first: a shard counts if two nodes meet there
+    met = rows.where("node is not null").select("node", F.explode("keys").alias("shard"))
+    hubs = met.groupBy("shard").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     members = cut(salted(met, hubs, ["shard"], "node").select("hub", "node").distinct())
-    wanted = members.select("node").distinct().join(nodes.select("node", "tid", "n"), "node")
-    contents = given.select("tid", "t").join(wanted, "tid").groupBy("node").agg(F.first("t").alias("t"), F.first("n").alias("n"))
-    contents, spent = write_table(contents, "contents")
-    placed = members.join(contents.select("node", "n"), "node")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("tid").alias("tid"), F.first("n").alias("n"))
+    wanted = cut(members.select("node").distinct().join(nodes, "node"))
+    # one text of each node: a text's copies are in one task after the join
+    contents = given.select("tid", "t").join(wanted.select("tid", "node"), "tid").groupBy("tid", "node").agg(F.first("t").alias("t"))
+    placed = members.join(wanted.select("node", "n"), "node")
     blocks = placed.groupBy("hub").agg((F.floor((F.sum("n") - 1) / BLOCK_SHINGLES) + 1).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
     cells = salted(members, blocks, ["hub"], "node").select("hub", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
-    spread = cells.join(contents.select("node", "t"), "node").select("hub", "i", "j", "block", "node", "t")
+    spread = cells.join(contents, "node").select("hub", "i", "j", "block", "node", "t")
     spread = spread.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
     found = components(map_batches(spread, solved(words, percent), "a long, b long"))
-    remove(spark, spent)
     classes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("first")).join(found, "node", "left")
     classes = classes.select("node", "first", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("first").alias("least"))
