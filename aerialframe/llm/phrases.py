@@ -15,7 +15,7 @@ from .common import column, cut, map_batches, quoted, salted, small_batches, tex
 from .jaccard import mixed
 
 #: Positions of words in one trie; bytes of text, a part of whose trie is a range of prefixes.
-TRIE_WORDS, RANGE_BYTES = 1 << 21, 8 << 20
+TRIE_WORDS, RANGE_BYTES = 1 << 20, 8 << 20
 #: Pieces end at these, as do words.
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _SIGNS = bytes.maketrans(_STOPS + b"\t", b"." * len(_STOPS) + b" ")
