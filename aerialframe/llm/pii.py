@@ -32,7 +32,7 @@ _NEEDED = re.compile(NEEDED)
 CONTEXT, GENERALISE, REMOVE, Z = 8, 0.75, 0.85, 1.96
 #: Occurrences of a term that must have a word near them for that word to stand for it.
 SUBSUMES = 0.8
-#: Terms whose counts are broadcast, the most frequent ones; texts that may be broadcast because each holds over that part of all rows.
+#: Terms whose counts are broadcast to save their joins, the most frequent ones; texts that may be broadcast because each holds over that part of all rows.
 FREQUENT, HOT = 1 << 16, 256
 #: Terms counted in one task before they are handed on.
 HELD_TERMS = 200_000
@@ -109,7 +109,7 @@ def _number(term: str) -> int:
 def _read(docs: DataFrame, text: str) -> DataFrame:
     """One pass over all texts. A row is a text that holds entities (key, n copies, entities, terms, near: for each term if it stands
     near an entity), or a term with the number n of documents that hold it, or, with neither, n documents read."""
-    keyed = docs.select(F.xxhash64(F.coalesce(quoted(text), F.lit(""))), quoted(text))
+    keyed = docs.select(F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("key"), quoted(text).alias("text"))
     schema = "key long, entities array<long>, terms array<long>, near array<boolean>, term long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +168,12 @@ def _most(n_entity, total: int):
     return F.pow(n_entity.cast("double"), F.lit(GENERALISE)) * F.lit(float(total) ** (1 - GENERALISE))
 
 
-def disclosures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What is to be marked, (key, n, bound, marks), and the FREQUENT most frequent terms, (term, n).
+def disclosures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """What is to be marked, (key, n, bound, marks, safe).
 
     ``key`` is xxhash64 of a text that holds entities, ``n`` the documents with that text, ``marks`` its disclosing terms as (term, level),
-    ``bound`` the number of documents that a term must pass to be sure to disclose none of the text's entities. Documents are counted:
+    ``bound`` the number of documents that a term must pass to be sure to disclose none of the text's entities, and ``safe`` the text's terms that
+    do, as (term, n_term), where one of its marks is to be generalised (else null). Documents are counted:
     n(e) holding entity e, n(t) holding term t outside of entities, n(e, t) holding both. PMI(e; t) / IC(e) = 1 + log p(e | t) / IC(e) is
     the share of e's information that t gives; p(e | t) is taken at its lower confidence bound, so that few documents prove little and
     no count is cut off. Pairs of one text only count if the term stands near an entity there. Level 2 is to be removed, 1 to be generalised.
@@ -199,11 +200,15 @@ def disclosures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     most = classes.groupBy("key").agg(_most(F.max("n_entity"), total).alias("bound"))
     zipped = F.explode(F.arrays_zip("terms", "near"))
     words = held.join(most, "key").select("key", "n", "bound", zipped.alias("t")).select("key", "n", "bound", F.col("t.terms").alias("term"), F.col("t.near").alias("near"))
-    words = words.join(F.broadcast(frequent), "term", "left").where("n_term is null or n_term <= bound")
-    # a frequent term has its count already and goes anywhere
-    words = words.withColumn("at", F.when(F.col("n_term").isNull(), F.col("term")).otherwise(F.xxhash64("key", "term")))
-    words = words.join(counts.select(F.col("term").alias("at"), F.col("n_term").alias("n_rare")), "at", "left").withColumn("n_term", F.coalesce("n_term", "n_rare"))
-    pairs = words.where("n_term <= bound").join(classes, "key").where(F.col("n_term") <= _most(F.col("n_entity"), total))
+
+    def counted(rows: DataFrame, wanted: str) -> DataFrame:
+        """``rows`` (key, term and more) with ``n_term``, those that are ``wanted``. A frequent term has its count from the broadcast and goes anywhere."""
+        rows = rows.join(F.broadcast(frequent), "term", "left").where(f"n_term is null or {wanted}")
+        rows = rows.withColumn("at", F.when(F.col("n_term").isNull(), F.col("term")).otherwise(F.xxhash64("key", "term")))
+        rows = rows.join(counts.select(F.col("term").alias("at"), F.col("n_term").alias("n_rare")), "at", "left")
+        return rows.withColumn("n_term", F.coalesce("n_term", "n_rare")).drop("at", "n_rare").where(wanted)
+
+    pairs = counted(words, "n_term <= bound").join(classes, "key").where(F.col("n_term") <= _most(F.col("n_entity"), total))
     pairs = cut(pairs.select("key", "n", "bound", "term", "near", "n_term", "class", "n_entity"))
 
     sums = pairs.groupBy("class", "term").agg(
@@ -212,19 +217,22 @@ def disclosures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     told = sums.where((F.col("n_entity") < total) & ((F.col("texts") > 1) | F.col("near"))).withColumn("share", _share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total))
     told = told.where(F.col("share") >= GENERALISE).select("class", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"), salts(8))
     marked = pairs.withColumn("salt", salt(8)).join(told, ["class", "term", "salt"]).groupBy("key", "term").agg(F.max("level").alias("level"), F.first("n").alias("n"), F.first("bound").alias("bound"))
-    marks = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("bound").alias("bound"), F.collect_list(F.struct("term", "level")).alias("marks"))
-    return cut(marks.withColumn("hot", F.col("n") * HOT > total)), frequent
+    marks = cut(marked.groupBy("key").agg(F.first("n").alias("n"), F.first("bound").alias("bound"), F.collect_list(F.struct("term", "level")).alias("marks")))
+    # what may stand for a generalised term is looked for among all terms of its text
+    some = marks.where(F.exists("marks", lambda m: m.level == 1)).select("key", "bound").join(held, "key").select("key", "bound", F.explode("terms").alias("term"))
+    safe = counted(some, "n_term > bound").groupBy("key").agg(F.collect_list(F.struct("term", "n_term")).alias("safe"))
+    return cut(marks.join(safe, "key", "left").withColumn("hot", F.col("n") * HOT > total))
 
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,level:int,general:string>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32()), ("general", pa.string())]))
 
 
-def general_word(words: list[str], places: list[int], counts: dict[str, int | None], bound: float) -> str | None:
-    """The rarest of the frequent words that subsume a term: near at least SUBSUMES of its ``places``, and in more documents than ``bound``,
-    so that it discloses nothing; None if no word does."""
+def general_word(words: list[str], places: list[int], safe: dict[str, int]) -> str | None:
+    """The rarest of the words that subsume a term: near at least SUBSUMES of its ``places``, and one of ``safe`` (with the number of documents that hold
+    it), so that it discloses nothing; None if no word does."""
     near = Counter(w for i in places for w in set(words[max(0, i - CONTEXT) : i + CONTEXT + 1]))
-    found = [(n, w) for w, k in near.items() if k >= SUBSUMES * len(places) and (n := counts.get(w)) is not None and n > bound]
+    found = [(safe[w], w) for w, k in near.items() if k >= SUBSUMES * len(places) and w in safe]
     return min(found, default=(0, None))[1]
 
 
@@ -243,15 +251,14 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
 
 def _found(df: DataFrame, text: str, sanitised: bool) -> DataFrame:
     """``df`` with ``spans``, and with sanitised texts if asked for, in one pass over the texts that may hold an entity."""
-    marks, frequent = disclosures(df, text)
-    top = df.sparkSession.sparkContext.broadcast({r.term: r.n_term for r in frequent.collect()})
+    marks = disclosures(df, text)
     rows = df.drop("spans")
     key, given = free_name(rows, "key"), free_name(rows, "marks")
     bound, more, at = (free_name(rows.withColumn(given, F.lit(0)), n) for n in ("bound", "more", "at"))
     may = F.coalesce(quoted(text).rlike(NEEDED), F.lit(False))
     clean = rows.where(~may).withColumn("spans", F.array().cast(f"array<{SPAN}>"))
     held = rows.where(may).withColumn(key, F.xxhash64(quoted(text)))
-    told = F.struct("bound", "marks")
+    told = F.struct("marks", "safe")
     hot = marks.where("hot").select(F.col("key").alias(key), told.alias(given))  # each in over a HOT-th of all rows, so no more than HOT of them
     cold = marks.where("not hot").select(F.col("key").alias(at), told.alias(more))
     held = held.join(F.broadcast(hot), key, "left")
@@ -273,8 +280,9 @@ def _found(df: DataFrame, text: str, sanitised: bool) -> DataFrame:
                 for i, w in enumerate(words):
                     if numbers[w] in level:
                         places.setdefault(w, []).append(i)
-                counts = {w: top.value.get(n) for w, n in numbers.items()}
-                instead = {w: general_word(words, p, counts, m["bound"]) for w, p in places.items() if level[numbers[w]] == 1}
+                count = {x["term"]: x["n_term"] for x in m["safe"] or ()}
+                safe = {w: count[n] for w, n in numbers.items() if n in count}
+                instead = {w: general_word(words, p, safe) for w, p in places.items() if level[numbers[w]] == 1}
                 hits = sorted(i for p in places.values() for i in p)
                 row += [{"kind": TERM, "start": found[i][1], "end": found[i][2], "level": level[numbers[words[i]]], "general": instead.get(words[i])} for i in hits]
             out.append(row)

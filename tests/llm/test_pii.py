@@ -129,6 +129,18 @@ def test_marks_against_the_definition(spark, sf):
     assert got == want and len(got) > 20
 
 
+def test_replacements_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    """However few counts are broadcast, the same word stands for a term; a dot in a column's name changes nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = []
+    for size in (1, 300, 1 << 16):
+        monkeypatch.setattr(pii, "FREQUENT", size)
+        got.append(sorted(map(tuple, pii.sanitise(docs.toDF("a.id", "a.b"), "a.b").collect())))
+    assert got[0] == got[1] == got[2]
+    generals = [s.general for r in pii.find(docs).collect() for s in r.spans if s.kind == pii.TERM and s.level == 1]
+    assert sum(g is not None for g in generals) > 100
+
+
 def test_registered_query_marks_terms_of_documents_with_entities_only(spark):
     rows = queries.op2_disclosure_spans(spark, "/root/testdata/sf0.01").collect()
     assert sum(r.n_term for r in rows) > 0 and all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows if r.n_term)
