@@ -76,12 +76,11 @@ class Plan:
     starts: np.ndarray
 
 
-def plan(rows: list[tuple[str | None, int]], block: int = BLOCK, shards: int = SHARDS, together: bool = False) -> Plan:
+def plan(rows: list[tuple[str | None, int]], block: int = BLOCK, shards: int = SHARDS) -> Plan:
     """Sources in the order of their code points, null last.
 
     A source's slots are its full passes and as many blocks of one more pass as come nearest to the target. Each output
     shard draws its sources from a multinomial over the slots still open; the last takes what is left, so the totals hold.
-    ``together`` says that a pass takes blocks as they lie, where only a full pass meets the short one at the end.
     """
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [int(s) for _, s in rows]
@@ -90,7 +89,7 @@ def plan(rows: list[tuple[str | None, int]], block: int = BLOCK, shards: int = S
     slots = []
     for size, target, n in zip(sizes, want, blocks, strict=True):
         full = min(PASSES, int(target // size)) if size else 0
-        rest = round((target - full * size) / (block if together else size / n)) if size else 0
+        rest = round((target - full * size) / (size / n)) if size else 0
         slots.append(min(full * n + rest, PASSES * n))
     rng = np.random.default_rng(SEED)
     left = np.array(slots, np.int64)
@@ -103,7 +102,7 @@ def plan(rows: list[tuple[str | None, int]], block: int = BLOCK, shards: int = S
     return Plan([n for n, _ in rows], sizes, want, blocks, slots, np.cumsum(drawn, 1))
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK, together: bool = False) -> tuple[DataFrame, DataFrame, Plan]:
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK) -> tuple[DataFrame, DataFrame, Plan]:
     """Rows, pieces and plan of a mix of the rows of ``df`` by ``source``; ``size`` is a non-null long, the row's words.
 
     The words of a source, its rows in the order of key (ties by size), are packed in blocks. Slots of the mix are
@@ -112,13 +111,10 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
     words: which words of the row stand where) and the plan. Rows without words are in no piece. The list of sources, a name and some numbers
     for each, is the only thing that reaches the driver and goes to all tasks: it grows with the sources (64 numbers each), not with the rows.
     Only key, source and size are read, so other columns of ``df`` may have any name; an empty table gives no rows and no pieces.
-
-    With ``together`` a pass takes the blocks as they lie instead of permuted, so a pass that is not full takes the first rows
-    in the order of key and cuts one at most: the pieces of a row in a pass are then the row's first words, without a gap.
     """
     rows = df.select(quoted(key).alias("key"), quoted(source).alias("src"), quoted(size).alias("n"))
     laid = ordered(rows, [F.col("src").asc_nulls_last(), F.col("key"), F.col("n")])
-    spec = plan([(r.src, r.n or 0) for r in laid.groupBy("src").agg(F.sum("n").alias("n")).collect()], block, together=together)
+    spec = plan([(r.src, r.n or 0) for r in laid.groupBy("src").agg(F.sum("n").alias("n")).collect()], block)
     before, _, _ = totals(laid, "n")
     number = {name: i for i, name in enumerate(spec.names)}
     base = np.cumsum([0, *spec.sizes])
@@ -165,7 +161,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
                 shard[mine] = np.searchsorted(spec.starts[s], ordinal[mine], "right") - 1
                 for t in np.unique(turn[mine]).tolist():
                     some = mine[turn[mine] == t]
-                    chosen[some] = ordinal[some] - t * n if together else permute(ordinal[some] - t * n, n, s * PASSES + t)
+                    chosen[some] = permute(ordinal[some] - t * n, n, s * PASSES + t)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, src, chosen, turn, shard)], ["slot", "source_no", "block", "pass", "shard"])
 
     slots = df.sparkSession.range(int(slot_base[-1])).mapInArrow(draw, "slot long, source_no int, block long, pass int, shard int")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -48,11 +49,11 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, d).collect()
     assert 0.5 * len(docs) < len(rows) <= 3 * len(docs) and {r.doc_id for r in rows} <= set(docs)
     same = sum(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].text.encode()).hexdigest() for r in rows)
-    assert same > 0.8 * len(rows)  # all but those that held personal data
+    assert same > 0.5 * len(rows)  # all but those that held personal data, and those that a pass that is not full has cut
 
 
 def test_mixture_words_meet_targets(spark):
-    """Words of each source against its target, where one document holds a third of a source; all but one row a source is whole."""
+    """Words of each source against its target, where one document holds a third of a source, and every row against a replay of the draw."""
     r = random.Random(1)
     size = {}
     for k in range(6):
@@ -62,16 +63,25 @@ def test_mixture_words_meet_targets(spark):
     docs = spark.createDataFrame([(i, t, "en", f"s{i // 100}", len(t)) for i, t in texts.items()], COLUMNS)
     rows = corpus_pipeline.mixture(spark, docs.repartition(5), "").collect()
     sizes = [sum(n for i, n in size.items() if i // 100 == k) for k in range(6)]
-    want = mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(6)])
+    spec = mixing.plan([(f"s{k}", n) for k, n in enumerate(sizes)], corpus_pipeline.MIX_BLOCK)
+    order = {x.doc_id: x.hash for x in docs.select("doc_id", F.xxhash64("doc_id", "source", "lang", "text").alias("hash")).collect()}
+    want, block = [], corpus_pipeline.MIX_BLOCK
+    for k in range(6):
+        mine = sorted((i for i in size if i // 100 == k), key=order.get)
+        words = [(i, j) for i in mine for j in range(size[i])]
+        for t in range(mixing.PASSES):
+            some = np.arange(t * spec.blocks[k], min(spec.slots[k], (t + 1) * spec.blocks[k])) - t * spec.blocks[k]
+            drawn = {w for b in mixing.permute(some, spec.blocks[k], k * mixing.PASSES + t).tolist() for w in words[b * block : (b + 1) * block]}
+            for i in mine:
+                if held := [j for j in range(size[i]) if (i, j) in drawn]:
+                    runs = "".join(("\n\t" if n and held[n - 1] == j - 1 else "\n" if n else "") + f"w{i}\u00a0x_{j}" for n, j in enumerate(held))
+                    want.append((i, texts[i] if len(held) == size[i] else runs))
+    assert sorted((x.doc_id, x.text) for x in rows) == sorted(want)
     words = lambda t: len(re.findall(mixing.WORD, t))
     for k in range(6):
         mine = [x for x in rows if x.source == f"s{k}"]
-        assert abs(sum(words(x.text) for x in mine) - want[k]) <= mixing.BLOCK
-        assert sum(x.text != texts[x.doc_id] for x in mine) <= 1
-    for x in rows:
-        assert x.n_chars == len(x.text) > 0 and texts[x.doc_id].startswith(x.text)
-        assert x.text == texts[x.doc_id] or not x.text[-1].isspace()
-    assert max(sum(x.doc_id == i for x in rows) for i in size) <= mixing.PASSES
+        assert abs(sum(words(x.text) for x in mine) - spec.targets[k]) <= block
+    assert all(x.n_chars == len(x.text) > 0 for x in rows) and any(x.text != texts[x.doc_id] for x in rows)
 
 
 def test_mixture_is_the_same_however_rows_are_dealt(spark):
