@@ -509,6 +509,107 @@ def mean_gsd(spark, sf_dir):
     return registration.mean_gsd(derived.inspected(spark, sf_dir)).select("flight_id", F.round("meters_per_pixel", 9).alias("meters_per_pixel"))
 
 
+def _parsed(features: DataFrame, depth: int) -> DataFrame:
+    """Features with their coordinates as nested arrays ``depth`` deep."""
+    return features.withColumn("c", F.from_json("coordinates", "array<" * depth + "double" + ">" * depth))
+
+
+@query(f"""{CELLS}, c AS (SELECT flight_id, row * cols + col AS place, overlap_count, {LEVEL} AS level, lon0 + col * cell_lon AS x, lat0 + row * cell_lat AS y, cell_lon, cell_lat FROM cells JOIN grid USING (flight_id)
+), k AS (SELECT *, unnest(range(5)) AS corner FROM c)
+SELECT flight_id, CAST(place AS BIGINT) AS place, CAST(corner AS INTEGER) AS corner, round(x + CASE WHEN corner IN (1, 2) THEN cell_lon ELSE 0 END, 9) AS lon,
+  round(y + CASE WHEN corner IN (2, 3) THEN cell_lat ELSE 0 END, 9) AS lat, CAST(overlap_count AS INTEGER) AS overlap_count, level FROM k""")
+def cell_polygons(spark, sf_dir):
+    """The heat map's features, taken apart again."""
+    _, grids, counts = _survey(spark, sf_dir, CELL_M)
+    cells = _parsed(coverage.cell_features(counts, grids), 3).select("flight_id", "place", "properties", F.posexplode(F.col("c")[0]).alias("corner", "at"))
+    told = F.from_json("properties", "overlapCount int, level string")
+    return cells.select("flight_id", "place", "corner", F.round(F.col("at")[0], 9).alias("lon"), F.round(F.col("at")[1], 9).alias("lat"), told["overlapCount"].alias("overlap_count"), told["level"].alias("level"))
+
+
+@query(f"""{WITH}, p AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY capture_ts, file_name) AS place FROM photos WHERE lat IS NOT NULL AND lon IS NOT NULL)
+SELECT flight_id, 'photoPoint' AS kind, CAST(place AS BIGINT) AS place, file_name, blur_score < 100 AS is_blurry, round(lon, 11) AS lon, round(lat, 11) AS lat FROM p
+UNION ALL SELECT flight_id, 'flightPath', CAST(place AS BIGINT), NULL, NULL, round(lon, 11), round(lat, 11) FROM p""")
+def flight_path(spark, sf_dir):
+    """The flight path's features, taken apart again: a line's corners and the photos' points, both in flight order."""
+    found = photos.path_features(derived.inspected(spark, sf_dir, ordered=True))
+    told = F.from_json("properties", "kind string, fileName string, isBlurry boolean")
+    at = lambda c: [F.round(c[0], 11).alias("lon"), F.round(c[1], 11).alias("lat")]
+    points = _parsed(found.where("type = 'Point'"), 1).select("flight_id", told["kind"].alias("kind"), "place", told["fileName"].alias("file_name"), told["isBlurry"].alias("is_blurry"), *at(F.col("c")))
+    line = _parsed(found.where("type = 'LineString'"), 2).select("flight_id", told["kind"].alias("kind"), told["fileName"].alias("file_name"), told["isBlurry"].alias("is_blurry"), F.posexplode("c").alias("k", "at"))
+    return points.unionByName(line.select("flight_id", "kind", (F.col("k") + 1).cast("long").alias("place"), "file_name", "is_blurry", *at(F.col("at"))))
+
+
+@query(f"{GAPS} SELECT flight_id, id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY area_m2 DESC, id) AS INTEGER) AS place FROM gaps")
+def gaps_by_area(spark, sf_dir):
+    _, grids, counts = _survey(spark, sf_dir, GAP_CELL_M)
+    ordered = coverage.by_area(coverage.gaps(counts, grids)).select("flight_id", "id", F.monotonically_increasing_id().alias("n"))  # partitions and rows in order
+    return ordered.select("flight_id", "id", F.expr("row_number() over (partition by flight_id order by n)").alias("place"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 < 3 THEN NULL ELSE round((user_id % 90 + (event_id % 60) / 60.0 + value / 3600) * CASE WHEN event_type IN ('error', 'view') THEN -1 ELSE 1 END, 9) END AS degrees FROM events""")
+def dms_degrees(spark, sf_dir):
+    """Degrees from a user's number, minutes from the event's and seconds from its value; some lack a part."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    parts = F.slice(F.array((F.col("user_id") % 90).cast("double"), (F.col("event_id") % 60).cast("double"), F.col("value")), F.lit(1), F.least(F.lit(3), (F.col("event_id") % 9).cast("int")))
+    ref = F.when(F.col("event_type") == "error", "S").when(F.col("event_type") == "view", "West").otherwise("N")
+    return e.select("event_id", F.round(metadata.dms(parts, ref), 9).alias("degrees"))
+
+
+@query(f"""{WITH} SELECT photo_id, round(lon + degrees((blur_score - 500) / ({R} * cos(radians(lat)))), 9) AS lon, round(lat + degrees(relative_altitude / {R}), 9) AS lat FROM photos""")
+def moved_points(spark, sf_dir):
+    """Photos moved as many metres north as they are high and east by their sharpness less 500."""
+    p = derived.photos(spark, sf_dir)
+    lon, lat = geodesy.offset(F.col("lat"), F.col("lon"), F.col("blur_score") - 500, F.col("relative_altitude"))
+    return p.select("photo_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query("""WITH m AS (SELECT vec_id, embedding[1:9] AS a, embedding[10:18] AS b FROM embeddings), c AS (SELECT *, unnest(range(3)) AS r FROM m), d AS (SELECT *, unnest(range(3)) AS c FROM c)
+SELECT vec_id, CAST(3 * r + c AS INTEGER) AS place, round(CAST(a[3 * r + 1] AS DOUBLE) * b[c + 1] + CAST(a[3 * r + 2] AS DOUBLE) * b[c + 4] + CAST(a[3 * r + 3] AS DOUBLE) * b[c + 7], 6) AS value FROM d""")
+def matrix_products(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("e"))
+    product = geodesy.matmul3(F.slice("e", 1, 9), F.slice("e", 10, 9))
+    return v.select("vec_id", F.posexplode(product).alias("place", "value")).select("vec_id", "place", F.round("value", 6).alias("value"))
+
+
+@query("""WITH b AS (SELECT event_id, value * 8 - 200 AS x0, value * 4 - 95 AS y0, value * 8 - 200 + user_id % 90 - 5 AS x1, value * 4 - 95 + user_id % 40 - 3 AS y1, CASE WHEN user_id % 21 < 20 THEN user_id % 21 / 2.0 + 4 END AS z FROM events)
+SELECT event_id, CASE WHEN x0 < -180 OR x1 > 180 THEN 'A longitude lies outside of -180 to 180 degrees.' WHEN y0 < -90 OR y1 > 90 THEN 'A latitude lies outside of -90 to 90 degrees.'
+WHEN x0 >= x1 THEN 'The western side has to lie west of the eastern one.' WHEN y0 >= y1 THEN 'The southern side has to lie south of the northern one.'
+WHEN abs(y0) > 85.06 OR abs(y1) > 85.06 THEN 'A latitude lies beyond the end of the map at 85.06 degrees.' WHEN z IS NULL OR z > 15 OR z <> floor(z) THEN 'The zoom has to be a whole number from 0 to 15.' END AS error FROM b""")
+def form_errors(spark, sf_dir):
+    x, y, n = F.col("value") * 8 - 200, F.col("value") * 4 - 95, F.col("user_id") % 21
+    box = mercator.Box(x, y, x + F.col("user_id") % 90 - 5, y + F.col("user_id") % 40 - 3)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", mercator.form_error(box, F.when(n < 20, n / 2 + 4)).alias("error"))
+
+
+#: A vector as a grey picture of 8 x 8 pixels, and a pixel of it.
+PICTURES = "WITH g AS (SELECT vec_id AS photo_id, list_transform(embedding, lambda e: CAST(greatest(0, least(255, floor(128 + 96 * CAST(e AS DOUBLE)))) AS INTEGER)) AS p FROM embeddings)"
+_PX = "p[8 * ({0}) + ({1}) + 1]"
+
+
+def _pictures(spark, sf_dir):
+    grey = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 96 * e.cast("double")))).cast("int"))
+    hexed = F.array_join(F.transform(grey, lambda v: F.repeat(F.lpad(F.hex(v.cast("long")), 2, "0"), F.lit(3))), "")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("photo_id"), F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.unhex(hexed).alias("data"))
+
+
+@query(f"""{PICTURES}, l AS (SELECT photo_id, unnest([{', '.join(f"{_PX.format(y - 1, x)} + {_PX.format(y + 1, x)} + {_PX.format(y, x - 1)} + {_PX.format(y, x + 1)} - 4 * {_PX.format(y, x)}" for y in range(1, 7) for x in range(1, 7))}]) AS v FROM g)
+SELECT photo_id, round(var_pop(v), 6) AS blur_score FROM l GROUP BY photo_id""")
+def picture_sharpness(spark, sf_dir):
+    return photos.sharpness(_pictures(spark, sf_dir)).select("photo_id", F.round("blur_score", 6).alias("blur_score"))
+
+
+FOUR = ", ".join(f"{{'y': {y}, 'x': {x}, 'sum': {' + '.join(_PX.format(2 * y + b, 2 * x + a) for b in (0, 1) for a in (0, 1))}}}" for y in range(4) for x in range(4))
+
+
+@query(f"{PICTURES}, d AS (SELECT photo_id, unnest([{FOUR}]) AS d FROM g) SELECT photo_id, d.y AS y, d.x AS x, CAST(round_even(d.sum / 4.0, 0) AS INTEGER) AS value FROM d")
+def picture_halved(spark, sf_dir):
+    """The area-weighted mean at half the size, pixel by pixel."""
+    small = photos.downsampled(_pictures(spark, sf_dir), 4)
+    digits = F.regexp_extract_all(F.hex("data"), F.lit("(......)"), F.lit(1))
+    each = small.select("photo_id", F.posexplode(digits).alias("k", "rgb"))
+    return each.select("photo_id", F.floor(F.col("k") / 4).cast("int").alias("y"), (F.col("k") % 4).cast("int").alias("x"), F.conv(F.substring("rgb", 1, 2), 16, 10).cast("int").alias("value"))
+
+
 @query()
 def geojson_features(spark, sf_dir):
     p, grids, counts = _survey(spark, sf_dir, GAP_CELL_M, ordered=True)

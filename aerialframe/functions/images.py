@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 LONG_EDGE = 1600
 
@@ -12,6 +15,12 @@ def luma(pixels: np.ndarray) -> np.ndarray:
     return pixels if pixels.ndim == 2 else np.rint(pixels @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """Pictures of a batch whose columns after the first are width, height and RGB bytes."""
+    for w, h, data in zip(*(batch.column(k).to_pylist() for k in (1, 2)), batch.column(3), strict=True):
+        yield np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, 3) if data.is_valid else None
+
+
 def laplacian_variance(grey: np.ndarray) -> float:
     """Population variance of the four-neighbour Laplacian over the interior; 0 for a side under three pixels."""
     if min(grey.shape) < 3:

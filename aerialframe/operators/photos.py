@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geodesy, metadata
+from ..functions import geodesy, images, metadata
 
 
 def with_footprint(photos: DataFrame) -> DataFrame:
@@ -58,6 +62,37 @@ def metrics(photos: DataFrame, gaps: DataFrame, covered: DataFrame) -> DataFrame
     return base.join(n, "flight_id", "left").join(covered, "flight_id", "left").fillna({"gap_count": 0, "covered_area_m2": 0.0})
 
 
+def sharpness(pictures: DataFrame) -> DataFrame:
+    """(photo_id, blur_score) of ``pictures`` (photo_id, width, height, data: RGB bytes): the variance of the Laplacian of their grey values, for photos without a thumbnail.
+
+    A null picture has a null score.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if rgb is None else images.laplacian_variance(images.luma(rgb)) for rgb in images.unpacked(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["photo_id", "blur_score"])
+
+    return pictures.select("photo_id", "width", "height", "data").mapInArrow(run, "photo_id long, blur_score double")
+
+
+def downsampled(pictures: DataFrame, long_edge: int = images.LONG_EDGE) -> DataFrame:
+    """``pictures`` (photo_id, width, height, data) at ``long_edge`` pixels on the longer side, by area; smaller ones and null ones stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, rgb in enumerate(images.unpacked(b)):
+                if rgb is None:
+                    yield b.slice(k, 1)
+                    continue
+                small = images.downsample(rgb, long_edge)
+                sizes = [pa.array([n], pa.int64()) for n in (small.shape[1], small.shape[0])]
+                yield pa.RecordBatch.from_arrays([b.slice(k, 1).column(0), *sizes, pa.array([np.ascontiguousarray(small).tobytes()], pa.binary())], ["photo_id", "width", "height", "data"])
+
+    rows = pictures.select("photo_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "data")
+    return rows.mapInArrow(run, "photo_id long, width long, height long, data binary")
+
+
 def flight_bbox(photos: DataFrame) -> DataFrame:
     """The box of the located photos of each flight, not padded."""
     return located(photos).groupBy("flight_id").agg(
