@@ -9,20 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 #: Pivots at least and at most (in between their number is the square root of the rows), rows that they are picked from for each; the
 #: scale of the whole numbers.
 PIVOTS, MOST_PIVOTS, PIVOT_ROWS, SCALE = 64, 1024, 4, 1024.0
-#: Groups of queries, at most; queries that one group is worth; candidates of one local join.
+#: Groups of queries, at most; queries that one group is worth, and that one local join takes; candidates of one local join.
 GROUPS, GROUP_QUERIES, BLOCK_ROWS = 64, 2048, 20_000
 
 
 def whole(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): vectors as floor(1024 x). Rows without id, and vectors that are null or hold a null, NaN or infinity take no part."""
-    x = F.transform(vector, lambda e: e.cast("double"))
-    fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return df.where(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * SCALE).cast("double")).alias("v"))
+    x = F.transform(quoted(vector), lambda e: e.cast("double"))
+    fine = quoted(key).isNotNull() & quoted(vector).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return df.where(F.coalesce(fine, F.lit(False))).select(quoted(key).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * SCALE).cast("double")).alias("v"))
 
 
 def matrix(column: pa.Array | list, dim: int) -> np.ndarray:
@@ -64,21 +64,16 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     return [np.concatenate(c) for c in out]
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` highest inner products with all rows of another id; ties to the smaller id.
+def dealt(df: DataFrame, is_query: Column, k: int, key: str, vector: str) -> tuple[DataFrame, DataFrame, int] | None:
+    """The local joins of ``top_k``: queries and rows as (grp, part, block, id, v), and the length of the vectors; None if there is nothing to join.
 
-    Vectors are made whole numbers first (see ``whole``, which also says what takes no part); shorter ones end in zeros.
-    Every row is put in the cell of its nearest pivot. Summaries of the cells (the distances of their nearest rows, the
-    largest product of a query cell with each pivot) bound from below each query's k-th score and from above what
-    a row can reach; a row goes only to the groups of queries where it may matter, cut in blocks that are solved on
-    their own. Repeated rows of a query are one query; repeated candidates are each ranked.
+    A group's queries are cut in parts of about GROUP_QUERIES, and the rows that it may need in blocks of about BLOCK_ROWS; each part meets each block.
     """
     query = df.where(is_query)
     data = whole(df, key, vector)
     n, dim = data.agg(F.count("*"), F.max(F.size("v"))).first()
-    empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n or not dim or dim < 1:
-        return empty
+        return None
     wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n)))
     picked = data.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS * wanted).collect()
     pivots = np.unique(matrix([r.v for r in picked], dim), axis=0)
@@ -120,7 +115,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     asked = cut(whole(query, key, vector).distinct().mapInArrow(assign, "id long, v array<double>, cell int, dist double").drop("dist"))
     n_queries = asked.count()
     if not n_queries:
-        return empty
+        return None
 
     def bounds(batches):
         most, least, norm = np.full((p, p), -np.inf), np.full(p, np.inf), np.zeros(p)
@@ -179,11 +174,33 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), b.column(0).take(at), b.column(1).take(at)], ["grp", "id", "v"])
 
+    asking = np.bincount(group, [count.get(c, 0) for c in range(p)], groups)
+    parts_of = F.element_at(F.array([F.lit(max(1, -(-int(a) // GROUP_QUERIES))) for a in asking]), F.col("grp") + 1)
     blocks_of = F.element_at(F.array([F.lit(b) for b in blocks]), F.col("grp") + 1)
     sent = placed.mapInArrow(replicate, "grp int, id long, v array<double>")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), blocks_of).cast("int"))
+    block = F.pmod(F.xxhash64("id", "v"), blocks_of).cast("int").alias("block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sent = sent.select("grp", block, "id", "v").select("grp", every(parts_of).alias("part"), "block", "id", "v")
     cell_groups = df.sparkSession.createDataFrame(list(enumerate(group.tolist())), "cell int, grp int")
-    asked = asked.join(F.broadcast(cell_groups), "cell").select("grp", "id", "v", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"))
+    part = F.pmod(F.xxhash64(F.lit(13), "id"), parts_of).cast("int").alias("part")
+    asked = asked.join(F.broadcast(cell_groups), "cell").select("grp", part, every(blocks_of).alias("block"), "id", "v")
+    return asked, sent, dim
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's ``k`` highest inner products with all rows of another id; ties to the smaller id.
+
+    Vectors are made whole numbers first (see ``whole``, which also says what takes no part); shorter ones end in zeros.
+    Every row is put in the cell of its nearest pivot. Summaries of the cells (the distances of their nearest rows, the
+    largest product of a query cell with each pivot) bound from below each query's k-th score and from above what
+    a row can reach; a row goes only to the groups of queries where it may matter. Queries and rows of a group are both cut, however many share
+    a cell, and each part of one is solved with each part of the other. Repeated rows of a query are one query; repeated candidates are each ranked.
+    Only ``key`` and ``vector`` are read, so other columns may have any name; an empty table, and one without queries, give an empty result.
+    """
+    sides = dealt(df, is_query, k, key, vector)
+    if sides is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked, sent, dim = sides
 
     def solve(q: pa.Table, c: pa.Table) -> pa.Table:
         found = [np.empty(0, np.int64)] * 3
@@ -192,6 +209,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
             found = best(vectors[0], q.column("id").to_numpy(), vectors[1], c.column("id").to_numpy(), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    local = asked.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    at = ["grp", "part", "block"]
+    local = asked.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int")
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,3 +70,25 @@ def test_empty_tables(spark):
     assert knn.top_k(one, F.col("vec_id") % 10 == 0).collect() == []
     alone = spark.createDataFrame([(10, [1.0])], "vec_id long, embedding array<float>")
     assert knn.top_k(alone, F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_a_crowded_cell_is_cut_on_both_sides(spark, monkeypatch):
+    """All queries share a cell, all rows may matter to them: no side of a local join holds more than about what it is meant to."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 20)
+    monkeypatch.setattr(knn, "GROUPS", 2)
+    r = random.Random(5)
+    rows = [(i, [1 + r.gauss(0, 1e-3) for _ in range(4)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, sent, _ = knn.dealt(df, F.col("vec_id") % 10 == 0, 10, "vec_id", "embedding")
+    for side, most in ((asked, 40), (sent, 160)):
+        n = [x["count"] for x in side.groupBy("grp", "part", "block").count().collect()]
+        assert len(n) > 100 and max(n) <= most
+    assert {tuple(x) for x in knn.top_k(df, F.col("vec_id") % 10 == 0).collect()} == plain(rows)
+
+
+def test_names_with_dots(spark):
+    rows = [(i, [float(i % 7), 1.0], i) for i in range(40)]
+    df = spark.createDataFrame(rows, "`a.id` long, `a.v` array<double>, score int")
+    got = {tuple(x) for x in knn.top_k(df, F.col("`a.id`") % 10 == 0, key="a.id", vector="a.v").collect()}
+    assert got == plain([x[:2] for x in rows])
