@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from .jaccard import mixed
 
 #: Positions of words in one trie; bytes of text, a part of whose trie is a range of prefixes.
 TRIE_WORDS, RANGE_BYTES = 1 << 20, 8 << 20
+#: Ranges that a trie is cut into at once.
+FAN = 256
 #: Pieces end at these, as do words.
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _SIGNS = bytes.maketrans(_STOPS + b"\t", b"." * len(_STOPS) + b" ")
@@ -31,11 +33,12 @@ def tokens(text: str) -> list[bytes]:
 class Trie:
     """Counts of runs of three words, or of what a piece has left, sorted by their words: the leaves of a trie of depth three.
 
-    The count of a phrase is the sum of the leaves that begin with it. Words are numbered from 1 in byte order, 0 is the end of a piece.
+    The count of a phrase is the sum of the leaves that begin with it. Words are numbered from 1 in byte order, 0 is the end of a piece. ``single`` has the
+    count of each word, as a part of a trie may hold a word without all of its runs.
     """
 
-    def __init__(self, words: list[bytes], runs: np.ndarray, counts: np.ndarray):
-        self.words, self.runs, self.counts = words, runs, counts
+    def __init__(self, words: list[bytes], runs: np.ndarray, counts: np.ndarray, single: np.ndarray):
+        self.words, self.runs, self.counts, self.single = words, runs, counts, single
 
     @classmethod
     def of(cls, number: dict[bytes, int], ids: np.ndarray) -> Trie:
@@ -46,39 +49,69 @@ class Trie:
         a = np.concatenate([rank[ids], [0, 0]])
         first, second, third = a[:-2], a[1:-1], a[2:]
         third = np.where(second > 0, third, 0)
-        # three numbers of up to 2^21 fit a long; a document beyond that many words is sorted by pairs
-        wide = len(words) + 1
-        pair = first * wide + second
-        pairs, at = np.unique(pair[first > 0], return_inverse=True)
-        key, counts = np.unique(at * wide + third[first > 0], return_counts=True)
-        at, third = key // wide, key % wide
-        return cls(words, np.stack([pairs[at] // wide, pairs[at] % wide, third]), counts)
+        some = first > 0
+        return cls(words, *_summed(first[some], second[some], third[some], np.ones(some.sum(), np.int64), len(words) + 1), np.bincount(first, minlength=len(words) + 1)[1:])
+
+    @classmethod
+    def joined(cls, pieces: list[bytes]) -> Trie:
+        """Serialised tries as one. Each is sorted by its words, so that end to end they are sorted runs, which the stable sort merges."""
+        parts = [unpacked(p) for p in pieces]
+        words = sorted(set().union(*(p[0] for p in parts)))
+        number = {w: k for k, w in enumerate(words, 1)}
+        ranks = [np.concatenate([[0], np.fromiter(map(number.__getitem__, p[0]), np.int64, len(p[0]))]) for p in parts]
+        runs = [np.concatenate([r[p[1][k]] for r, p in zip(ranks, parts, strict=True)]) for k in range(3)]
+        single = np.zeros(len(words) + 1, np.int64)
+        for r, p in zip(ranks, parts, strict=True):
+            single[r[p[1][4]]] += p[1][5]  # a piece holds a word once
+        return cls(words, *_summed(*runs, np.concatenate([p[1][3] for p in parts]), len(words) + 1), single[1:])
 
     def ranges(self, n: int) -> Iterator[tuple[int, bytes]]:
-        """The trie cut into ``n`` ranges of the hash of the first two words of a run, each serialised with the words that it uses.
+        """The trie cut by ``n`` ranges of the hash of the first two words of a run, each serialised with the words that it uses.
 
         Counts of single words are kept in the range of their own hash.
         """
         hashes = np.concatenate([[0], np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))]).astype(np.uint64)
         place = lambda h: ((mixed(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        counted = np.flatnonzero(self.single)
         of_run = place(mixed(hashes[self.runs[0]]) + hashes[self.runs[1]])
-        of_word = place(hashes[1:])
-        single = np.zeros(len(self.words), np.int64)
-        starts = np.flatnonzero(np.diff(self.runs[0], prepend=0))
-        if len(starts):
-            single[self.runs[0][starts] - 1] = np.add.reduceat(self.counts, starts)
+        of_word = place(hashes[1:][counted])
         by_run, by_word = (np.argsort(x, kind="stable") for x in (of_run, of_word))
-        cuts = [np.searchsorted(x[o], np.arange(n + 1)) for x, o in ((of_run, by_run), (of_word, by_word))]
+        held = np.union1d(of_run, of_word)  # of many ranges a small trie meets few
+        cuts = [[np.searchsorted(x[o], held, side) for side in ("left", "right")] for x, o in ((of_run, by_run), (of_word, by_word))]
         new = np.zeros(len(self.words) + 1, np.uint32)
-        for k in range(n):
-            run = by_run[cuts[0][k] : cuts[0][k + 1]]
-            word = by_word[cuts[1][k] : cuts[1][k + 1]]
-            if not len(run) + len(word):
-                continue
+        for i, k in enumerate(held.tolist()):
+            run, word = (o[a[i] : b[i]] for o, (a, b) in zip((by_run, by_word), cuts, strict=True))
+            word = counted[word]
             used = np.unique(np.concatenate([self.runs[:, run].ravel(), word + 1]))
             used = used[used > 0]
             new[used] = np.arange(1, len(used) + 1)
-            yield k, packed([self.words[i - 1] for i in used.tolist()], [*new[self.runs[:, run]], self.counts[run], new[word + 1], single[word]])
+            yield k, packed([self.words[i - 1] for i in used.tolist()], [*new[self.runs[:, run]], self.counts[run], new[word + 1], self.single[word]])
+
+    def phrases(self, least: int) -> list[tuple]:
+        """(w1, w2, w3, f, f of the first two) with f >= ``least``, by a walk up from the leaves, where the trie holds all runs of a pair."""
+        first, second, third = self.runs
+        new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(first)])
+        pair = np.add.reduceat(self.counts, new) if len(new) else self.counts
+        of_leaf = np.repeat(pair, np.diff(np.append(new, len(first))))
+        name = lambda k: self.words[k - 1].decode()
+        out = [(name(k + 1), None, None, int(self.single[k]), None) for k in np.flatnonzero(self.single >= least).tolist()]
+        for k, n in zip(new.tolist(), pair.tolist(), strict=True):
+            if n >= least and second[k]:
+                out.append((name(first[k]), name(second[k]), None, n, None))
+        for k in np.flatnonzero((third > 0) & (self.counts >= least)).tolist():
+            out.append((name(first[k]), name(second[k]), name(third[k]), int(self.counts[k]), int(of_leaf[k])))
+        return out
+
+
+def _summed(first: np.ndarray, second: np.ndarray, third: np.ndarray, counts: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs (3 x n), sorted, and the sums of their counts. Pairs are numbered first, as three words may pass 64 bits."""
+    pairs, at = np.unique(first * wide + second, return_inverse=True)
+    key = at * wide + third
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    key, counts = key[new], np.add.reduceat(counts, new) if len(new) else counts
+    return np.stack([pairs[key // wide] // wide, pairs[key // wide] % wide, key % wide]), counts
 
 
 def packed(words: list[bytes], columns: list[np.ndarray]) -> bytes:
@@ -102,40 +135,6 @@ def unpacked(data: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return data[64 : 64 + text].split(b"\n") if n else [], columns
 
 
-def merged(pieces: list[bytes], least: int) -> tuple[int, list[tuple]]:
-    """Word count of one range and its phrases (w1, w2, w3, f, f of the first two) with f >= ``least``.
-
-    The pieces are sorted by their words, so that joined they are sorted runs, which the stable sort merges.
-    """
-    parts = [unpacked(p) for p in pieces]
-    words = sorted(set().union(*(p[0] for p in parts)))
-    number = {w: k for k, w in enumerate(words, 1)}
-    wide = len(words) + 1
-    ranks = [np.concatenate([[0], np.fromiter(map(number.__getitem__, p[0]), np.int64, len(p[0]))]) for p in parts]
-    first, second, third = (np.concatenate([r[p[1][k]] for r, p in zip(ranks, parts, strict=True)]) for k in range(3))
-    counts = np.concatenate([p[1][3] for p in parts])
-    pairs, at = np.unique(first * wide + second, return_inverse=True)
-    key = at * wide + third
-    order = np.argsort(key, kind="stable")
-    key, counts = key[order], counts[order]
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    leaf, f = key[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-    # the walk up: leaves are the children of their pair
-    at, third = leaf // wide, leaf % wide
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    pair = np.add.reduceat(f, starts) if len(starts) else f
-    single = np.concatenate([[0], np.bincount(np.concatenate([r[p[1][4]] for r, p in zip(ranks, parts, strict=True)]), np.concatenate([p[1][5] for p in parts]), wide)[1:]])
-    name = lambda k: words[k - 1].decode()
-    out = [(name(k), None, None, int(single[k]), None) for k in np.flatnonzero(single >= least).tolist()]
-    both = pairs % wide > 0
-    for k in np.flatnonzero(both & (pair >= least)).tolist():
-        out.append((name(int(pairs[k]) // wide), name(int(pairs[k]) % wide), None, int(pair[k]), None))
-    for k in np.flatnonzero((third > 0) & (f >= least)).tolist():
-        p = int(pairs[at[k]])
-        out.append((name(p // wide), name(p % wide), name(int(third[k])), int(f[k]), int(pair[at[k]])))
-    return int(single.sum()), out
-
-
 COUNTS = "lang string, w1 string, w2 string, w3 string, f long, front long"
 
 
@@ -145,10 +144,21 @@ def phrase_counts(df: DataFrame, least: int = 10, lang: str = "lang", text: str
     ``front`` is the count of the first two words of three. A row without words holds the number of words in a part of the language. Each task
     keeps a trie for each language of TRIE_WORDS words at most (or one document), and gives it in ranges of prefixes; the ranges number as many as
     the text has RANGE_BYTES, so that none outgrows a task, and a language is spread over all of them.
+
+    A trie is cut into FAN ranges at most at once, so that pieces stay pieces: where more are needed, pieces of a range, FAN of them together, are merged
+    into tries again, which are cut further.
     """
     rows = df.select(F.coalesce(quoted(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(quoted(text), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 + total // RANGE_BYTES
+    wanted, levels = 1 + total // RANGE_BYTES, 1
+    while FAN**levels < wanted:
+        levels += 1
+    n = wanted if levels == 1 else next(k for k in range(2, FAN + 1) if k**levels >= wanted)
+    piece = "lang string, range long, piece binary"
+
+    def cut_up(name: str, trie: Trie, ranges: int) -> Iterator[pa.RecordBatch]:
+        for k, data in trie.ranges(ranges):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["lang", "range", "piece"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
@@ -156,8 +166,7 @@ def phrase_counts(df: DataFrame, least: int = 10, lang: str = "lang", text: str
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name, (number, ids) in held.items():
-                for k, data in Trie.of(number, np.concatenate(ids)).ranges(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["lang", "range", "piece"])
+                yield from cut_up(name, Trie.of(number, np.concatenate(ids)), n)
 
         for b in small_batches(batches):
             for name, t in zip(column(b, "lang").to_pylist(), texts(b, "t"), strict=True):
@@ -170,26 +179,40 @@ def phrase_counts(df: DataFrame, least: int = 10, lang: str = "lang", text: str
                 size += len(found)
         yield from flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[bytes]]]:
+        """Pieces that lie together by their first ``keys`` columns; the piece is the last."""
         now, pieces = None, []
-        names = [x.split()[0] for x in COUNTS.split(", ")]
-        kinds = [pa.string()] * 4 + [pa.int64()] * 2
-
-        def ended() -> pa.RecordBatch:
-            words, found = merged(pieces, least) if pieces else (0, [])
-            rows = [(None, None, None, words, None), *found] if pieces else []
-            columns = [[now[0]] * len(rows) if now else [], *(list(c) for c in zip(*rows, strict=True))] if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
         for b in small_batches(batches):
-            for name, k, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if (name, k) != now:
-                    yield ended()
-                    now, pieces = (name, k), []
+            for *key, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tuple(key[:keys]) != now:
+                    if pieces:
+                        yield now, pieces
+                    now, pieces = tuple(key[:keys]), []
                 pieces.append(data)
-        yield ended()
+        if pieces:
+            yield now, pieces
+
+    def finer(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (name, *_), pieces in grouped(batches, 3):
+                yield from cut_up(name, Trie.joined(pieces), ranges)
 
-    pieces = map_batches(rows, build, "lang string, range long, piece binary")
+        return run
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [x.split()[0] for x in COUNTS.split(", ")], [pa.string()] * 4 + [pa.int64()] * 2
+        for (name, _), pieces in grouped(batches, 2):
+            trie = Trie.joined(pieces)
+            found = [(None, None, None, int(trie.single.sum()), None), *trie.phrases(least)]
+            columns = [[name] * len(found), *(list(c) for c in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    pieces = map_batches(rows, build, piece)
+    for level in range(1, levels):
+        # of as many pieces as a trie was cut into one trie of about that size is made
+        parts = 1 + total // (8 * TRIE_WORDS * n)
+        dealt = pieces.select("lang", "range", F.pmod(F.xxhash64("piece"), F.lit(parts)).alias("part"), "piece").repartition("lang", "range", "part")
+        pieces = map_batches(dealt.sortWithinPartitions("lang", "range", "part"), finer(n ** (level + 1)), piece)
     return map_batches(pieces.repartition("lang", "range").sortWithinPartitions("lang", "range"), merge, COUNTS)
 
 

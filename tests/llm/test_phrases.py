@@ -56,6 +56,17 @@ def test_same_as_lists(spark, monkeypatch, seed):
     assert sorted(map(tuple, phrases.collocations(df, 3, 80, 7).collect())) == plain(rows, 3, 80, 7)
 
 
+def test_ranges_in_steps(spark, monkeypatch):
+    """More ranges than a trie is cut into at once: pieces are merged and cut again, three times over."""
+    monkeypatch.setattr(phrases, "TRIE_WORDS", 200)
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 500)
+    monkeypatch.setattr(phrases, "FAN", 4)
+    rows = made(4)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    assert sum(len(t or "") for _, t in rows) // 500 > 4**2
+    assert sorted(map(tuple, phrases.collocations(df).collect())) == plain(rows)
+
+
 def test_products_beyond_a_long(spark):
     big = 3_000_000_000
     df = spark.createDataFrame([(big, big + 1, big + 5), (9 * 10**14, 10**15 - 1, 10**15 - 1)], "a long, l long, r long")
