@@ -295,8 +295,8 @@ def similar_classes(df: DataFrame, words: int = 3, percent: int = 90, key: str =
     members = cut(salted(met, hubs, ["shard"], "node").select("hub", "node").distinct())
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("tid").alias("tid"), F.first("n").alias("n"))
     wanted = cut(members.select("node").distinct().join(nodes, "node"))
-    # one text of each node: a text's copies are in one task after the join
-    contents = given.select("tid", "t").join(wanted.select("tid", "node"), "tid").groupBy("tid", "node").agg(F.first("t").alias("t"))
+    # one text of each node; copies of a text meet in their own tasks first
+    contents = given.select("tid", "t").groupBy("tid").agg(F.first("t").alias("t")).join(wanted.select("tid", "node"), "tid").select("node", "t")
     placed = members.join(wanted.select("node", "n"), "node")
     blocks = placed.groupBy("hub").agg((F.floor((F.sum("n") - 1) / BLOCK_SHINGLES) + 1).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
