@@ -416,5 +416,5 @@ def first_of_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key:
     first = classes.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("least").alias("least"))
     wnode, wkey = (free_name(rows, n) for n in ("wnode", "wkey"))
     wins = first.select(F.col("least.node").alias(wnode), F.col("least.key").alias(wkey))
-    same = (rows[mine] == wins[wnode]) & rows[key].eqNullSafe(wins[wkey])
+    same = (quoted(mine) == quoted(wnode)) & quoted(key).eqNullSafe(quoted(wkey))
     return rows.join(wins, same, "left_semi").dropDuplicates([mine, key]).select(*map(quoted, df.columns))

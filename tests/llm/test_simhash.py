@@ -165,3 +165,10 @@ def test_callers_columns_stay(spark):
     got = sorted((tuple(r) for r in simhash.first_of_groups(df).collect()), key=str)
     assert got == sorted([rows[0], rows[2], rows[3]], key=str)
     assert [r.FP for r in simhash.fingerprints(df.withColumnRenamed("NODE", "FP")).select(F.col("fp").alias("FP")).limit(1).collect()][0] is not None
+
+
+def test_names_with_dots(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(3, text), (1, text + " end"), (None, text), (2, "other words")], "`a.b` long, `T.x` string")
+    assert sorted(r[0] for r in simhash.first_of_groups(df, key="a.b", text="T.x").collect()) == [1, 2]
+    assert sorted(map(tuple, simhash.near_duplicates(df.where("`a.b` is not null"), key="a.b", text="T.x").select("`a.b`").collect())) == [(1,), (2,), (3,)]
