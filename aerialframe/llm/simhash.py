@@ -168,27 +168,26 @@ def links(distinct: DataFrame, radius: int, gather: int = 50_000, direct: bool =
     """(a, b): for each value of ``distinct`` (fp) linked to another in a shard, the first value it is joined to there.
 
     Trees are built for many shards at a time from rows sorted by shard; within a shard linked values are joined to one of them, so
-    a shard of n values gives n - 1 rows at most. With ``direct`` b is not the first value of a's component but the first of those
-    within the radius of a. A lone value has no row.
+    a shard of n values gives n - 1 rows at most. With ``direct`` every pair of values within the radius instead, once and with a > b.
+    A lone value has no row.
     """
     spread = shards(distinct, radius).repartition("round", "path", "key").sortWithinPartitions("round", "path", "key", "fp")
 
-    def solve(round_: np.ndarray, path: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def solve(round_: np.ndarray, path: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (path[1:] != path[:-1]) | (round_[1:] != round_[:-1])])
         group = np.cumsum(new)
         many = np.bincount(group)[group] > 1
         group, fp = group[many], fp[many]
         own = np.arange(len(fp))
-        label = np.full(len(fp), len(fp)) if direct else own.copy()
+        label = own.copy()
         if len(fp):
             for a, b in Forest(group, fp.view(np.uint64)).near(radius):
                 if direct:
-                    np.minimum.at(label, a, b)
-                    np.minimum.at(label, b, a)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
                 else:
                     unite(label, a, b)
-        moved = (label != own) & (label < len(fp))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["a", "b"])
+        moved = label != own
+        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, t) for t in (np.int32, np.int32, np.int64, np.int64)]
@@ -203,13 +202,14 @@ def links(distinct: DataFrame, radius: int, gather: int = 50_000, direct: bool =
             ends = np.flatnonzero((cols[2][1:] != cols[2][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[0][1:] != cols[0][:-1]))
             stop = int(ends[-1]) + 1 if len(ends) else 0
             if stop:
-                yield solve(*(c[:stop] for c in cols))
+                yield from solve(*(c[:stop] for c in cols))
             held, waiting, size = [c[stop:] for c in cols], [], 0
         cols = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
         if len(cols[0]):
-            yield solve(*cols)
+            yield from solve(*cols)
 
-    return spread.mapInArrow(run, "a long, b long")
+    found = spread.mapInArrow(run, "a long, b long")
+    return found.distinct() if direct else found  # a pair can meet in several shards
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,6 +283,8 @@ def overlaps(one: np.ndarray, others: list[np.ndarray], block: int = 1 << 18) ->
 
 #: Members that one copy of a hub's text is compared with; sides of the blocks in which what is left of a bucket is compared.
 HUB_ROWS, OPEN_ROWS, MEMBER_ROWS = 512, 64, 256
+#: The place of the buckets in which texts meet those whose values over all shingles are near.
+NEAR = SAMPLES + 1
 
 
 def similar(pairs: DataFrame, contents: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -315,8 +317,29 @@ def similar(pairs: DataFrame, contents: DataFrame, words: int, similarity: float
     return rows.mapInArrow(run, "a long, b long")
 
 
-def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links in buckets whose members are not all connected to the bucket's root.
+def across(near: DataFrame, owners: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, value, node, label, apart, other): the texts of the pairs of ``near`` (a, b) that are not all connected yet, in buckets.
+
+    ``owners`` has (node, fp). The value with more texts is at home in a bucket: its texts are ``apart``, to be compared with the
+    ``other`` ones, all those of each value that it is paired with. So no pair of texts with near values is left out.
+    """
+    touched = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+    known = salted(owners, touched, ["fp"], "node").join(labels, "node", "left")
+    known = cut(known.select("fp", "node", F.coalesce("label", "node").alias("label")))
+    classes = known.groupBy("fp").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    end = lambda k: classes.select(F.col("fp").alias(k), F.struct("n", "fp", "low", "high").alias(f"{k}_class"))
+    a, b = F.col("a_class"), F.col("b_class")
+    pairs = near.join(end("a"), "a").join(end("b"), "b").where(F.least(a["low"], b["low"]) < F.greatest(a["high"], b["high"]))
+    pairs = cut(pairs.select(F.greatest(a, b)["fp"].alias("value"), F.least(a, b)["fp"].alias("fp")))
+    rows = lambda df, apart: df.select(F.lit(NEAR).alias("place"), "value", "node", "label", F.lit(apart).alias("apart"), F.lit(not apart).alias("other"))
+    home = salted(known, pairs.select(F.col("value").alias("fp")).distinct(), ["fp"], "node").withColumn("value", F.col("fp"))
+    homes = pairs.groupBy("fp").agg(F.collect_list("value").alias("homes"))  # no more than there are values within the radius
+    guests = salted(known, homes, ["fp"], "node").withColumn("value", F.explode("homes"))
+    return rows(home, True).union(rows(guests, False))
+
+
+def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
+    """(a, b): links in buckets whose members are not all connected to the bucket's root, and in the buckets ``more`` (see ``across``).
 
     Each such member is compared with all members of its bucket that have another label, in blocks of OPEN_ROWS by MEMBER_ROWS. So
     a bucket, (place, value, node, root), is resolved in full, whatever its root resembles.
@@ -324,10 +347,10 @@ def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words:
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label"))
     known = members.join(of("node"), "node", "left")
     known = salted(known, of("root"), ["root"], "node", "left")
-    known = known.select("place", "value", "node", F.coalesce("node_label", "node").alias("label"), (F.coalesce("node_label", "node") != F.coalesce("root_label", "root")).alias("apart"))
-    known = cut(known)
+    known = known.select("place", "value", "node", F.coalesce("node_label", "node").alias("label"), (F.coalesce("node_label", "node") != F.coalesce("root_label", "root")).alias("apart"), F.lit(True).alias("other"))
+    known = cut(known if more is None else known.union(more))
     blocks = lambda n, size: (F.floor((n - 1) / size) + 1).cast("int")
-    buckets = known.groupBy("place", "value").agg(F.count("*").alias("n"), F.count_if("apart").alias("open")).where("open > 0 and n > 2")
+    buckets = known.groupBy("place", "value").agg(F.count_if("other").alias("n"), F.count_if("apart").alias("open")).where(f"open > 0 and (n > 2 or place = {NEAR})")
     buckets = buckets.select("place", "value", blocks(F.col("open"), OPEN_ROWS).alias("nu"), blocks(F.col("n"), MEMBER_ROWS).alias("nm"))
     placed = salted(known, buckets, ["place", "value"], "node").join(contents, "node")
 
@@ -339,7 +362,7 @@ def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words:
     cell = lambda ub, mb, opened: F.struct(ub.alias("ub"), mb.alias("mb"), F.lit(opened).alias("opened"))
     row = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda ub: cell(ub, deal(F.col("nm")), False))
     col = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda mb: cell(deal(F.col("nu")), mb, True))
-    cells = F.concat(row, F.when(F.col("apart"), col).otherwise(F.slice(col, 1, 0)))
+    cells = F.concat(*[F.when(F.col(role), of).otherwise(F.slice(of, 1, 0)) for role, of in (("other", row), ("apart", col))])
     spread = placed.select("place", "value", F.explode(cells).alias("c"), "node", "label", "set").select("place", "value", "c.*", "node", "label", "set")
 
     def solve(t: pa.Table) -> pa.Table:
@@ -362,9 +385,10 @@ def left_over(members: DataFrame, labels: DataFrame, contents: DataFrame, words:
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, text: str = "text") -> DataFrame:
     """(node, label) for the distinct texts of ``df`` that have a similar one; ``node`` is xxhash64 of the text (null: empty).
 
-    Texts meet in buckets: by the SimHash over all their shingles, and by each of the ``sampled`` SimHashes; the first also meet those within
+    Texts meet in buckets: by the SimHash over all their shingles, and by each of the ``sampled`` SimHashes; the first also meet all those within
     ``radius`` bits, through the BK-trees. A bucket's members are compared with its root (drawn at random for each bucket), and
-    members that this leaves unconnected with all others of the bucket, so every link between two texts of a bucket is found. Texts of
+    members that this leaves unconnected with all others of the bucket; of the values within ``radius`` one is compared with the first, root with
+    root, then all their texts that are not connected. So every link between two texts that meet is found. Texts of
     similarity 0.8 share no bucket once in 580 times, at 0.9 once in 10 million. A link is a Jaccard similarity of the shingle sets
     of ``similarity`` or more; labels are components of links. Equal texts are one node, and texts without words are similar to each other only.
     An empty table and one without similar texts give no rows.
@@ -385,8 +409,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     roots = values.groupBy("place", "value").agg(draw, F.count("*").alias("n"))
     members = cut(salted(values, roots.where("n > 1").drop("n"), ["place", "value"], "node"))
     classes = roots.where(F.col("place") == SAMPLES).select(F.col("value").alias("fp"), "root")
-    near = links(classes.select("fp"), radius, direct=True)
-    close = near.join(classes.select(F.col("fp").alias("a"), F.col("root").alias("node")), "a").join(classes.select(F.col("fp").alias("b"), F.col("root").alias("hub")), "b").select("hub", "node")
+    near = cut(links(classes.select("fp"), radius, direct=True))
+    first = near.union(near.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    close = first.join(classes.select(F.col("fp").alias("a"), F.col("root").alias("node")), "a").join(classes.select(F.col("fp").alias("b"), F.col("root").alias("hub")), "b").select("hub", "node")
     pairs = cut(members.where("node <> root").select(F.col("root").alias("hub"), "node").union(close).distinct())
     wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
     # copies of a text meet in their own tasks first, then one text of each node is looked up
@@ -394,7 +419,8 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     contents, spent = write_table(contents.join(wanted, "node", "left_semi"))
     found = cut(similar(pairs, contents, words, similarity))
     labels = components(found)
-    more = cut(left_over(members, labels, contents, words, similarity))
+    owners = values.where(F.col("place") == SAMPLES).select("node", F.col("value").alias("fp"))
+    more = cut(left_over(members, labels, contents, words, similarity, across(near, owners, labels)))
     if not more.isEmpty():
         labels = components(found.union(more))
     remove(df.sparkSession, spent)

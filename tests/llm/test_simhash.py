@@ -159,6 +159,57 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert final == {i: i % 5 for i in range(24)}
 
 
+def near_balls(count, seed):
+    """Values that lie densely around a few centres, with their highest bits set too."""
+    r = np.random.default_rng(seed)
+    values = {0, 1, (1 << 63) | 5}
+    for centre in (0x0123456789ABCDEF, 0x8000000000000001):
+        for _ in range(count):
+            values.add(centre ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)))
+    return sorted(values)
+
+
+@pytest.mark.parametrize("shard_rows", [8, 512])
+def test_direct_links_are_all_pairs(spark, monkeypatch, shard_rows):
+    """A value keeps each partner within the radius, not one of them, whether shards are cut or not."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    values = near_balls(60, 4)
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    got = [(r.a, r.b) for r in simhash.links(df, 2, gather=50, direct=True).collect()]
+    want = {(max(signed(v), signed(w)), min(signed(v), signed(w))) for v in values for w in values if v < w and (v ^ w).bit_count() <= 2}
+    assert sorted(got) == sorted(want) and len(want) > len(values)
+
+
+@pytest.mark.parametrize("rows", [(64, 256), (2, 3)])
+def test_all_texts_of_near_values_are_compared(spark, monkeypatch, rows):
+    """Values with many partners and many unlike texts, and no other bucket in which texts could meet."""
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(simhash, "OPEN_ROWS", rows[0])
+    monkeypatch.setattr(simhash, "MEMBER_ROWS", rows[1])
+    values = near_balls(9, 7)
+    texts_, prints = [], []
+    for i in range(150):
+        group = int(r.integers(0, 25))
+        words = [f"own{i}"] + [f"g{group}_{k}" for k in range(120)]
+        for k in range(i % 3):  # texts of which two words differ are like those of which none does, not like each other
+            words[int(r.integers(10, 50)) + 55 * k] = f"own{i}"
+        texts_.append(" ".join(words))
+        prints.append(values[int(r.integers(0, len(values)))])
+    given = {int(simhash.shingle_hashes(t, 5)[0]): p for t, p in zip(texts_, prints, strict=True)}
+    monkeypatch.setattr(simhash, "majority", lambda h: given[int(h[0])])
+    monkeypatch.setattr(simhash, "sampled", lambda h: h[0] + np.arange(16, dtype=np.uint64))  # shared by none
+    alike, label = similar_sets(texts_), list(range(len(texts_)))
+    for i in range(len(texts_)):
+        for j in range(i):
+            if label[i] != label[j] and (prints[i] ^ prints[j]).bit_count() <= 2 and alike(i, j) >= 0.8:
+                label = [label[j] if v == label[i] else v for v in label]
+    want = {min(i for i, v in enumerate(label) if v == g) for g in set(label)}
+    assert 25 < len(want) < 140
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(5)
+    assert {x.doc_id for x in simhash.first_of_groups(df).collect()} == want
+
+
 def test_callers_columns_stay(spark):
     rows = [(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x2", "y2", "z2"), (3, "q", "x3", "y3", "z3"), (None, None, "x4", "y4", "z4")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _node string, NODE string, label string")
