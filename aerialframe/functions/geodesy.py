@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ def finite(c: Column) -> Column:
     return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
 
 
+def over(a: Column, b: Column) -> Column:
+    """``a / b`` as doubles divide: infinite or NaN, and no error, where ``b`` is 0."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
+def logarithm(x: Column, of: Callable[[Column], Column] = F.log) -> Column:
+    """``of(x)`` as logarithms of doubles are: minus infinity for 0 and NaN, not null, below."""
+    return F.when(x > 0, of(x)).when(x == 0, -math.inf).when(x < 0, math.nan)
+
+
 def ground_coverage(altitude: Column, focal: Column, sensor_w: Column, sensor_h: Column) -> tuple[Column, Column]:
     """Width and height in metres that a camera sees straight down; null where the focal length is 0."""
     per = F.when(focal != 0, altitude / focal)
