@@ -11,16 +11,16 @@ from ..functions.geodesy import M_PER_DEG, corners, in_ring, level
 from .dealing import dealt
 
 CELL_M, MIN_CELL_M, MAX_CELLS = 3.0, 0.5, 400_000
-#: Rows of cells whose photos are dealt together.
-BAND = 64
+#: Rows and columns of cells whose photos are dealt together.
+BAND, ACROSS = 64, 4096
 #: Times a cell is made half as large again at most; 1.5 ^ 60 spans any flight on this planet.
 COARSER = 60
 
 
-def grid(photos: DataFrame, cell_m: float = CELL_M) -> DataFrame:
+def grid(photos: DataFrame, cell_m: float = CELL_M, max_cells: int | None = MAX_CELLS) -> DataFrame:
     """One row for each flight with a footprint: the grid's corner, cell size (metres and degrees), columns and rows.
 
-    Cells start at ``cell_m`` (MIN_CELL_M at least) and grow by half until MAX_CELLS are enough for the box of all footprints.
+    Cells start at ``cell_m`` (MIN_CELL_M at least) and grow by half until ``max_cells`` are enough for the box of all footprints; None leaves them as they are.
     """
     ring = F.slice("footprint", 1, 4)
     lons, lats = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
@@ -33,8 +33,8 @@ def grid(photos: DataFrame, cell_m: float = CELL_M) -> DataFrame:
     start = max(cell_m, MIN_CELL_M)
     sizes = F.array(*[F.lit(start * 1.5**k) for k in range(COARSER)])
     box = box.withColumns({"w": width, "h": height})
-    fits = F.filter(sizes, lambda c: cells(F.col("w"), c) * cells(F.col("h"), c) <= MAX_CELLS)
-    box = box.withColumn("cell_m", fits[0])
+    fits = F.lit(start) if max_cells is None else F.filter(sizes, lambda c: cells(F.col("w"), c) * cells(F.col("h"), c) <= max_cells)[0]
+    box = box.withColumn("cell_m", fits)
     return box.select(
         "flight_id", "lon0", "lat0", "cell_m",
         (F.col("cell_m") / F.col("m_lon")).alias("cell_lon"), (F.col("cell_m") / M_PER_DEG).alias("cell_lat"),
@@ -47,7 +47,7 @@ def cells(photos: DataFrame, grids: DataFrame) -> DataFrame:
 
     Each footprint is spread over the cells of its own box, its corners side by side with the cell's numbers, and the ring
     test keeps those inside: work follows the footprints' areas, there is no join of cells with photos, and counts are summed
-    before the shuffle.
+    before the shuffle. A footprint that meets no cell (beyond a pole degrees of longitude count backwards) is left out.
     """
     rings = photos.where(F.col("footprint").isNotNull()).select("flight_id", "footprint").join(grids, "flight_id")
     points = corners(F.col("footprint"))
@@ -64,8 +64,12 @@ def cells(photos: DataFrame, grids: DataFrame) -> DataFrame:
         "flight_id", "lon0", "lat0", "cell_lon", "cell_lat", c0.alias("c0"), c1.alias("c1"), r0.alias("r0"), r1.alias("r1"),
         *[v.alias(f"{n}{i}") for n, vs in (("x", xs), ("y", ys)) for i, v in enumerate(vs)],
     )
+    flat = flat.where("r0 <= r1 and c0 <= c1")
+    # footprints wider than ACROSS, as there are near a pole, are cut
+    flat = flat.withColumn("across", F.explode(F.sequence(F.floor(F.col("c0") / ACROSS), F.floor(F.col("c1") / ACROSS))))
+    flat = flat.withColumns({"c0": F.greatest("c0", F.col("across") * ACROSS), "c1": F.least("c1", F.col("across") * ACROSS + ACROSS - 1)})
     # photos of one band of rows together, so that counts of a cell are mostly summed where it is met
-    flat = dealt(flat.withColumn("band", F.floor(F.col("r0") / BAND)), "flight_id", "band")
+    flat = dealt(flat.withColumn("band", F.floor(F.col("r0") / BAND)), "flight_id", "band", "across")
     each = flat.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     lon = F.col("lon0") + F.col("col") * F.col("cell_lon") + F.col("cell_lon") / 2
     lat = F.col("lat0") + F.col("row") * F.col("cell_lat") + F.col("cell_lat") / 2

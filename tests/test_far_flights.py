@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 from aerialframe import catalog
+from aerialframe.operators import coverage
 
 #: Flights of the derived table lie 0.01 degrees apart from 10 degrees north on: before, at and beyond the end of the map and the poles.
-FLIGHTS = (0, 3, 7497, 7504, 7505, 7506, 7508, 7511, 7518, 7521, 7999, 8000, 8001, 8003, 8006, 17_000, 25_999, 26_000, 26_001, 30_003, 44_000, 44_001, 52_002)
+FLIGHTS = (0, 3, 7497, 7504, 7505, 7506, 7508, 7511, 7518, 7521, 7998, 8002, 8003, 8006, 17_000, 25_998, 26_002, 30_003, 44_002, 52_002)
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,21 @@ def test_zoom_of_boxes_beyond_the_map(spark, far):
 def test_shape_of_boxes_beyond_the_map(spark, far):
     sides = against_sql(spark, far, "aspect_fit")
     assert any(math.isnan(s[1]) and s[3] == 180 for s in sides) and any(math.isfinite(s[1]) and s[2] > 85 for s in sides)
+
+
+def test_cells_of_flights_beyond_the_poles(spark, far):
+    """No cells run backwards from a flight whose degrees of longitude do."""
+    cells = against_sql(spark, far, "coverage_cells")
+    assert min(min(row, col) for _, row, col, _ in cells) == 0 and {f for f, *_ in cells} < set(FLIGHTS)
+
+
+def test_wide_footprints_on_cells_that_do_not_grow(spark):
+    """A footprint of 9,500 columns is cut at 4,096 and covers what it would in one piece; its cells stay as asked for."""
+    ring = [[106.0, 0.0], [106.852, 0.0], [106.852, 0.0004], [106.0, 0.0004], [106.0, 0.0]]
+    photos = spark.createDataFrame([(1, 0, ring)], "flight_id long, photo_id long, footprint array<array<double>>")
+    grids = coverage.grid(photos, 10.0, None)
+    g, counts = grids.first(), coverage.cells(photos, grids)
+    assert g.cell_m == 10 and g.cols > 2 * coverage.ACROSS and coverage.grid(photos, 0.5).first().cell_m > 0.5
+    assert coverage.grid(photos, 0.5, None).first().cell_m == 0.5
+    assert counts.where("overlap_count = 1").count() == counts.select("row", "col").distinct().count()
+    assert (g.cols - 1) * (g["rows"] - 1) <= counts.count() <= g.cols * g["rows"]
