@@ -63,3 +63,7 @@ def test_wide_footprints_on_cells_that_do_not_grow(spark):
     assert coverage.grid(photos, 0.5, None).first().cell_m == 0.5
     assert counts.where("overlap_count = 1").count() == counts.select("row", "col").distinct().count()
     assert (g.cols - 1) * (g["rows"] - 1) <= counts.count() <= g.cols * g["rows"]
+
+
+def test_levels_of_flights_beyond_the_poles(spark, far):
+    assert against_sql(spark, far, "coverage_levels")
