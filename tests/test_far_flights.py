@@ -67,3 +67,7 @@ def test_wide_footprints_on_cells_that_do_not_grow(spark):
 
 def test_levels_of_flights_beyond_the_poles(spark, far):
     assert against_sql(spark, far, "coverage_levels")
+
+
+def test_area_of_flights_beyond_the_poles(spark, far):
+    assert {f for f, _ in against_sql(spark, far, "covered_area")} < set(FLIGHTS)
