@@ -71,3 +71,7 @@ def test_levels_of_flights_beyond_the_poles(spark, far):
 
 def test_area_of_flights_beyond_the_poles(spark, far):
     assert {f for f, _ in against_sql(spark, far, "covered_area")} < set(FLIGHTS)
+
+
+def test_red_cells_of_flights_beyond_the_poles(spark, far):
+    assert against_sql(spark, far, "red_cell_totals")
