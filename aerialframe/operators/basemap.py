@@ -8,11 +8,13 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import finite
 from ..functions.mercator import Box, box_error, contains, tile_x, tile_y
 
 INFO_SCHEMA = ", ".join(f"c_{c} double" for c in Box._fields) + ", max_zoom int, tile_count long, tiles_failed long, bytes long, downloaded_at string"
@@ -170,25 +172,95 @@ def _cell(lon: Column, lat: Column, level: Column) -> tuple[Column, Column]:
     return F.floor((lon + 180) / size), F.floor((lat + 90) / size)
 
 
+#: Degrees up to which an outer box is looked up on the grid; boxes that are compared at once.
+WIDEST, BLOCK = 3600.0, 1024
+
+
+def _plain(box: Box) -> Column:
+    """Its sides are finite and the right way round."""
+    return finite(box.min_lon) & finite(box.min_lat) & finite(box.max_lon) & finite(box.max_lat) & (box.max_lon >= box.min_lon) & (box.max_lat >= box.min_lat)
+
+
+def _within(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Which of ``inner`` (n x 4) lies in which of ``outer`` (m x 4), n x m; as in Spark NaN is more than any number."""
+    out = np.ones((len(inner), len(outer)), bool)
+    for k in range(4):
+        less, more = (outer[None, :, k], inner[:, None, k]) if k < 2 else (inner[:, None, k], outer[None, :, k])
+        out &= (less <= more) | np.isnan(more)
+    return out
+
+
+def _packed(boxes: DataFrame, name: str, largest: bool) -> DataFrame:
+    """Distinct boxes (four columns) as rows of BLOCK at most, in one binary column; with ``largest`` without those that lie in another that is met with them."""
+
+    def row(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], [name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, 4))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for at in range(0, len(x), BLOCK):
+                kept = np.concatenate([kept, x[at : at + BLOCK]])
+                if largest:
+                    held = _within(kept, kept)
+                    np.fill_diagonal(held, False)
+                    kept = kept[~held.any(1)]
+                if len(kept) >= BLOCK:
+                    yield row(kept[:BLOCK])
+                    kept = kept[BLOCK:]
+        if len(kept):
+            yield row(kept)
+
+    return boxes.select(*[F.col(c).cast("double") for c in boxes.columns]).mapInArrow(run, f"{name} binary")
+
+
+def _in_blocks(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """The boxes of ``inner`` that lie in one of ``outer``, however their sides lie: each block of boxes meets each.
+
+    Blocks of inner boxes are dealt to tasks; those of outer ones, of which only the largest are kept, go to every task, one at a time.
+    """
+    tasks = int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = _packed(inner, "i", False).withColumn("task", F.pmod(F.hash("i"), F.lit(tasks)))
+    o = _packed(outer, "o", True).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*batch.columns, strict=True):
+                a, b = (np.frombuffer(v.as_py()).reshape(-1, 4) for v in (a, b))
+                found = a[_within(a, b).any(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], list(Box._fields))
+
+    return i.join(o, "task").select("i", "o").mapInArrow(run, ", ".join(f"{n} double" for n in Box._fields))
+
+
 def containing(boxes: DataFrame, outer: DataFrame) -> DataFrame:
     """The distinct boxes of ``boxes`` that lie in a box of ``outer`` (with prefix c_), edges included.
 
     An outer box is put in the four cells or fewer that it touches on the finest grid whose cells are no smaller than it; an inner one looks up
     the cell of its lower left corner on every grid that has outer boxes. So each pair that may fit meets once, by equality of cells, and is then tested.
+
+    Sides alone decide, also for boxes that no place lies in (a side beyond its opposite one, as where the world's end cuts a box that lies beyond it): such
+    an inner box may fit outer ones that its corner does not lie in, so it meets all of them, block by block. So do boxes without end.
     """
     b, c = Box.of(), Box.of("c_")
     inner = boxes.select(*Box._fields).distinct()
+    outer = outer.select(*[f"c_{n}" for n in Box._fields]).distinct()
     wide = F.greatest(c.max_lon - c.min_lon, c.max_lat - c.min_lat)
     fitting = F.when(wide <= 0, FINEST).otherwise(F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(360.0 / wide)))))
-    outer = outer.select(*[f"c_{n}" for n in Box._fields]).distinct().where((c.max_lon >= c.min_lon) & (c.max_lat >= c.min_lat)).withColumn("level", fitting.cast("int"))
+    on_grid = outer.where(_plain(c) & (wide <= WIDEST)).withColumn("level", fitting.cast("int"))
     (x0, y0), (x1, y1) = _cell(c.min_lon, c.min_lat, F.col("level")), _cell(c.max_lon, c.max_lat, F.col("level"))
-    cells = outer.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
-    asked = inner.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST))))
+    cells = on_grid.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+    asked = inner.where(_plain(b)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST))))
     asked = asked.join(cells.select("level").distinct(), "level", "left_semi")
     at = _cell(b.min_lon, b.min_lat, F.col("level"))
     asked = asked.withColumns({"cx": at[0], "cy": at[1]})
     pairs = asked.alias("i").join(cells.alias("o"), (F.col("i.level") == F.col("o.level")) & (F.col("i.cx") == F.col("o.cx")) & (F.col("i.cy") == F.col("o.cy")) & contains(c, b), "left_semi")
-    return pairs.select(*Box._fields).distinct()
+    # the rest: inner boxes that are not plain with all outer ones, plain ones with those too wide for a grid
+    outer = outer.where(" and ".join(f"c_{n} is not null" for n in Box._fields))
+    odd = _in_blocks(inner.where(" and ".join(f"{n} is not null" for n in Box._fields)).where(~_plain(b)), outer)
+    endless = outer.where((c.max_lon >= c.min_lon) & (c.max_lat >= c.min_lat) & ~(_plain(c) & (wide <= WIDEST)))
+    return pairs.select(*Box._fields).unionByName(odd).unionByName(_in_blocks(inner.where(_plain(b)), endless)).distinct()
 
 
 def reusable(flights: DataFrame, cached: DataFrame, zoom: int = AUTO_ZOOM, on: str | None = None) -> DataFrame:

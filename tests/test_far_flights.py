@@ -3,10 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from aerialframe import catalog
-from aerialframe.operators import coverage
+from aerialframe.operators import basemap, coverage
 
 #: Flights of the derived table lie 0.01 degrees apart from 10 degrees north on: before, at and beyond the end of the map and the poles.
 FLIGHTS = (0, 3, 7497, 7504, 7505, 7506, 7508, 7511, 7518, 7521, 7998, 8002, 8003, 8006, 17_000, 25_998, 26_002, 30_003, 44_002, 52_002)
@@ -83,3 +84,22 @@ def test_polygons_of_flights_beyond_the_poles(spark, far):
     con.execute(f"create view events as select * from '{far}/events.parquet'")
     got = [tuple(r) for r in catalog.QUERIES["cell_polygons"](spark, far).select("flight_id", "place", "corner", "lon", "lat", "overlap_count", "level").collect()]
     assert sorted(got) == sorted(con.execute(f"SELECT flight_id, place, corner, lon, lat, overlap_count, level FROM ({catalog.ORACLES['cell_polygons']})").fetchall())
+
+
+def test_basemaps_of_flights_beyond_the_map(spark, far):
+    assert len(against_sql(spark, far, "basemap_containment")) > len(FLIGHTS) / 2
+
+
+def test_boxes_with_sides_in_any_order(spark, monkeypatch):
+    """As comparing all pairs, in blocks of a few boxes: turned, endless and very wide boxes, equal sides, NaN and null among them."""
+    monkeypatch.setattr(basemap, "BLOCK", 16)
+    r = np.random.default_rng(0)
+    odd = [math.inf, -math.inf, math.nan, None, 1e9, -1e9, 0.0]
+    made = lambda n, grow: [tuple(odd[r.integers(7)] if r.random() < 0.04 else round(float(v), 1) + 0.0 for v in (x - grow, y - grow, x + w + grow, y + h + grow)) for x, y, w, h in zip(*r.uniform(-3, 3, (4, n)), strict=True)]
+    inner, outer = made(300, 0.0), made(120, 0.7)
+    over = lambda v: (math.isnan(v), 0 if math.isnan(v) else v)
+    fits = lambda i, o: None not in (*i, *o) and all(over(o[k]) <= over(i[k]) for k in (0, 1)) and all(over(o[k]) >= over(i[k]) for k in (2, 3))
+    want = {str(i) for i in inner if any(fits(i, o) for o in outer)}
+    schema = lambda p: ", ".join(f"{p}{n} double" for n in basemap.Box._fields)
+    got = basemap.containing(spark.createDataFrame(inner, schema("")), spark.createDataFrame(outer, schema("c_"))).collect()
+    assert {str(tuple(g)) for g in got} == want and len(got) == len(want) and any(i[1] > i[3] for i in inner if None not in i and str(i) in want)
