@@ -186,6 +186,8 @@ def ransac_homography(src: np.ndarray, dst: np.ndarray, rounds: int = 500, seed:
 
 # Fixed values of the alignment: trust in position (m), heading (radians) and a matched point (m); steps at most.
 POSITION_SIGMA, HEADING_SIGMA, VISUAL_SIGMA, STEPS, HUBER = 3.0, np.radians(5.0), 2.0, 12, 1.345
+#: Up to so many pictures the system is solved as one matrix (9 numbers for each pair of pictures).
+DENSE = 160
 
 
 def similarity_matrix(tx: float, ty: float, theta: float, scale: float, cx: float, cy: float) -> np.ndarray:
@@ -194,19 +196,26 @@ def similarity_matrix(tx: float, ty: float, theta: float, scale: float, cx: floa
 
 
 def align(start: np.ndarray, scale: np.ndarray, centre: np.ndarray, edges: list[tuple[int, int, np.ndarray, float, float]]) -> np.ndarray:
+    """``aligned`` with edges one by one: (i, j, h, width, height)."""
+    m = len(edges)
+    i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    h = np.array([e[2] for e in edges], float).reshape(m, 3, 3)
+    return aligned(start, scale, centre, i, j, h, np.array([e[3:5] for e in edges], float).reshape(m, 2))
+
+
+def aligned(start: np.ndarray, scale: np.ndarray, centre: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions and headings (n x 3: east, north, theta) that agree with their start and with matched points.
 
-    An edge (i, j, h, width, height) says that picture i's corners and middle lie at h of them in picture j; what both place on the
+    An edge (of m: i, j, h (m x 3 x 3), size (m x 2: width, height)) says that picture i's corners and middle lie at h of them in picture j; what both place on the
     ground should coincide. Levenberg-Marquardt with Huber weights on the edges, STEPS at most; the best state so far is kept. The normal
-    equations are kept as 3 x 3 blocks, one for each picture and each edge, and solved by conjugate gradients, so memory grows with
-    pictures and edges, not with their square.
+    equations are kept as 3 x 3 blocks, one for each picture and each edge. Up to DENSE pictures they are solved as one matrix; beyond by conjugate
+    gradients, so memory grows with pictures and edges, not with their square.
     """
-    n, m = len(start), len(edges)
+    n, m = len(start), len(i)
     prior = 1 / np.array([POSITION_SIGMA, POSITION_SIGMA, HEADING_SIGMA])
-    i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-    size = np.array([e[3:5] for e in edges], float).reshape(m, 1, 2)
-    p = size * np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]])
-    q = np.array([apply(e[2], x) for e, x in zip(edges, p, strict=True)]).reshape(m, 5, 2)
+    p = size[:, None] * np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]])
+    q = np.concatenate([p, np.ones((m, 5, 1))], 2) @ h.transpose(0, 2, 1)
+    q = q[..., :2] / q[..., 2:]
 
     def ground(x: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Points of pictures k in metres, and how they turn with the heading."""
@@ -246,7 +255,13 @@ def align(start: np.ndarray, scale: np.ndarray, centre: np.ndarray, edges: list[
         return cost, grad, own, turned[0] @ jj
 
     def solve(grad: np.ndarray, own: np.ndarray, cross: np.ndarray) -> np.ndarray:
-        """The step that the blocks ask for, by conjugate gradients with the pictures' own blocks inverted before."""
+        """The step that the blocks ask for; conjugate gradients go with the pictures' own blocks inverted before."""
+        if n <= DENSE:
+            whole = np.zeros((n, n, 3, 3))
+            np.add.at(whole, (i, j), cross)
+            whole += whole.transpose(1, 0, 3, 2)
+            whole[range(n), range(n)] += own
+            return np.linalg.solve(whole.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n), -grad.reshape(-1)).reshape(n, 3)
         inverse = np.linalg.inv(own)
 
         def product(v: np.ndarray) -> np.ndarray:

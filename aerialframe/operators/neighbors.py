@@ -61,8 +61,11 @@ def _ring() -> dict[str, Column]:
     return {f"{n}{i}": F.col("footprint")[i][k] for i in range(4) for k, n in enumerate(("rx", "ry"))}
 
 
-def _scored(both: DataFrame) -> DataFrame:
-    """(flight_id, a, b, overlap), a < b, of rows with a, b and the numbers of RING, lat and lon of both ends; scored where the rows are."""
+def _scored(both: DataFrame, least: float | None = None) -> DataFrame:
+    """(flight_id, a, b, overlap), a < b, of rows with a, b and the numbers of RING, lat and lon of both ends; scored where the rows are.
+
+    With ``least`` only pairs that overlap by more.
+    """
     numbers = [f"{n}_{k}" for k in ("a", "b") for n in (*RING, "lat", "lon")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +82,29 @@ def _scored(both: DataFrame) -> DataFrame:
             one, two = ((r[known].reshape(-1, 4, 2) - np.stack([lon, lat], 1)[:, None]) * scale for r in (ring_a, ring_b))
             small = np.minimum(quad_area(one), quad_area(two))
             out[known] = np.where(small > 0, clip_areas(one, two) / np.where(small > 0, small, 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(out)], ["flight_id", "a", "b", "overlap"])
+            done = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(out)], ["flight_id", "a", "b", "overlap"])
+            # NaN is more than any number, as in Spark
+            yield done if least is None else done.filter(pa.array(~(out <= least)))
 
     return both.select("flight_id", "a", "b", *numbers).mapInArrow(score, "flight_id long, a long, b long, overlap double")
 
 
+def _may_overlap(least: float) -> Column:
+    """Whether the bounding boxes of both footprints share as much as an overlap of ``least`` takes; a share is the same in degrees as in metres.
+
+    A thousandth is left for rounding. Where a footprint is missing it may.
+    """
+    at = lambda n, k: [F.col(f"{n}{i}_{k}") for i in range(4)]
+    shared = lambda n: F.greatest(F.lit(0.0), F.least(*[F.greatest(*at(n, k)) for k in "ab"]) - F.greatest(*[F.least(*at(n, k)) for k in "ab"]))
+
+    def area(k: str) -> Column:
+        (x0, *x), (y0, *y) = at("rx", k), at("ry", k)
+        (ux, vx, wx), (uy, vy, wy) = [v - x0 for v in x], [v - y0 for v in y]
+        return F.abs(ux * vy - vx * uy + vx * wy - wx * vy) / 2
+
+    return F.coalesce(~(shared("rx") * shared("ry") < F.least(area("a"), area("b")) * (least * 0.999)), F.lit(True))
+
+
 def overlap(pairs: DataFrame, photos: DataFrame) -> DataFrame:
     """``pairs`` (a < b) with ``overlap``: the common area of both footprints as a share of the smaller, infinite if one has none.
 
@@ -93,9 +114,10 @@ def overlap(pairs: DataFrame, photos: DataFrame) -> DataFrame:
     return _scored(pairs.join(side("a"), ["flight_id", "a"]).join(side("b"), ["flight_id", "b"]))
 
 
-def overlaps_within(photos: DataFrame, radii: DataFrame) -> DataFrame:
-    """``overlap`` of all pairs of ``within_radius``; corners travel with the photos through the one join."""
-    return _scored(_near(_known(photos, _ring()), radii, [*RING, "lat", "lon"]))
+def overlaps_within(photos: DataFrame, radii: DataFrame, least: float | None = None) -> DataFrame:
+    """``overlap`` of all pairs of ``within_radius``, or of those that overlap by more than ``least``; corners travel with the photos through the one join."""
+    near = _near(_known(photos, _ring()), radii, [*RING, "lat", "lon"])
+    return _scored(near if least is None else near.where(_may_overlap(least)), least)
 
 
 def strongest(scored: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
@@ -114,5 +136,4 @@ def strongest(scored: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
 def neighbor_pairs(photos: DataFrame, k: int | None = MAX_NEIGHBORS) -> DataFrame:
     """Photos with a footprint that lie within the radius, overlap by more than MIN_OVERLAP and are among the strongest ``k``."""
     some = photos.where(F.col("footprint").isNotNull())
-    scored = overlaps_within(some, radius(some)).where(F.col("overlap") > MIN_OVERLAP)
-    return strongest(scored, k)
+    return strongest(overlaps_within(some, radius(some), MIN_OVERLAP), k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,25 +57,38 @@ def mean_gsd(photos: DataFrame) -> DataFrame:
     return photos.groupBy("flight_id").agg(F.when(F.count_if(gsd.isNull()) == 0, F.avg(gsd)).alias("meters_per_pixel"))
 
 
+#: What the alignment reads of a picture.
+PLACED = ["east", "north", "theta", "scale", "width", "height"]
+
+
+def _columns(t: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([t[c].to_numpy() for c in names], 1)
+
+
 def align(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """(flight_id, photo_id, pose, east, north, theta) after alignment; without edges nothing moves.
 
     The flights' systems are solved side by side, each in one task: a flight is one survey, and its unknowns are three for each photo.
     """
-    nodes = placed.select("flight_id", "photo_id", "east", "north", "theta", "scale", "width", "height")
-
-    def solve(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("photo_id").reset_index(drop=True)
-        if not len(p):
-            return pd.DataFrame({c: [] for c in ("flight_id", "photo_id", "pose", "east", "north", "theta")})
-        at = {k: i for i, k in enumerate(p.photo_id)}
-        known = [
-            (at[r.a], at[r.b], np.array(r.h).reshape(3, 3), p.width[at[r.a]], p.height[at[r.a]]) for r in e.sort_values(["a", "b"]).itertuples() if r.a in at and r.b in at
-        ]
-        x = images.align(p[["east", "north", "theta"]].to_numpy(), p.scale.to_numpy(), p[["width", "height"]].to_numpy() / 2, known)
-        poses = [images.similarity_matrix(*x[i], p.scale[i], p.width[i] / 2, p.height[i] / 2).ravel().tolist() for i in range(len(p))]
-        return pd.DataFrame({"flight_id": p.flight_id, "photo_id": p.photo_id, "pose": poses, "east": x[:, 0], "north": x[:, 1], "theta": x[:, 2]})
-
-    return nodes.groupBy("flight_id").cogroup(edges.select("flight_id", "a", "b", "h").groupBy("flight_id")).applyInPandas(
+    nodes = placed.select(*[F.col(c).cast("long").alias(c) for c in ("flight_id", "photo_id")], *[F.col(c).cast("double").alias(c) for c in PLACED])
+    links = edges.select(*[F.col(c).cast("long").alias(c) for c in ("flight_id", "a", "b")], *[F.col("h")[k].cast("double").alias(f"h{k}") for k in range(9)])
+
+    def solve(p: pa.Table, e: pa.Table) -> pa.Table:
+        p, e = p.sort_by("photo_id"), e.sort_by([("a", "ascending"), ("b", "ascending")])
+        if not p.num_rows:
+            return p.select(["flight_id", "photo_id"]).append_column("pose", pa.array([], pa.list_(pa.float64()))).append_column("east", p["east"]).append_column("north", p["north"]).append_column("theta", p["theta"])
+        ids, ends = p["photo_id"].to_numpy(), [e[k].to_numpy() for k in ("a", "b")]
+        i, j = (np.searchsorted(ids, k, "right") - 1 for k in ends)
+        known = (ids[i] == ends[0]) & (ids[j] == ends[1])
+        x, scale, size = _columns(p, PLACED[:3]), p["scale"].to_numpy(), _columns(p, PLACED[4:])
+        i, j, h = i[known], j[known], _columns(e, [f"h{k}" for k in range(9)])[known].reshape(-1, 3, 3)
+        x = images.aligned(x, scale, size / 2, i, j, h, size[i])
+        s, c, (cx, cy) = scale * np.sin(x[:, 2]), scale * np.cos(x[:, 2]), size.T / 2
+        none = np.zeros(len(x))
+        poses = np.stack([c, -s, x[:, 0] - cx * c + cy * s, -s, -c, x[:, 1] + cx * s + cy * c, none, none, none + 1], 1)
+        pose = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 9, pa.int32()), pa.array(poses.ravel()))
+        return pa.table({"flight_id": p["flight_id"], "photo_id": p["photo_id"], "pose": pose, "east": x[:, 0], "north": x[:, 1], "theta": x[:, 2]})
+
+    return nodes.groupBy("flight_id").cogroup(links.groupBy("flight_id")).applyInArrow(
         solve, "flight_id long, photo_id long, pose array<double>, east double, north double, theta double"
     )

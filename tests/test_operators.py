@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -303,3 +305,37 @@ def test_queries_against_sql(spark):
         got = catalog.QUERIES[name](spark, d).select(*order).collect()
         rows = [tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall()]
         assert sorted(map(tuple, got), key=key) == sorted(rows, key=key), name
+
+
+def test_pairs_that_share_too_little_are_left_out_before_they_are_clipped(spark):
+    """The same pairs as clipping all that are near, turned photos and one without a footprint among them; what is clipped is less."""
+    r = np.random.default_rng(3)
+    rows = [(1, i, 10 + float(r.uniform(0, 0.002)), 106 + float(r.uniform(0, 0.002)), None if i == 7 else 60.0, float(r.uniform(-180, 180)), 8.8, 13.2, 8.8) for i in range(120)]
+    table = photos.with_footprint(spark.createDataFrame(rows, "flight_id long, photo_id long, lat double, lon double, relative_altitude double, yaw_deg double, focal_mm double, sensor_width_mm double, sensor_height_mm double"))
+    radii = neighbors.radius(table)
+    every = neighbors.overlaps_within(table, radii).collect()
+    want = {(p.a, p.b): p.overlap for p in every if p.overlap > 0.3}
+    got = {(p.a, p.b): p.overlap for p in neighbors.overlaps_within(table, radii, 0.3).collect()}
+    assert got == want and 0 < len(want) < len(every) and math.inf in want.values()
+    assert neighbors._near(neighbors._known(table, neighbors._ring()), radii, [*neighbors.RING, "lat", "lon"]).where(neighbors._may_overlap(0.3)).count() < len(every)
+
+
+def test_alignment_of_one_matrix_and_by_gradients(spark, monkeypatch):
+    """Both ways of solving agree; edges of pictures that are not placed, an edge of a picture with itself and a flight without edges among them."""
+    from aerialframe.functions import images
+
+    r = np.random.default_rng(4)
+    placed = [(f, i, 30.0 * (i % 5), 30.0 * (i // 5), 0.1 * float(r.normal()), 0.02, 1920.0, 1280.0) for f in (1, 2) for i in range(20)]
+    edges = [(1, i, j, np.array([[1, 0, -600.0 * (j - i) + r.normal()], [0, 1, r.normal()], [0, 0, 1]]).ravel().tolist()) for i, j in ((0, 1), (1, 2), (3, 4), (5, 6), (2, 2), (8, 99), (-1, 3))]
+    p = spark.createDataFrame(placed, "flight_id long, photo_id long, east double, north double, theta double, scale double, width double, height double")
+    e = spark.createDataFrame(edges, "flight_id long, a long, b long, h array<double>")
+    found = []
+    for most in (160, 0):
+        monkeypatch.setattr(images, "DENSE", most)
+        known = [(a, b, np.array(h).reshape(3, 3), 1920.0, 1280.0) for _, a, b, h in edges if 0 <= a < 20 and b < 20]
+        x = np.array([v[2:5] for v in placed[:20]])
+        found.append(images.align(x, np.full(20, 0.02), np.tile([960.0, 640.0], (20, 1)), known))
+    assert np.allclose(*found, atol=1e-8) and np.abs(found[0] - x).max() > 0.01
+    rows = registration.align(p, e).orderBy("flight_id", "photo_id").collect()
+    assert np.allclose([[q.east, q.north, q.theta] for q in rows[:20]], found[0], atol=1e-8) and np.allclose([q.east for q in rows[20:]], [v[2] for v in placed[20:]])
+    assert np.allclose(np.reshape(rows[3].pose, (3, 3)), images.similarity_matrix(*found[0][3], 0.02, 960, 640))
